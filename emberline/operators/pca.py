@@ -17,6 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from .scoring import Inputs, vector_windows, window_source
+from .windows import HOT_ROWS
 
 LATENT = 32  # fixed value
 
@@ -33,7 +34,7 @@ class PcaModel:
         return np.maximum((x * x).sum(axis=1) - (kept * kept).sum(axis=1), 0.0) / x.shape[1]
 
 
-def product_sums(enriched: DataFrame, inputs: Inputs, order: list[str], hot_rows: int | None = None) -> DataFrame:
+def product_sums(enriched: DataFrame, inputs: Inputs, order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Per value ``i`` of the flattened window: n, sum, and row ``i`` of the product matrix (training windows)."""
     shared = enriched.sparkSession.sparkContext.broadcast(inputs)
 
@@ -63,7 +64,7 @@ def product_sums(enriched: DataFrame, inputs: Inputs, order: list[str], hot_rows
 
 
 def fit_pca(enriched: DataFrame, inputs: Inputs, order: list[str], k: int = LATENT,
-            hot_rows: int | None = None) -> PcaModel:
+            hot_rows: int | None = HOT_ROWS) -> PcaModel:
     rows = sorted(product_sums(enriched, inputs, order, hot_rows).collect(), key=lambda r: r["i"])
     if not rows:
         raise ValueError("no normal window to fit on")

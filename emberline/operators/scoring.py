@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .features import Encoder, Scaler, vectors_of, with_vector_inputs
-from .windows import KEYS, SEQ_LEN, full_windows, sorted_blocks
+from ..functions import text
+from .features import N_FEATURES, PLAIN_DIMS, Encoder, Scaler, plain_dims, vectors_of, with_vector_inputs
+from .windows import HOT_ROWS, KEYS, SEQ_LEN, full_windows, sorted_blocks
 
 SPLIT_SEED = 42  # fixed value
 VALIDATION_SHARE = 0.2  # fixed value
@@ -58,7 +59,7 @@ def vector_windows(batches: Iterator[pa.RecordBatch], inputs: Inputs):
         yield rows, ends, windows, labels, validation
 
 
-def score_windows(enriched: DataFrame, inputs: Inputs, model, order: list[str], hot_rows: int | None = None) -> DataFrame:
+def score_windows(enriched: DataFrame, inputs: Inputs, model, order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """One row per full window: keys, order columns of its last row, ``label``, ``in_validation``, ``score``.
 
     ``model`` has ``errors(windows) -> array`` and a bounded size; it is broadcast.
@@ -82,3 +83,30 @@ def score_windows(enriched: DataFrame, inputs: Inputs, model, order: list[str],
             yield from out.combine_chunks().to_batches()
 
     return window_source(enriched, order, hot_rows, keys, inputs.seq_len).mapInArrow(run, schema)
+
+
+def score_sequences(windows: DataFrame, inputs: Inputs, model, sequence: str = "sequence") -> DataFrame:
+    """Adds ``score`` to rows that hold their whole window as an array of records.
+
+    For streams, where windows come out of keyed state; works batch by batch.
+    """
+    shared = windows.sparkSession.sparkContext.broadcast((inputs, model))
+    prepared = windows.withColumns({
+        "_tokens": F.transform(sequence, lambda r: text.tokens(r["message"])),
+        "_plain": F.transform(sequence, lambda r: F.array(*plain_dims(r["source"], r["level"], r["hour"]))),
+    })
+    schema = T.StructType([*windows.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, scorer = shared.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            plain = batch.column("_plain").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, PLAIN_DIMS)
+            x = np.concatenate([plain.astype(np.float32), held.encoder.embed(batch.column("_tokens").flatten())], axis=1)
+            x = x if held.scaler is None else held.scaler.apply(x)
+            errors = scorer.errors(x.reshape(batch.num_rows, held.seq_len, N_FEATURES))
+            kept = batch.select([f.name for f in windows.schema.fields])
+            yield kept.append_column("score", pa.array(np.asarray(errors, dtype=np.float64)))
+
+    return prepared.mapInArrow(run, schema)

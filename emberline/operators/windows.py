@@ -166,6 +166,11 @@ def full_windows(batches: Iterator[pa.RecordBatch], keys: list[str], width: int)
 
 def sorted_blocks(df: DataFrame, order: list[str], keys: list[str] = KEYS, size: int = SEQ_LEN,
                   hot_rows: int | None = HOT_ROWS, hot_blocks: int | None = None) -> DataFrame:
-    """Rows shuffled once by (keys, _block) and sorted, ready for ``full_windows``."""
+    """Rows shuffled once by (keys, _block) and sorted, ready for ``full_windows``.
+
+    The partition count is given, so that adaptive execution does not fold small
+    inputs into one task: what follows is bound by CPU, not by bytes.
+    """
     by = [*keys, "_block"]
-    return blocked(df, keys, order, size, hot_rows, hot_blocks).repartition(*by).sortWithinPartitions(*by, *order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocked(df, keys, order, size, hot_rows, hot_blocks).repartition(parts, *by).sortWithinPartitions(*by, *order)

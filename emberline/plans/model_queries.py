@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluate as ev, features as ft, pca, scoring, windows as wd
+from ..operators import evaluate as ev, features as ft, scoring, windows as wd
 from ..sinks import topics as sink
-from . import views as v
+from . import training, views as v
 from .catalog import query
 
 _WIN = f"WITH {v.SQL_WINDOWS}"
@@ -253,13 +253,6 @@ def ml_anomaly_messages(spark, sf):
 
 # ---- Fitted models: what SQL cannot fit -------------------------------------
 
-def fitted_inputs(spark, sf) -> scoring.Inputs:
-    rows = v.enriched(spark, sf)
-    encoder = _encoder(spark, sf)
-    normal = ft.log_vectors(rows.where(~F.col("is_anomaly_candidate")), encoder)
-    return scoring.Inputs(encoder, ft.collect_scaler(ft.fit_scaler(normal)))
-
-
 @query()
 def train_val_split(spark, sf):
     """Windows with the side of the split they belong to (anomalous ones on neither)."""
@@ -268,22 +261,36 @@ def train_val_split(spark, sf):
     return labelled.select("source", "host", F.col("event_id").alias("last_id"), side.otherwise(F.lit("train")).alias("side"))
 
 
+def _fitted(spark, sf, kind="pca", **options):
+    return training.fit(v.enriched(spark, sf), v.ORDER, v.BATCH_ISO, kind, **options)
+
+
 @query()
 def pca_scores(spark, sf):
     """Reconstruction error of every window under a model fitted on normal training windows."""
-    rows, inputs = v.enriched(spark, sf), fitted_inputs(spark, sf)
-    model = pca.fit_pca(rows, inputs, v.ORDER)
-    return scoring.score_windows(rows, inputs, model, v.ORDER)
+    return _fitted(spark, sf).scored
+
+
+@query()
+def lstm_scores(spark, sf):
+    """The same with the recurrent model, after two passes of training."""
+    return _fitted(spark, sf, "lstm", epochs=2).scored
+
+
+@query()
+def model_report(spark, sf):
+    """Quality of the fitted linear model on all and on held-out windows."""
+    fitted = _fitted(spark, sf)
+    return training.evaluate(fitted.scored, fitted.threshold)
 
 
 @query()
 def anomalous_hosts(spark, sf):
-    """Sources and hosts by the share of their windows above the fitted threshold."""
-    scored = pca_scores(spark, sf)
-    threshold = ev.fit_threshold(scored.where(~F.col("label") & F.col("in_validation")))
-    hit = F.col("score") > F.col("threshold")
+    """Sources and hosts by how many of their windows exceed the fitted threshold."""
+    fitted = _fitted(spark, sf)
+    hit = F.col("score") > F.lit(fitted.threshold)
     return (
-        scored.crossJoin(F.broadcast(threshold.select("threshold"))).groupBy("source", "host")
+        fitted.scored.groupBy("source", "host")
         .agg(F.count("*").alias("windows"), F.count_if(hit).alias("detected"), F.max("score").alias("worst"))
         .orderBy(F.desc("detected"), "source", "host")
     )

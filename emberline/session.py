@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "emberline", master: str | None = None, shuffle_partitions: int | None = None,
@@ -39,3 +41,16 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     if default is None:
         raise ValueError("spark.checkpoint.dir is unset: name a folder all executors can reach")
     return default
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an intermediate that several later passes read.
+
+    Uses the cluster's ``spark.checkpoint.dir``. Only a local session without one
+    gets a temporary folder.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        local = tempfile.mkdtemp(prefix="emberline-checkpoint-") if sc.master.startswith("local") else None
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession, local))
+    return df.checkpoint()

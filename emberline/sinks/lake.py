@@ -15,16 +15,21 @@ def lake_layout(enriched: DataFrame) -> DataFrame:
     })
 
 
-def write_lake(enriched: DataFrame, root: str, max_rows_per_file: int = 5_000_000) -> None:
-    """Appends one folder per (source, year, month, day).
+def write_lake(enriched: DataFrame, root: str, batch_id: int | None = None,
+               max_rows_per_file: int = 5_000_000) -> None:
+    """Adds to the folders of (source, year, month, day).
 
     ``rebalance`` gathers small partitions into one file each, while adaptive
-    execution splits a partition that holds too much into several.
+    execution splits a partition that holds too much into several. A streaming
+    ``batch_id`` becomes an inner folder that a replay of the batch overwrites.
     """
+    rows, folders, mode = lake_layout(enriched), LAKE_PARTITIONS, "append"
+    if batch_id is not None:
+        rows, folders, mode = rows.withColumn("batch_id", F.lit(batch_id)), [*LAKE_PARTITIONS, "batch_id"], "overwrite"
     (
-        lake_layout(enriched).hint("rebalance", *LAKE_PARTITIONS)
-        .write.mode("append").option("compression", "snappy").option("maxRecordsPerFile", max_rows_per_file)
-        .partitionBy(*LAKE_PARTITIONS).parquet(root)
+        rows.hint("rebalance", *folders).write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
+        .option("maxRecordsPerFile", max_rows_per_file).partitionBy(*folders).parquet(root)
     )
 
 

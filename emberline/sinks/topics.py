@@ -70,12 +70,18 @@ def anomaly_messages(payload: DataFrame) -> DataFrame:
     return as_message(payload, F.coalesce("source", F.lit("unknown")), ANOMALY_FIELDS)
 
 
-def write_messages(messages: DataFrame, target: str, kafka: dict[str, str] | None = None) -> None:
-    """To topic ``target`` when Kafka options are given, else to a folder of JSON lines."""
+def write_messages(messages: DataFrame, target: str, kafka: dict[str, str] | None = None,
+                   batch_id: int | None = None) -> None:
+    """To topic ``target`` when Kafka options are given, else to a folder of JSON lines.
+
+    With ``batch_id`` the folder of that batch is overwritten, so a replay adds nothing.
+    """
     if kafka:
         messages.write.format("kafka").options(**{"kafka.acks": "all", **kafka}).option("topic", target).save()
-    else:
+    elif batch_id is None:
         messages.write.mode("append").json(target)
+    else:
+        messages.write.mode("overwrite").json(f"{target}/batch_id={batch_id}")
 
 
 def append_feedback(records: DataFrame, path: str) -> None:
