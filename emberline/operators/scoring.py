@@ -95,6 +95,7 @@ def score_sequences(windows: DataFrame, inputs: Inputs, model, sequence: str = "
         "_tokens": F.transform(sequence, lambda r: text.tokens(r["message"])),
         "_plain": F.transform(sequence, lambda r: F.array(*plain_dims(r["source"], r["level"], r["hour"]))),
     })
+    names = windows.columns
     schema = T.StructType([*windows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def score_sequences(windows: DataFrame, inputs: Inputs, model, sequence: str = "
             x = np.concatenate([plain.astype(np.float32), held.encoder.embed(batch.column("_tokens").flatten())], axis=1)
             x = x if held.scaler is None else held.scaler.apply(x)
             errors = scorer.errors(x.reshape(batch.num_rows, held.seq_len, N_FEATURES))
-            kept = batch.select([f.name for f in windows.schema.fields])
+            kept = batch.select(names)
             yield kept.append_column("score", pa.array(np.asarray(errors, dtype=np.float64)))
 
     return prepared.mapInArrow(run, schema)
