@@ -89,8 +89,8 @@ def _run_lstm(p, name, x):
     n, steps, _ = x.shape
     hidden = wh.shape[1]
     drive = x @ wx.T + bias
-    h, c = np.zeros((n, hidden)), np.zeros((n, hidden))
-    states, kept = np.empty((n, steps, hidden)), []
+    h, c = np.zeros((n, hidden), x.dtype), np.zeros((n, hidden), x.dtype)
+    states, kept = np.empty((n, steps, hidden), x.dtype), []
     for t in range(steps):
         i, f, g, o = np.split(drive[:, t] + h @ wh.T, 4, axis=1)
         i, f, g, o = _sigmoid(i), _sigmoid(f), np.tanh(g), _sigmoid(o)
@@ -108,8 +108,8 @@ def _back_lstm(p, grads, name, saved, d_states):
     x, kept = saved
     wx, wh = p[f"{name}.x"], p[f"{name}.h"]
     n, steps, hidden = d_states.shape
-    d_gates = np.empty((n, steps, 4 * hidden))
-    dh, dc = np.zeros((n, hidden)), np.zeros((n, hidden))
+    d_gates = np.empty((n, steps, 4 * hidden), x.dtype)
+    dh, dc = np.zeros((n, hidden), x.dtype), np.zeros((n, hidden), x.dtype)
     for t in reversed(range(steps)):
         i, f, g, o, before_h, before_c, squashed = kept[t]
         dh = dh + d_states[:, t]
@@ -126,8 +126,10 @@ def _back_lstm(p, grads, name, saved, d_states):
     return d_gates @ wx
 
 
-def _mask(rng, shape, rate):
-    return 1.0 if rng is None or rate == 0 else (rng.random(shape) >= rate) / (1 - rate)
+def _mask(rng, like, rate):
+    if rng is None or rate == 0:
+        return like.dtype.type(1)
+    return (rng.random(like.shape, dtype=np.float32) >= rate).astype(like.dtype) / like.dtype.type(1 - rate)
 
 
 def run_network(p, x, rng=None, dropout=DROPOUT):
@@ -137,23 +139,23 @@ def run_network(p, x, rng=None, dropout=DROPOUT):
     low_f, saved["enc0f"] = _run_lstm(p, "enc0f", x)
     low_b, saved["enc0b"] = _run_lstm(p, "enc0b", x[:, ::-1])
     low = np.concatenate([low_f, low_b[:, ::-1]], axis=2)
-    saved["m_low"] = _mask(rng, low.shape, dropout)
+    saved["m_low"] = _mask(rng, low, dropout)
     low = low * saved["m_low"]
     top_f, saved["enc1f"] = _run_lstm(p, "enc1f", low)
     top_b, saved["enc1b"] = _run_lstm(p, "enc1b", low[:, ::-1])
     ends = np.concatenate([top_f[:, -1], top_b[:, -1]], axis=1)
-    saved["m_ends"] = _mask(rng, ends.shape, dropout)
+    saved["m_ends"] = _mask(rng, ends, dropout)
     saved["ends"] = ends * saved["m_ends"]
     saved["latent"] = saved["ends"] @ p["code.w"].T + p["code.b"]
     opened = saved["latent"] @ p["open.w"].T + p["open.b"]
     first, saved["dec0f"] = _run_lstm(p, "dec0f", np.repeat(opened[:, None], steps, axis=1))
-    saved["m_first"] = _mask(rng, first.shape, dropout)
+    saved["m_first"] = _mask(rng, first, dropout)
     second, saved["dec1f"] = _run_lstm(p, "dec1f", first * saved["m_first"])
     logits = second @ p["weigh.w"].T + p["weigh.b"]
     weights = np.exp(logits - logits.max(axis=1, keepdims=True))
     weights /= weights.sum(axis=1, keepdims=True)
     saved["second"], saved["weights"] = second, weights
-    saved["m_out"] = _mask(rng, second.shape, dropout)
+    saved["m_out"] = _mask(rng, second, dropout)
     saved["weighed"] = second * weights * saved["m_out"]
     return saved["weighed"] @ p["out.w"].T + p["out.b"], saved
 
@@ -167,7 +169,7 @@ def loss_and_gradient(shape: Shape, flat: np.ndarray, x: np.ndarray, rng=None, d
     n, steps, features = x.shape
     h = shape.hidden
     error = out - x
-    d_out = 2 * error / error.size
+    d_out = error * x.dtype.type(2.0 / error.size)
     grads["out.w"] += d_out.reshape(-1, features).T @ s["weighed"].reshape(-1, h)
     grads["out.b"] += d_out.sum(axis=(0, 1))
     d_weighed = (d_out @ p["out.w"]) * s["m_out"]
@@ -184,10 +186,10 @@ def loss_and_gradient(shape: Shape, flat: np.ndarray, x: np.ndarray, rng=None, d
     grads["code.w"] += d_latent.T @ s["ends"]
     grads["code.b"] += d_latent.sum(axis=0)
     d_ends = (d_latent @ p["code.w"]) * s["m_ends"]
-    d_top = np.zeros((n, steps, h))
+    d_top = np.zeros((n, steps, h), x.dtype)
     d_top[:, -1] = d_ends[:, :h]
     d_low = _back_lstm(p, grads, "enc1f", s["enc1f"], d_top)
-    d_top = np.zeros((n, steps, h))
+    d_top = np.zeros((n, steps, h), x.dtype)
     d_top[:, -1] = d_ends[:, h:]
     d_low = (d_low + _back_lstm(p, grads, "enc1b", s["enc1b"], d_top)[:, ::-1]) * s["m_low"]
     _back_lstm(p, grads, "enc0f", s["enc0f"], d_low[:, :, :h])
@@ -202,11 +204,11 @@ class LstmModel:
 
     def errors(self, windows: np.ndarray) -> np.ndarray:
         """Mean squared reconstruction error per window."""
-        p = self.shape.unpack(self.flat.astype(np.float64))
+        p = self.shape.unpack(self.flat.astype(np.float32))
         out = []
         for at in range(0, len(windows), 1024):
-            x = windows[at: at + 1024].astype(np.float64)
-            out.append(((run_network(p, x)[0] - x) ** 2).mean(axis=(1, 2)))
+            x = windows[at: at + 1024].astype(np.float32)
+            out.append(((run_network(p, x)[0] - x) ** 2).mean(axis=(1, 2), dtype=np.float64))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -252,10 +254,10 @@ def _epoch(source: DataFrame, inputs: Inputs, shape: Shape, state: Adam, rate: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, net, start = shared.value
-        local, rng = Adam.unpacked(start.copy()), np.random.default_rng(seed)
+        local, rng = Adam.unpacked(start.astype(np.float32)), np.random.default_rng(seed)
         n, loss = 0, 0.0
         for _, _, windows, labels, validation in vector_windows(batches, held):
-            x = windows[~labels & ~validation].astype(np.float64)
+            x = windows[~labels & ~validation].astype(np.float32)
             x = x[rng.permutation(len(x))]
             for at in range(0, len(x), BATCH):
                 part = x[at: at + BATCH]
@@ -263,7 +265,7 @@ def _epoch(source: DataFrame, inputs: Inputs, shape: Shape, state: Adam, rate: f
                 local.step(gradient, rate)
                 n, loss = n + len(part), loss + value * len(part)
         if n:
-            vector = np.concatenate([local.packed() * n, [loss]])
+            vector = np.concatenate([local.packed().astype(np.float64) * n, [loss]])
             vector = np.pad(vector, (0, -len(vector) % _CHUNK))
             pieces = len(vector) // _CHUNK
             offsets = pa.array(np.arange(0, len(vector) + 1, _CHUNK, dtype=np.int32))

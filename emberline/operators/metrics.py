@@ -26,11 +26,12 @@ def align_mean(points: DataFrame, series: list[str], seconds: int = MEAN_SECONDS
 
 def increases(points: DataFrame, series: list[str], order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Adds ``increase`` since the previous point of the series; a counter reset counts as none."""
+    points = points.select(*dict.fromkeys([*series, *order, "ts", "value"]))
     stepped = count_windows(
-        points, lambda frame: {"_before": F.first("value").over(frame), "_seen": F.count(F.lit(1)).over(frame)},
-        order, series, size=2, full=False, hot_rows=hot_rows)
-    step = F.when(F.col("_seen") == 2, F.col("value") - F.col("_before"))
-    return stepped.withColumn("increase", F.greatest(F.coalesce(step, F.lit(0.0)), F.lit(0.0))).drop("_before", "_seen")
+        points, lambda frame: {"_before": F.first("value").over(frame)}, order, series, size=2, full=False, hot_rows=hot_rows)
+    # The first point of a series is its own predecessor, so it adds nothing.
+    step = F.greatest(F.col("value") - F.col("_before"), F.lit(0.0))
+    return stepped.withColumn("increase", F.coalesce(step, F.lit(0.0))).drop("_before")
 
 
 def align_delta(points: DataFrame, series: list[str], order: list[str], seconds: int = DELTA_SECONDS,

@@ -15,13 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F, types as T
 
-from .prefix import _all
-
 SEQ_LEN = 10  # fixed value: rows per window
 HOT_ROWS = 2_000_000
 KEYS = ["source", "host"]
 
 
+def _same_keys(keys: list[str]) -> Column:
+    """Keys equal those of the hot list, a missing part being equal to a missing part."""
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    return out
+
+
 def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_rows"))
 
@@ -72,7 +78,7 @@ def blocked(df: DataFrame, keys: list[str], order: list[str], size: int = SEQ_LE
     if hot_rows is None:
         return df.withColumns(plain)
     hot = F.broadcast(key_counts(df, keys).where(F.col("_rows") > hot_rows).drop("_rows"))
-    match = _all([F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)])
+    match = _same_keys(keys)
     cold = df.join(hot, match, "left_anti").withColumns(plain)
     parts = hot_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
@@ -87,24 +93,32 @@ def blocked(df: DataFrame, keys: list[str], order: list[str], size: int = SEQ_LE
 def count_windows(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], order: list[str],
                   keys: list[str] = KEYS, size: int = SEQ_LEN, full: bool = True,
                   hot_rows: int | None = HOT_ROWS, hot_blocks: int | None = None) -> DataFrame:
-    """Adds ``columns(frame)`` over the last ``size`` rows; ``full`` drops shorter windows."""
+    """Adds ``columns(frame)`` over the last ``size`` rows; ``full`` drops shorter windows.
+
+    Hand in only the columns needed later: rows of a split key cross a Python
+    stage, which column pruning does not see through.
+    """
     split = blocked(df, keys, order, size, hot_rows, hot_blocks)
-    frame = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(-(size - 1), 0)
-    made = split.withColumns({**columns(frame), "_size": F.count(F.lit(1)).over(frame)}).where(~F.col("_halo"))
-    if full:
-        made = made.where(F.col("_size") == size)
-    return made.drop("_block", "_halo", "_size")
+    run = W.partitionBy(*keys, "_block").orderBy(*order)
+    made = split.withColumns({**columns(run.rowsBetween(-(size - 1), 0)), "_place": F.row_number().over(run)})
+    made = made.where(~F.col("_halo") & (F.col("_place") >= (size if full else 1)))
+    return made.drop("_block", "_halo", "_place")
+
+
+def _needed(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*dict.fromkeys(names))
 
 
 def sliding_windows(enriched: DataFrame, order: list[str], record: list[str] | None = None, row_id: str | None = None,
-                    **params) -> DataFrame:
-    """One row per full window: its last row, label, size, and if asked its records in order."""
+                    keep: list[str] = (), keys: list[str] = KEYS, **params) -> DataFrame:
+    """One row per full window: keys, order and ``keep`` columns of its last row, and its label.
+
+    ``row_id`` adds the ids of its first and last row, ``record`` its rows as an
+    array of those columns, oldest first.
+    """
 
     def columns(frame: WindowSpec) -> dict[str, Column]:
-        out = {
-            "label": F.max("is_anomaly_candidate").over(frame),
-            "window_rows": F.count(F.lit(1)).over(frame),
-        }
+        out = {"label": F.max("is_anomaly_candidate").over(frame)}
         if row_id:
             out["first_id"] = F.first(row_id).over(frame)
             out["last_id"] = F.last(row_id).over(frame)
@@ -112,14 +126,15 @@ def sliding_windows(enriched: DataFrame, order: list[str], record: list[str] | N
             out["sequence"] = F.collect_list(F.struct(*record)).over(frame)
         return out
 
-    return count_windows(enriched, columns, order, **params)
+    names = [*keys, *order, "is_anomaly_candidate", *keep, *(record or []), *([row_id] if row_id else [])]
+    made = count_windows(_needed(enriched, *names), columns, order, keys, **params)
+    extra = [c for c in ("label", "first_id", "last_id", "sequence") if c in made.columns]
+    return _needed(made, *keys, *order, *keep, *extra)
 
 
-def window_labels(enriched: DataFrame, order: list[str], **params) -> DataFrame:
+def window_labels(enriched: DataFrame, order: list[str], keep: list[str] = (), **params) -> DataFrame:
     """Label per window without building the windows."""
-    return count_windows(
-        enriched, lambda frame: {"label": F.max("is_anomaly_candidate").over(frame)}, order, **params
-    )
+    return sliding_windows(enriched, order, keep=keep, **params)
 
 
 def window_counts(labelled: DataFrame) -> DataFrame:

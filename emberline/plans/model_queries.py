@@ -15,10 +15,10 @@ _WIN = f"WITH {v.SQL_WINDOWS}"
 _SMALL_VOCAB = 50
 
 
-@query(f"{_WIN} SELECT source, host, first_id, event_id AS last_id, window_rows, label FROM wins")
+@query(f"{_WIN} SELECT source, host, first_id, event_id AS last_id, label FROM wins")
 def sliding_windows(spark, sf):
     found = wd.sliding_windows(v.enriched(spark, sf), v.ORDER, row_id="event_id")
-    return found.select("source", "host", "first_id", "last_id", "window_rows", "label")
+    return found.select("source", "host", "first_id", "last_id", "label")
 
 
 @query(f"{_WIN} SELECT source, host, event_id AS last_id, label FROM wins")

@@ -69,13 +69,13 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled windows with a score made from the last row's value."""
-    labelled = wd.window_labels(enriched(spark, sf_dir), ORDER)
+    labelled = wd.window_labels(enriched(spark, sf_dir), ORDER, keep=["value"])
     return labelled.withColumn("score", F.col("value") / 50)
 
 
 def ml_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = ["timestamp", "source", "host", "level", "message"]
-    found = wd.sliding_windows(enriched(spark, sf_dir), ORDER, record=record).withColumn("score", F.col("value") / 50)
+    found = wd.sliding_windows(enriched(spark, sf_dir), ORDER, record=record, keep=["value", "timestamp"]).withColumn("score", F.col("value") / 50)
     hits = found.where(F.col("score") > THRESHOLD).select(
         F.col("event_id").alias("arrival"), F.col("timestamp").alias("_at"), "sequence", "score")
     return anomaly_payload(hits, THRESHOLD, BATCH_ISO, detected_at=F.col("_at")).drop("_at")
