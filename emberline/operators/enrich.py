@@ -73,6 +73,12 @@ def batch_counters(enriched: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def observe_counters(enriched: DataFrame, name: str = "etl") -> DataFrame:
+    """The same counters as metrics of the running query, without another pass (see ``Observation`` and listeners)."""
+    return enriched.observe(
+        name, F.count(F.lit(1)).alias("records"), F.count_if(F.col("is_anomaly_candidate")).alias("anomalies"))
+
+
 def anomaly_rate(enriched: DataFrame, *by: str, totals: bool = False) -> DataFrame:
     """Share of rule anomalies per group; ``totals`` adds roll-up rows."""
     grouped = enriched.rollup(*by) if totals else enriched.groupBy(*by)

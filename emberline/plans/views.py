@@ -45,6 +45,10 @@ def _source() -> Column:
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_logs_of(events(spark, sf_dir))
+
+
+def raw_logs_of(event_rows: DataFrame, keep: list[str] = ()) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
     stamp = (
         F.when(e % 101 == 0, F.lit("not-a-time"))
@@ -56,8 +60,8 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((kind == "error") & (F.col("value") > 150), F.lit("fatal")).when(kind == "error", F.lit("ERROR"))
         .when(kind == "purchase", F.lit("WARNING")).when(kind == "view", F.lit("debug")).otherwise(F.lit("INFO"))
     )
-    rows = events(spark, sf_dir).select(
-        "event_id", "value", stamp.alias("timestamp"), _source().alias("source"),
+    rows = event_rows.select(
+        *keep, "event_id", "value", stamp.alias("timestamp"), _source().alias("source"),
         F.concat(F.lit("host-"), "user_id").alias("host"), level.alias("level"), kind.alias("component"),
         _message().alias("message"))
     return rows.withColumn("raw", F.concat_ws(" ", "timestamp", "level", "component", "message"))
@@ -74,11 +78,11 @@ def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = ["timestamp", "source", "host", "level", "message"]
-    found = wd.sliding_windows(enriched(spark, sf_dir), ORDER, record=record, keep=["value", "timestamp"]).withColumn("score", F.col("value") / 50)
-    hits = found.where(F.col("score") > THRESHOLD).select(
-        F.col("event_id").alias("arrival"), F.col("timestamp").alias("_at"), "sequence", "score")
-    return anomaly_payload(hits, THRESHOLD, BATCH_ISO, detected_at=F.col("_at")).drop("_at")
+    record = ["timestamp", "level", "message"]
+    found = wd.sliding_windows(enriched(spark, sf_dir), ORDER, record=record, keep=["value"])
+    scored = found.select("source", "host", F.col("event_id").alias("arrival"), "sequence", (F.col("value") / 50).alias("score"))
+    hits = scored.where(F.col("score") > THRESHOLD)
+    return anomaly_payload(hits, THRESHOLD, BATCH_ISO, detected_at=F.element_at("sequence", -1)["timestamp"])
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +44,23 @@ def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     return default
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an intermediate that several later passes read.
-
-    Uses the cluster's ``spark.checkpoint.dir``. Only a local session without one
-    gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        local = tempfile.mkdtemp(prefix="emberline-checkpoint-") if sc.master.startswith("local") else None
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession, local))
+        local = None
+        if sc.master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None):
+            local = tempfile.mkdtemp(prefix="emberline-checkpoint-")
+        sc.setCheckpointDir(checkpoint_dir(spark, local))
+    return sc.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an intermediate that several later passes read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new, empty path in the shared folder."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"

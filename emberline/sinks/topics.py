@@ -45,16 +45,15 @@ def model_version(computed_at: str | Column) -> Column:
 
 def anomaly_payload(scored: DataFrame, threshold: float, computed_at: str, detected_at: Column | None = None,
                     sequence: str = "sequence", score: str = "score") -> DataFrame:
-    """Anomaly rows from scored windows; source and host are those of the last row."""
-    last = F.element_at(sequence, -1)
+    """Anomaly rows from scored windows; source and host, the key of a window, are its last row's."""
     when = detected_at if detected_at is not None else times.iso_utc(F.current_timestamp())
     kept = [c for c in scored.columns if c not in (*ANOMALY_FIELDS, sequence, score)]
     ratio = F.round(F.col(score) / F.lit(threshold), 3) if threshold > 0 else F.lit(0.0)
     return scored.select(
         *kept,
         when.alias("detected_at"),
-        last["source"].alias("source"),
-        last["host"].alias("host"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce("host", F.lit("")).alias("host"),
         F.round(score, 6).alias("anomaly_score"),
         F.round(F.lit(float(threshold)), 6).alias("threshold"),
         ratio.alias("severity_ratio"),
@@ -67,7 +66,7 @@ def anomaly_payload(scored: DataFrame, threshold: float, computed_at: str, detec
 
 
 def anomaly_messages(payload: DataFrame) -> DataFrame:
-    return as_message(payload, F.coalesce("source", F.lit("unknown")), ANOMALY_FIELDS)
+    return as_message(payload, F.when(F.col("source") == "", F.lit("unknown")).otherwise(F.col("source")), ANOMALY_FIELDS)
 
 
 def write_messages(messages: DataFrame, target: str, kafka: dict[str, str] | None = None,

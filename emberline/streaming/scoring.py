@@ -25,7 +25,7 @@ def score_stream(enriched: DataFrame, position: str, inputs: Inputs, model, thre
     """Anomaly payload rows of windows whose score exceeds the threshold."""
     windows = stream_windows(enriched, position, inputs.seq_len, idle_minutes)
     hits = ml_anomalies(score_sequences(windows, inputs, model), threshold)
-    return sink.anomaly_payload(hits.drop("source", "host"), threshold, computed_at)
+    return sink.anomaly_payload(hits, threshold, computed_at).drop("position", "label")
 
 
 def run_scoring(enriched: DataFrame, position: str, inputs: Inputs, model, threshold: float, computed_at: str, target: str,
