@@ -13,8 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import text
-from .features import N_FEATURES, PLAIN_DIMS, Encoder, Scaler, plain_dims, vectors_of, with_vector_inputs
+from .features import Encoder, Scaler, vectors_of, with_vector_inputs
 from .windows import HOT_ROWS, KEYS, SEQ_LEN, full_windows, sorted_blocks
 
 SPLIT_SEED = 42  # fixed value
@@ -85,29 +84,38 @@ def score_windows(enriched: DataFrame, inputs: Inputs, model, order: list[str],
     return window_source(enriched, order, hot_rows, keys, inputs.seq_len).mapInArrow(run, schema)
 
 
-def score_sequences(windows: DataFrame, inputs: Inputs, model, sequence: str = "sequence") -> DataFrame:
-    """Adds ``score`` to rows that hold their whole window as an array of records.
+def sequences(rows: pa.Table, ends: np.ndarray, size: int, names: list[str]) -> pa.ListArray:
+    """Records of the windows that end at ``ends``, oldest first, as lists of structs."""
+    at = pa.array((ends[:, None] + np.arange(1 - size, 1)).ravel())
+    columns = [rows.column(n).combine_chunks().take(at) for n in names]
+    offsets = pa.array(np.arange(0, len(ends) * size + 1, size, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names))
 
-    For streams, where windows come out of keyed state; works batch by batch.
+
+def score_runs(runs: DataFrame, inputs: Inputs, model, threshold: float, shown: list[str], record: list[str]) -> DataFrame:
+    """Windows above ``threshold`` of rows that already lie in order, run after run (a stream's state output).
+
+    Gives ``shown`` of the last row, ``label``, ``score`` and ``sequence``; records
+    are gathered for the hits only.
     """
-    shared = windows.sparkSession.sparkContext.broadcast((inputs, model))
-    prepared = windows.withColumns({
-        "_tokens": F.transform(sequence, lambda r: text.tokens(r["message"])),
-        "_plain": F.transform(sequence, lambda r: F.array(*plain_dims(r["source"], r["level"], r["hour"]))),
-    })
-    names = windows.columns
-    schema = T.StructType([*windows.schema.fields, T.StructField("score", T.DoubleType())])
+    shared = runs.sparkSession.sparkContext.broadcast((inputs, model))
+    fields = {f.name: f.dataType for f in runs.schema.fields}
+    schema = T.StructType(
+        [T.StructField(c, fields[c]) for c in shown]
+        + [T.StructField("label", T.BooleanType()), T.StructField("score", T.DoubleType()),
+           T.StructField("sequence", T.ArrayType(T.StructType([T.StructField(c, fields[c]) for c in record])))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, scorer = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
+        for rows, ends, windows, labels, _ in vector_windows(batches, held):
+            errors = np.asarray(scorer.errors(windows), dtype=np.float64)
+            hit = np.flatnonzero(errors > threshold)
+            if len(hit) == 0:
                 continue
-            plain = batch.column("_plain").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, PLAIN_DIMS)
-            x = np.concatenate([plain.astype(np.float32), held.encoder.embed(batch.column("_tokens").flatten())], axis=1)
-            x = x if held.scaler is None else held.scaler.apply(x)
-            errors = scorer.errors(x.reshape(batch.num_rows, held.seq_len, N_FEATURES))
-            kept = batch.select(names)
-            yield kept.append_column("score", pa.array(np.asarray(errors, dtype=np.float64)))
-
-    return prepared.mapInArrow(run, schema)
+            out = rows.select(shown).take(pa.array(ends[hit]))
+            out = out.append_column("label", pa.array(labels[hit])).append_column("score", pa.array(errors[hit]))
+            out = out.append_column("sequence", sequences(rows, ends[hit], held.seq_len, record))
+            yield from out.combine_chunks().to_batches()
+
+    return with_vector_inputs(runs.withColumn("_val", F.lit(False))).mapInArrow(run, schema)

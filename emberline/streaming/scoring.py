@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import times
-from ..operators.evaluate import ml_anomalies
-from ..operators.scoring import Inputs, score_sequences
+from ..operators.scoring import Inputs, score_runs
 from ..schemas import ENRICHED_SCHEMA
 from ..sinks import topics as sink
 from ..sources import topics
-from .windows import stream_windows
+from .windows import RECORD, stream_runs
 
 
-def processed_rows(messages: DataFrame, position: str = "offset") -> DataFrame:
+def processed_rows(messages: DataFrame) -> DataFrame:
     """Enriched rows from processed messages, with their event time back as a timestamp."""
     rows = topics.decode(messages, ENRICHED_SCHEMA).drop("_keys")
     return rows.withColumn("event_time", times.parse_iso(F.col("timestamp"), accept_offset=True))
@@ -23,9 +22,9 @@ def processed_rows(messages: DataFrame, position: str = "offset") -> DataFrame:
 def score_stream(enriched: DataFrame, position: str, inputs: Inputs, model, threshold: float, computed_at: str,
                  idle_minutes: int | None = None) -> DataFrame:
     """Anomaly payload rows of windows whose score exceeds the threshold."""
-    windows = stream_windows(enriched, position, inputs.seq_len, idle_minutes)
-    hits = ml_anomalies(score_sequences(windows, inputs, model), threshold)
-    return sink.anomaly_payload(hits, threshold, computed_at).drop("position", "label")
+    runs = stream_runs(enriched, position, inputs.seq_len, idle_minutes)
+    hits = score_runs(runs, inputs, model, threshold, ["source", "host"], RECORD)
+    return sink.anomaly_payload(hits, threshold, computed_at).drop("label")
 
 
 def run_scoring(enriched: DataFrame, position: str, inputs: Inputs, model, threshold: float, computed_at: str, target: str,

@@ -5,27 +5,34 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.windows import KEYS, SEQ_LEN
+from ..operators.scoring import sequences
+from ..operators.windows import KEYS, SEQ_LEN, full_windows
 
-RECORD = T.StructType([
-    T.StructField("timestamp", T.StringType()), T.StructField("source", T.StringType()),
-    T.StructField("host", T.StringType()), T.StructField("level", T.StringType()),
+RECORD = ["timestamp", "level", "message"]
+_ROW = T.StructType([
+    T.StructField("source", T.StringType()), T.StructField("host", T.StringType()),
+    T.StructField("timestamp", T.StringType()), T.StructField("level", T.StringType()),
     T.StructField("message", T.StringType()), T.StructField("hour", T.IntegerType()),
+    T.StructField("is_anomaly_candidate", T.BooleanType()), T.StructField("position", T.LongType()),
+    T.StructField("_halo", T.BooleanType()), T.StructField("_block", T.IntegerType()),
 ])
-_NAMES = RECORD.names
+_HELD = _ROW.names[:-2]
 
 
-def stream_windows(enriched: DataFrame, position: str, size: int = SEQ_LEN,
-                   idle_minutes: int | None = None) -> DataFrame:
-    """One row per row from the ``size``-th of its key on: position, label and the window's records.
+def stream_runs(enriched: DataFrame, position: str, size: int = SEQ_LEN, idle_minutes: int | None = None) -> DataFrame:
+    """New rows in order, key after key, each run led by the (at most ``size - 1``) rows kept from before.
 
     Rows of one micro-batch are taken in order of (event time, ``position``, an
-    integer); rows of a later batch follow those of an earlier one. State is at
-    most ``size - 1`` rows per key; ``idle_minutes`` drops keys gone silent.
+    integer); rows of a later batch follow those of an earlier one. The kept rows
+    are marked ``_halo``: they complete windows and end none. What one call holds
+    is a key's share of one micro-batch, which the source's trigger limits bound.
+    ``idle_minutes`` drops keys gone silent.
     """
     wait = GroupStateTimeout.ProcessingTimeTimeout if idle_minutes else GroupStateTimeout.NoTimeout
 
@@ -33,28 +40,38 @@ def stream_windows(enriched: DataFrame, position: str, size: int = SEQ_LEN,
         if state.hasTimedOut:
             state.remove()
             return
-        fresh = pd.concat(list(batches), ignore_index=True).sort_values(["_micros", "_position"], kind="stable")
-        records = fresh[[*_NAMES, "_flag"]].astype(object).where(fresh[[*_NAMES, "_flag"]].notna(), None).values.tolist()
-        held = json.loads(state.get[0]) if state.exists else []
-        rows = held + records
-        ends = range(max(len(held), size - 1), len(rows))
-        positions = fresh["_position"].tolist()
-        yield pd.DataFrame({
-            "source": [key[0]] * len(ends), "host": [key[1]] * len(ends),
-            "position": pd.array([positions[i - len(held)] for i in ends], dtype="int64"),
-            "label": [any(r[-1] for r in rows[i - size + 1: i + 1]) for i in ends],
-            "sequence": [[dict(zip(_NAMES, r)) for r in rows[i - size + 1: i + 1]] for i in ends],
-        })
-        state.update((json.dumps(rows[len(rows) - (size - 1):] if size > 1 else []),))
+        fresh = pd.concat(list(batches), ignore_index=True).sort_values(["_micros", "position"], kind="stable")
+        rows = fresh[_HELD].assign(_halo=False)
+        if state.exists:
+            kept = pd.DataFrame(json.loads(state.get[0]), columns=_HELD).astype(rows.dtypes[_HELD].to_dict())
+            rows = pd.concat([kept.assign(_halo=True), rows], ignore_index=True)
+        tail = rows[_HELD].tail(size - 1).astype(object)
+        state.update((json.dumps(tail.where(tail.notna(), None).values.tolist()),))
         if idle_minutes:
             state.setTimeoutDuration(idle_minutes * 60_000)
+        yield rows.assign(_block=np.int32(0))
 
+    wanted = enriched.withColumn("position", F.col(position).cast("bigint")).select(
+        *_HELD, F.unix_micros("event_time").alias("_micros"))
+    return wanted.groupBy(*KEYS).applyInPandasWithState(step, _ROW, "rows string", "append", wait)
+
+
+def stream_windows(enriched: DataFrame, position: str, size: int = SEQ_LEN, idle_minutes: int | None = None) -> DataFrame:
+    """One row per row from the ``size``-th of its key on: position, label and the window's records."""
     schema = T.StructType([
-        T.StructField("source", T.StringType()), T.StructField("host", T.StringType()),
-        T.StructField("position", T.LongType()), T.StructField("label", T.BooleanType()),
-        T.StructField("sequence", T.ArrayType(RECORD)),
+        *[_ROW[c] for c in ("source", "host", "position")], T.StructField("label", T.BooleanType()),
+        T.StructField("sequence", T.ArrayType(T.StructType([_ROW[c] for c in RECORD]))),
     ])
-    wanted = enriched.select(
-        *_NAMES, F.col("is_anomaly_candidate").alias("_flag"), F.unix_micros("event_time").alias("_micros"),
-        F.col(position).cast("bigint").alias("_position"))
-    return wanted.groupBy(*KEYS).applyInPandasWithState(step, schema, "rows string", "append", wait)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends in full_windows(batches, KEYS, size):
+            if len(ends) == 0:
+                continue
+            flags = rows.column("is_anomaly_candidate").to_numpy(zero_copy_only=False).astype(bool)
+            seen = np.concatenate([[0], np.cumsum(flags)])
+            out = rows.select(["source", "host", "position"]).take(pa.array(ends))
+            out = out.append_column("label", pa.array(seen[ends + 1] - seen[ends + 1 - size] > 0))
+            out = out.append_column("sequence", sequences(rows, ends, size, RECORD))
+            yield from out.combine_chunks().to_batches()
+
+    return stream_runs(enriched, position, size, idle_minutes).mapInArrow(run, schema)
