@@ -113,7 +113,7 @@ def newest_n(spark, sf):
 
 def _kpis(sources: str, frm: str = "board") -> str:
     return f"""SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ANOMALIE') AS anomalies, round(avg(score), 6) AS mean_score, {sources} AS sources,
-  round(100.0 * count(*) FILTER (WHERE status = 'ANOMALIE') / count(*), 1) AS anomaly_pct FROM {frm}"""
+  round(CAST(count(*) FILTER (WHERE status = 'ANOMALIE') AS DOUBLE) / count(*) * 100, 1) AS anomaly_pct FROM {frm}"""
 
 
 def _rounded(kpis):
@@ -239,10 +239,10 @@ def _period(seconds: int) -> str:
 _STEPS = f"{_P}, steps AS (SELECT resource, ts, greatest(coalesce(counter - lag(counter) OVER (PARTITION BY resource ORDER BY ts, event_id), 0), 0) AS d FROM points)"
 
 
-@query(f"{_P} SELECT resource, {_period(3600)} AS period, round(avg(gauge), 6) AS value FROM points GROUP BY ALL")
+@query(f"{_P} SELECT resource, {_period(3600)} AS period, round(avg(gauge), 10) AS value FROM points GROUP BY ALL")
 def align_mean(spark, sf):
     points = v.infra_points(spark, sf).withColumn("value", F.col("gauge"))
-    return mt.align_mean(points, _SERIES, 3600).withColumn("value", F.round("value", 6))
+    return mt.align_mean(points, _SERIES, 3600).withColumn("value", F.round("value", 10))
 
 
 def _counter(spark, sf):
@@ -261,8 +261,8 @@ def align_delta(spark, sf):
 
 @query(f"""{_P}, a AS (SELECT resource, {_period(3600)} AS period, avg(gauge) AS value FROM points GROUP BY ALL),
 o AS (SELECT *, period / 3600 - row_number() OVER (PARTITION BY resource ORDER BY period) AS run FROM a WHERE value > 45)
-SELECT resource, min(period) AS first_period, max(period) AS last_period, count(*) AS periods, round(max(value), 6) AS peak FROM o GROUP BY resource, run HAVING count(*) >= 2""")
+SELECT resource, min(period) AS first_period, max(period) AS last_period, count(*) AS periods, round(max(value), 10) AS peak FROM o GROUP BY resource, run HAVING count(*) >= 2""")
 def sustained_alert(spark, sf):
     points = v.infra_points(spark, sf).withColumn("value", F.col("gauge"))
     found = mt.sustained_alert(mt.align_mean(points, _SERIES, 3600), _SERIES, 45.0, 3600, 2)
-    return found.withColumn("peak", F.round("peak", 6))
+    return found.withColumn("peak", F.round("peak", 10))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import times
 from ..schemas import ENRICHED_SCHEMA
 
 
@@ -14,3 +15,8 @@ def scan_lake(spark: SparkSession, root: str) -> DataFrame:
     """
     df = spark.read.schema(ENRICHED_SCHEMA).parquet(root)
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENRICHED_SCHEMA.fields])
+
+
+def with_event_time(stored: DataFrame) -> DataFrame:
+    """Adds ``event_time``, read back from the rendered ``timestamp``."""
+    return stored.withColumn("event_time", times.parse_iso(F.col("timestamp"), accept_offset=True))

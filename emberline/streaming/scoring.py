@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import times
 from ..operators.scoring import Inputs, score_runs
 from ..schemas import ENRICHED_SCHEMA
 from ..sinks import topics as sink
 from ..sources import topics
+from ..sources.lake import with_event_time
 from .windows import RECORD, stream_runs
 
 
 def processed_rows(messages: DataFrame) -> DataFrame:
     """Enriched rows from processed messages, with their event time back as a timestamp."""
-    rows = topics.decode(messages, ENRICHED_SCHEMA).drop("_keys")
-    return rows.withColumn("event_time", times.parse_iso(F.col("timestamp"), accept_offset=True))
+    return with_event_time(topics.decode(messages, ENRICHED_SCHEMA).drop("_keys"))
 
 
 def score_stream(enriched: DataFrame, position: str, inputs: Inputs, model, threshold: float, computed_at: str,
