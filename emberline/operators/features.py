@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text
+from ..shared import Shared
 
 # --- Fixed values: category order, sizes, seed and scale of the embedding table. ---
 SOURCES = ["linux", "ssh", "hadoop", "spark", "supercomputer", "hdfs"]
@@ -120,7 +120,7 @@ def collect_encoder(vocabulary: DataFrame, table: np.ndarray | None = None) -> E
 
 def message_embedding(spark, encoder: Encoder):
     """Arrow function: message -> 64 floats. Tokens are cut on the JVM side."""
-    shared = spark.sparkContext.broadcast(encoder)
+    shared = Shared(spark.sparkContext, encoder)
 
     @F.arrow_udf("array<float>")
     def embed(token_lists: pa.Array) -> pa.Array:
@@ -166,32 +166,35 @@ def fit_plain_scaler(enriched: DataFrame) -> DataFrame:
     return out.select("dim", "mean", F.when(F.col("deviation") == 0, F.lit(1.0)).otherwise(F.col("deviation")).alias("scale"))
 
 
-def fit_scaler(vectors: DataFrame, name: str = "vector") -> DataFrame:
-    """``dim``, ``mean``, ``scale`` of every vector value.
-
-    Each task reduces its rows to counts, means and squared deviations per value;
-    those partial rows (77 per task) are merged exactly.
-    """
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, mean, m2 = 0, None, None
-        for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch[name].to_numpy()).astype(np.float64)
-            k, mu = len(x), x.mean(axis=0)
-            dev = ((x - mu) ** 2).sum(axis=0)
-            if n == 0:
-                n, mean, m2 = k, mu, dev
-            else:
-                step = mu - mean
-                m2 = m2 + dev + step**2 * n * k / (n + k)
-                mean = mean + step * k / (n + k)
-                n += k
-        if n:
-            yield pd.DataFrame({"dim": np.arange(len(mean), dtype=np.int32), "n": n, "mean": mean, "m2": m2})
-
-    parts = vectors.select(name).mapInPandas(partial, "dim int, n bigint, mean double, m2 double")
+_MOMENTS = "dim int, n bigint, mean double, m2 double"
+
+
+def _moments(chunks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Count, mean and squared deviation per value over all chunks of a task, one row per value."""
+    n, mean, m2 = 0, None, None
+    for chunk in chunks:
+        k = len(chunk)
+        if k == 0:
+            continue
+        x = chunk.astype(np.float64)
+        mu = x.mean(axis=0)
+        dev = ((x - mu) ** 2).sum(axis=0)
+        if n == 0:
+            n, mean, m2 = k, mu, dev
+        else:
+            step = mu - mean
+            m2 = m2 + dev + step**2 * n * k / (n + k)
+            mean = mean + step * k / (n + k)
+            n += k
+    if n:
+        dims = len(mean)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(dims, dtype=np.int32)), pa.array([n] * dims, pa.int64()), pa.array(mean), pa.array(m2)],
+            names=["dim", "n", "mean", "m2"])
+
+
+def _merge_moments(parts: DataFrame) -> DataFrame:
+    """``dim``, ``mean``, ``scale`` (population deviation, 1 where it is 0) from one row per task and value."""
     means = parts.groupBy("dim").agg(
         F.sum("n").alias("n"),
         (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"),
@@ -203,6 +206,27 @@ def fit_scaler(vectors: DataFrame, name: str = "vector") -> DataFrame:
     return means.select("dim", "mean", F.when(deviation == 0, F.lit(1.0)).otherwise(deviation).alias("scale"))
 
 
+def fit_scaler(vectors: DataFrame, name: str = "vector") -> DataFrame:
+    """``dim``, ``mean``, ``scale`` of every value of a vector column, merged from one partial result per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _moments(
+            b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in batches if b.num_rows)
+
+    return _merge_moments(vectors.select(name).mapInArrow(run, _MOMENTS))
+
+
+def fit_log_scaler(enriched: DataFrame, encoder: Encoder) -> DataFrame:
+    """The same for the log vectors of the normal rows, without ever storing the vectors."""
+    shared = Shared(enriched.sparkSession.sparkContext, encoder)
+    normal = enriched.where(~F.col("is_anomaly_candidate"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _moments(vectors_of(pa.Table.from_batches([b]), shared.value, None) for b in batches if b.num_rows)
+
+    return _merge_moments(with_vector_inputs(normal).select("_tokens", "_plain").mapInArrow(run, _MOMENTS))
+
+
 @dataclass
 class Scaler:
     mean: np.ndarray

@@ -19,6 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialised
+from ..shared import Shared
 from .features import N_FEATURES
 from .scoring import Inputs, vector_windows, window_source
 from .windows import HOT_ROWS
@@ -250,7 +251,7 @@ class History:
 
 def _epoch(source: DataFrame, inputs: Inputs, shape: Shape, state: Adam, rate: float, seed: int) -> tuple[Adam, float]:
     """One pass of every task over its windows, then the weighted mean of their results."""
-    shared = source.sparkSession.sparkContext.broadcast((inputs, shape, state.packed()))
+    shared = Shared(source.sparkSession.sparkContext, (inputs, shape, state.packed()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, net, start = shared.value
@@ -286,7 +287,7 @@ def _epoch(source: DataFrame, inputs: Inputs, shape: Shape, state: Adam, rate: f
 
 def mean_error(source: DataFrame, inputs: Inputs, model: LstmModel) -> float:
     """Mean score of normal validation windows."""
-    shared = source.sparkSession.sparkContext.broadcast((inputs, model))
+    shared = Shared(source.sparkSession.sparkContext, (inputs, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, net = shared.value

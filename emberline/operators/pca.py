@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import Shared
 from .scoring import Inputs, vector_windows, window_source
 from .windows import HOT_ROWS
 
@@ -36,7 +37,7 @@ class PcaModel:
 
 def product_sums(enriched: DataFrame, inputs: Inputs, order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Per value ``i`` of the flattened window: n, sum, and row ``i`` of the product matrix (training windows)."""
-    shared = enriched.sparkSession.sparkContext.broadcast(inputs)
+    shared = Shared(enriched.sparkSession.sparkContext, inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, product = 0, None, None

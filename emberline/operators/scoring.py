@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..shared import Shared
 from .features import Encoder, Scaler, vectors_of, with_vector_inputs
 from .windows import HOT_ROWS, KEYS, SEQ_LEN, full_windows, sorted_blocks
 
@@ -65,7 +66,7 @@ def score_windows(enriched: DataFrame, inputs: Inputs, model, order: list[str],
     """
     keys = list(inputs.keys)
     shown = list(dict.fromkeys([*keys, *order]))
-    shared = enriched.sparkSession.sparkContext.broadcast((inputs, model))
+    shared = Shared(enriched.sparkSession.sparkContext, (inputs, model))
     schema = T.StructType(
         [T.StructField(c, enriched.schema[c].dataType) for c in shown]
         + [T.StructField("label", T.BooleanType()), T.StructField("in_validation", T.BooleanType()),
@@ -98,7 +99,7 @@ def score_runs(runs: DataFrame, inputs: Inputs, model, threshold: float, shown:
     Gives ``shown`` of the last row, ``label``, ``score`` and ``sequence``; records
     are gathered for the hits only.
     """
-    shared = runs.sparkSession.sparkContext.broadcast((inputs, model))
+    shared = Shared(runs.sparkSession.sparkContext, (inputs, model))
     fields = {f.name: f.dataType for f in runs.schema.fields}
     schema = T.StructType(
         [T.StructField(c, fields[c]) for c in shown]

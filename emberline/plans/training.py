@@ -14,8 +14,7 @@ from ..session import materialised
 def prepare_inputs(enriched: DataFrame) -> scoring.Inputs:
     """Vocabulary of all messages, seeded embeddings, scaler of the normal rows."""
     encoder = ft.collect_encoder(ft.build_vocabulary(enriched))
-    normal = ft.log_vectors(enriched.where(~F.col("is_anomaly_candidate")), encoder)
-    return scoring.Inputs(encoder, ft.collect_scaler(ft.fit_scaler(normal)))
+    return scoring.Inputs(encoder, ft.collect_scaler(ft.fit_log_scaler(enriched, encoder)))
 
 
 @dataclass

@@ -8,13 +8,19 @@ from ..functions import times
 from ..schemas import ENRICHED_SCHEMA
 
 
-def scan_lake(spark: SparkSession, root: str) -> DataFrame:
+POSITION = ["file", "row_index"]
+
+
+def scan_lake(spark: SparkSession, root: str, positions: bool = False) -> DataFrame:
     """The whole lake in its fixed schema; filters on partition columns prune folders.
 
     Month and day folders are zero-padded text; the declared integer types read them.
+    ``positions`` adds the file and row number of each row: a tie-break that is
+    unique and the same on every read.
     """
     df = spark.read.schema(ENRICHED_SCHEMA).parquet(root)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENRICHED_SCHEMA.fields])
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index")] if positions else []
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENRICHED_SCHEMA.fields], *place)
 
 
 def with_event_time(stored: DataFrame) -> DataFrame:

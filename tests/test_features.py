@@ -1,18 +1,23 @@
 """Features, percentile and reports against plain numpy."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from emberline.functions import text
 from emberline.operators import evaluate as ev, features as ft
 from emberline.operators.quantiles import exact_percentile
+from emberline.plans import views as v
 
 SAMPLE = "Invalid user webmaster from 173.234.31.186"
 
@@ -101,6 +106,24 @@ def test_scaler(spark):
     np.testing.assert_allclose(scaled, np.array(sorted(scaler.apply(x).tolist())), atol=1e-5)
 
 
+def test_log_scaler_equals_scaler_of_stored_vectors(spark, sf):
+    rows = v.enriched(spark, sf)
+    encoder = ft.collect_encoder(ft.build_vocabulary(rows))
+    fast = ft.collect_scaler(ft.fit_log_scaler(rows, encoder))
+    slow = ft.collect_scaler(ft.fit_scaler(ft.log_vectors(rows.where(~F.col("is_anomaly_candidate")), encoder)))
+    np.testing.assert_allclose(fast.mean, slow.mean, atol=1e-9)
+    np.testing.assert_allclose(fast.scale, slow.scale, rtol=1e-6)
+
+
+def test_shared_objects_need_no_installed_package(tmp_path, spark):
+    """A task process that has never seen the package unpacks and uses them."""
+    encoder = ft.Encoder(["a"], ft.embedding_table(1, 4))
+    (tmp_path / "x").write_bytes(cloudpickle.dumps(encoder))
+    code = "import pickle, pyarrow as pa; e = pickle.load(open('x', 'rb')); print(e.embed(pa.array([['a'], []])).shape)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.stdout.strip() == "(2, 4)", done.stderr
+
+
 def test_percentile_rule(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 10.0)], "score double")
     r = ev.fit_threshold(df).first()

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from emberline.operators import features as ft, lstm, pca, scoring
 from emberline.plans import training, views as v
+from emberline.operators.windows import window_labels
 from emberline.sinks import artefacts
+from emberline.sinks.lake import write_lake
+from emberline.sources.lake import POSITION, scan_lake, with_event_time
 
 TINY = lstm.Shape(5, 4, 3)
 
@@ -156,3 +159,14 @@ def test_fit_evaluate_save_and_load(spark, rows, tmp_path, kind, options):
     joined = again.join(fitted.scored.select("event_id", F.col("score").alias("old")), "event_id")
     assert joined.count() == fitted.scored.count()
     assert joined.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] < 1e-9
+
+
+def test_fit_from_the_lake(spark, rows, tmp_path):
+    """Stored rows with their file positions as tie-break give the windows of the table."""
+    write_lake(rows, str(tmp_path / "lake"))
+    stored = with_event_time(scan_lake(spark, str(tmp_path / "lake"), positions=True))
+    order = ["event_time", *POSITION]
+    assert stored.select(*POSITION).distinct().count() == rows.count()
+    fitted = training.fit(stored, order, v.BATCH_ISO)
+    assert fitted.scored.count() == window_labels(rows, v.ORDER).count()
+    assert stored.where("event_time is null").count() == 0
