@@ -159,9 +159,9 @@ def risk_score(board: DataFrame, recent: int = RISK_ROWS) -> DataFrame:
     """70 x anomaly rate plus 12 x mean ratio of the newest rows, at most 100."""
     rate = board.agg(F.coalesce(F.avg(is_anomaly().cast("double")), F.lit(0.0)).alias("rate"))
     newest = board.orderBy(F.desc("arrival")).limit(recent)
-    ratio = newest.agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("mean_ratio"))
+    ratio = newest.agg(F.coalesce(F.avg("ratio"), F.lit(0.0)))
     value = F.least(F.lit(100.0), F.round(F.col("rate") * 70 + F.col("mean_ratio") * 12, 1))
-    return rate.crossJoin(F.broadcast(ratio)).select(value.alias("risk")).withColumn(
+    return rate.withColumn("mean_ratio", ratio.scalar()).select(value.alias("risk")).withColumn(
         "colour", _colour(F.col("risk"), 35, 70, strict=False))
 
 

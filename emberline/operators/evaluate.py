@@ -80,8 +80,8 @@ def classification_report(predicted: DataFrame) -> DataFrame:
 def score_histogram(scored: DataFrame, threshold: float, edges: int = HISTOGRAM_EDGES, score: str = "score") -> DataFrame:
     """Density per label over equal bins of [0, min(max, 3 x threshold)]; scores beyond are left out."""
     bins = edges - 1
-    limit = scored.agg(F.least(F.max(score), F.lit(3.0 * threshold)).alias("_limit"))
-    inside = scored.crossJoin(F.broadcast(limit)).where((F.col(score) >= 0) & (F.col(score) <= F.col("_limit")))
+    limit = scored.agg(F.least(F.max(score), F.lit(3.0 * threshold)))
+    inside = scored.withColumn("_limit", limit.scalar()).where((F.col(score) >= 0) & (F.col(score) <= F.col("_limit")))
     width = F.col("_limit") / bins
     bin_of = F.least(F.floor(F.col(score) / width), F.lit(bins - 1).cast("bigint"))
     counted = inside.groupBy("label", bin_of.alias("bin"), width.alias("width")).agg(F.count("*").alias("n"))

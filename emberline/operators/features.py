@@ -244,9 +244,8 @@ def collect_scaler(fitted: DataFrame) -> Scaler:
 
 def scale_columns(df: DataFrame, fitted: DataFrame, dims: list[str]) -> DataFrame:
     """Scales named columns by the fitted rows of the same positions."""
-    packed = fitted.agg(F.map_from_entries(F.collect_list(F.struct("dim", F.struct("mean", "scale")))).alias("_fit"))
-    joined = df.crossJoin(F.broadcast(packed))
-    return joined.withColumns({
+    packed = fitted.agg(F.map_from_entries(F.collect_list(F.struct("dim", F.struct("mean", "scale")))))
+    return df.withColumn("_fit", packed.scalar()).withColumns({
         c: (F.col(c).cast("double") - F.col("_fit")[i]["mean"]) / F.col("_fit")[i]["scale"] for i, c in enumerate(dims)
     }).drop("_fit")
 

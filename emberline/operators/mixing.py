@@ -22,7 +22,7 @@ def round_robin(df: DataFrame, order: list[str], position: str, source: str = "s
     the sources, so no global sort is needed: earlier turns took
     ``min(count, turn - 1)`` rows of every source, and this turn took one row of
     each earlier source that still had some. ``order`` lists the sources, which
-    bounds the broadcast side.
+    bounds the counts that every row looks at.
     """
     places = F.create_map(*[x for i, name in enumerate(order) for x in (F.lit(name), F.lit(i))])
     known = df.where(F.col(source).isin(order))
@@ -36,7 +36,7 @@ def round_robin(df: DataFrame, order: list[str], position: str, source: str = "s
     )
     same_turn = F.size(F.filter("_sizes", lambda s: (s["place"] < F.col("_place")) & (s["n"] >= F.col("turn"))))
     return (
-        ranked.withColumn("_place", places[F.col(source)]).crossJoin(F.broadcast(counts))
+        ranked.withColumns({"_place": places[F.col(source)], "_sizes": counts.scalar()})
         .withColumn("slot", earlier + same_turn).drop("_place", "_sizes")
     )
 

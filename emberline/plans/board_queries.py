@@ -137,8 +137,7 @@ _CAPPED = f"(SELECT * FROM board ORDER BY arrival DESC LIMIT {bd.MAX_ROWS})"
 def board_kpis_newest(spark, sf):
     """The KPIs of the rows the board keeps, beside the count of all messages received."""
     rows = v.board(spark, sf)
-    received = rows.agg(F.count("*").alias("received"))
-    return _rounded(bd.board_kpis(bd.newest_n(rows))).crossJoin(F.broadcast(received))
+    return _rounded(bd.board_kpis(bd.newest_n(rows))).withColumn("received", rows.agg(F.count("*")).scalar())
 
 
 @query(f"{_B} SELECT status, count(*) AS n FROM board GROUP BY status")

@@ -289,8 +289,8 @@ SELECT count(*) AS records, count(*) FILTER (WHERE is_anomaly_candidate) AS anom
   round(100.0 * count(*) FILTER (WHERE is_anomaly_candidate) / count(*), 6) AS anomaly_pct, any_value(total) - count(*) AS dropped FROM enriched, t""")
 def batch_counters(spark, sf):
     counters = en.batch_counters(v.enriched(spark, sf)).withColumn("anomaly_pct", F.round("anomaly_pct", 6))
-    received = v.events(spark, sf).agg(F.count("*").alias("_n"))
-    return counters.crossJoin(F.broadcast(received)).withColumn("dropped", F.col("_n") - F.col("records")).drop("_n")
+    received = v.events(spark, sf).agg(F.count("*"))
+    return counters.withColumn("dropped", received.scalar() - F.col("records"))
 
 
 @query(f"""WITH {v.SQL_ENRICHED}, f AS (SELECT event_id // 500 AS batch_id, count(*) AS records, count(*) FILTER (WHERE is_anomaly_candidate) AS anomalies,

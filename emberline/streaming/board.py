@@ -63,16 +63,13 @@ def update_board(rows: DataFrame, batch_id: int, table: str, n: int = bd.MAX_ROW
     spark = rows.sparkSession
     before = latest_version(spark, table, batch_id)
     rows = rows.persist()
-    received = rows.agg(F.count("*").alias("_new"))
-    if before is None:
-        merged, total = rows, received.select(F.col("_new").alias("received"))
-    else:
+    merged, total = rows, rows.agg(F.count("*")).scalar()
+    if before is not None:
         old = spark.read.parquet(f"{table}/version={before}")
         merged = old.drop("received").unionByName(rows)
-        total = old.agg(F.coalesce(F.max("received"), F.lit(0)).alias("_old")).crossJoin(received).select(
-            (F.col("_old") + F.col("_new")).alias("received"))
+        total = total + old.agg(F.coalesce(F.max("received"), F.lit(0))).scalar()
     newest = merged.orderBy(F.desc("arrival")).limit(n)
-    newest.crossJoin(F.broadcast(total)).coalesce(1).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+    newest.withColumn("received", total).coalesce(1).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
     rows.unpersist()
 
 

@@ -55,8 +55,10 @@ def process_batch(messages: DataFrame, batch_id: int, targets: EtlTargets, clock
         sink.write_messages(published, targets.anomalies, targets.kafka, batch_id)
         bad = topics.quarantine(messages).select("value", "reason")
         bad.write.mode("overwrite").json(f"{targets.quarantine}/batch_id={batch_id}")
-        counters = batch_counters(rows).crossJoin(messages.agg(F.count("*").alias("received"))).crossJoin(
-            rows.select(*LAKE_PARTITIONS).distinct().agg(F.count("*").alias("files")))
+        counters = batch_counters(rows).withColumns({
+            "received": messages.agg(F.count("*")).scalar(),
+            "files": rows.select(*LAKE_PARTITIONS).distinct().agg(F.count("*")).scalar(),
+        })
         counters.write.mode("overwrite").json(f"{targets.counters}/counts/batch_id={batch_id}")
     finally:
         rows.unpersist()

@@ -5,7 +5,6 @@ import os
 import re
 import subprocess
 import sys
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
