@@ -26,9 +26,12 @@ RISK_HIGH, RISK_MEDIUM, RISK_LOW = "ÉLEVÉ", "MOYEN", "FAIBLE"
 # --- End of fixed values. ---
 
 
-def message_text(width: int = display.MESSAGE_WIDTH) -> Column:
+def message_text(width: int = display.MESSAGE_WIDTH, otherwise: Column | None = None) -> Column:
+    """Message of the last record, or ``otherwise`` where there is no sequence."""
     last = F.try_element_at("sequence", F.lit(-1))["message"]
-    return F.substring(F.coalesce(last, F.lit("")), 1, width)
+    spare = F.lit(None).cast("string") if otherwise is None else otherwise
+    shown = F.when(F.coalesce(F.size("sequence"), F.lit(0)) > 0, last).otherwise(spare)
+    return F.substring(F.coalesce(shown, F.lit("")), 1, width)
 
 
 def board_rows(anomalies: DataFrame, alert_ratio: float = DEFAULT_ALERT_RATIO, compact: bool = False) -> DataFrame:
@@ -39,6 +42,7 @@ def board_rows(anomalies: DataFrame, alert_ratio: float = DEFAULT_ALERT_RATIO, c
     """
     width = display.COMPACT_MESSAGE_WIDTH if compact else display.MESSAGE_WIDTH
     rows = anomalies.where(F.size("sequence") > 0) if compact else anomalies
+    spare = F.col("message") if "message" in rows.columns and not compact else None
     score = display.safe_float(F.col("anomaly_score"))
     ratio = display.safe_float(F.col("severity_ratio"))
     limit = display.safe_float(F.col("threshold"), 0.0 if compact else alert_ratio)
@@ -48,7 +52,7 @@ def board_rows(anomalies: DataFrame, alert_ratio: float = DEFAULT_ALERT_RATIO, c
         display.clock(F.col("detected_at")).alias("timestamp"),
         F.coalesce("source", F.lit("unknown")).alias("source"),
         F.coalesce("host", F.lit("unknown")).alias("host"),
-        message_text(width).alias("message"),
+        message_text(width, spare).alias("message"),
         score.alias("score"), ratio.alias("ratio"), limit.alias("threshold"),
         F.format_string("%.2f", score).alias("score_text"),
         F.format_string("%.2fx", ratio).alias("ratio_text"),

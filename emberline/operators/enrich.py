@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions import levels, times
 from ..schemas import ENTRY_FIELDS
@@ -73,8 +73,8 @@ def batch_counters(enriched: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def observe_counters(enriched: DataFrame, name: str = "etl") -> DataFrame:
-    """The same counters as metrics of the running query, without another pass (see ``Observation`` and listeners)."""
+def observe_counters(enriched: DataFrame, name: str | Observation = "etl") -> DataFrame:
+    """The same counters as metrics of the running query, without another pass: for an observation or a listener."""
     return enriched.observe(
         name, F.count(F.lit(1)).alias("records"), F.count_if(F.col("is_anomaly_candidate")).alias("anomalies"))
 

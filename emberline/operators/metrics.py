@@ -47,6 +47,18 @@ def align_rate(points: DataFrame, series: list[str], order: list[str], seconds:
     return align_delta(points, series, order, seconds, hot_rows).withColumn("value", F.col("value") / seconds)
 
 
+def disk_pressure(points: DataFrame, series: list[str], limit: float = DISK_LIMIT_BYTES, seconds: int = MEAN_SECONDS,
+                  duration: int = DISK_DURATION_SECONDS) -> DataFrame:
+    """Stretches in which the mean used bytes stay above the limit for the whole duration."""
+    return sustained_alert(align_mean(points, series, seconds), series, limit, seconds, -(-duration // seconds))
+
+
+def restart_alert(points: DataFrame, series: list[str], order: list[str], limit: float = RESTART_LIMIT,
+                  seconds: int = DELTA_SECONDS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Periods in which a restart counter grew by more than the limit, adjacent ones joined."""
+    return sustained_alert(align_delta(points, series, order, seconds, hot_rows), series, limit, seconds)
+
+
 def sustained_alert(aligned: DataFrame, series: list[str], threshold: float, seconds: int,
                     min_periods: int = 1) -> DataFrame:
     """Stretches of at least ``min_periods`` adjacent periods above ``threshold``.

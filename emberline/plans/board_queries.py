@@ -265,3 +265,21 @@ def sustained_alert(spark, sf):
     points = v.infra_points(spark, sf).withColumn("value", F.col("gauge"))
     found = mt.sustained_alert(mt.align_mean(points, _SERIES, 3600), _SERIES, 45.0, 3600, 2)
     return found.withColumn("peak", F.round("peak", 10))
+
+
+_RUNS = """o AS (SELECT *, period / {seconds} - row_number() OVER (PARTITION BY resource ORDER BY period) AS run FROM a WHERE value > {limit})
+SELECT resource, min(period) AS first_period, max(period) AS last_period, count(*) AS periods, {peak} AS peak FROM o GROUP BY resource, run HAVING count(*) >= {least}"""
+
+
+@query(f"""{_P}, a AS (SELECT resource, {_period(3600)} AS period, avg(gauge * 200000000) AS value FROM points GROUP BY ALL),
+{_RUNS.format(seconds=3600, limit=mt.DISK_LIMIT_BYTES, peak="round(max(value), 2)", least=2)}""")
+def disk_pressure(spark, sf):
+    """Mean bytes per hour above the disk limit for two hours."""
+    points = v.infra_points(spark, sf).withColumn("value", F.col("gauge") * 200_000_000)
+    return mt.disk_pressure(points, _SERIES, seconds=3600, duration=7200).withColumn("peak", F.round("peak", 2))
+
+
+@query(f"""{_STEPS}, a AS (SELECT resource, {_period(300)} AS period, sum(d) AS value FROM steps GROUP BY ALL),
+{_RUNS.format(seconds=300, limit=mt.RESTART_LIMIT, peak="max(value)", least=1)}""")
+def restart_alert(spark, sf):
+    return mt.restart_alert(_counter(spark, sf), _SERIES, ["ts", "event_id"])

@@ -36,6 +36,12 @@ ANOMALY_SCHEMA = T.StructType([
     T.StructField("model_version", T.StringType()),
 ])
 
+# The same message as a board reads it: numbers may come as text, a message may stand in for the sequence.
+ANOMALY_TEXT_SCHEMA = T.StructType(
+    [T.StructField(f.name, T.StringType() if f.dataType == T.DoubleType() else f.dataType) for f in ANOMALY_SCHEMA.fields]
+    + [T.StructField("message", T.StringType())]
+)
+
 FEEDBACK_SCHEMA = T.StructType([
     T.StructField(name, T.StringType())
     for name in ("timestamp", "feedback", "log_id", "source", "host", "message", "score_ia", "ratio", "statut")

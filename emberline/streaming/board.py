@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import board as bd
+from ..schemas import ANOMALY_TEXT_SCHEMA
+from ..sources import topics
 from ..sources.files import list_paths
 
 LATENESS = "10 minutes"
 
 
+def anomaly_rows(messages: DataFrame, arrival: Column | str = "offset") -> DataFrame:
+    """Anomaly messages of a topic with their order of arrival; what is no JSON object is skipped."""
+    numbered = messages.withColumn("arrival", (F.col(arrival) if isinstance(arrival, str) else arrival).cast("bigint"))
+    return topics.decode(numbered, ANOMALY_TEXT_SCHEMA).select("arrival", *ANOMALY_TEXT_SCHEMA.names)
+
+
 def with_event_time(anomalies: DataFrame) -> DataFrame:
     return anomalies.withColumn("detected_time", F.col("detected_at").try_cast("timestamp"))
 

@@ -1,9 +1,12 @@
 """Board rows and incident handling on hand-made messages."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from emberline.operators import board as bd
 from emberline.schemas import ANOMALY_SCHEMA
+from emberline.streaming import board as sb
 
 SCHEMA = "arrival bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ANOMALY_SCHEMA.fields)
 
@@ -99,3 +102,16 @@ def test_votes_count_once_per_row(spark):
     votes = votes.unionByName(votes).unionByName(votes.withColumn("feedback", F.lit("negative")))
     got = {r["source"]: (r["votes"], r["positive"]) for r in bd.feedback_by_source(board, votes).collect()}
     assert got == {"ssh": (3, 2), "linux": (3, 2)}
+
+
+def test_messages_are_read_leniently(spark):
+    texts = [
+        {"detected_at": "2024-01-01T00:00:00", "anomaly_score": "1.5", "severity_ratio": 3, "threshold": "abc", "message": "spare"},
+        {"sequence": [{"message": "one"}, {"message": "two"}], "message": "spare", "severity_ratio": None},
+        {"sequence": [{"level": "x"}], "message": "spare"}, "{broken", "[]",
+    ]
+    rows = [(i, t if isinstance(t, str) else json.dumps(t)) for i, t in enumerate(texts)]
+    board = bd.board_rows(sb.anomaly_rows(spark.createDataFrame(rows, "offset bigint, value string"))).orderBy("arrival").collect()
+    assert [r["message"] for r in board] == ["spare", "two", ""]
+    assert (board[0]["score"], board[0]["ratio"], board[0]["threshold"], board[0]["status"]) == (1.5, 3.0, 2.0, "ANOMALIE")
+    assert (board[1]["score"], board[1]["ratio"], board[1]["host"], board[1]["status"]) == (0.0, 0.0, "unknown", "NORMAL")

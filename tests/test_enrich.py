@@ -4,7 +4,7 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from emberline.operators import enrich as en, mixing
 from emberline.schemas import ENRICHED_FIELDS, ENTRY_FIELDS, FEEDBACK_SCHEMA, RAW_SCHEMA
@@ -135,3 +135,9 @@ def test_message_folder_round_trip(spark, tmp_path):
     sent = sink.raw_messages(spark.createDataFrame([tuple(BASE[c] for c in ENTRY_FIELDS)], RAW_SCHEMA))
     sink.write_messages(sent, str(tmp_path / "t"))
     assert topics.read_folder(spark, str(tmp_path / "t")).exceptAll(sent).count() == 0
+
+
+def test_observed_counters_need_no_second_pass(spark):
+    seen = Observation("etl")
+    en.observe_counters(transform(spark, BASE, {**BASE, "level": "ERROR"}), seen).collect()
+    assert seen.get == {"records": 2, "anomalies": 1}
