@@ -24,6 +24,7 @@ EMBED_SCALE = 0.1
 # --- End of fixed values. ---
 PLAIN_DIMS = len(SOURCES) + len(LEVELS) + 2
 N_FEATURES = PLAIN_DIMS + EMBED_DIM
+_GATHER = 8192
 
 
 def build_vocabulary(messages: DataFrame, message: str = "message", size: int = VOCAB_SIZE,
@@ -100,13 +101,14 @@ class Encoder:
         known = pc.index_in(flat, value_set=pa.array(self.tokens, flat.type))
         idx = pc.fill_null(pc.add(known, 1), 0).to_numpy(zero_copy_only=False)
         sizes = pc.fill_null(pc.list_value_length(token_lists), 0).to_numpy(zero_copy_only=False)
-        out = np.zeros((len(sizes), self.table.shape[1]), dtype=np.float32)
-        filled = np.flatnonzero(sizes)
-        if len(filled):
-            starts = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
-            sums = np.add.reduceat(self.table[idx].astype(np.float64), starts, axis=0)
-            out[filled] = sums / sizes[filled][:, None]
-        return out
+        message = np.repeat(np.arange(len(sizes)), sizes)
+        sums = np.zeros((len(sizes), self.table.shape[1]))
+        # Token rows are gathered a few thousand at a time: texts may be long, memory stays small.
+        for at in range(0, len(idx), _GATHER):
+            part = message[at: at + _GATHER]
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            sums[part[starts]] += np.add.reduceat(self.table[idx[at: at + _GATHER]], starts, axis=0, dtype=np.float64)
+        return (sums / np.maximum(sizes, 1)[:, None]).astype(np.float32)
 
 
 def collect_encoder(vocabulary: DataFrame, table: np.ndarray | None = None) -> Encoder:

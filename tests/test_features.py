@@ -79,6 +79,12 @@ def test_embedding_of_sliced_batches():
     np.testing.assert_allclose(encoder.embed(pa.chunked_array([whole.slice(3), whole.slice(0, 1)])), [[0, 0], [0, 1], [1, 0]])
 
 
+def test_embedding_of_texts_longer_than_a_gather_step():
+    encoder = ft.Encoder(["a", "b"], np.array([[0, 0], [1, 0], [0, 1]], np.float32))
+    lists = [["a"] * 20_000 + ["b"] * 5_000, [], ["b"], ["x"] * 9_000 + ["a"] * 1_000]
+    np.testing.assert_allclose(encoder.embed(pa.array(lists, pa.list_(pa.string()))), [[0.8, 0.2], [0, 0], [0, 1], [0.1, 0]], rtol=1e-6)
+
+
 def test_relational_twin(spark):
     words = ["a b c", "a a", "zz", "b a zz zz"]
     df = spark.createDataFrame(list(enumerate(words)), "i int, message string")
