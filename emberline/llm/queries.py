@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, suffixes
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,3 +20,15 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(coded, file).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query()
+def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a window of ten words of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = suffixes.mark(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = suffixes.hit_words()
+    return marked.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        "longest_match")
