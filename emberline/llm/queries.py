@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, suffixes
+from ..session import scratch_folder
+from . import bpe, suffixes, tokens_out
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -32,3 +33,11 @@ def op3_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         "longest_match")
+
+
+@query()
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as shard files and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = tokens_out.write(docs, public_tokenizers.path("word_bpe_49k.json"), scratch_folder(spark), end=1)
+    return tokens_out.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
