@@ -5,11 +5,4 @@ and of driver-side row collection, so the same function serves batch jobs and
 Structured Streaming micro-batches.
 """
 
-import sys
-
-from pyspark import cloudpickle
-
-# Ship the small numpy/Arrow kernels by value, so executors need no install.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 __version__ = "0.1.0"

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "emberline", master: str | None = None, shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
@@ -30,11 +36,26 @@ def build_session(app: str = "emberline", master: str | None = None, shuffle_par
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings that results depend on (log times are UTC)."""
+    """Pin the runtime settings that results depend on (log times are UTC), and give executors this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_code(spark.sparkContext)
     return spark
 
 
+def ship_code(sc: SparkContext) -> None:
+    """Add this package to the application's Python files once, so executors need no install.
+
+    The archive is served from the driver for as long as the driver runs; only code is in it.
+    """
+    if sc.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="emberline-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = os.path.dirname(os.path.abspath(__file__))
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "emberline"), "zip", os.path.dirname(package), "emberline"))
+    _shipped.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str:
     """The shared folder the cluster names; ``default`` only where it names none."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,9 +6,9 @@ from pyspark import SparkContext, cloudpickle
 
 
 class Shared:
-    """A broadcast that carries the code of its object along, so executors need no install.
+    """A broadcast that each task unpacks once.
 
-    For lookup data and models of fixed size. Each task unpacks it once.
+    For lookup data and models of fixed size.
     """
 
     def __init__(self, sc: SparkContext, value):
