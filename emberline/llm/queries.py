@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, suffixes, tokens_out
+from . import bpe, chunks, ranges, suffixes, tokens_out
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -41,3 +41,17 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = tokens_out.write(docs, public_tokenizers.path("word_bpe_49k.json"), scratch_folder(spark), end=1)
     return tokens_out.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they and the next document's are."""
+    paired = ranges.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n, moved = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - moved),
+                                                  F.substring("next_text", F.lit(1), moved)))
+    facts = edited.select("doc_id", n.cast("long").alias("n_chars"),
+                          F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
+    return chunks.compare(facts, "text", {"edited": ("edited_fingerprint", "contained_edited", "near_edited"),
+                                          "next_text": ("next_fingerprint", "contained_next", "near_next")}
+                          ).drop("next_fingerprint")

@@ -41,12 +41,12 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .batches import bounded
+from .ranges import NULL_ID, bounds_of
 
 MAGIC = b"EMTK0001"
 HEAD = struct.Struct("<8sI32s")
 ENTRY = np.dtype([("id", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("start", "<i8"), ("tokens", "<i8")])
 TAIL = struct.Struct("<qq")
-NULL_ID = -(1 << 63)
 
 #: Documents whose ids train the dictionary, and how many ids of each; this bounds the only sample taken.
 DICTIONARY_DOCUMENTS, DICTIONARY_TOKENS, DICTIONARY_BYTES = 1_000, 4_096, 32_768
@@ -196,17 +196,6 @@ class TokenFiles:
         return Shard(fs.open_input_file(path), self.dictionary)
 
 
-def bounds_of(docs: DataFrame, doc_id: str, shard_documents: int) -> list[int]:
-    """Ids at which shards after the first begin: one integer a shard is all the driver sees."""
-    n = docs.count()
-    shards = -(-n // shard_documents)
-    if shards < 2:
-        return []
-    cuts = [i / shards for i in range(1, shards)]
-    found = docs.select(F.percentile_approx(doc_id, cuts, max(10_000, 20 * shards)).alias("b")).first()["b"]
-    return sorted(set(found or []))
-
-
 def write(docs: DataFrame, file: str, folder: str, end: int, doc_id: str = "doc_id", text: str = "text",
           shard_documents: int = SHARD_DOCUMENTS) -> TokenFiles:
     """Encode, compress and write all documents; ``folder`` is on a file system that every node reaches."""
@@ -220,7 +209,7 @@ def write(docs: DataFrame, file: str, folder: str, end: int, doc_id: str = "doc_
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/dictionary") as out:
         out.write(dictionary)
-    bounds = np.array(bounds_of(docs, "id", shard_documents), dtype=np.int64)
+    bounds = bounds_of(docs, "id", shard_documents)
     shared = sc.broadcast((dictionary, bounds))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
