@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, ranges, suffixes, tokens_out
+from . import bpe, chunks, near, ranges, suffixes, tokens_out
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -55,3 +55,9 @@ def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.compare(facts, "text", {"edited": ("edited_fingerprint", "contained_edited", "near_edited"),
                                           "next_text": ("next_fingerprint", "contained_next", "near_next")}
                           ).drop("next_fingerprint")
+
+
+@query()
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents over sets of two-word shingles."""
+    return near.link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
