@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, near, ranges, suffixes, tokens_out
+from . import bpe, chunks, near, ranges, suffixes, tokens_out, urls
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -61,3 +61,54 @@ def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents over sets of two-word shingles."""
     return near.link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
+URL_RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"),
+             urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
+
+
+@query("""
+WITH RECURSIVE
+scripts AS (SELECT url, regexp_replace(html, '<!--.*?-->|<script\\b.*?</script>', ' ', 'gis') AS html FROM pages
+            WHERE regexp_matches(html, '(?i)canonical|refresh') AND instr(url, '://') > 0),
+raw AS (
+  SELECT url, replace(regexp_extract(regexp_extract(html, '<link\\b[^>]*?\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'is'),
+                      '\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'is'), '&amp;', '&') AS link FROM scripts
+  UNION ALL
+  SELECT url, replace(regexp_extract(regexp_extract(html, '<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'is'),
+                      '\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'is'), '&amp;', '&') FROM scripts),
+based AS (SELECT url, link, regexp_extract(url, '^(.*?)://', 1, 's') AS scheme,
+                 regexp_extract(url, '^.*?://([^/?#]*)', 1, 's') AS h,
+                 regexp_extract(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '^(.*/)', 1, 's') AS folder
+          FROM raw WHERE link <> ''),
+whole AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+            WHEN starts_with(link, '//') THEN scheme || ':' || link
+            WHEN starts_with(link, '/') THEN scheme || '://' || translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || link
+            ELSE scheme || '://' || translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+                 || CASE WHEN folder = '' THEN '/' ELSE folder END || link END AS target FROM based),
+every AS (SELECT url AS u FROM pages UNION SELECT target FROM whole),
+addressed AS (
+  SELECT u, h, p, CASE WHEN instr(u, '://') > 0 THEN
+      translate(regexp_extract(u, '^(.*?)://', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || h
+      || CASE WHEN p = '' THEN '/' ELSE p END || regexp_extract(u, '^[^?#]*(\\?[^#]*)', 1, 's') END AS address
+  FROM (SELECT u, coalesce(translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS h,
+               coalesce(regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS p FROM every)),
+ruled AS (
+  SELECT *, CASE WHEN (h = 'example.net' OR ends_with(h, '.example.net')) AND starts_with(p, '/en/') THEN 'example.net/en/'
+    WHEN (h = 'example.com' OR ends_with(h, '.example.com')) AND starts_with(p, '/de/') THEN 'example.com/de/'
+    WHEN (h = 'org' OR ends_with(h, '.org')) AND starts_with(p, '/fr/') THEN 'org/fr/'
+    WHEN (h = 'net' OR ends_with(h, '.net')) AND starts_with(p, '/') THEN 'net/' END AS rule FROM addressed),
+told AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM ruled),
+edges AS (SELECT DISTINCT a.address AS x, b.address AS y FROM whole w JOIN told a ON a.u = w.url JOIN told b ON b.u = w.target
+          WHERE a.address <> b.address),
+both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+reach AS (SELECT DISTINCT t.address AS node, t.own AS verdict FROM told t JOIN both_ways e ON e.x = t.address WHERE t.own IS NOT NULL
+          UNION SELECT e.y, r.verdict FROM reach r JOIN both_ways e ON e.x = r.node),
+passed AS (SELECT node, min(verdict) AS verdict FROM reach GROUP BY node)
+SELECT p.page_id, coalesce(t.h, '') AS host, coalesce(t.p, '') AS path, t.rule AS rule,
+       coalesce(t.own, a.verdict, 'allow') AS verdict, t.own IS NULL AND a.verdict IS NOT NULL AS by_alias
+FROM pages p LEFT JOIN told t ON t.u = p.url LEFT JOIN passed a ON a.node = t.address
+""")
+def op8_redirect_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page: its rule's, or what its aliases pass on."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
