@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, near, ranges, suffixes, tokens_out, urls
+from . import bpe, chunks, near, nbsvm, ranges, suffixes, tokens_out, urls
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -112,3 +112,22 @@ FROM pages p LEFT JOIN told t ON t.u = p.url LEFT JOIN passed a ON a.node = t.ad
 def op8_redirect_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page: its rule's, or what its aliases pass on."""
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+def held_out(doc_id: str, parts: int, part: int) -> Column:
+    """Whether the checksum of an id's text leaves this remainder; a null id is never held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == part, F.lit(False))
+
+
+#: Texts scored this high or higher are kept.
+QUALITY_THRESHOLD = 0.3
+
+
+@query()
+def op2_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    scored = nbsvm.score(docs, nbsvm.learn(docs, labels))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))

@@ -91,16 +91,22 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(column: pa.Array, kind: np.ndarray) -> Words:
-    """Words of each text after lower-casing A-Z; ``kind`` marks the bytes that words hold."""
+#: Runs of alphanumerics (of either case) and runs of other visible characters.
+RUNS = np.zeros(256, dtype=np.uint8)
+RUNS[NOT_SPACE] = 2
+RUNS[ALNUM] = RUNS[ord("A"):ord("Z") + 1] = 1
+
+
+def words(column: pa.Array, kind: np.ndarray, lower: bool = True) -> Words:
+    """Words of each text, after lower-casing A-Z if so told: the longest runs of bytes with one non-zero ``kind``."""
     data, offsets = utf8(column)
-    data = LOWER[data]
-    inside = kind[data]
+    data = LOWER[data] if lower else data
+    kinds = kind[data]
+    inside = kinds != 0
     n = len(data)
-    before = np.zeros(n, dtype=bool)
-    before[1:] = inside[:-1]
-    after = np.zeros(n, dtype=bool)
-    after[:-1] = inside[1:]
+    before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    before[1:] = kinds[1:] == kinds[:-1]
+    after[:-1] = before[1:]
     edge = offsets[:-1][offsets[:-1] < n]
     before[edge] = False
     after[edge[edge > 0] - 1] = False
