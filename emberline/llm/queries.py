@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, near, nbsvm, ranges, suffixes, tokens_out, urls
+from . import bpe, chunks, near, nbsvm, pii, ranges, suffixes, tokens_out, urls
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -131,3 +131,16 @@ def op2_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = nbsvm.score(docs, nbsvm.learn(docs, labels))
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
                          (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base matches, and what the random field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))

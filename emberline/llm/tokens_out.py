@@ -34,6 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,17 +54,23 @@ DICTIONARY_DOCUMENTS, DICTIONARY_TOKENS, DICTIONARY_BYTES = 1_000, 4_096, 32_768
 #: Documents of a shard, about; a shard of more frame bytes than the second figure is written in parts.
 SHARD_DOCUMENTS, SHARD_BYTES = 8_192, 64 << 20
 LEVEL = 3
-#: Distinct words a worker remembers.
-REMEMBERED = 200_000
+#: Distinct pieces a worker remembers, in each of two generations.
+REMEMBERED = 250_000
+
+# The tokenizer's pattern of pieces, and texts of tab, line ends, and printable Latin up to Extended-B but I with dot.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = "[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]*"
 
 _MANIFEST = T.StructType([T.StructField(n, t) for n, t in (
     ("file", T.StringType()), ("documents", T.LongType()), ("tokens", T.LongType()), ("bytes", T.LongType()))])
 
 
 class WordEncoder:
-    """Encodes by white-space separated words, which these tokenizers never merge across, remembering words met before.
+    """Encodes by pieces that the tokenizer's own rules keep apart, remembering pieces met before.
 
-    Only for tokenizers that drop white space; special tokens hold none, so they stay whole.
+    Texts of Latin letters are cut as the tokenizer cuts them after lower-casing, since there Python and the library
+    agree on case, classes and composed forms. All other texts are cut at ASCII white space only, which the
+    library drops and never merges across; special tokens hold none, so they stay whole.
     """
 
     def __init__(self, file: str):
@@ -71,18 +78,27 @@ class WordEncoder:
         self.library = Tokenizer.from_file(file)
         self.library.no_truncation()
         self.library.no_padding()
-        self.new: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.latin = regex.compile(LATIN).fullmatch
+        self.pieces = regex.compile(PIECES).findall
+        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
+                                     or "(?!)").search
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        if self.latin(text) and not ("<" in text and self.special(text)):
+            return self.pieces(text.lower())
+        return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
+        split = [self.cut(t) for t in texts]
         new, old = self.new, self.old
         missing = []
-        for word in {w for ws in split for w in ws}.difference(new):
-            if word in old:
-                new[word] = old[word]
+        for piece in set().union(*split).difference(new):
+            if piece in old:
+                new[piece] = old[piece]
             else:
-                missing.append(word)
+                missing.append(piece)
         for a in range(0, len(missing), 10_000):
             some = missing[a:a + 10_000]
             coded = self.library.encode_batch_fast(some, add_special_tokens=False)
