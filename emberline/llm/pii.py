@@ -430,7 +430,9 @@ def find(docs: DataFrame, model: SemiMarkov, text: str = "text", redacted: str |
         return run
 
     adds = [T.StructField("base_spans", SPANS), T.StructField("spans", SPANS)]
-    return with_columns(docs, [text], adds + [T.StructField(redacted, T.StringType())] * bool(redacted), start)
+    if redacted:
+        adds.append(T.StructField(redacted, T.StringType()))
+    return with_columns(docs, [text], adds, start)
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
