@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, near, nbsvm, pii, ranges, suffixes, tokens_out, urls
+from . import bpe, chunks, langid, near, nbsvm, pii, ranges, suffixes, tokens_out, urls
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -147,3 +147,10 @@ def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query()
+def op9_bayesian_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page from its text, declaration, address and host."""
+    known = langid.learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return langid.identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), known)
