@@ -42,6 +42,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .batches import bounded
+from .bpe import byte_alphabet
 from .ranges import NULL_ID, bounds_of
 
 MAGIC = b"EMTK0001"
@@ -82,25 +83,27 @@ class WordEncoder:
         self.pieces = regex.compile(PIECES).findall
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
                                      or "(?!)").search
+        self.signs = [sign for sign, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def cut(self, text: str) -> list[str]:
-        if self.latin(text) and not ("<" in text and self.special(text)):
-            return self.pieces(text.lower())
-        return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
+    def plain(self, text: str) -> bool:
+        return self.latin(text) is not None and not ("<" in text and self.special(text))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.cut(t) for t in texts]
-        new, old = self.new, self.old
-        missing = []
-        for piece in set().union(*split).difference(new):
-            if piece in old:
-                new[piece] = old[piece]
-            else:
-                missing.append(piece)
-        for a in range(0, len(missing), 10_000):
-            some = missing[a:a + 10_000]
+        plain = [self.plain(t) for t in texts]
+        split = [self.pieces(t.lower()) if p else
+                 t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t, p in zip(texts, plain)]
+        new, old, model, signs = self.new, self.old, self.library.model, self.signs
+        for piece in set().union(*(s for s, p in zip(split, plain) if p)).difference(new):
+            known = old.get(piece)
+            if known is None:  # lower-cased and cut already: only the merges are left to do
+                ids = [t.id for t in model.tokenize(piece if piece.isascii() else "".join([signs[b] for b in piece.encode()]))]
+                known = np.array(ids, dtype="<u4").tobytes()
+            new[piece] = known
+        words = list(set().union(*(s for s, p in zip(split, plain) if not p)).difference(new))
+        for a in range(0, len(words), 10_000):
+            some = words[a:a + 10_000]
             coded = self.library.encode_batch_fast(some, add_special_tokens=False)
             new.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(some, coded))
         out = [np.frombuffer(b"".join(map(new.__getitem__, ws)), dtype="<u4") for ws in split]
