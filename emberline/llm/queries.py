@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, langid, near, nbsvm, pii, ranges, suffixes, tokens_out, urls
+from . import bpe, chunks, hpylm, langid, near, nbsvm, pii, ranges, suffixes, tokens_out, urls
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -154,3 +154,12 @@ def op9_bayesian_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every page from its text, declaration, address and host."""
     known = langid.learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return langid.identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), known)
+
+
+@query()
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under a model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "text")
+    model, rare = hpylm.learn(docs.where(~F.col("held_out")))
+    return hpylm.score(docs, model, rare, ["doc_id", "held_out"]).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
