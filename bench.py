@@ -16,7 +16,7 @@ HEADLINE = [
     "parse_linux", "parse_bgl", "enrich_logs", "processed_messages", "lake_partitions", "round_robin", "running_totals",
     "build_vocabulary", "message_embedding", "log_vector", "sliding_windows", "window_labels", "fit_threshold",
     "classification_report", "ml_payload", "board_rows", "board_kpis", "dedup_anomalies", "new_incidents",
-    "search_board", "align_rate", "pca_scores", "lstm_scores",
+    "search_board", "align_rate", "pca_scores",
 ]
 
 

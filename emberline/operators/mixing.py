@@ -18,34 +18,32 @@ def round_robin(df: DataFrame, order: list[str], position: str, source: str = "s
     """Adds ``turn`` (rank in the source) and ``slot`` (0-based place in the interleaved order).
 
     One row of each source in turn, in the sequence of ``order``, passing over
-    sources that ran out. The place follows from the rank and the row counts of
-    the sources, so no global sort is needed: earlier turns took
+    sources that ran out; sources that ``order`` does not name follow by name, a
+    missing one as the empty name. The place follows from the rank and the row counts
+    of the sources, so no global sort is needed: earlier turns took
     ``min(count, turn - 1)`` rows of every source, and this turn took one row of
-    each earlier source that still had some. ``order`` lists the sources, which
-    bounds the counts that every row looks at.
+    each earlier source that still had some. The counts, one per source, are what
+    every row looks at.
     """
-    places = F.create_map(*[x for i, name in enumerate(order) for x in (F.lit(name), F.lit(i))])
-    known = df.where(F.col(source).isin(order))
-    ranked = row_ranks(known, position, [source], "turn", chunk)
+    name = F.coalesce(F.col(source), F.lit(""))
+    listed = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("_s")) if order else F.lit(0)
+    ranked = row_ranks(df, position, [source], "turn", chunk)
     counts = (
-        known.groupBy(F.col(source).alias("_s")).agg(F.count("*").alias("_n"))
-        .agg(F.collect_list(F.struct(places[F.col("_s")].alias("place"), F.col("_n").alias("n"))).alias("_sizes"))
+        df.groupBy(name.alias("_s")).agg(F.count("*").alias("n"))
+        .agg(F.array_sort(F.collect_list(F.struct(
+            F.when(listed > 0, listed).otherwise(len(order) + 1).alias("place"), F.col("_s").alias("name"), "n"))).alias("_sizes"))
     )
     earlier = F.aggregate(
         "_sizes", F.lit(0).cast("bigint"), lambda acc, s: acc + F.least(s["n"], F.col("turn") - 1)
     )
-    same_turn = F.size(F.filter("_sizes", lambda s: (s["place"] < F.col("_place")) & (s["n"] >= F.col("turn"))))
+    same_turn = F.size(F.filter("_sizes", lambda s, i: (i < F.col("_place") - 1) & (s["n"] >= F.col("turn"))))
     return (
-        ranked.withColumns({"_place": places[F.col(source)], "_sizes": counts.scalar()})
+        ranked.withColumn("_sizes", counts.scalar())
+        .withColumn("_place", F.array_position(F.transform("_sizes", lambda s: s["name"]), name))
         .withColumn("slot", earlier + same_turn).drop("_place", "_sizes")
     )
 
 
-def first_per_source(df: DataFrame, n: int, position: str, source: str = "source") -> DataFrame:
-    """The first ``n`` rows of every source."""
-    return row_ranks(df, position, [source], "turn").where(F.col("turn") <= n)
-
-
 def resume(mixed: DataFrame, offset: int, limit: int | None = None, slot: str = "slot") -> DataFrame:
     """Rows from ``offset`` on (at most ``limit``): a filter on the place, no sort."""
     out = mixed.where(F.col(slot) >= offset)

@@ -1,9 +1,11 @@
 """Exact percentile with linear interpolation, by counting instead of sorting.
 
-A positive double splits exactly into exponent and mantissa. Three passes count
-rows by exponent and 12 mantissa bits, by the next 20 bits, then by the last 20,
+A double splits exactly into sign, exponent and mantissa. Three passes count
+rows by sign, exponent and 12 mantissa bits, by the next 20 bits, then by the last 20,
 each pass looking only at the range that holds the wanted rank. A pass yields at
-most about a million groups, whatever the number of rows.
+most about 16 million groups over the full range of doubles (a few thousand
+for values of like size), whatever the number of rows; the first pass ranks its
+groups in one task.
 """
 
 from __future__ import annotations
@@ -11,27 +13,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _BITS = (12, 20, 20)
+_LEAST = 1080  # above the size of the least exponent of a double
 
 
 def _digits(x: Column) -> list[Column]:
-    """Order-preserving digits of a non-negative double: exponent and leading bits, then the rest."""
-    guess = F.floor(F.log2(x))
+    """Order-preserving digits of a double: sign, exponent and leading bits, then the rest."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
     two = F.lit(2.0)
     exponent = (
-        F.when(F.pow(two, guess) > x, guess - 1).when(F.pow(two, guess + 1) <= x, guess + 1).otherwise(guess)
+        F.when(F.pow(two, guess) > size, guess - 1).when(F.pow(two, guess + 1) <= size, guess + 1).otherwise(guess)
     )
-    rest = (x / F.pow(two, exponent) - 1) * F.lit(float(1 << _BITS[0]))
-    out = [exponent * F.lit(1 << _BITS[0]) + F.floor(rest)]
+    rest = (size / F.pow(two, exponent) - 1) * F.lit(float(1 << _BITS[0]))
+    out = [(exponent + _LEAST) * F.lit(1 << _BITS[0]) + F.floor(rest)]  # positive for every size
     for bits in _BITS[1:]:
         rest = (rest - F.floor(rest)) * F.lit(float(1 << bits))
         out.append(F.floor(rest))
-    zero = F.lit(-(1 << 40)).cast("bigint")
-    return [F.when(x > 0, d).otherwise(zero if i == 0 else F.lit(0).cast("bigint")) for i, d in enumerate(out)]
+    zero = F.lit(0).cast("bigint")
+    return [F.when(x > 0, d).when(x < 0, -d).otherwise(zero) for d in out]
 
 
 def exact_percentile(df: DataFrame, column: str, percentile: float, name: str = "threshold") -> DataFrame:
-    """One row: ``name`` and ``n_samples``. Values must be non-negative; nulls are ignored."""
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    """One row: ``name`` and ``n_samples``. Nulls are ignored; NaN and infinite values stop the job with a clear error."""
+    value = F.col(column).cast("double")
+    odd = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    refused = F.raise_error(F.concat(F.lit(f"exact_percentile: column {column} holds "), value.cast("string")))
+    values = df.select(F.when(odd, refused.cast("double")).otherwise(value).alias("v")).where(F.col("v").isNotNull())
     first, second, third = _digits(F.col("v"))
     digits = values.select("v", first.alias("d0"), second.alias("d1"), third.alias("d2"))
 

@@ -238,10 +238,10 @@ def _period(seconds: int) -> str:
 _STEPS = f"{_P}, steps AS (SELECT resource, ts, greatest(coalesce(counter - lag(counter) OVER (PARTITION BY resource ORDER BY ts, event_id), 0), 0) AS d FROM points)"
 
 
-@query(f"{_P} SELECT resource, {_period(3600)} AS period, round(avg(gauge), 10) AS value FROM points GROUP BY ALL")
+@query(f"{_P} SELECT resource, {_period(mt.MEAN_SECONDS)} AS period, round(avg(gauge), 10) AS value FROM points GROUP BY ALL")
 def align_mean(spark, sf):
     points = v.infra_points(spark, sf).withColumn("value", F.col("gauge"))
-    return mt.align_mean(points, _SERIES, 3600).withColumn("value", F.round("value", 10))
+    return mt.align_mean(points, _SERIES).withColumn("value", F.round("value", 10))
 
 
 def _counter(spark, sf):
@@ -258,12 +258,12 @@ def align_delta(spark, sf):
     return mt.align_delta(_counter(spark, sf), _SERIES, ["ts", "event_id"])
 
 
-@query(f"""{_P}, a AS (SELECT resource, {_period(3600)} AS period, avg(gauge) AS value FROM points GROUP BY ALL),
-o AS (SELECT *, period / 3600 - row_number() OVER (PARTITION BY resource ORDER BY period) AS run FROM a WHERE value > 45)
+@query(f"""{_P}, a AS (SELECT resource, {_period(mt.MEAN_SECONDS)} AS period, avg(gauge) AS value FROM points GROUP BY ALL),
+o AS (SELECT *, period / {mt.MEAN_SECONDS} - row_number() OVER (PARTITION BY resource ORDER BY period) AS run FROM a WHERE value > 45)
 SELECT resource, min(period) AS first_period, max(period) AS last_period, count(*) AS periods, round(max(value), 10) AS peak FROM o GROUP BY resource, run HAVING count(*) >= 2""")
 def sustained_alert(spark, sf):
     points = v.infra_points(spark, sf).withColumn("value", F.col("gauge"))
-    found = mt.sustained_alert(mt.align_mean(points, _SERIES, 3600), _SERIES, 45.0, 3600, 2)
+    found = mt.sustained_alert(mt.align_mean(points, _SERIES), _SERIES, 45.0, mt.MEAN_SECONDS, 2)
     return found.withColumn("peak", F.round("peak", 10))
 
 
@@ -271,12 +271,12 @@ _RUNS = """o AS (SELECT *, period / {seconds} - row_number() OVER (PARTITION BY
 SELECT resource, min(period) AS first_period, max(period) AS last_period, count(*) AS periods, {peak} AS peak FROM o GROUP BY resource, run HAVING count(*) >= {least}"""
 
 
-@query(f"""{_P}, a AS (SELECT resource, {_period(3600)} AS period, avg(gauge * 200000000) AS value FROM points GROUP BY ALL),
-{_RUNS.format(seconds=3600, limit=mt.DISK_LIMIT_BYTES, peak="round(max(value), 2)", least=2)}""")
+@query(f"""{_P}, a AS (SELECT resource, {_period(mt.MEAN_SECONDS)} AS period, avg(gauge * 200000000) AS value FROM points GROUP BY ALL),
+{_RUNS.format(seconds=mt.MEAN_SECONDS, limit=mt.DISK_LIMIT_BYTES, peak="round(max(value), 2)", least=2)}""")
 def disk_pressure(spark, sf):
-    """Mean bytes per hour above the disk limit for two hours."""
+    """Mean bytes per minute above the disk limit for two minutes."""
     points = v.infra_points(spark, sf).withColumn("value", F.col("gauge") * 200_000_000)
-    return mt.disk_pressure(points, _SERIES, seconds=3600, duration=7200).withColumn("peak", F.round("peak", 2))
+    return mt.disk_pressure(points, _SERIES).withColumn("peak", F.round("peak", 2))
 
 
 @query(f"""{_STEPS}, a AS (SELECT resource, {_period(300)} AS period, sum(d) AS value FROM steps GROUP BY ALL),

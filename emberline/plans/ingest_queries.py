@@ -318,8 +318,8 @@ def anomaly_rate_totals(spark, sf):
     return en.anomaly_rate(v.enriched(spark, sf), "source", "level", totals=True).withColumn("anomaly_rate", F.round("anomaly_rate", 9))
 
 
-_PLACE = "CASE source " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(v.SOURCE_ORDER)) + " END"
-_MIXED = f"""WITH {v.SQL_RAW}, t AS (SELECT event_id, source, row_number() OVER (PARTITION BY source ORDER BY event_id) AS turn FROM raw_logs WHERE source <> ''),
+_PLACE = "CASE source " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(v.SOURCE_ORDER)) + f" ELSE {len(v.SOURCE_ORDER)} END, source"
+_MIXED = f"""WITH {v.SQL_RAW}, t AS (SELECT event_id, source, row_number() OVER (PARTITION BY source ORDER BY event_id) AS turn FROM raw_logs),
 mixed AS (SELECT *, row_number() OVER (ORDER BY turn, {_PLACE}) - 1 AS slot FROM t)"""
 
 

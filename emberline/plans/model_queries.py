@@ -12,7 +12,6 @@ from . import training, views as v
 from .catalog import query
 
 _WIN = f"WITH {v.SQL_WINDOWS}"
-_SMALL_VOCAB = 50
 
 
 @query(f"{_WIN} SELECT source, host, first_id, event_id AS last_id, label FROM wins")
@@ -65,22 +64,22 @@ def build_vocabulary(spark, sf):
 @query(f"""WITH {v.SQL_ENRICHED}, w AS (SELECT event_id, unnest(regexp_extract_all(lower(message), '[a-z0-9]+')) AS token FROM enriched),
 c AS (SELECT token, count(*) AS n, min(event_id) AS first_id FROM w GROUP BY token),
 f AS (SELECT e.event_id, list_position(regexp_extract_all(lower(e.message), '[a-z0-9]+'), c.token) AS pos, c.token, c.n FROM c JOIN enriched e ON e.event_id = c.first_id)
-SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, event_id, pos) AS INTEGER) AS idx FROM f ORDER BY n DESC, event_id, pos LIMIT {_SMALL_VOCAB}""")
+SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, event_id, pos) AS INTEGER) AS idx FROM f ORDER BY n DESC, event_id, pos LIMIT {ft.VOCAB_SIZE}""")
 def build_vocabulary_first_seen(spark, sf):
-    return ft.build_vocabulary(v.enriched(spark, sf), size=_SMALL_VOCAB, order_by="event_id")
+    return ft.build_vocabulary(v.enriched(spark, sf), order_by="event_id")
 
 
-@query(f"""WITH {_WORDS}, {_vocab_sql(_SMALL_VOCAB)} SELECT w.doc_id, w.token, coalesce(v.idx, 0) AS idx, count(*) AS n
+@query(f"""WITH {_WORDS}, {_vocab_sql(ft.VOCAB_SIZE)} SELECT w.doc_id, w.token, coalesce(v.idx, 0) AS idx, count(*) AS n
 FROM words w LEFT JOIN vocab v ON w.token = v.token GROUP BY ALL""")
 def vocab_lookup(spark, sf):
-    vocabulary = ft.build_vocabulary(v.table(spark, sf, "documents"), "text", _SMALL_VOCAB)
+    vocabulary = ft.build_vocabulary(v.table(spark, sf, "documents"), "text")
     return ft.lookup(_words(spark, sf), vocabulary).groupBy("doc_id", "token", "idx").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_WORDS}, {_vocab_sql(_SMALL_VOCAB)} SELECT count(*) AS tokens, count(v.idx) AS known,
+@query(f"""WITH {_WORDS}, {_vocab_sql(ft.VOCAB_SIZE)} SELECT count(*) AS tokens, count(v.idx) AS known,
   round(avg(CASE WHEN v.idx IS NULL THEN 0.0 ELSE 1.0 END), 9) AS coverage FROM words w LEFT JOIN vocab v ON w.token = v.token""")
 def vocab_coverage(spark, sf):
-    vocabulary = ft.build_vocabulary(v.table(spark, sf, "documents"), "text", _SMALL_VOCAB)
+    vocabulary = ft.build_vocabulary(v.table(spark, sf, "documents"), "text")
     return ft.coverage(_words(spark, sf), vocabulary).withColumn("coverage", F.round("coverage", 9))
 
 
@@ -271,12 +270,6 @@ def pca_scores(spark, sf):
     return _fitted(spark, sf).scored
 
 
-@query()
-def lstm_scores(spark, sf):
-    """The same with the recurrent model, after two passes of training."""
-    return _fitted(spark, sf, "lstm", epochs=2).scored
-
-
 @query()
 def model_report(spark, sf):
     """Quality of the fitted linear model on all and on held-out windows."""

@@ -13,11 +13,14 @@ BATCH_ROWS = 500
 BATCH_SECONDS = 30
 # --- End of fixed values. ---
 
+#: What one micro-batch takes at most, from topics and from folders, unless the caller says otherwise.
+MAX_ROWS, MAX_FILES = 200_000, 64
+
 MESSAGE_SCHEMA = "key string, value string"
 
 
 def kafka_options(servers: str, topic: str, group: str | None = None, starting: str = "earliest",
-                  min_rows: int | None = None, max_rows: int | None = None,
+                  min_rows: int | None = None, max_rows: int | None = MAX_ROWS,
                   max_delay_seconds: int | None = None) -> dict[str, str]:
     """Options of a Kafka stream; offsets are committed by the query's checkpoint."""
     out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting}
@@ -52,19 +55,9 @@ def stream_kafka(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return df.select(F.col("key").cast("string"), F.col("value").cast("string"), "partition", "offset", "timestamp")
 
 
-def read_kafka(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """Batch read between the earliest and latest offsets."""
-    kept = {k: v for k, v in options.items() if k not in ("minOffsetsPerTrigger", "maxOffsetsPerTrigger", "maxTriggerDelay")}
-    df = spark.read.format("kafka").options(**{**kept, "endingOffsets": "latest"}).load()
-    return df.select(F.col("key").cast("string"), F.col("value").cast("string"), "partition", "offset", "timestamp")
-
-
-def stream_folder(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+def stream_folder(spark: SparkSession, path: str, files_per_batch: int = MAX_FILES) -> DataFrame:
     """Same columns as a topic, from a folder of JSON lines ``{"key":..,"value":..}``."""
-    reader = spark.readStream.schema(MESSAGE_SCHEMA)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return spark.readStream.schema(MESSAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,8 @@ from ..sources import topics
 from ..sources.lake import with_event_time
 from .windows import RECORD, stream_runs
 
+IDLE_MINUTES = 24 * 60
+
 
 def processed_rows(messages: DataFrame) -> DataFrame:
     """Enriched rows from processed messages, with their event time back as a timestamp."""
@@ -27,8 +29,10 @@ def score_stream(enriched: DataFrame, position: str, inputs: Inputs, model, thre
 
 
 def run_scoring(enriched: DataFrame, position: str, inputs: Inputs, model, threshold: float, computed_at: str, target: str,
-                checkpoint: str, trigger: dict | None = None, kafka: dict[str, str] | None = None) -> StreamingQuery:
-    payload = sink.anomaly_messages(score_stream(enriched, position, inputs, model, threshold, computed_at))
+                checkpoint: str, trigger: dict | None = None, kafka: dict[str, str] | None = None,
+                idle_minutes: int | None = IDLE_MINUTES) -> StreamingQuery:
+    """Keys silent for ``idle_minutes`` lose their kept rows, so state stays as large as what is active."""
+    payload = sink.anomaly_messages(score_stream(enriched, position, inputs, model, threshold, computed_at, idle_minutes))
     writer = payload.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "1 second"}))
     if kafka:

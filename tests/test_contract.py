@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as contract
 from compare import connect, difference
 
-SLOW_FITS = {"lstm_scores", "pca_scores", "model_report"}
+SLOW_FITS = {"pca_scores", "model_report"}
 
 
 @pytest.fixture(scope="module")

@@ -115,13 +115,12 @@ def test_batch_folder_is_overwritten_on_replay(spark, tmp_path):
 
 
 def test_round_robin_order_and_resume(spark):
-    rows = [("a", 1, "a1"), ("a", 5, "a2"), ("a", 9, "a3"), ("b", 2, "b1"), ("c", 3, "c1"), ("c", 4, "c2"), ("zz", 6, "no")]
+    rows = [("a", 1, "a1"), ("a", 5, "a2"), ("a", 9, "a3"), ("b", 2, "b1"), ("c", 3, "c1"), ("c", 4, "c2"), ("zz", 6, "z1"), ("yy", 7, "y1"), (None, 8, "n1")]
     df = spark.createDataFrame(rows, "source string, pos bigint, name string")
     mixed = mixing.round_robin(df, ["a", "b", "c"], "pos", chunk=2)
-    assert [r["name"] for r in mixed.orderBy("slot").collect()] == ["a1", "b1", "c1", "a2", "c2", "a3"]
-    assert sorted(r["slot"] for r in mixed.collect()) == list(range(6))
-    assert [r["name"] for r in mixing.resume(mixed, 2, 3).orderBy("slot").collect()] == ["c1", "a2", "c2"]
-    assert mixing.first_per_source(df, 1, "pos").count() == 4
+    assert [r["name"] for r in mixed.orderBy("slot").collect()] == ["a1", "b1", "c1", "n1", "y1", "z1", "a2", "c2", "a3"]
+    assert sorted(r["slot"] for r in mixed.collect()) == list(range(9))
+    assert [r["name"] for r in mixing.resume(mixed, 5, 3).orderBy("slot").collect()] == ["z1", "a2", "c2"]
 
 
 def test_feedback_appends(spark, tmp_path):

@@ -136,7 +136,7 @@ def test_percentile_rule(spark):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.floats(0, 1e300) | st.sampled_from([0.0, 0.5, 1.0, 2.0, 5e-324, 1 - 2**-53, 1 + 2**-52]), min_size=1, max_size=60),
+@given(st.lists(st.floats(-1e300, 1e300) | st.sampled_from([0.0, -0.0, 0.5, 1.0, -1.0, 2.0, 5e-324, -5e-324, 1 - 2**-53, 1 + 2**-52, -1 - 2**-52]), min_size=1, max_size=60),
        st.sampled_from([0, 5, 50, 95, 100]))
 def test_percentile_equals_numpy(spark, values, q):
     df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "v double")
@@ -146,6 +146,12 @@ def test_percentile_equals_numpy(spark, values, q):
     assert got["threshold"] == pytest.approx(want, rel=1e-9, abs=1e-300)
 
 
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), float("-inf")])
+def test_percentile_refuses_what_has_no_place(spark, value):
+    with pytest.raises(Exception, match="column v holds"):
+        exact_percentile(spark.createDataFrame([(1.0,), (value,)], "v double"), "v", 50).collect()
+
+
 def test_percentile_of_nothing(spark):
     assert exact_percentile(spark.createDataFrame([], "v double"), "v", 95).first()["threshold"] is None
 
