@@ -35,9 +35,9 @@ class PcaModel:
         return np.maximum((x * x).sum(axis=1) - (kept * kept).sum(axis=1), 0.0) / x.shape[1]
 
 
-def product_sums(enriched: DataFrame, inputs: Inputs, order: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Per value ``i`` of the flattened window: n, sum, and row ``i`` of the product matrix (training windows)."""
-    shared = Shared(enriched.sparkSession.sparkContext, inputs)
+def product_sums(source: DataFrame, inputs: Inputs) -> DataFrame:
+    """From a frame of ``window_source``, per value ``i`` of the flattened window: n, sum, and row ``i`` of the product matrix (training windows)."""
+    shared = Shared(source.sparkSession.sparkContext, inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, product = 0, None, None
@@ -57,7 +57,7 @@ def product_sums(enriched: DataFrame, inputs: Inputs, order: list[str], hot_rows
                  pa.ListArray.from_arrays(offsets, pa.array(product.ravel()))],
                 names=["i", "n", "total", "product"])
 
-    parts = window_source(enriched, order, hot_rows, list(inputs.keys), inputs.seq_len).mapInArrow(
+    parts = source.mapInArrow(
         run, "i int, n bigint, total double, product array<double>")
     return parts.groupBy("i").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"),
@@ -66,7 +66,11 @@ def product_sums(enriched: DataFrame, inputs: Inputs, order: list[str], hot_rows
 
 def fit_pca(enriched: DataFrame, inputs: Inputs, order: list[str], k: int = LATENT,
             hot_rows: int | None = HOT_ROWS) -> PcaModel:
-    rows = sorted(product_sums(enriched, inputs, order, hot_rows).collect(), key=lambda r: r["i"])
+    return fit_source(window_source(enriched, order, hot_rows, list(inputs.keys), inputs.seq_len), inputs, k)
+
+
+def fit_source(source: DataFrame, inputs: Inputs, k: int = LATENT) -> PcaModel:
+    rows = sorted(product_sums(source, inputs).collect(), key=lambda r: r["i"])
     if not rows:
         raise ValueError("no normal window to fit on")
     n = rows[0]["n"]

@@ -31,17 +31,23 @@ class Inputs:
     seq_len: int = SEQ_LEN
 
 
-def in_validation(identity: list[str], share: float = VALIDATION_SHARE, seed: int = SPLIT_SEED) -> Column:
-    """Repeatable split of windows by what identifies their last row; no shuffle, no shared state."""
-    return F.pmod(F.xxhash64(*identity, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+def in_validation(df: DataFrame, identity: list[str], share: float = VALIDATION_SHARE, seed: int = SPLIT_SEED) -> Column:
+    """Repeatable split of windows by what identifies their last row; no shuffle, no shared state.
+
+    The first 32 bits of the MD5 of the parts (times as microseconds, missing ones as nothing), so any engine can tell the side.
+    """
+    parts = [F.unix_micros(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c) for c in identity]
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], F.lit(str(seed)))
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return place % 10_000 < int(share * 10_000)
 
 
 def window_source(enriched: DataFrame, order: list[str], hot_rows: int | None, keys: list[str] = KEYS,
-                  size: int = SEQ_LEN) -> DataFrame:
+                  size: int = SEQ_LEN, record: list[str] = ()) -> DataFrame:
     """Sorted blocks with vector inputs, ``_val`` (split) and only the columns scoring needs."""
-    wanted = list(dict.fromkeys([*keys, *order, "source", "level", "hour", "message", "is_anomaly_candidate"]))
+    wanted = list(dict.fromkeys([*keys, *order, "source", "level", "hour", "message", "is_anomaly_candidate", *record]))
     blocks = sorted_blocks(enriched.select(*wanted), order, keys, size, hot_rows)
-    return with_vector_inputs(blocks.withColumn("_val", in_validation([*keys, *order])))
+    return with_vector_inputs(blocks.withColumn("_val", in_validation(blocks, [*keys, *order])))
 
 
 def vector_windows(batches: Iterator[pa.RecordBatch], inputs: Inputs):
@@ -64,25 +70,72 @@ def score_windows(enriched: DataFrame, inputs: Inputs, model, order: list[str],
 
     ``model`` has ``errors(windows) -> array`` and a bounded size; it is broadcast.
     """
-    keys = list(inputs.keys)
-    shown = list(dict.fromkeys([*keys, *order]))
-    shared = Shared(enriched.sparkSession.sparkContext, (inputs, model))
+    return score_source(window_source(enriched, order, hot_rows, list(inputs.keys), inputs.seq_len), inputs, model, order)
+
+
+def anomalies_of(enriched: DataFrame, inputs: Inputs, model, order: list[str], threshold: float, record: list[str],
+                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Windows above ``threshold`` with their records in ``sequence``, which are gathered for these windows only."""
+    source = window_source(enriched, order, hot_rows, list(inputs.keys), inputs.seq_len, record)
+    return score_source(source, inputs, model, order, threshold, record)
+
+
+def score_source(source: DataFrame, inputs: Inputs, model, order: list[str], threshold: float | None = None,
+                 record: list[str] = ()) -> DataFrame:
+    """The same from a frame of ``window_source``, so that several passes can share one."""
+    shown = list(dict.fromkeys([*inputs.keys, *order]))
+    shared = Shared(source.sparkSession.sparkContext, (inputs, model))
+    kinds = {f.name: f.dataType for f in source.schema.fields}
     schema = T.StructType(
-        [T.StructField(c, enriched.schema[c].dataType) for c in shown]
+        [T.StructField(c, kinds[c]) for c in shown]
         + [T.StructField("label", T.BooleanType()), T.StructField("in_validation", T.BooleanType()),
            T.StructField("score", T.DoubleType())]
     )
+    if record:
+        schema = schema.add("sequence", T.ArrayType(T.StructType([T.StructField(c, kinds[c]) for c in record])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, scorer = shared.value
         for rows, ends, windows, labels, validation in vector_windows(batches, held):
+            errors = np.asarray(scorer.errors(windows), dtype=np.float64)
+            hit = np.arange(len(ends)) if threshold is None else np.flatnonzero(errors > threshold)
+            out = rows.select(shown).take(pa.array(ends[hit]))
+            out = out.append_column("label", pa.array(labels[hit]))
+            out = out.append_column("in_validation", pa.array(validation[hit]))
+            out = out.append_column("score", pa.array(errors[hit]))
+            if record:
+                out = out.append_column("sequence", sequences(rows, ends[hit], held.seq_len, list(record)))
+            yield from out.combine_chunks().to_batches()
+
+    return source.mapInArrow(run, schema)
+
+
+def hit_windows(enriched: DataFrame, order: list[str], hit: Column, record: list[str], keep: list[str] = (),
+                keys: list[str] = KEYS, size: int = SEQ_LEN, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Full windows whose last row meets ``hit``: keys, order and ``keep`` of that row, ``label`` and ``sequence``.
+
+    Records are gathered for these windows only.
+    """
+    shown = list(dict.fromkeys([*keys, *order, *keep]))
+    rows = enriched.select(*dict.fromkeys([*shown, *record, "is_anomaly_candidate"]), F.coalesce(hit, F.lit(False)).alias("_hit"))
+    blocks = sorted_blocks(rows, order, keys, size, hot_rows)
+    kinds = {f.name: f.dataType for f in blocks.schema.fields}
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in shown], T.StructField("label", T.BooleanType()),
+                           T.StructField("sequence", T.ArrayType(T.StructType([T.StructField(c, kinds[c]) for c in record])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends in full_windows(batches, keys, size):
+            ends = ends[rows.column("_hit").to_numpy(zero_copy_only=False).astype(bool)[ends]]
+            if not len(ends):
+                continue
+            flags = rows.column("is_anomaly_candidate").to_numpy(zero_copy_only=False).astype(bool)
+            seen = np.concatenate([[0], np.cumsum(flags)])
             out = rows.select(shown).take(pa.array(ends))
-            out = out.append_column("label", pa.array(labels))
-            out = out.append_column("in_validation", pa.array(validation))
-            out = out.append_column("score", pa.array(np.asarray(scorer.errors(windows), dtype=np.float64)))
+            out = out.append_column("label", pa.array(seen[ends + 1] - seen[ends + 1 - size] > 0))
+            out = out.append_column("sequence", sequences(rows, ends, size, record))
             yield from out.combine_chunks().to_batches()
 
-    return window_source(enriched, order, hot_rows, keys, inputs.seq_len).mapInArrow(run, schema)
+    return blocks.mapInArrow(run, schema)
 
 
 def sequences(rows: pa.Table, ends: np.ndarray, size: int, names: list[str]) -> pa.ListArray:

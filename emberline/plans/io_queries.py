@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import times
 from ..operators import board as bd, enrich as en
-from ..schemas import ENRICHED_FIELDS, ENTRY_FIELDS, FEEDBACK_SCHEMA
+from ..schemas import ANOMALY_SCHEMA, ENRICHED_FIELDS, ENTRY_FIELDS, FEEDBACK_SCHEMA, RAW_SCHEMA
 from ..session import scratch_folder
 from ..sinks import lake as lake_sink, topics as sink
-from ..sources import files, lake
-from ..streaming import board as sb, etl, windows as sw
+from ..sources import files, lake, topics
+from ..streaming import board as sb, etl, scoring, windows as sw
 from . import ingest_queries, views as v  # noqa: F401
 from .catalog import ORACLES, query
 
@@ -41,12 +43,42 @@ def scan_ssh(spark, sf):
     return files.scan_ssh(spark, folder, **_PARAMS)
 
 
-@query(_without_id("parse_spark_app", "host"))
+def _by_host(lines: DataFrame, work: str, target: Callable[[str], str]) -> None:
+    """One file per host, named as the layouts want it: hosts are folders of Spark's writer first."""
+    spark = lines.sparkSession
+    lines.select("host", "value").repartition("host").write.partitionBy("host").text(work)
+    for path in files.list_paths(spark, f"{work}/host=*/part-*"):
+        files.move_path(spark, path, target(path.rsplit("host=", 1)[1].split("/")[0]))
+
+
+def _spark_app_files(spark, sf, folder: str) -> None:
+    _by_host(v.java_lines(spark, sf), f"{folder}/work-spark", lambda host: f"{folder}/spark/{host}")
+
+
+def _hadoop_files(spark, sf, folder: str) -> None:
+    _by_host(v.java_lines(spark, sf), f"{folder}/work-hadoop", lambda host: f"{folder}/hadoop/rack/{host}/{host}-node.log")
+
+
+def _hdfs_files(spark, sf, folder: str) -> None:
+    rows = v.trace_rows(spark, sf)
+    for name, failed in (("normal", False), ("failure", True)):
+        part = rows.where(F.col("failed") == failed).drop("failed")
+        part.write.option("header", "true").csv(f"{folder}/HDFS TraceBench/preprocessed/{name}_trace.csv")
+
+
+@query(_without_id("parse_spark_app"))
 def scan_spark_app(spark, sf):
-    """The host is the name of the file written, so it is left out here."""
     folder = scratch_folder(spark)
-    _as_file(v.java_lines(spark, sf), f"{folder}/spark")
-    return files.scan_spark_app(spark, folder).drop("host")
+    _spark_app_files(spark, sf, folder)
+    return files.scan_spark_app(spark, folder)
+
+
+@query(_without_id("parse_hadoop"))
+def scan_hadoop(spark, sf):
+    """A tree of folders whose last one names the host."""
+    folder = scratch_folder(spark)
+    _hadoop_files(spark, sf, folder)
+    return files.scan_hadoop(spark, folder)
 
 
 @query(_without_id("parse_bgl"))
@@ -65,23 +97,26 @@ def scan_android(spark, sf):
 
 @query(ORACLES["hdfs_event_summary"])
 def scan_hdfs_trace(spark, sf):
-    folder = f"{scratch_folder(spark)}"
-    rows = v.trace_rows(spark, sf)
-    for name, failed in (("normal", False), ("failure", True)):
-        part = rows.where(F.col("failed") == failed).drop("failed")
-        part.write.option("header", "true").csv(f"{folder}/HDFS TraceBench/preprocessed/{name}_trace.csv")
+    folder = scratch_folder(spark)
+    _hdfs_files(spark, sf, folder)
     return files.scan_hdfs_trace(spark, folder, **_PARAMS)
 
 
-@query(f"""SELECT source, count(*) AS n FROM (SELECT source FROM ({ORACLES['parse_linux']}) UNION ALL SELECT source FROM ({ORACLES['parse_bgl']})
-UNION ALL SELECT source FROM ({ORACLES['parse_spark_app']})) GROUP BY source""")
+_ALL = ["parse_linux", "parse_ssh", "parse_hadoop", "parse_spark_app", "parse_bgl", "parse_android", "hdfs_event_summary"]
+
+
+@query(" UNION ALL ".join(_without_id(name) for name in _ALL))
 def read_all_sources(spark, sf):
-    """The registry over a folder that holds three of the named sources, and an unknown name."""
+    """The registry over a folder that holds all seven sources, with an unknown name among the wanted ones."""
     folder = scratch_folder(spark)
     _as_file(v.syslog_lines(spark, sf), f"{folder}/Linux.log")
+    _as_file(v.syslog_lines(spark, sf, "sshd"), f"{folder}/SSH.log")
     _as_file(v.bgl_lines(spark, sf), f"{folder}/supercomputer/BGL.log")
-    _as_file(v.java_lines(spark, sf), f"{folder}/spark")
-    return files.read_all_sources(spark, folder, [*files.SCANS, "unknown"], **_PARAMS).groupBy("source").agg(F.count("*").alias("n"))
+    _as_file(v.android_lines(spark, sf), f"{folder}/Android/Android.log")
+    _spark_app_files(spark, sf, folder)
+    _hadoop_files(spark, sf, folder)
+    _hdfs_files(spark, sf, folder)
+    return files.read_all_sources(spark, folder, [*files.SCANS, "unknown"], **_PARAMS)
 
 
 _FIELDS = ", ".join(ENRICHED_FIELDS)
@@ -95,6 +130,17 @@ def scan_lake(spark, sf):
     return lake.scan_lake(spark, folder).where("source = 'ssh' AND month = 1 AND day >= 10")
 
 
+@query(f"WITH {v.SQL_ENRICHED} SELECT {_FIELDS} FROM enriched")
+def mixed_lake(spark, sf):
+    """Half from a batch load, half from stream batches, one of them replayed; old days compacted; read as one."""
+    folder, rows = scratch_folder(spark), v.enriched(spark, sf)
+    lake_sink.write_lake(rows.where("event_id % 2 = 0"), folder)
+    for batch in (0, 1, 1):
+        lake_sink.write_lake(rows.where(f"event_id % 4 = {1 + 2 * batch}"), folder, batch)
+    lake_sink.compact(spark, folder, "2024-01-20")
+    return lake.scan_lake(spark, folder)
+
+
 @query(f"""WITH {v.SQL_BOARD} SELECT '{v.BATCH_ISO}' AS timestamp, CASE WHEN arrival % 3 <> 0 THEN 'positive' ELSE 'negative' END AS feedback, id AS log_id,
   source, host, message, score_text AS score_ia, ratio_text AS ratio, status AS statut FROM board WHERE arrival % 10 = 0""")
 def feedback_append(spark, sf):
@@ -136,6 +182,73 @@ def stream_etl(spark, sf):
     return lake.scan_lake(spark, targets.lake)
 
 
+FEED_FILES = 4
+
+
+def _feed(messages: DataFrame, position: str, folder: str) -> None:
+    """Messages as files of a topic folder, in order of ``position`` and of their times of writing."""
+    ranged = messages.withColumn("_part", F.ntile(FEED_FILES).over(W.orderBy(position))).persist()
+    for part in range(1, FEED_FILES + 1):
+        ranged.where(F.col("_part") == part).select("key", "value").coalesce(1).write.mode("append").json(folder)
+    ranged.unpersist()
+
+
+def _drained(stream: DataFrame, folder: str) -> DataFrame:
+    (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+     .trigger(**DRAIN).start().awaitTermination())
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query(f"WITH {v.SQL_RAW} SELECT {', '.join(ENTRY_FIELDS)} FROM raw_logs")
+def stream_raw(spark, sf):
+    """The raw topic as a folder of several files, read one a micro-batch."""
+    folder, rows = scratch_folder(spark), v.raw_logs(spark, sf)
+    _feed(sink.raw_messages(rows).withColumn("_at", F.get_json_object("value", "$.raw")), "_at", f"{folder}/in")
+    read = topics.decode(topics.stream_folder(spark, f"{folder}/in", 1), RAW_SCHEMA)
+    return _drained(read.select(*ENTRY_FIELDS), folder)
+
+
+@query(f"WITH {v.SQL_ANOMALIES} SELECT arrival, detected_at, source, host, anomaly_score, threshold, severity_ratio, model_version FROM anomalies")
+def stream_anomalies(spark, sf):
+    """The anomaly topic as a folder of several files; the place of a message is its key here."""
+    folder, rows = scratch_folder(spark), v.ml_anomalies(spark, sf)
+    _feed(sink.as_message(rows, F.col("arrival").cast("string"), sink.ANOMALY_FIELDS).withColumn("_at", F.col("key").cast("bigint")), "_at", f"{folder}/in")
+    read = sb.anomaly_rows(topics.stream_folder(spark, f"{folder}/in", 1), F.col("key").cast("bigint"))
+    number = {c: F.col(c).cast("double").alias(c) for c in ("anomaly_score", "threshold", "severity_ratio")}
+    return _drained(read, folder).select("arrival", "detected_at", "source", "host", *number.values(), "model_version")
+
+
+@query(v.SQL_RULE_HITS)
+def stream_scoring(spark, sf):
+    """Processed messages through stateful windows and a scorer, over several micro-batches; the same hits as in batch."""
+    folder, rows = scratch_folder(spark), v.enriched(spark, sf)
+    messages = sink.as_message(rows, F.col("event_id").cast("string"), ENRICHED_FIELDS)
+    placed = messages.withColumn("_at", F.struct(F.get_json_object("value", "$.timestamp"), F.col("key").cast("bigint")))
+    _feed(placed, "_at", f"{folder}/in")
+    fed = topics.stream_folder(spark, f"{folder}/in", 1).withColumn("position", F.col("key").cast("bigint"))
+    inputs, model = v.rule_scorer(spark, sf)
+    scoring.run_scoring(scoring.processed_rows(fed), "position", inputs, model, v.RULE_THRESHOLD, v.BATCH_ISO, f"{folder}/sent",
+                        f"{folder}/checkpoint", DRAIN).awaitTermination()
+    sent = topics.read_folder(spark, f"{folder}/sent").select("key", F.from_json("value", ANOMALY_SCHEMA).alias("m"))
+    return sent.select(F.col("key").alias("source"), "m.host", "m.anomaly_score", "m.severity_ratio",
+                       F.array_join("m.sequence.message", "|").alias("messages"))
+
+
+@query(f"""WITH {v.SQL_RAW}, m AS (SELECT * FROM raw_logs)
+SELECT CAST(sum(CASE WHEN event_id % 83 = 0 OR event_id % 79 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS quarantined,
+  count(*) AS received, CAST(count(*) FILTER (WHERE NOT (event_id % 83 = 0 OR event_id % 79 = 0) AND (event_id % 89 = 0 OR source = '')) AS BIGINT) AS rejected,
+  CAST(count(*) FILTER (WHERE NOT (event_id % 83 = 0 OR event_id % 79 = 0) AND NOT (event_id % 89 = 0 OR source = '')) AS BIGINT) AS records FROM m""")
+def etl_counters(spark, sf):
+    """What the ETL stream received, quarantined, rejected and kept, summed over its batches."""
+    folder = scratch_folder(spark)
+    messages = v.json_messages(spark, sf).select(F.col("event_id").cast("string").alias("key"), "value", F.col("event_id").alias("_at"))
+    _feed(messages, "_at", f"{folder}/in")
+    targets = etl.EtlTargets(*[f"{folder}/{n}" for n in ("lake", "processed", "anomalies", "quarantine", "counters")])
+    etl.run_etl(topics.stream_folder(spark, f"{folder}/in", 1), targets, f"{folder}/checkpoint", DRAIN, lambda: v.BATCH_TIME).awaitTermination()
+    counted = spark.read.schema("quarantined long, received long, rejected long, records long").json(f"{targets.counters}/counts")
+    return counted.agg(*[F.sum(c).alias(c) for c in ("quarantined", "received", "rejected", "records")])
+
+
 def _anomaly_stream(spark, sf) -> DataFrame:
     """One anomaly message per event, to drive the board streams."""
     rows = v.raw_logs_of(_event_stream(spark, sf), keep=["ts"]).where(F.col("source") != "")

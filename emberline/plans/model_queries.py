@@ -250,13 +250,25 @@ def ml_anomaly_messages(spark, sf):
     return sent.select("key", *[c.alias(n) for n, c in {**field, **number}.items()], last.alias("last_message"))
 
 
+@query(v.SQL_RULE_HITS)
+def scored_payload(spark, sf):
+    """Rows to vectors, windows, scores, hits with their sequences, and payload, all on the path a fitted model takes."""
+    rows = v.enriched(spark, sf)
+    inputs, model = v.rule_scorer(spark, sf)
+    hits = scoring.anomalies_of(rows, inputs, model, v.ORDER, v.RULE_THRESHOLD, ["timestamp", "level", "message"])
+    sent = sink.anomaly_payload(hits, v.RULE_THRESHOLD, v.BATCH_ISO, F.element_at("sequence", -1)["timestamp"])
+    return sent.select("source", "host", "anomaly_score", "severity_ratio", F.array_join("sequence.message", "|").alias("messages"))
+
+
 # ---- Fitted models: what SQL cannot fit -------------------------------------
 
-@query()
+@query(f"""{_WIN}, placed AS (SELECT *, CAST(concat('0x', substr(md5(concat_ws('|', source, host, epoch_us(event_time), event_id, '{scoring.SPLIT_SEED}')), 1, 8)) AS BIGINT) AS place FROM wins)
+SELECT source, host, event_id AS last_id, CASE WHEN label THEN 'none' WHEN place % 10000 < {int(scoring.VALIDATION_SHARE * 10_000)} THEN 'validation' ELSE 'train' END AS side FROM placed""")
 def train_val_split(spark, sf):
     """Windows with the side of the split they belong to (anomalous ones on neither)."""
     labelled = wd.window_labels(v.enriched(spark, sf), v.ORDER)
-    side = F.when(F.col("label"), F.lit("none")).when(scoring.in_validation(["source", "host", *v.ORDER]), F.lit("validation"))
+    identity = ["source", "host", *v.ORDER]
+    side = F.when(F.col("label"), F.lit("none")).when(scoring.in_validation(labelled, identity), F.lit("validation"))
     return labelled.select("source", "host", F.col("event_id").alias("last_id"), side.otherwise(F.lit("train")).alias("side"))
 
 
@@ -270,6 +282,25 @@ def pca_scores(spark, sf):
     return _fitted(spark, sf).scored
 
 
+@query(f"""{_WIN}, placed AS (SELECT *, CAST(concat('0x', substr(md5(concat_ws('|', source, host, epoch_us(event_time), event_id, '{scoring.SPLIT_SEED}')), 1, 8)) AS BIGINT) % 10000 < {int(scoring.VALIDATION_SHARE * 10_000)} AS val FROM wins)
+SELECT source, host, count(*) AS windows, count(*) FILTER (WHERE label) AS anomalous, count(*) FILTER (WHERE label OR val) AS held_out FROM placed GROUP BY source, host""")
+def scored_window_counts(spark, sf):
+    """What the fitted model scored: windows, anomalous and held-out ones per source and host."""
+    scored = _fitted(spark, sf).scored
+    return scored.groupBy("source", "host").agg(
+        F.count("*").alias("windows"), F.count_if(F.col("label")).alias("anomalous"),
+        F.count_if(F.col("label") | F.col("in_validation")).alias("held_out"))
+
+
+@query(f"""WITH {v.SQL_ENRICHED}, t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(message), '[a-z0-9]+')) AS token FROM enriched)
+SELECT {ev.THRESHOLD_PERCENTILE} AS percentile, '{v.BATCH_ISO}' AS computed_at, {ft.N_FEATURES} AS n_features, {wd.SEQ_LEN} AS seq_len,
+  CAST(least((SELECT count(*) FROM t), {ft.VOCAB_SIZE}) AS INTEGER) AS vocab_size, {ft.EMBED_DIM} AS embed_dim""")
+def model_metadata(spark, sf):
+    """The facts of a fitted model that do not depend on its weights."""
+    found = training.metadata_frame(spark, _fitted(spark, sf).metadata)
+    return found.select("percentile", "computed_at", "n_features", "seq_len", "vocab_size", "embed_dim")
+
+
 @query()
 def model_report(spark, sf):
     """Quality of the fitted linear model on all and on held-out windows."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import times
-from ..operators import board as bd, enrich as en, windows as wd
+from ..operators import board as bd, enrich as en, features as ft, scoring, windows as wd
 from ..schemas import ENTRY_FIELDS
 from ..sinks.topics import anomaly_payload
 
@@ -78,13 +79,27 @@ def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = ["timestamp", "level", "message"]
-    found = wd.sliding_windows(enriched(spark, sf_dir), ORDER, record=record, keep=["value"])
-    scored = found.select("source", "host", F.col("event_id").alias("arrival"), "sequence", (F.col("value") / 50).alias("score"))
-    hits = scored.where(F.col("score") > THRESHOLD)
+    score = F.col("value") / 50
+    found = scoring.hit_windows(enriched(spark, sf_dir), ORDER, score > THRESHOLD, ["timestamp", "level", "message"], keep=["value"])
+    hits = found.select("source", "host", F.col("event_id").alias("arrival"), "sequence", score.alias("score"))
     return anomaly_payload(hits, THRESHOLD, BATCH_ISO, detected_at=F.element_at("sequence", -1)["timestamp"])
 
 
+RULE_THRESHOLD = 0.25
+
+
+class ErrorShare:
+    """A scorer of windows that SQL can state too: the share of rows at level ERROR."""
+
+    def errors(self, windows: np.ndarray) -> np.ndarray:
+        return windows[:, :, len(ft.SOURCES) + ft.LEVELS.index("ERROR")].astype(np.float64).mean(axis=1)
+
+
+def rule_scorer(spark: SparkSession, sf_dir: str):
+    """Inputs of production (vocabulary and embeddings of all messages), unscaled, and the scorer above."""
+    return scoring.Inputs(ft.collect_encoder(ft.build_vocabulary(enriched(spark, sf_dir))), None), ErrorShare()
+
+
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bd.board_rows(ml_anomalies(spark, sf_dir))
 
@@ -210,6 +225,12 @@ SQL_ANOMALIES = f"""{SQL_WINDOWS}, anomalies AS (SELECT event_id AS arrival, tim
   message, 'lstm_v1_20240201' AS model_version FROM wins WHERE score > {THRESHOLD})"""
 
 
+SQL_RULE_HITS = f"""WITH {SQL_ENRICHED}, rw AS (SELECT *, count(*) OVER w AS window_rows, CAST(count(*) FILTER (WHERE level = 'ERROR') OVER w AS DOUBLE) / 10 AS share,
+  list(message) OVER w AS messages FROM enriched WINDOW w AS (PARTITION BY source, host ORDER BY event_time, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+SELECT source, host, round(share, 6) AS anomaly_score, round(share / CAST({RULE_THRESHOLD} AS DOUBLE), 3) AS severity_ratio, array_to_string(messages, '|') AS messages
+FROM rw WHERE window_rows = 10 AND share > {RULE_THRESHOLD}"""
+
+
 def sql_two_digits(x: str) -> str:
     return f"CAST(CAST(round(CAST({x} AS DECIMAL(18, 6)), 2) AS DECIMAL(18, 2)) AS VARCHAR)"
 

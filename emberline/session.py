@@ -11,6 +11,9 @@ import uuid
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches between Spark and Python end at this size, whatever the length of their texts.
+ARROW_BYTES = 8 << 20
+
 _shipped: set[str] = set()
 
 
@@ -38,6 +41,7 @@ def build_session(app: str = "emberline", master: str | None = None, shuffle_par
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings that results depend on (log times are UTC), and give executors this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     ship_code(spark.sparkContext)
     return spark
 

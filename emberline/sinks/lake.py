@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
 
-from ..schemas import ENRICHED_FIELDS, LAKE_PARTITIONS
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..schemas import ENRICHED_FIELDS, ENRICHED_SCHEMA, LAKE_PARTITIONS
+from ..sources.files import delete_path, list_folders, make_folder, move_path, path_exists
+
+BATCH = "batch_id"
 
 
 def lake_layout(enriched: DataFrame) -> DataFrame:
@@ -15,24 +20,48 @@ def lake_layout(enriched: DataFrame) -> DataFrame:
     })
 
 
-def write_lake(enriched: DataFrame, root: str, batch_id: int | None = None,
-               max_rows_per_file: int = 5_000_000) -> None:
-    """Adds to the folders of (source, year, month, day).
+def write_lake(enriched: DataFrame, root: str, batch_id: int | str | None = None, max_rows_per_file: int = 5_000_000) -> None:
+    """Adds to the folders of (source, year, month, day, batch).
 
-    ``rebalance`` gathers small partitions into one file each, while adaptive
-    execution splits a partition that holds too much into several. A streaming
-    ``batch_id`` becomes an inner folder that a replay of the batch overwrites.
+    Streams and batch loads write the same folders, so one read serves both. A
+    batch of the same name is overwritten, which makes a replay harmless; a load
+    without a name gets one of its own.
     """
-    rows, folders, mode = lake_layout(enriched), LAKE_PARTITIONS, "append"
-    if batch_id is not None:
-        rows, folders, mode = rows.withColumn("batch_id", F.lit(batch_id)), [*LAKE_PARTITIONS, "batch_id"], "overwrite"
+    name = f"stream-{batch_id}" if isinstance(batch_id, int) else batch_id or f"load-{uuid.uuid4().hex}"
+    _write_folders(lake_layout(enriched).withColumn(BATCH, F.lit(name)), root, max_rows_per_file)
+
+
+def _write_folders(rows: DataFrame, root: str, max_rows_per_file: int) -> None:
+    """``rebalance`` gathers small partitions into one file each, while adaptive execution splits those that hold too much."""
+    folders = [*LAKE_PARTITIONS, BATCH]
     (
-        rows.hint("rebalance", *folders).write.mode(mode)
+        rows.hint("rebalance", *folders).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
         .option("maxRecordsPerFile", max_rows_per_file).partitionBy(*folders).parquet(root)
     )
 
 
+def compact(spark: SparkSession, root: str, before: str, max_rows_per_file: int = 5_000_000) -> None:
+    """Rewrites the many small files of each (source, day) before ``before`` (a date) as one batch.
+
+    For days that nobody writes any more. The new folders are made whole beside the lake, marked as complete, and
+    then take the place of the old ones day by day. A call after a crash goes on where the last one stopped: without the
+    mark it starts over, with it each day still waiting is moved, so rows are neither lost nor repeated.
+    """
+    waiting, mark = f"{root}/_compacting", f"{root}/_compacting_complete"
+    if not path_exists(spark, mark):
+        rows = spark.read.schema(ENRICHED_SCHEMA).parquet(root).where(F.make_date("year", "month", "day") < F.lit(before).cast("date"))
+        delete_path(spark, waiting)
+        _write_folders(lake_layout(rows).withColumn(BATCH, F.lit("compacted")), waiting, max_rows_per_file)
+        make_folder(spark, mark)
+    for folder in list_folders(spark, f"{waiting}/source=*/year=*/month=*/day=*"):
+        place = folder.split("/_compacting/", 1)[1]
+        delete_path(spark, f"{root}/{place}")
+        move_path(spark, folder, f"{root}/{place}")
+    delete_path(spark, waiting)
+    delete_path(spark, mark)
+
+
 def partition_tuples(enriched: DataFrame) -> DataFrame:
     """Rows per lake folder: the files a batch writes."""
     return lake_layout(enriched).groupBy(*LAKE_PARTITIONS).agg(F.count("*").alias("n"))

@@ -28,6 +28,31 @@ def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found if s.isFile())
 
 
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Sorted folders matching a glob."""
+    jpath, fs = _hadoop_path(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(jpath) or [] if s.isDirectory())
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jpath, fs = _hadoop_path(spark, path)
+    fs.delete(jpath, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    jpath, fs = _hadoop_path(spark, path)
+    fs.mkdirs(jpath)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Renames; the folder above the target is made where it is missing."""
+    jpath, fs = _hadoop_path(spark, source)
+    to, _ = _hadoop_path(spark, target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(jpath, to):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False,
                glob: str | None = None) -> DataFrame:
     """Text lines with bad bytes replaced, plus the file and folder they came from."""

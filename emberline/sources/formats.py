@@ -39,13 +39,15 @@ JAVA_FLAGS = "(?Ud)"
 
 
 def _matched(lines: DataFrame, pattern: str, groups: list[int], flags: str = JAVA_FLAGS) -> DataFrame:
-    """Adds ``_line`` (trimmed) and ``_part`` (wanted groups); drops lines that do not match."""
+    """Adds ``_line`` (trimmed) and ``_part`` (wanted groups); drops lines that do not match.
+
+    A line that does not match keeps its one part, so its parts are too few. The row is made by a generator, which
+    keeps the optimizer from pulling the match into both a filter and a projection.
+    """
     joined = "\n".join(f"${g}" for g in groups)
-    line = text.right_trimmed(F.col("value"))
-    parts = F.split(F.regexp_replace("_line", flags + pattern, joined), "\n", len(groups))
-    out = lines.withColumn("_line", line)
-    # rlike first: it keeps blank and foreign lines away from the split.
-    return out.where(F.col("_line").rlike(flags + pattern)).withColumn("_part", parts)
+    made = F.transform(F.array(text.right_trimmed(F.col("value"))), lambda line: F.struct(
+        line.alias("_line"), F.split(F.regexp_replace(line, flags + pattern, joined), "\n", len(groups)).alias("_part")))
+    return lines.select("*", F.inline(F.filter(made, lambda m: F.size(m["_part"]) == len(groups))))
 
 
 def _entries(matched: DataFrame, **columns: Column) -> DataFrame:

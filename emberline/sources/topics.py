@@ -72,12 +72,9 @@ def is_object(value: Column) -> Column:
 def decode(messages: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """Well-formed objects, with their fields as columns and ``_keys`` the keys present."""
     kept = [c for c in messages.columns if c not in (*schema.names, "key", value)]
-    return (
-        messages.where(is_object(F.col(value)))
-        .withColumn("_doc", F.from_json(value, schema))
-        .withColumn("_keys", F.json_object_keys(value))
-        .select(*kept, "_doc.*", "_keys")
-    )
+    # a generator, so that filter and projection share one parse for the keys and one for the fields
+    read = F.array(F.struct(F.json_object_keys(value).alias("_keys"), F.from_json(value, schema).alias("_doc")))
+    return messages.select(*kept, F.inline(F.filter(read, lambda r: r["_keys"].isNotNull()))).select(*kept, "_doc.*", "_keys")
 
 
 def quarantine(messages: DataFrame, value: str = "value") -> DataFrame:

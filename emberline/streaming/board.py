@@ -8,14 +8,25 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import board as bd
 from ..schemas import ANOMALY_TEXT_SCHEMA
 from ..sources import topics
-from ..sources.files import list_paths
+from ..sources.files import delete_path, list_folders, list_paths
 
 LATENESS = "10 minutes"
 
 
-def anomaly_rows(messages: DataFrame, arrival: Column | str = "offset") -> DataFrame:
-    """Anomaly messages of a topic with their order of arrival; what is no JSON object is skipped."""
-    numbered = messages.withColumn("arrival", (F.col(arrival) if isinstance(arrival, str) else arrival).cast("bigint"))
+def topic_arrival() -> Column:
+    """Place of a topic's message as text that sorts by time, then partition, then offset, and that no two messages share."""
+    def wide(number: Column, width: int) -> Column:
+        return F.lpad(number.cast("string"), width, "0")
+
+    return F.concat_ws("-", wide(F.unix_micros("timestamp"), 17), wide(F.col("partition"), 7), wide(F.col("offset"), 19))
+
+
+def anomaly_rows(messages: DataFrame, arrival: Column | None = None) -> DataFrame:
+    """Anomaly messages of a topic with their order of arrival; what is no JSON object is skipped.
+
+    ``arrival`` replaces the place in the topic where messages come from elsewhere; it must be unique.
+    """
+    numbered = messages.withColumn("arrival", topic_arrival() if arrival is None else arrival)
     return topics.decode(numbered, ANOMALY_TEXT_SCHEMA).select("arrival", *ANOMALY_TEXT_SCHEMA.names)
 
 
@@ -53,7 +64,7 @@ def windowed_counts(anomalies: DataFrame, period: str = "1 minute", lateness: st
 
 
 def latest_version(spark, table: str, before: int | None = None) -> int | None:
-    versions = [int(p.rsplit("version=", 1)[1].split("/")[0]) for p in list_paths(spark, f"{table}/version=*/_SUCCESS")]
+    versions = {int(p.rsplit("version=", 1)[1].split("/")[0]) for p in list_paths(spark, f"{table}/version=*/part-*")}
     versions = [x for x in versions if before is None or x < before]
     return max(versions, default=None)
 
@@ -66,7 +77,8 @@ def read_board(spark, table: str) -> DataFrame:
 def update_board(rows: DataFrame, batch_id: int, table: str, n: int = bd.MAX_ROWS) -> None:
     """Newest ``n`` of the last version and this batch, with the running count of messages received.
 
-    A version belongs to a batch: a replay rewrites it from the same predecessor.
+    A version belongs to a batch: a replay rewrites it from the same predecessor. A version is one file, so it is there
+    whole or not at all; of older ones only the predecessor is kept.
     """
     spark = rows.sparkSession
     before = latest_version(spark, table, batch_id)
@@ -79,6 +91,9 @@ def update_board(rows: DataFrame, batch_id: int, table: str, n: int = bd.MAX_ROW
     newest = merged.orderBy(F.desc("arrival")).limit(n)
     newest.withColumn("received", total).coalesce(1).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
     rows.unpersist()
+    for folder in list_folders(spark, f"{table}/version=*"):
+        if int(folder.rsplit("=", 1)[1]) < (batch_id if before is None else before):
+            delete_path(spark, folder)
 
 
 def run_board(board: DataFrame, table: str, checkpoint: str, trigger: dict | None = None, n: int = bd.MAX_ROWS) -> StreamingQuery:

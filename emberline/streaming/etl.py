@@ -13,7 +13,7 @@ from ..operators.enrich import batch_counters, enrich
 from ..schemas import LAKE_PARTITIONS, RAW_SCHEMA
 from ..sinks import lake, topics as sink
 from ..sources import topics
-from ..sources.files import path_exists
+from ..sources.files import list_paths
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def utc_now() -> str:
 def batch_stamp(spark, folder: str, batch_id: int, clock: Callable[[], str]) -> str:
     """Time of a batch, written on its first run and read back when it is replayed."""
     path = f"{folder}/stamps/batch_id={batch_id}"
-    if path_exists(spark, f"{path}/_SUCCESS"):
+    if list_paths(spark, f"{path}/part-*"):  # one file, there whole or not at all
         return spark.read.text(path).first()["value"]
     spark.createDataFrame([(clock(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return spark.read.text(path).first()["value"]
@@ -55,8 +55,9 @@ def process_batch(messages: DataFrame, batch_id: int, targets: EtlTargets, clock
         sink.write_messages(published, targets.anomalies, targets.kafka, batch_id)
         bad = topics.quarantine(messages).select("value", "reason")
         bad.write.mode("overwrite").json(f"{targets.quarantine}/batch_id={batch_id}")
+        received, read = messages.agg(F.count("*")).scalar(), decoded.agg(F.count("*")).scalar()
         counters = batch_counters(rows).withColumns({
-            "received": messages.agg(F.count("*")).scalar(),
+            "received": received, "quarantined": received - read, "rejected": read - F.col("records"),
             "files": rows.select(*LAKE_PARTITIONS).distinct().agg(F.count("*")).scalar(),
         })
         counters.write.mode("overwrite").json(f"{targets.counters}/counts/batch_id={batch_id}")

@@ -31,8 +31,12 @@ def score_stream(enriched: DataFrame, position: str, inputs: Inputs, model, thre
 def run_scoring(enriched: DataFrame, position: str, inputs: Inputs, model, threshold: float, computed_at: str, target: str,
                 checkpoint: str, trigger: dict | None = None, kafka: dict[str, str] | None = None,
                 idle_minutes: int | None = IDLE_MINUTES) -> StreamingQuery:
-    """Keys silent for ``idle_minutes`` lose their kept rows, so state stays as large as what is active."""
-    payload = sink.anomaly_messages(score_stream(enriched, position, inputs, model, threshold, computed_at, idle_minutes))
+    """Keys silent for ``idle_minutes`` lose their kept rows, so state stays as large as what is active.
+
+    A run that drains what is there and stops has no such timer: one that runs by the clock would keep it from ending.
+    """
+    idle = None if trigger and "availableNow" in trigger else idle_minutes
+    payload = sink.anomaly_messages(score_stream(enriched, position, inputs, model, threshold, computed_at, idle))
     writer = payload.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "1 second"}))
     if kafka:

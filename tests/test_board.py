@@ -111,7 +111,7 @@ def test_messages_are_read_leniently(spark):
         {"sequence": [{"level": "x"}], "message": "spare"}, "{broken", "[]",
     ]
     rows = [(i, t if isinstance(t, str) else json.dumps(t)) for i, t in enumerate(texts)]
-    board = bd.board_rows(sb.anomaly_rows(spark.createDataFrame(rows, "offset bigint, value string"))).orderBy("arrival").collect()
+    board = bd.board_rows(sb.anomaly_rows(spark.createDataFrame(rows, "offset bigint, value string"), F.col("offset"))).orderBy("arrival").collect()
     assert [r["message"] for r in board] == ["spare", "two", ""]
     assert (board[0]["score"], board[0]["ratio"], board[0]["threshold"], board[0]["status"]) == (1.5, 3.0, 2.0, "ANOMALIE")
     assert (board[1]["score"], board[1]["ratio"], board[1]["host"], board[1]["status"]) == (0.0, 0.0, "unknown", "NORMAL")

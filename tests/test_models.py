@@ -116,11 +116,12 @@ def test_pca_equals_numpy(spark, rows, inputs, hot_rows):
 
 
 def test_split_is_disjoint_repeatable_and_near_its_share(spark):
-    df = spark.range(20000).select(F.col("id").cast("string").alias("a"), "id", scoring.in_validation(["id"]).alias("val"))
+    ids = spark.range(20000)
+    df = ids.select(F.col("id").cast("string").alias("a"), "id", scoring.in_validation(ids, ["id"]).alias("val"))
     share = df.agg(F.avg(F.col("val").cast("double"))).first()[0]
     assert abs(share - 0.2) < 0.02
     assert df.where("val").select("id").exceptAll(df.repartition(13).where("val").select("id")).count() == 0
-    other = spark.range(20000).select("id", scoring.in_validation(["id"], seed=7).alias("val"))
+    other = ids.select("id", scoring.in_validation(ids, ["id"], seed=7).alias("val"))
     assert df.where("val").select("id").exceptAll(other.where("val").select("id")).count() > 0
 
 
