@@ -77,6 +77,7 @@ def shared_folder(spark: SparkSession) -> str:
         local = None
         if sc.master.startswith("local") and not spark.conf.get("spark.checkpoint.dir", None):
             local = tempfile.mkdtemp(prefix="emberline-checkpoint-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
         sc.setCheckpointDir(checkpoint_dir(spark, local))
     return sc.getCheckpointDir()
 
