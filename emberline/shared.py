@@ -6,7 +6,7 @@ from pyspark import SparkContext, cloudpickle
 
 
 class Shared:
-    """A broadcast that each task unpacks once.
+    """A broadcast that carries the code of its object along, so executors need no install. Each task unpacks it once.
 
     For lookup data and models of fixed size.
     """
