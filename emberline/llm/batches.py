@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Arrow batches end at this size; one text longer than that is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
