@@ -91,7 +91,9 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     found = plain.select("url", F.explode(F.array(
         F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
         F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1))).alias("link"))
-    made = found.select(address(F.col("url")).alias("source"), address(resolved(F.col("url"), F.col("link"))).alias("target"))
+    # one step at a time: each step's expressions use the last one's several times
+    whole = found.where("link <> ''").select("url", resolved(F.col("url"), F.col("link")).alias("target"))
+    made = whole.select(address(F.col("url")).alias("source"), address(F.col("target")).alias("target"))
     return made.where("target IS NOT NULL AND source <> target").distinct()
 
 
