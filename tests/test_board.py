@@ -115,3 +115,15 @@ def test_messages_are_read_leniently(spark):
     assert [r["message"] for r in board] == ["spare", "two", ""]
     assert (board[0]["score"], board[0]["ratio"], board[0]["threshold"], board[0]["status"]) == (1.5, 3.0, 2.0, "ANOMALIE")
     assert (board[1]["score"], board[1]["ratio"], board[1]["host"], board[1]["status"]) == (0.0, 0.0, "unknown", "NORMAL")
+
+
+def test_equal_offsets_of_two_partitions_stay_apart(spark):
+    """Ids and order come from time, partition and offset, so one vote counts once."""
+    value = json.dumps({"detected_at": "2024-01-01T00:00:00", "source": "ssh", "host": "h", "anomaly_score": 3, "severity_ratio": 3, "message": "m"})
+    rows = [("k", value, p, 5, "2024-01-01 00:00:01") for p in (0, 1)]
+    messages = spark.createDataFrame(rows, "key string, value string, partition int, offset bigint, at string").withColumn("timestamp", F.col("at").cast("timestamp"))
+    board = bd.board_rows(sb.anomaly_rows(messages))
+    ids = sorted(r["id"] for r in board.collect())
+    assert len(set(ids)) == 2 and ids == [r["id"] for r in board.orderBy("arrival").collect()]
+    votes = bd.feedback_by_source(board, spark.createDataFrame([(ids[0], "positive")], "log_id string, feedback string"))
+    assert votes.first()["votes"] == 1
