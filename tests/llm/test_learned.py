@@ -269,3 +269,42 @@ def test_languages_of_documents_and_empty_tables(spark, sf, many):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     assert langid.identify(pages, known).count() == pages.count() and langid.identify(pages.where("false"), known).count() == 0
     assert langid.identify(pages, langid.learn(many.where("false"))).where("language IS NOT NULL").count() == 0
+
+
+def test_pairs_of_rare_words_have_their_own_customers(spark, monkeypatch):
+    """Beyond the classes too, a context tells its words apart; and every context's probabilities sum to one."""
+    monkeypatch.setattr(hpylm, "CLASSES", 3)
+    monkeypatch.setattr(hpylm, "LOOKUP", 2)
+    monkeypatch.setattr(hpylm, "PAIRS", 1)
+    texts = ["a x y b"] * 6 + ["a z q b"] * 6 + ["a b a b", "", None, "b e f f", "a a b x q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, rare, pairs = hpylm.learn_whole(docs)
+    known = "a b e f q x y z".split()
+    asked = [(f"{u} {w}", f"{u} {w}") for u in ["", *known, "new"] for w in [*known, "new"]] + [(u, u) for u in ["", *known, "new"]]
+    one = spark.createDataFrame(asked, "doc_id string, text string")
+    log = {r["doc_id"]: r["score"] for r in hpylm.score(one, model, rare, ["doc_id"], pairs=pairs).collect()}
+    assert log["x y"] - log["x q"] > log["z y"] - log["z q"] + 0.5
+    pair = {r["key"]: r["log_add"] for r in pairs.collect()}
+    at = {w: hpylm.tokens(pa.array([w]))[0][:1] for w in [*known, "new"]}
+    at["end"] = np.array([hpylm.END])
+    classes, k = {int(h): i for i, h in enumerate(model.classes)}, len(model.classes)
+    words = {r["word"] % 2 ** 64: r for r in rare.collect()}
+
+    def p(u, w):
+        a, c = classes.get(int(at[u][0]), k), classes.get(int(at[w][0]), k)
+        out = float(model.log_p[a, c])
+        if c == k:
+            out += words[int(at[w][0])]["log_rare"] if int(at[w][0]) in words else model.log_unknown
+        if a < k and c == k:
+            out += model.back[a]
+        if a == k and int(at[u][0]) in words:
+            out += words[int(at[u][0])]["log_back"]
+        key = int(hpylm.pair_keys(at[u], at[w]).view(np.int64)[0])
+        return out + (pair.get(key, 0.0) if a == k or c == k else 0.0)
+
+    for u in [*known, "new", "end"]:
+        every = sum(10 ** p(u, w) for w in [*known, "end"]) + 10 ** p(u, "new") * (1 + model.v - len(words))
+        assert abs(every - 1) < 1e-5, u
+    for u in known:
+        for w in known:
+            assert abs(log[f"{u} {w}"] - p("end", u) - p(u, w) - p(w, "end")) < 1e-5
