@@ -1,7 +1,7 @@
 """Language of pages by fusing evidence: text, declared language, address suffix, and a prior of the host.
 
-* Text: letter trigrams under a smoothed model of each language, learned from at most ``LEARN_DOCUMENTS`` documents with a
-  known language (those whose ids hash lowest). Trigrams overlap, so a text counts as at most ``TRIGRAMS`` independent ones.
+* Text: letter trigrams under a smoothed model of each language, learned from all documents with a known language; the sums
+  are ``BUCKETS`` numbers a language, added up within tasks first. Trigrams overlap, so a text counts as at most ``TRIGRAMS`` independent ones.
 * Declared language (``<html lang>``) and address suffix: how often each value stands with each language, from sums of text
   posteriors over all pages by value; a page that lies about its language thus weakens the evidence of that value.
 * Host prior: sums of posteriors over all pages by host, smoothed towards its domain's, smoothed towards that of all pages. A
@@ -30,7 +30,7 @@ from .batches import bounded, with_columns
 from .stored import stored
 from .words import LOWER, mix, utf8
 
-LEARN_DOCUMENTS, TRIGRAMS, BUCKETS = 20_000, 40, 1 << 14
+TRIGRAMS, BUCKETS = 40, 1 << 14
 #: Rows that a parent's distribution counts for, and the smoothing of value counts.
 STRENGTH, SMOOTHING = 5.0, 1.0
 
@@ -63,12 +63,9 @@ class Languages:
         return total * (np.minimum(count, TRIGRAMS) / np.maximum(count, 1))[:, None]
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
-    """Trigram models of all languages that ``lang`` names."""
-    own = bounded(docs.sparkSession) and docs.select(
-        F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL")
-    n = own.count()
-    share = min(1.0, LEARN_DOCUMENTS / max(n, 1))
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
+    """Trigram models of all languages that ``lang`` names beside any text with a trigram."""
+    own = bounded(docs.sparkSession) and docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -84,8 +81,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(count[seen])],
                                              names=["lang", "bucket", "n"])
 
-    some = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) <= int(share * (1 << 32))).limit(LEARN_DOCUMENTS)
-    summed = (some.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long")
+    summed = (own.mapInArrow(run, "lang string, bucket long, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))).toArrow()
     lang = np.array(summed["lang"].to_pylist(), dtype=object)
     names = sorted(set(lang))

@@ -152,7 +152,7 @@ def op1_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_bayesian_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every page from its text, declaration, address and host."""
-    known = langid.learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    known = langid.learn(table(spark, sf_dir, "documents").select("text", "lang"))
     return langid.identify(table(spark, sf_dir, "pages").select("page_id", "url", "html"), known)
 
 

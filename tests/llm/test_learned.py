@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers_llm import lowered
+from pyspark.sql import functions as F
 
 from emberline.llm import hpylm, langid, nbsvm, pii
 from emberline.llm.queries import QUERIES
@@ -308,3 +309,13 @@ def test_pairs_of_rare_words_have_their_own_customers(spark, monkeypatch):
     for u in known:
         for w in known:
             assert abs(log[f"{u} {w}"] - p("end", u) - p(u, w) - p(w, "end")) < 1e-5
+
+
+def test_a_language_of_one_document_in_a_large_table_is_learned(spark):
+    ids = spark.range(21_000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("hash"))
+    last = ids.orderBy(F.desc("hash")).first()["doc_id"]  # no sample of the lowest hashes holds it
+    docs = ids.select("doc_id", F.when(F.col("doc_id") == last, "zaza zezo zuzu").otherwise("the and of that").alias("text"),
+                      F.when(F.col("doc_id") == last, "zz").otherwise("en").alias("lang"))
+    known = langid.learn(docs)
+    assert known.names == ["en", "zz"]
+    assert known.likelihoods(pa.array(["zuzu zaza", "that and"])).argmax(axis=1).tolist() == [1, 0]
