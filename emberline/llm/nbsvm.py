@@ -7,8 +7,9 @@ scaled vectors by dual coordinate descent: one dual variable a row, updated in c
 The vectors have unit length, so a text's length is no evidence. A logistic curve fitted to margins of rows
 that the descent left out turns margins into probabilities.
 
-The descent and the curve use at most ``FIT_ROWS`` labelled rows, those whose ids hash lowest: the only sample taken. The
-fit is one task of that bounded size; the model it returns is two arrays of ``BUCKETS`` numbers.
+The descent and the curve use at most ``FIT_ROWS`` labelled rows, those whose ids and texts hash lowest in their class: the
+only sample taken. Classes have their shares of it, but at least ``FIT_LEAST`` rows if there are as many; rows of a class taken
+more often than its share weigh less. The fit is one task of that bounded size; the model it returns is two arrays of ``BUCKETS`` numbers.
 
 Cases: a null or empty text has no indicators and gets the share of label 1 that the curve gives to the margin of the bias
 alone; unlabelled rows and labels other than 0 and 1 aren't learned from; with one class or none the score is the share of
@@ -35,6 +36,8 @@ from .words import RUNS, mix, words
 BUCKETS, LONGEST, REPEATS = 1 << 18, 2, (3, 4, 6)
 #: Labelled rows that the descent and the curve see, at most; a fifth of them is for the curve.
 FIT_ROWS = 6_000
+#: Of each class so many at least.
+FIT_LEAST = 600
 #: Up to so many labels are broadcast to pick their texts; beyond, texts and labels are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 #: Smoothing of counts, cost of a unit of loss, and passes of the descent.
@@ -94,19 +97,19 @@ def log_ratios(count0: np.ndarray, count1: np.ndarray, n0: float, n1: float) ->
     return np.where(count0 + count1 > 0, out, 0.0)
 
 
-def descend(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
-    """Weights and bias of the squared-hinge model by dual coordinate descent; labels are -1 and 1."""
+def descend(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, seed: int = 0, worth: np.ndarray | float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of the squared-hinge model by dual coordinate descent; labels are -1 and 1, rows' losses count ``worth`` times."""
     rng = np.random.default_rng(seed)
     values = [ratio[r] / max(np.sqrt((ratio[r] ** 2).sum()), 1e-12) for r in rows]
     weight, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
-    ridge = 0.5 / COST
+    ridge = 0.5 / (COST * np.broadcast_to(worth, len(rows)))
     square = np.array([(v * v).sum() for v in values]) + 1.0 + ridge  # 1.0: the bias is a feature that is always 1
     for _ in range(PASSES):
         largest = 0.0
         for i in rng.permutation(len(rows)):
             y = label[i]
-            gradient = y * (weight[rows[i]] @ values[i] + bias) - 1.0 + ridge * alpha[i]
+            gradient = y * (weight[rows[i]] @ values[i] + bias) - 1.0 + ridge[i] * alpha[i]
             new = max(alpha[i] - gradient / square[i], 0.0)
             step = new - alpha[i]
             if step:
@@ -119,24 +122,25 @@ def descend(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, seed:
     return weight, bias
 
 
-def curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+def curve(margin: np.ndarray, label: np.ndarray, worth: np.ndarray | float = 1.0) -> tuple[float, float]:
     """Slope and offset of a logistic curve from margin to probability of label 1, by Newton's method with smoothed targets."""
-    n1, n0 = int((label > 0).sum()), int((label < 0).sum())
+    worth = np.broadcast_to(worth, len(label))
+    n1, n0 = float(worth[label > 0].sum()), float(worth[label < 0].sum())
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([margin, np.ones_like(margin)], axis=1)
     at = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - target))
+        hessian = (x * (worth * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (worth * (p - target)))
         at = at - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
     return max(float(at[0]), 0.0), float(at[1])
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray) -> Model:
-    """A model from rows (buckets of each), their labels 0 and 1, and the log ratios of all training rows."""
+def fit(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, worth: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A model from rows (buckets of each), their labels 0 and 1, the log ratios of all training rows, and the weights of rows of either label."""
     label = np.where(np.asarray(label) == 1, 1.0, -1.0)
     if len(set(label.tolist())) < 2:
         share = 0.5 if not len(label) else float((label > 0).mean())
@@ -146,12 +150,13 @@ def fit(rows: list[np.ndarray], label: np.ndarray, ratio: np.ndarray) -> Model:
     if min((label[aside] > 0).sum(), (label[aside] < 0).sum(), (label[~aside] > 0).sum(), (label[~aside] < 0).sum()) < 5:
         aside = np.zeros(len(rows), dtype=bool)
     train = np.flatnonzero(~aside)
-    weight, bias = descend([rows[i] for i in train], label[train], ratio)
+    each = np.where(label > 0, worth[1], worth[0])
+    weight, bias = descend([rows[i] for i in train], label[train], ratio, worth=each[train])
     model = Model(weight * ratio, ratio, bias, 1.0, 0.0)
     check = np.flatnonzero(aside) if aside.any() else train
     flat = np.concatenate([rows[i] for i in check]) if len(check) else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.cumsum([len(rows[i]) for i in check])]).astype(np.int64)
-    model.slope, model.offset = curve(model.margins(flat, first), label[check])
+    model.slope, model.offset = curve(model.margins(flat, first), label[check], each[check])
     return model
 
 
@@ -193,8 +198,21 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = labelled(docs, labels, doc_id, text, label)
     count0, count1, n0, n1 = class_counts(rows)
     ratio = log_ratios(count0, count1, n0, n1)
-    share = min(1.0, 0.95 * FIT_ROWS / max(n0 + n1, 1.0))
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) <= int(share * (1 << 32))).limit(FIT_ROWS)
+    n = np.array([n0, n1])
+    quota, picked = n, rows
+    if n.sum() > FIT_ROWS:
+        quota = np.maximum(np.floor(FIT_ROWS * n / n.sum()), np.minimum(n, FIT_LEAST))
+        quota[n.argmax()] = min(quota[n.argmax()], FIT_ROWS - quota[n.argmin()])
+        hashed = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)))
+
+        def lowest(y: int) -> DataFrame:
+            """Rows of one class; those beyond a third more than the quota can be left before the sort."""
+            upto = int(min(1.0, 1.3 * quota[y] / max(n[y], 1.0)) * (1 << 32))
+            return hashed.where((F.col("y") == y) & (F.col("h") <= upto)).orderBy("h").limit(int(quota[y])).drop("h")
+
+        picked = lowest(0).unionByName(lowest(1))
+    worth = n / np.maximum(quota, 1.0)
+    worth = tuple(worth * quota.sum() / max(n.sum(), 1.0))
 
     def vectors(texts: pa.Array):
         bucket, first = indicators(texts)
@@ -206,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted(row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
-        model = fit([np.frombuffer(b, "<i4").astype(np.int64) for _, _, b in held], np.array([y for _, y, _ in held]), shared.value)
+        model = fit([np.frombuffer(b, "<i4").astype(np.int64) for _, _, b in held], np.array([y for _, y, _ in held]), shared.value, worth)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     keyed = made.select(F.xxhash64("id").alias("h"), "y", "buckets")

@@ -319,3 +319,14 @@ def test_a_language_of_one_document_in_a_large_table_is_learned(spark):
     known = langid.learn(docs)
     assert known.names == ["en", "zz"]
     assert known.likelihoods(pa.array(["zuzu zaza", "that and"])).argmax(axis=1).tolist() == [1, 0]
+
+
+def test_a_rare_class_of_a_large_table_is_fitted(spark, monkeypatch):
+    monkeypatch.setattr(nbsvm, "FIT_ROWS", 60)
+    ids = spark.range(3_000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("hash"))
+    rare = [r["doc_id"] for r in ids.orderBy(F.desc("hash")).limit(12).collect()]  # no sample of the lowest hashes holds them
+    docs = ids.select("doc_id", F.when(F.col("doc_id").isin(rare), F.concat(F.lit("bad spam words "), F.col("doc_id"))).otherwise(
+        F.concat(F.lit("good plain text "), F.col("doc_id"))).alias("text"))
+    labels = ids.select("doc_id", (~F.col("doc_id").isin(rare)).cast("int").alias("quality"))
+    scores = {r["doc_id"]: r["score"] for r in nbsvm.score(docs, nbsvm.learn(docs, labels)).collect()}
+    assert max(scores[i] for i in rare) < min(s for i, s in scores.items() if i not in rare)
