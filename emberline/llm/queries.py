@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, hpylm, langid, near, nbsvm, pii, ranges, suffixes, tokens_out, urls
+from . import bpe, chunks, hpylm, langid, near, nbsvm, pii, ranges, suffixes, tokens_out, turns, urls
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -163,3 +163,10 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rare, pairs = hpylm.learn_whole(docs.where(~F.col("held_out")))
     return hpylm.score(docs, model, rare, ["doc_id", "held_out"], pairs=pairs).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query()
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest edits that mend its structure, and what they give."""
+    rows, gone = turns.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return turns.repair(rows, gone=gone)
