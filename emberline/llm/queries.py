@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, hpylm, langid, near, nbsvm, pii, ranges, suffixes, tokens_out, turns, urls
+from . import bpe, chunks, hpylm, langid, near, nbsvm, pii, ranges, resample, suffixes, tokens_out, turns, urls
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -170,3 +170,9 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation, the cheapest edits that mend its structure, and what they give."""
     rows, gone = turns.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return turns.repair(rows, gone=gone)
+
+
+@query()
+def op13_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the n-grams of the benchmark, with the weights and scores of all."""
+    return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
