@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, chunks, hpylm, langid, near, nbsvm, pii, ranges, resample, suffixes, tokens_out, turns, urls
+from . import bpe, chunks, hpylm, langid, near, nbsvm, packing, pii, ranges, resample, suffixes, tokens_out, turns, urls
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -176,3 +176,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the n-grams of the benchmark, with the weights and scores of all."""
     return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of token ids filled by a seed document and its lexical neighbours."""
+    made = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
