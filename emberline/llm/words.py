@@ -38,27 +38,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, _INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+#: Powers are the product of one from a table of this many and one from a table of every so manieth.
+_LOW_BITS = 12
+_LOW = 1 << _LOW_BITS
 
 
-def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+@lru_cache(maxsize=1)
+def _low_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, _LOW), _powers(_INVERSE, _LOW)
 
 
 class Prefix:
-    """Hashes of any slices of one byte buffer, each from two reads of a running sum."""
+    """Hashes of any slices of one buffer of numbers, each from two reads of a running sum."""
 
     def __init__(self, data: np.ndarray):
-        up, self._down = _powers_for(len(data) + 1)
-        self._sum = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=self._sum[1:])
+        n = len(data)
+        blocks = (n >> _LOW_BITS) + 1
+        up, self._down = _low_powers()
+        high = _powers(pow(_BASE, _LOW, 1 << 64), blocks)
+        self._high_down = _powers(pow(_INVERSE, _LOW, 1 << 64), blocks)
+        worth = np.zeros(blocks << _LOW_BITS, dtype=np.uint64)
+        worth[:n] = data
+        worth[:n] += np.uint64(1)
+        rows = worth.reshape(blocks, _LOW)
+        rows *= up
+        rows *= high[:, None]
+        self._sum = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(worth[:n], out=self._sum[1:])
 
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sum[ends] - self._sum[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+        down = self._down[starts & (_LOW - 1)] * self._high_down[starts >> _LOW_BITS]
+        return mix((self._sum[ends] - self._sum[starts]) * down + (ends - starts).astype(np.uint64))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
