@@ -132,12 +132,24 @@ def scan_lake(spark, sf):
 
 @query(f"WITH {v.SQL_ENRICHED} SELECT {_FIELDS} FROM enriched")
 def mixed_lake(spark, sf):
-    """Half from a batch load, half from stream batches, one of them replayed; old days compacted; read as one."""
+    """Half from a batch load, half from stream batches; compacted while a batch of the same days lands, once stopped halfway,
+    once more over what the first one left; batches replayed before and after; read as one."""
     folder, rows = scratch_folder(spark), v.enriched(spark, sf)
+
+    def batch(n):
+        lake_sink.write_lake(rows.where(f"event_id % 8 = {1 + 2 * n}"), folder, n)
+
     lake_sink.write_lake(rows.where("event_id % 2 = 0"), folder)
-    for batch in (0, 1, 1):
-        lake_sink.write_lake(rows.where(f"event_id % 4 = {1 + 2 * batch}"), folder, batch)
-    lake_sink.compact(spark, folder, "2024-01-20")
+    for n in (0, 1, 1):
+        batch(n)
+    lake_sink.prepare_compaction(spark, folder, "2024-01-20")  # stops here
+    batch(2)
+    made = lake_sink.prepare_compaction(spark, folder, "2024-01-20")
+    batch(3)
+    lake_sink.commit_compaction(spark, folder, made)
+    batch(2)
+    lake_sink.compact(spark, folder, "2024-01-25")
+    lake_sink.sweep(spark, folder)
     return lake.scan_lake(spark, folder)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import RAW_SCHEMA
@@ -34,14 +36,15 @@ def list_folders(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.globStatus(jpath) or [] if s.isDirectory())
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jpath, fs = _hadoop_path(spark, path)
-    fs.delete(jpath, True)
+def folder_files(spark: SparkSession, folder: str) -> list[str]:
+    """Files directly in a folder (whose name is no pattern); none where it is missing."""
+    jpath, fs = _hadoop_path(spark, folder)
+    return [s.getPath().toString() for s in fs.listStatus(jpath) if s.isFile()] if fs.exists(jpath) else []
 
 
-def make_folder(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     jpath, fs = _hadoop_path(spark, path)
-    fs.mkdirs(jpath)
+    fs.delete(jpath, True)
 
 
 def move_path(spark: SparkSession, source: str, target: str) -> None:
@@ -53,6 +56,36 @@ def move_path(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not move {source} to {target}")
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    jpath, fs = _hadoop_path(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file, which is there whole or not at all; False where one of that name exists already."""
+    jvm, (target, fs) = spark._jvm, _hadoop_path(spark, path)
+    attempt = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(attempt)
+    out.write(bytearray(text.encode()))
+    out.close()
+    never_over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    never_over[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(attempt), fs.makeQualified(target), never_over)
+    except Py4JJavaError as error:
+        fs.delete(attempt, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False,
                glob: str | None = None) -> DataFrame:
     """Text lines with bad bytes replaced, plus the file and folder they came from."""

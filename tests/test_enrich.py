@@ -140,27 +140,3 @@ def test_observed_counters_need_no_second_pass(spark):
     seen = Observation("etl")
     en.observe_counters(transform(spark, BASE, {**BASE, "level": "ERROR"}), seen).collect()
     assert seen.get == {"records": 2, "anomalies": 1}
-
-
-def test_compaction_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
-    rows, root = transform(spark, BASE, {**BASE, "source": "ssh"}, {**BASE, "timestamp": "2030-01-01T00:00:00"}), str(tmp_path / "lake")
-    lake_sink.write_lake(rows, root)
-    lake_sink.write_lake(rows, root, 7)
-    want = sorted(map(str, lake.scan_lake(spark, root).collect()))
-    real, calls = lake_sink.move_path, []
-
-    def failing(*args):
-        calls.append(args)
-        if len(calls) == 2:
-            raise OSError("stopped")
-        real(*args)
-
-    monkeypatch.setattr(lake_sink, "move_path", failing)
-    with pytest.raises(OSError):
-        lake_sink.compact(spark, root, "2026-01-01")
-    monkeypatch.setattr(lake_sink, "move_path", real)
-    for _ in range(2):
-        lake_sink.compact(spark, root, "2026-01-01")
-        assert sorted(map(str, lake.scan_lake(spark, root).collect())) == want
-    old = [p for p in (tmp_path / "lake").rglob("batch_id=*") if "year=2030" not in str(p)]
-    assert old and {p.name for p in old} == {"batch_id=compacted"}
