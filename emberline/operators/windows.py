@@ -1,10 +1,16 @@
 """Sliding count windows over ordered rows of a key, safe for keys of any size.
 
 A window needs the ``size - 1`` rows before it. Keys with few rows are shuffled
-whole. A key with more than ``hot_rows`` rows is cut: its rows are range
-partitioned by key and order, and each partition hands copies of its last
-``size - 1`` rows to the partitions that follow. The copies complete the first
-windows of a block and are never reported themselves.
+whole. A key with more than ``hot_rows`` rows is cut into blocks of about
+``block_rows``: bounds are rows of a sample by hash, which merges like any
+aggregate, and each row finds its block by comparing its order columns with them.
+The last ``size - 1`` rows of a block, told by their rank, are stored once and
+handed to the blocks that follow. The copies complete the first windows of a block
+and are never reported themselves.
+
+So the plan of a window query reads its input once and shuffles it once. What it
+needs to know is found beforehand: a count by key, and only where a key is hot, its
+sample and the rows handed over.
 """
 
 from __future__ import annotations
@@ -15,9 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F, types as T
 
+from ..session import materialised
+
 SEQ_LEN = 10  # fixed value: rows per window
 HOT_ROWS = 2_000_000
+BLOCK_ROWS = 1_000_000
 KEYS = ["source", "host"]
+#: Rows of the sample for one bound, and the most bounds that are broadcast: blocks grow where there would be more.
+SAMPLED, MOST_BOUNDS = 16, 200_000
+#: Hot keys up to this number are broadcast to find their sample.
+LISTED_KEYS = 100_000
 
 
 def _same_keys(keys: list[str]) -> Column:
@@ -32,77 +45,80 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_rows"))
 
 
-def _tails(keys: list[str], carry: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of a sorted partition, then copies of its last rows for the next ``carry`` partitions.
+def _with_tie(df: DataFrame) -> DataFrame:
+    """Adds a hash of the row: rows of equal order follow it, so only rows equal in every column can change places."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.withColumn("_tie", F.xxhash64(*hashed))
 
-    Every range partition but the last holds at least one row (its upper bound),
-    so the ``carry`` partitions before one hold the ``carry`` rows it may miss.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            yield batch
-            table = pa.Table.from_batches([batch])
-            recent = table if tail is None else pa.concat_tables([tail, table])
-            tail = recent.slice(max(0, recent.num_rows - carry))
-        if tail is None:
-            return
-        tail = tail.combine_chunks()
-        last = tail.slice(tail.num_rows - 1).select(keys).to_pylist()[0]
-        same = [i for i, row in enumerate(tail.select(keys).to_pylist()) if row == last]
-        tail = tail.take(pa.array(same)).combine_chunks()
-        at_block = tail.schema.get_field_index("_block")
-        at_halo = tail.schema.get_field_index("_halo")
-        block = tail.column("_block")[0].as_py()
-        halo = pa.array([True] * tail.num_rows, pa.bool_())
-        for step in range(1, carry + 1):
-            moved = pa.array([block + step] * tail.num_rows, pa.int32())
-            copies = tail.set_column(at_block, tail.schema.field(at_block), moved)
-            copies = copies.set_column(at_halo, tail.schema.field(at_halo), halo)
-            yield from copies.to_batches()
-
-    return run
+def block_bounds(df: DataFrame, keys: list[str], order: list[str], hot_rows: int, block_rows: int) -> DataFrame | None:
+    """For each hot key the last rows (their order columns) of its blocks but the last one, sorted; None where no key is hot.
+
+    A block holds the row that bounds it, so only a key's last block can be empty.
+    """
+    hot = key_counts(df, keys).where(F.col("_rows") > hot_rows)
+    told = hot.agg(F.count("*").alias("keys"), F.sum("_rows").alias("rows")).first()
+    if not told["keys"]:
+        return None
+    block_rows = max(block_rows, told["rows"] // MOST_BOUNDS)
+    per_bound = min(SAMPLED, block_rows)
+    sample = df.select(*keys, F.struct(*order).alias("_at")).where(F.pmod(F.xxhash64(*keys, *order), F.lit(block_rows // per_bound)) == 0)
+    listed = hot.drop("_rows")
+    sample = sample.join(F.broadcast(listed) if told["keys"] <= LISTED_KEYS else listed, _same_keys(keys), "left_semi")
+    bounds = sample.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.sort_array(F.collect_list("_at")).alias("_bounds"))
+    bounds = bounds.withColumn("_bounds", F.array_distinct(F.filter("_bounds", lambda _, i: (i + 1) % per_bound == 0)))
+    bounds = bounds.withColumn("_width", F.ceil(F.sqrt(F.size("_bounds"))).cast("int")).where("_width > 0")
+    # the last bound of each group of so many, to be looked through first
+    ends = F.filter("_bounds", lambda _, i: (i + 1) % F.col("_width") == 0)
+    return materialised(bounds.withColumn("_ends", ends))
+
+
+def _block_of(order: list[str]) -> Column:
+    """How many bounds stand before a row: first among the groups' ends, then in one group."""
+    at = F.struct(*order)
+    groups = F.size(F.filter("_ends", lambda b: b < at))
+    within = F.size(F.filter(F.slice("_bounds", groups * F.col("_width") + 1, F.col("_width")), lambda b: b < at))
+    return groups * F.col("_width") + within
 
 
 def blocked(df: DataFrame, keys: list[str], order: list[str], size: int = SEQ_LEN,
-            hot_rows: int | None = HOT_ROWS, hot_blocks: int | None = None) -> DataFrame:
-    """Adds ``_block`` and ``_halo``: each (keys, _block) group has what its windows need.
+            hot_rows: int | None = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``_block``, ``_halo`` and ``_tie``: each (keys, _block) group has what its windows need.
 
-    The list of hot keys is broadcast; it has at most rows / ``hot_rows`` entries.
-    ``order`` must be unique within a key. ``hot_rows=None`` keeps keys whole.
+    Every block but a key's last holds a row, so the ``size - 1`` blocks before one hold the rows it may miss.
+    ``hot_rows=None`` keeps keys whole.
     """
-    plain = {"_block": F.lit(0), "_halo": F.lit(False)}
-    if hot_rows is None:
-        return df.withColumns(plain)
-    hot = F.broadcast(key_counts(df, keys).where(F.col("_rows") > hot_rows).drop("_rows"))
-    match = _same_keys(keys)
-    cold = df.join(hot, match, "left_anti").withColumns(plain)
-    parts = hot_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.join(hot, match, "left_semi").repartitionByRange(parts, *keys, *order)
-        .withColumns({"_block": F.spark_partition_id() + 1, "_halo": F.lit(False)})
-        .sortWithinPartitions(*keys, *order)
+    df = _with_tie(df)
+    bounds = None if hot_rows is None else block_bounds(df, keys, order, hot_rows, block_rows)
+    if bounds is None:
+        return df.withColumns({"_block": F.lit(0), "_halo": F.lit(False)})
+    here = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(_block_of(order))
+    told = [c for c in bounds.columns]
+    placed = df.join(F.broadcast(bounds), _same_keys(keys), "left").withColumns({"_block": here, "_halo": F.lit(False)})
+    carry = size - 1
+    last = W.partitionBy(*keys, "_block").orderBy(*[F.col(c).desc_nulls_last() for c in [*order, "_tie"]])
+    until = F.least(F.col("_block") + carry, F.size("_bounds"))
+    copies = (
+        df.join(F.broadcast(bounds), _same_keys(keys)).withColumns({"_block": _block_of(order), "_halo": F.lit(True)})
+        .where(F.col("_block") < F.size("_bounds"))
+        .withColumn("_rank", F.row_number().over(last)).where(F.col("_rank") <= carry).drop("_rank")
+        .withColumn("_block", F.explode(F.sequence(F.col("_block") + 1, until)))
     )
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields])
-    return cold.unionByName(ranged.mapInArrow(_tails(keys, size - 1), schema))
+    return placed.drop(*told).unionByName(materialised(copies.drop(*told)))
 
 
 def count_windows(df: DataFrame, columns: Callable[[WindowSpec], dict[str, Column]], order: list[str],
                   keys: list[str] = KEYS, size: int = SEQ_LEN, full: bool = True,
-                  hot_rows: int | None = HOT_ROWS, hot_blocks: int | None = None) -> DataFrame:
+                  hot_rows: int | None = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``columns(frame)`` over the last ``size`` rows; ``full`` drops shorter windows.
 
-    Hand in only the columns needed later: rows of a split key cross a Python
-    stage, which column pruning does not see through.
+    Hand in only the columns needed later: equal orders are told apart by a hash of all of them.
     """
-    split = blocked(df, keys, order, size, hot_rows, hot_blocks)
-    run = W.partitionBy(*keys, "_block").orderBy(*order)
+    split = blocked(df, keys, order, size, hot_rows, block_rows)
+    run = W.partitionBy(*keys, "_block").orderBy(*order, "_tie")
     made = split.withColumns({**columns(run.rowsBetween(-(size - 1), 0)), "_place": F.row_number().over(run)})
     made = made.where(~F.col("_halo") & (F.col("_place") >= (size if full else 1)))
-    return made.drop("_block", "_halo", "_place")
+    return made.drop("_block", "_halo", "_place", "_tie")
 
 
 def _needed(df: DataFrame, *names: str) -> DataFrame:
@@ -180,12 +196,7 @@ def full_windows(batches: Iterator[pa.RecordBatch], keys: list[str], width: int)
 
 
 def sorted_blocks(df: DataFrame, order: list[str], keys: list[str] = KEYS, size: int = SEQ_LEN,
-                  hot_rows: int | None = HOT_ROWS, hot_blocks: int | None = None) -> DataFrame:
-    """Rows shuffled once by (keys, _block) and sorted, ready for ``full_windows``.
-
-    The partition count is given, so that adaptive execution does not fold small
-    inputs into one task: what follows is bound by CPU, not by bytes.
-    """
+                  hot_rows: int | None = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows shuffled once by (keys, _block) and sorted, ready for ``full_windows``; adaptive execution sizes the partitions."""
     by = [*keys, "_block"]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocked(df, keys, order, size, hot_rows, hot_blocks).repartition(parts, *by).sortWithinPartitions(*by, *order)
+    return blocked(df, keys, order, size, hot_rows, block_rows).repartition(*by).sortWithinPartitions(*by, *order, "_tie")

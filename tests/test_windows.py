@@ -45,28 +45,55 @@ def found(df, **params):
 
 
 @pytest.mark.parametrize("size", [2, 3, 10])
-@pytest.mark.parametrize("hot_rows,blocks", [(None, None), (50, 4), (50, 40), (5, 200), (0, 7)])
-def test_split_keys_equal_brute_force(spark, size, hot_rows, blocks):
+@pytest.mark.parametrize("hot_rows,block_rows", [(None, 1), (50, 300), (50, 25), (5, 3), (0, 1), (0, 150)])
+def test_split_keys_equal_brute_force(spark, size, hot_rows, block_rows):
     rows, df = make(spark, {("ssh", "hot"): 900, ("ssh", "b"): 9, ("linux", "hot"): 120, ("linux", None): 60, ("x", "y"): 1},
                     same_time=("y",))
-    assert found(df, size=size, hot_rows=hot_rows, hot_blocks=blocks) == brute(rows, size)
+    assert found(df, size=size, hot_rows=hot_rows, block_rows=block_rows) == brute(rows, size)
 
 
 def test_equal_times_split_by_tie_break(spark):
     rows, df = make(spark, {("ssh", "burst"): 600, ("ssh", "b"): 30}, same_time=("burst",))
-    assert found(df, hot_rows=100, hot_blocks=16) == brute(rows, 10)
+    assert found(df, hot_rows=100, block_rows=40) == brute(rows, 10)
 
 
 def test_hot_key_spreads_over_blocks(spark):
     _, df = make(spark, {("ssh", "hot"): 4000, ("ssh", "b"): 40})
-    sizes = wd.blocked(df, ["source", "host"], ORDER, 10, 500, 16).where("host = 'hot'").groupBy("_block").count()
+    sizes = wd.blocked(df, ["source", "host"], ORDER, 10, 500, 250).where("host = 'hot'").groupBy("_block").count()
     rows = [r["count"] for r in sizes.collect()]
     assert len(rows) >= 12 and max(rows) < 1000
 
 
+def test_rows_of_equal_order_do_not_depend_on_the_cut(spark):
+    """An order that is not unique: whole and cut keys give the same windows, and equal rows stay several."""
+    rng = random.Random(8)
+    at = datetime(2024, 1, 1)
+    rows = [("s", "h", at + timedelta(seconds=rng.randrange(40)), rng.randrange(3), rng.random() < 0.1) for _ in range(500)]
+    df = spark.createDataFrame(rows, "source string, host string, event_time timestamp, event_id bigint, is_anomaly_candidate boolean")
+
+    def windows(**params):
+        got = wd.sliding_windows(df.repartition(6), ["event_time"], record=["event_id", "is_anomaly_candidate"], size=4, **params)
+        return sorted(map(str, got.collect()))
+
+    whole = windows(hot_rows=None)
+    assert len(whole) == 497 and windows(hot_rows=10, block_rows=20) == whole and windows(hot_rows=10, block_rows=2) == whole
+
+
+def test_plan_reads_once_and_shuffles_once(spark, sf):
+    from emberline.plans import views as v
+
+    rows = v.enriched(spark, sf)
+    for params in ({"hot_rows": 20, "block_rows": 30}, {}):
+        df = wd.sliding_windows(rows, v.ORDER, row_id="event_id", **params)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = plan.split("== Initial Plan ==")[0]
+        assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
+        assert "InArrow" not in plan and "REPARTITION_BY_NUM" not in plan
+
+
 def test_records_in_order(spark):
     rows, df = make(spark, {("ssh", "a"): 40})
-    got = wd.sliding_windows(df, ORDER, record=["event_id"], size=4, hot_rows=10, hot_blocks=5).collect()
+    got = wd.sliding_windows(df, ORDER, record=["event_id"], size=4, hot_rows=10, block_rows=8).collect()
     ids = [r[3] for r in sorted(rows, key=lambda r: (r[2], r[3]))]
     assert sorted([x["event_id"] for x in r["sequence"]] for r in got) == sorted(ids[i - 3: i + 1] for i in range(3, 40))
 
@@ -90,7 +117,7 @@ def test_full_windows_carry_over_batches(spark):
                 out = [(ids[e - 9], ids[e]) for e in ends]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-        blocks = wd.sorted_blocks(df, ORDER, hot_rows=100, hot_blocks=9)
+        blocks = wd.sorted_blocks(df, ORDER, hot_rows=100, block_rows=33)
         got = {(r.a, r.b) for r in blocks.mapInArrow(run, "a bigint, b bigint").collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
