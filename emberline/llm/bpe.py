@@ -214,3 +214,21 @@ def decode(df: DataFrame, file: str, ids: str = "ids", decoded: str = "decoded")
         return lambda column: (pa.array([decoder.decode(i) for i in column.to_pylist()], pa.string()),)
 
     return with_columns(df, [ids], [T.StructField(decoded, T.StringType())], start)
+
+
+def encode_and_decode(df: DataFrame, file: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens",
+                      decoded: str = "decoded") -> DataFrame:
+    """Both in one pass, so a task needs one Python worker: adds ``ids``, ``n_tokens`` and ``decoded``."""
+
+    def start():
+        encode_one, decoder = encoder(file).encode, Decoder(file)
+
+        def run(texts: pa.Array):
+            made = [encode_one(t) if t else b"" for t in texts.to_pylist()]
+            return (pa.array(made, pa.binary()), pa.array([len(m) // 4 for m in made], pa.int64()),
+                    pa.array([decoder.decode(m) for m in made], pa.string()))
+
+        return run
+
+    adds = [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType()), T.StructField(decoded, T.StringType())]
+    return with_columns(df, [text], adds, start)
