@@ -71,7 +71,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids, and whether decoding them gives the text back."""
     prepare(spark)
-    coded = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER, decoded="__decoded")
+    coded = bpe.encode_and_decode(docs, TOKENIZER, decoded="__decoded")
     return coded.withColumn("round_trip", F.col("__decoded") == F.coalesce("text", F.lit(""))).drop("__decoded")
 
 
