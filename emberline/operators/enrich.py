@@ -73,10 +73,10 @@ def batch_counters(enriched: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def observe_counters(enriched: DataFrame, name: str | Observation = "etl") -> DataFrame:
-    """The same counters as metrics of the running query, without another pass: for an observation or a listener."""
+def observe_counters(enriched: DataFrame, name: str | Observation = "etl", *more: Column) -> DataFrame:
+    """The same counters, and ``more``, as metrics of the running query, without another pass: for an observation or a listener."""
     return enriched.observe(
-        name, F.count(F.lit(1)).alias("records"), F.count_if(F.col("is_anomaly_candidate")).alias("anomalies"))
+        name, F.count(F.lit(1)).alias("records"), F.count_if(F.col("is_anomaly_candidate")).alias("anomalies"), *more)
 
 
 def anomaly_rate(enriched: DataFrame, *by: str, totals: bool = False) -> DataFrame:

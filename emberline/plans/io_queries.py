@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import times
-from ..operators import board as bd, enrich as en
+from ..operators import board as bd, metrics as mt
 from ..schemas import ANOMALY_SCHEMA, ENRICHED_FIELDS, ENTRY_FIELDS, FEEDBACK_SCHEMA, RAW_SCHEMA
 from ..session import scratch_folder
 from ..sinks import lake as lake_sink, topics as sink
 from ..sources import files, lake, topics
-from ..streaming import board as sb, etl, scoring, windows as sw
-from . import ingest_queries, views as v  # noqa: F401
+from ..streaming import board as sb, etl, late, scoring, series, windows as sw
+from . import board_queries, ingest_queries, views as v  # noqa: F401
 from .catalog import ORACLES, query
 
 DRAIN = {"availableNow": True}
@@ -172,16 +172,46 @@ def _event_stream(spark, sf) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Rows of a file of a feed, about, and the fewest files.
+FEED_ROWS, FEED_FILES = 12_500, 4
+#: Rows of a feed are out of order by up to this, and streams wait so long for them.
+DISORDER = "2 hours"
+
+
+def _feed(messages: DataFrame, position: str, folder: str) -> None:
+    """Messages as files of a topic folder, in ranges of ``position``; files of later ranges are younger. No task sees more than a range."""
+    spark = messages.sparkSession
+    parts = max(FEED_FILES, -(-messages.count() // FEED_ROWS))
+    messages.repartitionByRange(parts, position).sortWithinPartitions(position).select("key", "value").write.mode("append").json(folder)
+    files.date_files(spark, files.list_paths(spark, f"{folder}/part-*"))
+
+
+def _shaken(at: Column, *by: str) -> Column:
+    """A time in microseconds, moved by up to half of ``DISORDER`` either way."""
+    hour = 3_600_000_000
+    return F.unix_micros(at) + F.pmod(F.xxhash64(*by), F.lit(2 * hour)) - hour
+
+
+def _processed_feed(spark, sf, folder: str) -> DataFrame:
+    """Processed messages out of order in several files, and a last one long after them, so that the watermark passes all; as a stream.
+
+    The last message is one row of a key of its own: it ends no window.
+    """
+    rows = v.enriched(spark, sf)
+    messages = sink.as_message(rows.withColumn("_at", _shaken(F.col("event_time"), "event_id")), F.col("event_id").cast("string"), ENRICHED_FIELDS, "_at")
+    _feed(messages, "_at", f"{folder}/in")
+    last = rows.limit(1).withColumns({"timestamp": F.lit("2100-01-01T00:00:00+00:00"), "source": F.lit("~"), "host": F.lit("~")})
+    sink.as_message(last, F.lit("-1"), ENRICHED_FIELDS).write.mode("append").json(f"{folder}/in")
+    fed = topics.stream_folder(spark, f"{folder}/in", 1).withColumn("position", F.col("key").cast("bigint"))
+    return scoring.processed_rows(fed)
+
+
 @query(f"WITH {v.SQL_WINDOWS} SELECT source, host, event_id AS last_id, label, message AS last_message FROM wins")
 def stream_windows(spark, sf):
-    """Windows out of keyed stream state; the same rows as in batch."""
+    """Windows out of keyed stream state, from rows out of order over several micro-batches; the same rows as in batch."""
     folder = scratch_folder(spark)
-    rows = en.enrich(v.raw_logs_of(_event_stream(spark, sf)), v.BATCH_TIME)
-    found = sw.stream_windows(rows, "event_id")
-    (found.writeStream.format("parquet").option("path", f"{folder}/windows").option("checkpointLocation", f"{folder}/checkpoint")
-     .trigger(**DRAIN).start().awaitTermination())
-    return spark.read.schema(found.schema).parquet(f"{folder}/windows").select(
-        "source", "host", F.col("position").alias("last_id"), "label", F.element_at("sequence", -1)["message"].alias("last_message"))
+    found = _drained(sw.stream_windows(_processed_feed(spark, sf, folder), "position", lateness=DISORDER), folder)
+    return found.select("source", "host", F.col("position").alias("last_id"), "label", F.element_at("sequence", -1)["message"].alias("last_message"))
 
 
 @query(f"WITH {v.SQL_ENRICHED} SELECT {_FIELDS} FROM enriched")
@@ -194,17 +224,6 @@ def stream_etl(spark, sf):
     return lake.scan_lake(spark, targets.lake)
 
 
-FEED_FILES = 4
-
-
-def _feed(messages: DataFrame, position: str, folder: str) -> None:
-    """Messages as files of a topic folder, in order of ``position`` and of their times of writing."""
-    ranged = messages.withColumn("_part", F.ntile(FEED_FILES).over(W.orderBy(position))).persist()
-    for part in range(1, FEED_FILES + 1):
-        ranged.where(F.col("_part") == part).select("key", "value").coalesce(1).write.mode("append").json(folder)
-    ranged.unpersist()
-
-
 def _drained(stream: DataFrame, folder: str) -> DataFrame:
     (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
      .trigger(**DRAIN).start().awaitTermination())
@@ -215,7 +234,7 @@ def _drained(stream: DataFrame, folder: str) -> DataFrame:
 def stream_raw(spark, sf):
     """The raw topic as a folder of several files, read one a micro-batch."""
     folder, rows = scratch_folder(spark), v.raw_logs(spark, sf)
-    _feed(sink.raw_messages(rows).withColumn("_at", F.get_json_object("value", "$.raw")), "_at", f"{folder}/in")
+    _feed(sink.as_message(rows, "source", ENTRY_FIELDS, "raw"), "raw", f"{folder}/in")
     read = topics.decode(topics.stream_folder(spark, f"{folder}/in", 1), RAW_SCHEMA)
     return _drained(read.select(*ENTRY_FIELDS), folder)
 
@@ -224,7 +243,7 @@ def stream_raw(spark, sf):
 def stream_anomalies(spark, sf):
     """The anomaly topic as a folder of several files; the place of a message is its key here."""
     folder, rows = scratch_folder(spark), v.ml_anomalies(spark, sf)
-    _feed(sink.as_message(rows, F.col("arrival").cast("string"), sink.ANOMALY_FIELDS).withColumn("_at", F.col("key").cast("bigint")), "_at", f"{folder}/in")
+    _feed(sink.as_message(rows, F.col("arrival").cast("string"), sink.ANOMALY_FIELDS, "arrival"), "arrival", f"{folder}/in")
     read = sb.anomaly_rows(topics.stream_folder(spark, f"{folder}/in", 1), F.col("key").cast("bigint"))
     number = {c: F.col(c).cast("double").alias(c) for c in ("anomaly_score", "threshold", "severity_ratio")}
     return _drained(read, folder).select("arrival", "detected_at", "source", "host", *number.values(), "model_version")
@@ -233,14 +252,11 @@ def stream_anomalies(spark, sf):
 @query(v.SQL_RULE_HITS)
 def stream_scoring(spark, sf):
     """Processed messages through stateful windows and a scorer, over several micro-batches; the same hits as in batch."""
-    folder, rows = scratch_folder(spark), v.enriched(spark, sf)
-    messages = sink.as_message(rows, F.col("event_id").cast("string"), ENRICHED_FIELDS)
-    placed = messages.withColumn("_at", F.struct(F.get_json_object("value", "$.timestamp"), F.col("key").cast("bigint")))
-    _feed(placed, "_at", f"{folder}/in")
-    fed = topics.stream_folder(spark, f"{folder}/in", 1).withColumn("position", F.col("key").cast("bigint"))
+    folder = scratch_folder(spark)
+    fed = _processed_feed(spark, sf, folder)
     inputs, model = v.rule_scorer(spark, sf)
-    scoring.run_scoring(scoring.processed_rows(fed), "position", inputs, model, v.RULE_THRESHOLD, v.BATCH_ISO, f"{folder}/sent",
-                        f"{folder}/checkpoint", DRAIN).awaitTermination()
+    scoring.run_scoring(fed, "position", inputs, model, v.RULE_THRESHOLD, v.BATCH_ISO, f"{folder}/sent",
+                        f"{folder}/checkpoint", DRAIN, lateness=DISORDER, idle_minutes=None).awaitTermination()
     sent = topics.read_folder(spark, f"{folder}/sent").select("key", F.from_json("value", ANOMALY_SCHEMA).alias("m"))
     return sent.select(F.col("key").alias("source"), "m.host", "m.anomaly_score", "m.severity_ratio",
                        F.array_join("m.sequence.message", "|").alias("messages"))
@@ -290,3 +306,55 @@ def stream_board(spark, sf):
     folder = scratch_folder(spark)
     sb.run_board(bd.board_rows(_anomaly_stream(spark, sf)), f"{folder}/board", f"{folder}/checkpoint", DRAIN).awaitTermination()
     return sb.read_board(spark, f"{folder}/board").select("arrival", "source", "host", "message", "score", "status", "received")
+
+
+# ---- Infrastructure series as streams --------------------------------------
+
+def _points_stream(spark, sf, folder: str, value: str) -> DataFrame:
+    """Points out of order in several files, and a last one of a series of its own long after them; as a stream."""
+    points = v.infra_points(spark, sf).select("event_id", "ts", F.col("resource").cast("long").alias("resource"), F.col(value).cast("double").alias("value"))
+    record = F.struct("event_id", F.unix_micros("ts").alias("micros"), "resource", "value")
+    _feed(points.select(F.lit("").alias("key"), F.to_json(record).alias("value"), _shaken(F.col("ts"), "event_id").alias("_at")), "_at", f"{folder}/in")
+    last = points.limit(1).withColumns({"ts": F.lit("2100-01-01").cast("timestamp"), "resource": F.lit(-1).cast("long"), "value": F.lit(0.0)})
+    last.select(F.lit("").alias("key"), F.to_json(record).alias("value")).write.mode("append").json(f"{folder}/in")
+    told = F.from_json("value", "event_id long, micros long, resource long, value double").alias("p")
+    fed = topics.stream_folder(spark, f"{folder}/in", 1).select(told).select("p.*")
+    return fed.withColumn("ts", F.timestamp_micros("micros"))
+
+
+@query(ORACLES["align_mean"])
+def stream_align_mean(spark, sf):
+    folder = scratch_folder(spark)
+    found = _drained(series.stream_mean(_points_stream(spark, sf, folder, "gauge"), ["resource"], "event_id", lateness=DISORDER), folder)
+    return found.where("resource >= 0").withColumn("value", F.round("value", 10))
+
+
+@query(ORACLES["align_rate"])
+def stream_align_rate(spark, sf):
+    folder = scratch_folder(spark)
+    found = _drained(series.stream_rate(_points_stream(spark, sf, folder, "counter"), ["resource"], "event_id", lateness=DISORDER), folder)
+    return found.where("resource >= 0").withColumn("value", F.round("value", 6))
+
+
+@query(ORACLES["align_delta"])
+def stream_align_delta(spark, sf):
+    folder = scratch_folder(spark)
+    found = _drained(series.stream_delta(_points_stream(spark, sf, folder, "counter"), ["resource"], "event_id", lateness=DISORDER), folder)
+    return found.where("resource >= 0")
+
+
+@query(ORACLES["sustained_alert"])
+def stream_sustained_alert(spark, sf):
+    """Alerts that closed: the stretches of the batch query."""
+    folder = scratch_folder(spark)
+    alerts = series.stream_alert(_points_stream(spark, sf, folder, "gauge"), ["resource"], "event_id", series.MEAN, 45.0, mt.MEAN_SECONDS, 2, DISORDER)
+    closed = _drained(alerts, folder).where("event = 'close' AND resource >= 0").drop("event")
+    return closed.withColumn("peak", F.round("peak", 10))
+
+
+@query(ORACLES["restart_alert"])
+def stream_restart_alert(spark, sf):
+    """Restart alerts that closed."""
+    folder = scratch_folder(spark)
+    alerts = series.stream_alert(_points_stream(spark, sf, folder, "counter"), ["resource"], "event_id", series.DELTA, mt.RESTART_LIMIT, mt.DELTA_SECONDS, 1, DISORDER)
+    return _drained(alerts, folder).where("event = 'close' AND resource >= 0").drop("event")

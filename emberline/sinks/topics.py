@@ -10,11 +10,12 @@ from ..schemas import ENRICHED_FIELDS, ENTRY_FIELDS, FEEDBACK_SCHEMA
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
-def as_message(df: DataFrame, key: str | Column, fields: list[str]) -> DataFrame:
-    """One ``key``, ``value`` row per input row; nulls stay in the JSON."""
+def as_message(df: DataFrame, key: str | Column, fields: list[str], *keep: str) -> DataFrame:
+    """One ``key``, ``value`` row per input row, with the columns ``keep``; nulls stay in the JSON."""
     return df.select(
         (F.col(key) if isinstance(key, str) else key).alias("key"),
         F.to_json(F.struct(*fields), KEEP_NULLS).alias("value"),
+        *keep,
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -47,6 +48,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def date_files(spark: SparkSession, paths: list[str]) -> None:
+    """Sets the files' times of change one millisecond after another, in the order given, the last one now: streams read files by them."""
+    now = int(time.time() * 1000)
+    for i, path in enumerate(paths):
+        jpath, fs = _hadoop_path(spark, path)
+        fs.setTimes(jpath, now - len(paths) + 1 + i, -1)
+
+
 def move_path(spark: SparkSession, source: str, target: str) -> None:
     """Renames; the folder above the target is made where it is missing."""
     jpath, fs = _hadoop_path(spark, source)
@@ -66,6 +75,14 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written over where it exists."""
+    jpath, fs = _hadoop_path(spark, path)
+    out = fs.create(jpath, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def write_new(spark: SparkSession, path: str, text: str) -> bool:
     """Creates a small file, which is there whole or not at all; False where one of that name exists already."""
     jvm, (target, fs) = spark._jvm, _hadoop_path(spark, path)

@@ -49,11 +49,6 @@ def incident_stream(board: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return timed.withWatermark("incident_time", lateness).dropDuplicatesWithinWatermark(bd.INCIDENT_KEY)
 
 
-def late_rows(rows: DataFrame, event_time: str, seen_upto: str, lateness: str = LATENESS) -> DataFrame:
-    """Rows a watermark at ``seen_upto`` minus ``lateness`` leaves out, for a side table."""
-    return rows.where(F.col(event_time) < F.lit(seen_upto).cast("timestamp") - F.expr(f"interval {lateness}"))
-
-
 def windowed_counts(anomalies: DataFrame, period: str = "1 minute", lateness: str = LATENESS) -> DataFrame:
     """Messages, mean score and worst ratio per source and period, for update mode."""
     return (

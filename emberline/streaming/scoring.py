@@ -10,7 +10,7 @@ from ..schemas import ENRICHED_SCHEMA
 from ..sinks import topics as sink
 from ..sources import topics
 from ..sources.lake import with_event_time
-from .windows import RECORD, stream_runs
+from .windows import LATENESS, RECORD, stream_runs
 
 IDLE_MINUTES = 24 * 60
 
@@ -21,22 +21,18 @@ def processed_rows(messages: DataFrame) -> DataFrame:
 
 
 def score_stream(enriched: DataFrame, position: str, inputs: Inputs, model, threshold: float, computed_at: str,
-                 idle_minutes: int | None = None) -> DataFrame:
+                 lateness: str = LATENESS, idle_minutes: int | None = IDLE_MINUTES) -> DataFrame:
     """Anomaly payload rows of windows whose score exceeds the threshold."""
-    runs = stream_runs(enriched, position, inputs.seq_len, idle_minutes)
+    runs = stream_runs(enriched, position, inputs.seq_len, lateness, idle_minutes)
     hits = score_runs(runs, inputs, model, threshold, ["source", "host"], RECORD)
     return sink.anomaly_payload(hits, threshold, computed_at).drop("label")
 
 
 def run_scoring(enriched: DataFrame, position: str, inputs: Inputs, model, threshold: float, computed_at: str, target: str,
                 checkpoint: str, trigger: dict | None = None, kafka: dict[str, str] | None = None,
-                idle_minutes: int | None = IDLE_MINUTES) -> StreamingQuery:
-    """Keys silent for ``idle_minutes`` lose their kept rows, so state stays as large as what is active.
-
-    A run that drains what is there and stops has no such timer: one that runs by the clock would keep it from ending.
-    """
-    idle = None if trigger and "availableNow" in trigger else idle_minutes
-    payload = sink.anomaly_messages(score_stream(enriched, position, inputs, model, threshold, computed_at, idle))
+                lateness: str = LATENESS, idle_minutes: int | None = IDLE_MINUTES) -> StreamingQuery:
+    """Keys silent for ``idle_minutes`` of event time lose their kept rows, so state stays as large as what is active."""
+    payload = sink.anomaly_messages(score_stream(enriched, position, inputs, model, threshold, computed_at, lateness, idle_minutes))
     writer = payload.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "1 second"}))
     if kafka:
