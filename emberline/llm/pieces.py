@@ -6,7 +6,8 @@ pattern's rules become comparisons of neighbours. A piece is known by a 64-bit h
 arena, found through a table of slots. A slot that holds another piece, or none, is a miss: distinct missing pieces of a batch
 are encoded by the library and take their slots over, so memory is bounded and results don't depend on it.
 
-Texts that hold the string of a special token go to the library whole.
+Texts that hold the string of a special token go to the library whole. ``PieceTable`` is the part that does not depend on the
+tokenizer; other encoders cut and encode pieces their own way.
 """
 
 from __future__ import annotations
@@ -79,24 +80,19 @@ def starts_of_pieces(codes: np.ndarray, edges: np.ndarray, table: np.ndarray) ->
     return np.flatnonzero(out)
 
 
-class PieceEncoder:
-    """Ids of texts under a byte-level BPE file, with no special tokens added."""
+class PieceTable:
+    """Ids of texts whose pieces are encoded one by one; ids of pieces met before are remembered in bounded memory."""
 
-    def __init__(self, file: str, table: np.ndarray):
-        self.table = table
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        with open(file, encoding="utf-8") as f:
-            cut = json.load(f)["pre_tokenizer"]
-        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
-            raise ValueError("the file's pre-tokenizer is not the plain byte-level one")
-        self.library = Tokenizer.from_file(file)
-        self.library.no_truncation()
-        self.library.no_padding()
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)").search
-        self.signs = [sign for sign, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+    def __init__(self):
         self.empty()
 
+    def starts(self, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where pieces start in the code points of texts that begin at ``edges``; the first starts at 0, and texts part pieces."""
+        raise NotImplementedError
+
+    def piece(self, text: str) -> list[int]:
+        raise NotImplementedError
+
     def empty(self) -> None:
         self.keys = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
         self.at = np.zeros(1 << SLOT_BITS, dtype=np.int64)
@@ -104,9 +100,6 @@ class PieceEncoder:
         self.arena = np.zeros(1 << 20, dtype=np.uint32)
         self.filled = 0
 
-    def piece(self, text: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize("".join([self.signs[b] for b in text.encode()]))]
-
     def _learn(self, h: np.ndarray, first: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Puts the ids of new pieces into the arena; where they stand, and how many."""
         ids = [self.piece(t) for t in first]
@@ -121,17 +114,8 @@ class PieceEncoder:
         # of pieces with one slot in common the last stays, in all three tables alike
         return at, size
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
-        special = [i for i, t in enumerate(texts) if self.special(t)]
-        if special:
-            own = {i: self.library.encode(texts[i], add_special_tokens=False).ids for i in special}
-            plain = [t for i, t in enumerate(texts) if i not in own]
-            ids, counts = self.encode(plain)
-            parts, rest = iter(np.split(ids, np.cumsum(counts)[:-1])) if plain else iter(()), []
-            for i in range(len(texts)):
-                rest.append(np.array(own[i], dtype=np.uint32) if i in own else next(parts))
-            return np.concatenate(rest), np.array([len(r) for r in rest], dtype=np.int64)
         if self.filled > ARENA:
             self.empty()
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -141,7 +125,7 @@ class PieceEncoder:
         if len(codes) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         edges = ends - lengths
-        starts = starts_of_pieces(codes, edges, self.table)
+        starts = self.starts(codes, edges)
         stops = np.append(starts[1:], len(codes))
         h = Prefix(codes).slices(starts, stops) | np.uint64(1)
         slot = h >> np.uint64(64 - SLOT_BITS)
@@ -159,6 +143,41 @@ class PieceEncoder:
         return ids, np.diff(upto)
 
 
+class PieceEncoder(PieceTable):
+    """Ids of texts under a byte-level BPE file, with no special tokens added."""
+
+    def __init__(self, file: str, table: np.ndarray):
+        super().__init__()
+        self.table = table
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        with open(file, encoding="utf-8") as f:
+            cut = json.load(f)["pre_tokenizer"]
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("the file's pre-tokenizer is not the plain byte-level one")
+        self.library = Tokenizer.from_file(file)
+        self.library.no_truncation()
+        self.library.no_padding()
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)").search
+        self.signs = [sign for sign, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+
+    def starts(self, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        return starts_of_pieces(codes, edges, self.table)
+
+    def piece(self, text: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize("".join([self.signs[b] for b in text.encode()]))]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; texts with special tokens' strings go to the library."""
+        own = {i: self.library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if self.special(t)}
+        ids, counts = self.encode_plain(["" if i in own else t for i, t in enumerate(texts)])
+        if not own:
+            return ids, counts
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        rest = [np.array(own[i], dtype=np.uint32) if i in own else p for i, p in enumerate(parts)]
+        return np.concatenate(rest), np.array([len(r) for r in rest], dtype=np.int64)
+
+
 _made: dict[str, PieceEncoder] = {}
 
 

@@ -43,6 +43,7 @@ from tokenizers import Tokenizer
 
 from .batches import bounded
 from .bpe import byte_alphabet
+from .pieces import PieceTable
 from .ranges import NULL_ID, bounds_of
 
 MAGIC = b"EMTK0001"
@@ -55,17 +56,54 @@ DICTIONARY_DOCUMENTS, DICTIONARY_TOKENS, DICTIONARY_BYTES = 1_000, 4_096, 32_768
 #: Documents of a shard, about; a shard of more frame bytes than the second figure is written in parts.
 SHARD_DOCUMENTS, SHARD_BYTES = 8_192, 64 << 20
 LEVEL = 3
-#: Distinct pieces a worker remembers, in each of two generations.
+#: Distinct words of other texts a worker remembers.
 REMEMBERED = 250_000
 
-# The tokenizer's pattern of pieces, and texts of tab, line ends, and printable Latin up to Extended-B but I with dot.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Fixed value: texts of tab, line ends, and printable Latin up to Extended-B but I with dot.
 LATIN = "[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]*"
 
 _MANIFEST = T.StructType([T.StructField(n, t) for n, t in (
     ("file", T.StringType()), ("documents", T.LongType()), ("tokens", T.LongType()), ("bytes", T.LongType()))])
 
 
+class LatinPieces(PieceTable):
+    """Lower-cased Latin texts, cut as the tokenizer cuts them; white space is a piece without ids."""
+
+    def __init__(self, model, signs: list[str]):
+        super().__init__()
+        self.model, self.signs = model, signs
+        letters, numbers = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
+        # classes of Latin code points and their small letters: white space 0, letters 1, digits 2, other signs 3
+        self.kinds = np.array([0 if chr(i).isspace() else 1 if letters(chr(i)) else 2 if numbers(chr(i)) else 3 for i in range(0x2D00)], dtype=np.uint8)
+
+    def starts(self, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        n = len(codes)
+        kind = self.kinds[codes]
+        begins = np.zeros(n + 1, dtype=bool)
+        begins[edges] = begins[n] = True
+        out = begins[:n] | (kind == 2)  # every digit stands alone
+        out[1:] |= kind[1:] != kind[:-1]
+        at = np.flatnonzero(out & (codes == 0x27))  # an apostrophe that no other sign leads
+        at = at[~begins[at + 1]]
+        first = codes[at + 1]
+        short = at[np.isin(first, [ord(c) for c in "stmd"])]
+        long = at[np.isin(first, [ord(c) for c in "rvl"])]
+        long = long[~begins[long + 2]]
+        pair = codes[long + 1].astype(np.int64) << 16 | codes[long + 2]
+        long = long[np.isin(pair, [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")])]
+        for places, size in ((short, 2), (long, 3)):
+            out[places + 1] = False
+            after = places + size
+            out[after[after < n]] = True
+        return np.flatnonzero(out)
+
+    def piece(self, text: str) -> list[int]:
+        if text.isspace():
+            return []
+        # lower-cased and cut already: only the merges are left to do
+        return [t.id for t in self.model.tokenize(text if text.isascii() else "".join([self.signs[b] for b in text.encode()]))]
+
+
 class WordEncoder:
     """Encodes by pieces that the tokenizer's own rules keep apart, remembering pieces met before.
 
@@ -80,35 +118,33 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.latin = regex.compile(LATIN).fullmatch
-        self.pieces = regex.compile(PIECES).findall
         self.special = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
                                      or "(?!)").search
-        self.signs = [sign for sign, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])]
+        self.pieces = LatinPieces(self.library.model, [sign for sign, _ in sorted(byte_alphabet().items(), key=lambda x: x[1])])
         self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
         return self.latin(text) is not None and not ("<" in text and self.special(text))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.plain(t) for t in texts]
-        split = [self.pieces(t.lower()) if p else
-                 t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t, p in zip(texts, plain)]
-        new, old, model, signs = self.new, self.old, self.library.model, self.signs
-        for piece in set().union(*(s for s, p in zip(split, plain) if p)).difference(new):
-            known = old.get(piece)
-            if known is None:  # lower-cased and cut already: only the merges are left to do
-                ids = [t.id for t in model.tokenize(piece if piece.isascii() else "".join([signs[b] for b in piece.encode()]))]
-                known = np.array(ids, dtype="<u4").tobytes()
-            new[piece] = known
-        words = list(set().union(*(s for s, p in zip(split, plain) if not p)).difference(new))
-        for a in range(0, len(words), 10_000):
-            some = words[a:a + 10_000]
+        ids, counts = self.pieces.encode_plain([t.lower() if p else "" for t, p in zip(texts, plain)])
+        out = np.split(ids.astype("<u4", copy=False), np.cumsum(counts)[:-1]) if texts else []
+        for i, p in enumerate(plain):
+            if not p:
+                out[i] = self._by_words(texts[i])
+        return out
+
+    def _by_words(self, text: str) -> np.ndarray:
+        words, new = text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" "), self.new
+        unseen = list(set(words).difference(new))
+        for a in range(0, len(unseen), 10_000):
+            some = unseen[a:a + 10_000]
             coded = self.library.encode_batch_fast(some, add_special_tokens=False)
             new.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(some, coded))
-        out = [np.frombuffer(b"".join(map(new.__getitem__, ws)), dtype="<u4") for ws in split]
+        out = np.frombuffer(b"".join(map(new.__getitem__, words)), dtype="<u4")
         if len(new) > REMEMBERED:
-            self.old, self.new = new if len(new) < 2 * REMEMBERED else {}, {}
+            new.clear()
         return out
 
 
@@ -270,7 +306,7 @@ def write(docs: DataFrame, file: str, folder: str, end: int, doc_id: str = "doc_
             yield flush(shard, part, rows)
 
     coded = docs.mapInArrow(frames, "shard int, id long, n long, frame binary")
-    dealt = coded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "id", "frame")
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "frame")
     manifest = sorted(dealt.mapInArrow(files, _MANIFEST).collect(), key=lambda r: r["file"])
     return TokenFiles(folder, dictionary, manifest)
 
