@@ -14,6 +14,31 @@ def fit_threshold(validation: DataFrame, percentile: float = THRESHOLD_PERCENTIL
     return exact_percentile(validation, score, percentile)
 
 
+#: Size of a sketch of scores, and the rank error it keeps with a probability of 99 %, also after merging.
+SKETCH_SIZE, SKETCH_ERROR = 4_096, 0.0015
+
+
+def score_sketches(scored: DataFrame, *by: str, score: str = "score") -> DataFrame:
+    """One sketch of the scores (some ten kilobytes) per ``by``, such as day and label: to be stored, and merged over any of them."""
+    return scored.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(score).cast("double"), F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def sketch_percentile(sketches: DataFrame, percentile: float, *by: str) -> DataFrame:
+    """``threshold`` and number ``n`` of scores from merged sketches; its rank is off by at most ``SKETCH_ERROR``."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*by, F.kll_sketch_get_n_double("sketch").alias("n"),
+                         F.kll_sketch_get_quantile_double("sketch", F.lit(percentile / 100)).alias("threshold"))
+
+
+def sketch_sweep(sketches: DataFrame, thresholds: list[float], *by: str) -> DataFrame:
+    """Scores above each threshold, about, from merged sketches: no window is scored or read again."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    n = F.kll_sketch_get_n_double("sketch")
+    rows = [F.struct(F.lit(float(t)).alias("threshold"), F.round(n * (1 - F.kll_sketch_get_rank_double("sketch", F.lit(float(t))))).cast("bigint").alias("above"))
+            for t in thresholds]
+    return merged.select(*by, n.alias("n"), F.inline(F.array(*rows)))
+
+
 def ml_anomalies(scored: DataFrame, threshold: float, score: str = "score") -> DataFrame:
     return scored.where(F.col(score) > F.lit(threshold))
 

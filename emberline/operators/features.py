@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text
+from ..session import materialised
 from ..shared import Shared
 
 # --- Fixed values: category order, sizes, seed and scale of the embedding table. ---
@@ -140,93 +141,84 @@ def log_vectors(enriched: DataFrame, encoder: Encoder, name: str = "vector") ->
     return enriched.withColumn(name, F.concat(plain, embed(F.col("message"))))
 
 
-def embedding_relation(spark, encoder: Encoder, dims: int) -> DataFrame:
-    """The first ``dims`` embedding values per vocabulary rank, as a small table."""
-    rows = [(i, *[float(x) for x in encoder.table[i, :dims]]) for i in range(len(encoder.tokens) + 1)]
-    return spark.createDataFrame(rows, "idx int, " + ", ".join(f"e{d} double" for d in range(dims)))
-
-
-def relational_embedding(words: DataFrame, vocabulary: DataFrame, table: DataFrame, dims: int,
-                         row_id: str) -> DataFrame:
-    """The same means by joins and averages, for checking the vectorised path."""
-    placed = lookup(words, vocabulary).join(F.broadcast(table), "idx")
-    return placed.groupBy(row_id).agg(*[F.avg(f"e{d}").alias(f"e{d}") for d in range(dims)])
-
-
-def fit_plain_scaler(enriched: DataFrame) -> DataFrame:
-    """Mean and population deviation of the 13 values that need no text, on normal rows."""
-    dims = plain_dims(F.col("source"), F.col("level"), F.col("hour"))
-    stats = enriched.where(~F.col("is_anomaly_candidate")).agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(dims)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(dims)],
-    )
-    pairs = F.array(*[
-        F.struct(F.lit(i).alias("dim"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("deviation"))
-        for i in range(len(dims))
-    ])
-    out = stats.select(F.inline(pairs))
-    return out.select("dim", "mean", F.when(F.col("deviation") == 0, F.lit(1.0)).otherwise(F.col("deviation")).alias("scale"))
+_MOMENTS = "dim int, n bigint, mean double, m2 double"
 
 
-_MOMENTS = "dim int, n bigint, mean double, m2 double"
+class Moments:
+    """Count, mean and squared deviation of each value, added up chunk by chunk."""
 
+    def __init__(self):
+        self.n, self.mean, self.m2 = 0, 0.0, 0.0
 
-def _moments(chunks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Count, mean and squared deviation per value over all chunks of a task, one row per value."""
-    n, mean, m2 = 0, None, None
-    for chunk in chunks:
+    def add(self, chunk: np.ndarray) -> None:
         k = len(chunk)
         if k == 0:
-            continue
+            return
         x = chunk.astype(np.float64)
         mu = x.mean(axis=0)
-        dev = ((x - mu) ** 2).sum(axis=0)
-        if n == 0:
-            n, mean, m2 = k, mu, dev
-        else:
-            step = mu - mean
-            m2 = m2 + dev + step**2 * n * k / (n + k)
-            mean = mean + step * k / (n + k)
-            n += k
-    if n:
-        dims = len(mean)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(dims, dtype=np.int32)), pa.array([n] * dims, pa.int64()), pa.array(mean), pa.array(m2)],
-            names=["dim", "n", "mean", "m2"])
-
-
-def _merge_moments(parts: DataFrame) -> DataFrame:
-    """``dim``, ``mean``, ``scale`` (population deviation, 1 where it is 0) from one row per task and value."""
-    means = parts.groupBy("dim").agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.collect_list(F.struct("n", "mean", "m2")).alias("parts"),
-    )
-    total = F.aggregate(
-        "parts", F.lit(0.0), lambda acc, p: acc + p["m2"] + p["n"] * F.pow(p["mean"] - F.col("mean"), F.lit(2.0)))
-    deviation = F.sqrt(total / F.col("n"))
-    return means.select("dim", "mean", F.when(deviation == 0, F.lit(1.0)).otherwise(deviation).alias("scale"))
+        step = mu - self.mean
+        self.m2 = self.m2 + ((x - mu) ** 2).sum(axis=0) + step**2 * self.n * k / (self.n + k)
+        self.mean = self.mean + step * k / (self.n + k)
+        self.n += k
 
 
-def fit_scaler(vectors: DataFrame, name: str = "vector") -> DataFrame:
-    """``dim``, ``mean``, ``scale`` of every value of a vector column, merged from one partial result per task."""
+def log_moments(enriched: DataFrame, encoder: Encoder, by_day: bool = False) -> DataFrame:
+    """``dim``, ``n``, ``mean``, ``m2`` of the log vectors of normal rows, one row a task and value; ``by_day`` also a ``date``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _moments(
-            b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in batches if b.num_rows)
-
-    return _merge_moments(vectors.select(name).mapInArrow(run, _MOMENTS))
-
-
-def fit_log_scaler(enriched: DataFrame, encoder: Encoder) -> DataFrame:
-    """The same for the log vectors of the normal rows, without ever storing the vectors."""
+    The vectors are never stored. Rows by day can be: they merge over any days, without reading the lake again.
+    """
     shared = Shared(enriched.sparkSession.sparkContext, encoder)
     normal = enriched.where(~F.col("is_anomaly_candidate"))
+    day = F.make_date("year", "month", "day") if by_day else F.lit(None).cast("date")
+    rows = with_vector_inputs(normal).select(F.unix_date(day).alias("_date"), "_tokens", "_plain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _moments(vectors_of(pa.Table.from_batches([b]), shared.value, None) for b in batches if b.num_rows)
+        held: dict[int | None, Moments] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = vectors_of(pa.Table.from_batches([batch]), shared.value, None)
+            dates = np.array(batch.column(0).fill_null(-(1 << 31)))
+            for date in np.unique(dates).tolist():
+                held.setdefault(date, Moments()).add(x[dates == date])
+        for date, m in held.items():
+            d = len(m.mean)
+            dates = pa.array([None if date == -(1 << 31) else date] * d, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [dates, pa.array(np.arange(d, dtype=np.int32)), pa.array([m.n] * d, pa.int64()), pa.array(m.mean), pa.array(m.m2)],
+                names=["_date", "dim", "n", "mean", "m2"])
+
+    found = rows.mapInArrow(run, "_date int, " + _MOMENTS)
+    return found.select(*([F.date_from_unix_date("_date").alias("date")] if by_day else []), "dim", "n", "mean", "m2")
+
+
+def merge_moments(parts: DataFrame, *by: str) -> DataFrame:
+    """One row per value (and ``by``) from any number of parts; both sums combine before their shuffles."""
+    key = [*by, "dim"]
+    total = parts.groupBy(*key).agg(F.sum("n").alias("_n"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_mean"))
+    apart = F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2.0))
+    return (parts.join(total, key).groupBy(*key, F.col("_n").alias("n"), F.col("_mean").alias("mean"))
+            .agg(F.sum(apart).alias("m2")).select(*key, "n", "mean", "m2"))
+
+
+def subtract_moments(whole: DataFrame, part: DataFrame) -> DataFrame:
+    """Moments of the rows of ``whole`` that are not those of ``part``, per value: a day taken out of a sum of days."""
+    both = whole.join(part.select("dim", F.col("n").alias("_n"), F.col("mean").alias("_mean"), F.col("m2").alias("_m2")), "dim")
+    n = F.col("n") - F.col("_n")
+    mean = (F.col("n") * F.col("mean") - F.col("_n") * F.col("_mean")) / n
+    m2 = F.col("m2") - F.col("_m2") - F.pow(mean - F.col("_mean"), F.lit(2.0)) * n * F.col("_n") / F.col("n")
+    return both.where(n > 0).select("dim", n.alias("n"), mean.alias("mean"), F.greatest(m2, F.lit(0.0)).alias("m2"))
+
+
+def scaler_of(moments: DataFrame) -> DataFrame:
+    """``dim``, ``mean``, ``scale`` (population deviation, 1 where it is 0)."""
+    deviation = F.sqrt(F.col("m2") / F.col("n"))
+    return moments.select("dim", "mean", F.when(deviation == 0, F.lit(1.0)).otherwise(deviation).alias("scale"))
+
 
-    return _merge_moments(with_vector_inputs(normal).select("_tokens", "_plain").mapInArrow(run, _MOMENTS))
+def fit_log_scaler(enriched: DataFrame, encoder: Encoder) -> DataFrame:
+    """Scaler of the log vectors of the normal rows."""
+    return scaler_of(merge_moments(materialised(log_moments(enriched, encoder))))
 
 
 @dataclass
@@ -244,20 +236,16 @@ def collect_scaler(fitted: DataFrame) -> Scaler:
     return Scaler(np.array([r["mean"] for r in rows]), np.array([r["scale"] for r in rows]))
 
 
-def scale_columns(df: DataFrame, fitted: DataFrame, dims: list[str]) -> DataFrame:
-    """Scales named columns by the fitted rows of the same positions."""
-    packed = fitted.agg(F.map_from_entries(F.collect_list(F.struct("dim", F.struct("mean", "scale")))))
-    return df.withColumn("_fit", packed.scalar()).withColumns({
-        c: (F.col(c).cast("double") - F.col("_fit")[i]["mean"]) / F.col("_fit")[i]["scale"] for i, c in enumerate(dims)
-    }).drop("_fit")
+def scaled_log_vectors(enriched: DataFrame, encoder: Encoder, scaler: Scaler | None, name: str = "vector") -> DataFrame:
+    """Adds the vector as the models see it: made and scaled inside tasks by ``vectors_of``."""
+    shared = Shared(enriched.sparkSession.sparkContext, (encoder, scaler))
 
+    @F.arrow_udf("array<float>")
+    def vectors(tokens: pa.Array, plain: pa.Array) -> pa.Array:
+        rows = vectors_of(pa.table({"_tokens": pa.chunked_array([tokens]), "_plain": pa.chunked_array([plain])}), *shared.value)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel(), pa.float32()))
 
-def scale_vectors(vectors: DataFrame, scaler: Scaler, name: str = "vector") -> DataFrame:
-    """Standard-scaled vector as floats, without leaving the JVM."""
-    mean = F.array(*[F.lit(float(x)) for x in scaler.mean])
-    scale = F.array(*[F.lit(float(x)) for x in scaler.scale])
-    centred = F.zip_with(F.col(name), mean, lambda v, m: v.cast("double") - m)
-    return vectors.withColumn(name, F.zip_with(centred, scale, lambda v, s: (v / s).cast("float")))
+    return with_vector_inputs(enriched).withColumn(name, vectors(F.col("_tokens"), F.col("_plain"))).drop("_tokens", "_plain")
 
 
 def with_vector_inputs(enriched: DataFrame) -> DataFrame:

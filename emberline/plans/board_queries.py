@@ -225,6 +225,12 @@ def feedback_by_source(spark, sf):
     return bd.feedback_by_source(rows, v.feedback(rows)).withColumn("positive_rate", F.round("positive_rate", 9))
 
 
+@query(f"WITH {v.SQL_BOARD} SELECT timestamp, source, host, message, score_text, ratio_text, status, model, id FROM board")
+def display_projection(spark, sf):
+    """The columns a board shows, with the model."""
+    return bd.display_columns(v.board(spark, sf), with_model=True)
+
+
 # ---- Infrastructure series -------------------------------------------------
 
 _P = f"WITH {v.SQL_POINTS}"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluate as ev, features as ft, scoring, windows as wd
-from ..sinks import topics as sink
+from ..session import scratch_folder
+from ..sinks import artefacts, topics as sink
 from . import training, views as v
 from .catalog import query
 
@@ -102,64 +103,87 @@ def hour_cyclic(spark, sf):
         "event_id", (F.round(sin, 6) + F.lit(0.0)).alias("hour_sin"), (F.round(cos, 6) + F.lit(0.0)).alias("hour_cos"))
 
 
-_DIMS = 4
+_DIMS = ft.EMBED_DIM
 
 
-def _wave_table(size: int) -> np.ndarray:
-    """A table SQL can write too, to check the vectorised means on whole texts."""
-    return np.sin(np.arange(size + 1)[:, None] * (np.arange(_DIMS)[None, :] + 1)).astype(np.float32)
+def _exact_table(size: int) -> np.ndarray:
+    """A table of the production size that SQL can write too: eighths, which floats hold exactly; unknown tokens are zero."""
+    rank, dim = np.arange(size + 1)[:, None], np.arange(_DIMS)[None, :]
+    return np.where(rank == 0, 0, ((rank * (2 * dim + 1)) % 17 - 8) / 8).astype(np.float32)
+
+
+def _exact_sql(d: int) -> str:
+    return f"CAST(CAST(coalesce(avg(CASE WHEN idx = 0 THEN 0.0 ELSE ((idx * {2 * d + 1}) % 17 - 8) / CAST(8 AS DOUBLE) END), 0.0) AS FLOAT) AS DOUBLE)"
 
 
 @query(f"""WITH {_WORDS}, {_vocab_sql(ft.VOCAB_SIZE)}, placed AS (SELECT w.doc_id, coalesce(v.idx, 0) AS idx FROM words w LEFT JOIN vocab v ON w.token = v.token)
-SELECT d.doc_id, {', '.join(f"round(coalesce(m.e{i}, 0.0), 4) + 0.0 AS e{i}" for i in range(_DIMS))}
-FROM documents d LEFT JOIN (SELECT doc_id, {', '.join(f'avg(sin(idx * {i + 1})) AS e{i}' for i in range(_DIMS))} FROM placed GROUP BY doc_id) m ON d.doc_id = m.doc_id""")
+SELECT d.doc_id, {', '.join(f"coalesce(m.e{i}, 0.0) AS e{i}" for i in range(_DIMS))}
+FROM documents d LEFT JOIN (SELECT doc_id, {', '.join(f'{_exact_sql(i)} AS e{i}' for i in range(_DIMS))} FROM placed GROUP BY doc_id) m ON d.doc_id = m.doc_id""")
 def message_embedding(spark, sf):
+    """All 64 values of the mean embedding of whole texts."""
     docs = v.table(spark, sf, "documents")
-    encoder = ft.collect_encoder(ft.build_vocabulary(docs, "text"), _wave_table(ft.VOCAB_SIZE))
+    encoder = ft.collect_encoder(ft.build_vocabulary(docs, "text"), _exact_table(ft.VOCAB_SIZE))
     embed = ft.message_embedding(spark, encoder)
     rows = docs.select("doc_id", embed(F.col("text")).alias("e"))
-    return rows.select("doc_id", *[(F.round(F.col("e")[i].cast("double"), 4) + F.lit(0.0)).alias(f"e{i}") for i in range(_DIMS)])
+    return rows.select("doc_id", *[F.col("e")[i].cast("double").alias(f"e{i}") for i in range(_DIMS)])
 
 
 def _encoder(spark, sf):
-    return ft.collect_encoder(ft.build_vocabulary(v.enriched(spark, sf)))
+    return ft.collect_encoder(ft.build_vocabulary(v.enriched(spark, sf)), _exact_table(ft.VOCAB_SIZE))
+
 
+_PLAIN_SQL = [f"CASE WHEN source = '{s}' THEN 1.0 ELSE 0.0 END" for s in ft.SOURCES] + [
+    f"CASE WHEN level = '{x}' THEN 1.0 ELSE 0.0 END" for x in ft.LEVELS] + ["sin(2 * pi() * hour / 24)", "cos(2 * pi() * hour / 24)"]
+_VECTOR_SQL = f"""{v.SQL_ENRICHED}, said AS (SELECT event_id, unnest(regexp_extract_all(lower(message), '[a-z0-9]+')) AS token FROM enriched),
+known AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS idx FROM said GROUP BY token ORDER BY count(*) DESC, token LIMIT {ft.VOCAB_SIZE}),
+means AS (SELECT event_id, {', '.join(f'{_exact_sql(i)} AS e{i}' for i in range(_DIMS))}
+  FROM (SELECT s.event_id, coalesce(k.idx, 0) AS idx FROM said s LEFT JOIN known k ON s.token = k.token) GROUP BY event_id),
+vec AS (SELECT enriched.event_id, is_anomaly_candidate, day, {', '.join(f'CAST(CAST({e} AS FLOAT) AS DOUBLE) AS v{i}' for i, e in enumerate(_PLAIN_SQL))},
+  {', '.join(f'coalesce(e{i}, 0.0) AS v{i + ft.PLAIN_DIMS}' for i in range(_DIMS))} FROM enriched LEFT JOIN means USING (event_id)),
+tall AS (UNPIVOT vec ON {', '.join(f'v{i}' for i in range(ft.N_FEATURES))} INTO NAME name VALUE x)"""
 
-@query(f"""WITH {v.SQL_ENRICHED} SELECT event_id, 77 AS dims, {_ONE_HOT_SQL}, round(sin(2 * pi() * hour / 24), 4) + 0.0 AS hour_sin,
-  round(cos(2 * pi() * hour / 24), 4) + 0.0 AS hour_cos FROM enriched""")
+
+def _fit_sql(where: str = "TRUE") -> str:
+    return f"""fit AS (SELECT CAST(substr(name, 2) AS INTEGER) AS dim, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END AS scale
+  FROM tall WHERE NOT is_anomaly_candidate AND {where} GROUP BY ALL)"""
+
+
+@query(f"""WITH {_VECTOR_SQL} SELECT event_id, {', '.join(f'round(v{i}, 4) + 0.0 AS v{i}' for i in range(ft.N_FEATURES))} FROM vec""")
 def log_vector(spark, sf):
+    """All 77 values of every row's vector."""
     vectors = ft.log_vectors(v.enriched(spark, sf), _encoder(spark, sf))
-    at = F.col("vector")
-    return vectors.select(
-        "event_id", F.size(at).alias("dims"), *[at[i].cast("int").alias(n) for i, n in enumerate(_ONE_HOT_NAMES)],
-        (F.round(at[11].cast("double"), 4) + F.lit(0.0)).alias("hour_sin"), (F.round(at[12].cast("double"), 4) + F.lit(0.0)).alias("hour_cos"))
+    return vectors.select("event_id", *[(F.round(F.col("vector")[i].cast("double"), 4) + F.lit(0.0)).alias(f"v{i}") for i in range(ft.N_FEATURES)])
 
 
-_PLAIN_SQL = [f"CASE WHEN source = '{s}' THEN 1.0 ELSE 0.0 END" for s in ft.SOURCES] + [
-    f"CASE WHEN level = '{x}' THEN 1.0 ELSE 0.0 END" for x in ft.LEVELS] + ["sin(2 * pi() * hour / 24)", "cos(2 * pi() * hour / 24)"]
-_FIT_SQL = ("fit AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS dim, avg({e}) AS mean, CASE WHEN stddev_pop({e}) = 0 THEN 1.0 ELSE stddev_pop({e}) END AS scale FROM enriched WHERE NOT is_anomaly_candidate"
-    for i, e in enumerate(_PLAIN_SQL)) + ")")
+def _rounded_fit(fitted):
+    return fitted.select("dim", (F.round("mean", 5) + F.lit(0.0)).alias("mean"), F.round("scale", 5).alias("scale"))
 
 
-@query(f"WITH {v.SQL_ENRICHED}, {_FIT_SQL} SELECT dim, round(mean, 5) + 0.0 AS mean, round(scale, 5) AS scale FROM fit")
+@query(f"WITH {_VECTOR_SQL}, {_fit_sql()} SELECT dim, round(mean, 5) + 0.0 AS mean, round(scale, 5) AS scale FROM fit")
 def fit_scaler(spark, sf):
-    return ft.fit_plain_scaler(v.enriched(spark, sf)).select(
-        "dim", (F.round("mean", 5) + F.lit(0.0)).alias("mean"), F.round("scale", 5).alias("scale"))
+    """The production scaler: 77 means and deviations of the normal rows."""
+    return _rounded_fit(ft.fit_log_scaler(v.enriched(spark, sf), _encoder(spark, sf)))
 
 
-_SCALED = [0, 3, 7, 8]
+@query(f"WITH {_VECTOR_SQL}, {_fit_sql('day BETWEEN 5 AND 20 AND day <> 11')} SELECT dim, round(mean, 5) + 0.0 AS mean, round(scale, 5) AS scale FROM fit")
+def fit_scaler_from_days(spark, sf):
+    """A scaler of some days from stored moments by day: added up, and one day taken out again."""
+    folder = f"{scratch_folder(spark)}/moments"
+    ft.log_moments(v.enriched(spark, sf), _encoder(spark, sf), by_day=True).write.partitionBy("date").parquet(folder)
+    stored = spark.read.parquet(folder)
+    days = stored.where(F.dayofmonth("date").between(5, 20))
+    whole, one = ft.merge_moments(days), ft.merge_moments(days.where(F.dayofmonth("date") == 11))
+    return _rounded_fit(ft.scaler_of(ft.subtract_moments(whole, one)))
 
 
-@query(f"""WITH {v.SQL_ENRICHED}, {_FIT_SQL}, m AS (SELECT {', '.join(f"max(mean) FILTER (WHERE dim = {i}) AS m{i}, max(scale) FILTER (WHERE dim = {i}) AS s{i}" for i in _SCALED)} FROM fit)
-SELECT event_id, {', '.join(f"round(({_PLAIN_SQL[i]} - m{i}) / s{i}, 5) AS d{i}" for i in _SCALED)} FROM enriched, m""")
+@query(f"""WITH {_VECTOR_SQL}, {_fit_sql()}, scaled AS (SELECT event_id, dim, round(CAST(CAST((x - mean) / scale AS FLOAT) AS DOUBLE), 4) + 0.0 AS y
+  FROM tall JOIN fit ON dim = CAST(substr(name, 2) AS INTEGER))
+SELECT event_id, {', '.join(f'max(y) FILTER (WHERE dim = {i}) AS v{i}' for i in range(ft.N_FEATURES))} FROM scaled GROUP BY event_id""")
 def scale_vector(spark, sf):
-    rows = v.enriched(spark, sf)
-    names = [f"d{i}" for i in range(ft.PLAIN_DIMS)]
-    dims = ft.plain_dims(F.col("source"), F.col("level"), F.col("hour"))
-    wide = rows.select("event_id", *[c.alias(n) for c, n in zip(dims, names)])
-    scaled = ft.scale_columns(wide, ft.fit_plain_scaler(rows), names)
-    return scaled.select("event_id", *[F.round(f"d{i}", 5).alias(f"d{i}") for i in _SCALED])
+    """All 77 scaled values, on the path that models take."""
+    rows, encoder = v.enriched(spark, sf), _encoder(spark, sf)
+    vectors = ft.scaled_log_vectors(rows, encoder, ft.collect_scaler(ft.fit_log_scaler(rows, encoder)))
+    return vectors.select("event_id", *[(F.round(F.col("vector")[i].cast("double"), 4) + F.lit(0.0)).alias(f"v{i}") for i in range(ft.N_FEATURES)])
 
 
 # ---- Scores, thresholds, evaluation ----------------------------------------
@@ -170,6 +194,30 @@ def fit_threshold(spark, sf):
     return fitted.select(F.round("threshold", 9).alias("threshold"), "n_samples")
 
 
+@query(f"{_WIN} SELECT label, count(*) AS n, true AS within FROM wins GROUP BY label")
+def sketch_thresholds(spark, sf):
+    """Percentiles of scores out of stored sketches by day and label, merged: their true ranks are within the stated bound."""
+    scored, folder = v.scored_windows(spark, sf), f"{scratch_folder(spark)}/sketches"
+    ev.score_sketches(scored.withColumn("date", F.to_date("event_time")), "date", "label").write.parquet(folder)
+    found = ev.sketch_percentile(spark.read.parquet(folder), ev.THRESHOLD_PERCENTILE, "label")
+    rank = F.avg((F.col("score") <= F.col("threshold")).cast("double"))
+    told = scored.join(F.broadcast(found), "label").groupBy("label", "n").agg(rank.alias("rank"), F.avg((F.col("score") < F.col("threshold")).cast("double")).alias("below"))
+    goal, bound = ev.THRESHOLD_PERCENTILE / 100, ev.SKETCH_ERROR
+    return told.select("label", "n", ((F.col("rank") >= goal - bound) & (F.col("below") <= goal + bound)).alias("within"))
+
+
+@query(f"""{_WIN} SELECT CAST(t AS DOUBLE) AS threshold, label, count(*) AS n, true AS within
+FROM wins, (SELECT CAST(unnest([0.4528, 0.5, 0.763474, 1.3071, 2.0]) AS DOUBLE) AS t) GROUP BY ALL""")
+def sketch_sweep(spark, sf):
+    """Windows above each threshold out of the merged sketches, against the exact counts."""
+    scored = v.scored_windows(spark, sf)
+    swept = ev.sketch_sweep(ev.score_sketches(scored.withColumn("date", F.to_date("event_time")), "date", "label"), SWEEP, "label")
+    exact = ev.threshold_sweep(scored, SWEEP).select("threshold", F.inline(F.array(
+        F.struct(F.lit(True).alias("label"), F.col("tp").alias("above")), F.struct(F.lit(False).alias("label"), F.col("fp").alias("above")))))
+    both = swept.join(F.broadcast(exact.withColumnRenamed("above", "exact")), ["threshold", "label"])
+    return both.select("threshold", "label", "n", (F.abs(F.col("above") - F.col("exact")) <= ev.SKETCH_ERROR * F.col("n") + 1).alias("within"))
+
+
 @query(f"{_WIN} SELECT event_id AS last_id, source, host, round(score, 6) AS score FROM wins WHERE score > {v.THRESHOLD}")
 def ml_anomalies(spark, sf):
     return ev.ml_anomalies(v.scored_windows(spark, sf), v.THRESHOLD).select(
@@ -301,6 +349,19 @@ def model_metadata(spark, sf):
     return found.select("percentile", "computed_at", "n_features", "seq_len", "vocab_size", "embed_dim")
 
 
+@query(f"{_WIN} SELECT source, host, event_id AS last_id, true AS same FROM wins")
+def artefact_round_trip(spark, sf):
+    """A fitted model saved as tables and loaded again gives every window the score it had."""
+    folder, fitted = scratch_folder(spark), _fitted(spark, sf)
+    artefacts.save_model(spark, folder, fitted.inputs, fitted.model, fitted.metadata)
+    inputs, model, facts = artefacts.load_model(spark, folder)
+    again = scoring.score_windows(v.enriched(spark, sf), inputs, model, v.ORDER)
+    key = ["source", "host", "event_id"]
+    both = fitted.scored.select(*key, "score").join(again.select(*key, F.col("score").alias("again")), key)
+    same = (F.col("score") == F.col("again")) & F.lit(facts["threshold"] == fitted.threshold)
+    return both.select("source", "host", F.col("event_id").alias("last_id"), same.alias("same"))
+
+
 @query()
 def model_report(spark, sf):
     """Quality of the fitted linear model on all and on held-out windows."""

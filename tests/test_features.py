@@ -85,39 +85,51 @@ def test_embedding_of_texts_longer_than_a_gather_step():
     np.testing.assert_allclose(encoder.embed(pa.array(lists, pa.list_(pa.string()))), [[0.8, 0.2], [0, 0], [0, 1], [0.1, 0]], rtol=1e-6)
 
 
-def test_relational_twin(spark):
-    words = ["a b c", "a a", "zz", "b a zz zz"]
-    df = spark.createDataFrame(list(enumerate(words)), "i int, message string")
-    vocab = ft.build_vocabulary(df, size=2)
-    encoder = ft.collect_encoder(vocab)
-    tall = df.select("i", F.explode(text.tokens(F.col("message"))).alias("token"))
-    twin = ft.relational_embedding(tall, vocab, ft.embedding_relation(spark, encoder, 5), 5, "i").collect()
-    fast = {r["i"]: r["e"] for r in df.select("i", ft.message_embedding(spark, encoder)(F.col("message")).alias("e")).collect()}
-    for r in twin:
-        np.testing.assert_allclose([r[f"e{d}"] for d in range(5)], fast[r["i"]][:5], atol=1e-6)
-
-
-def test_scaler(spark):
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((500, 6)).astype(np.float32) * [1, 10, 0.1, 1, 1, 0] + [0, 5, 1000, 0, 0, 3]
-    x = x.astype(np.float32)
-    df = spark.createDataFrame([([float(v) for v in row],) for row in x], "vector array<float>").repartition(7)
-    scaler = ft.collect_scaler(ft.fit_scaler(df))
-    np.testing.assert_allclose(scaler.mean, x.astype(np.float64).mean(axis=0), rtol=1e-9, atol=1e-12)
-    want = x.astype(np.float64).std(axis=0)
+def stored_vectors(spark, rows, encoder):
+    return np.array([r["vector"] for r in ft.log_vectors(rows.where(~F.col("is_anomaly_candidate")), encoder).collect()], dtype=np.float64)
+
+
+def test_log_scaler_equals_numpy_over_stored_vectors(spark, sf):
+    rows = v.enriched(spark, sf)
+    encoder = ft.collect_encoder(ft.build_vocabulary(rows))
+    scaler, x = ft.collect_scaler(ft.fit_log_scaler(rows, encoder)), stored_vectors(spark, rows, encoder)
+    want = x.std(axis=0)
     want[want == 0] = 1
-    np.testing.assert_allclose(scaler.scale, want, rtol=1e-7)
-    scaled = np.array(sorted(r["vector"] for r in ft.scale_vectors(df, scaler).collect()))
-    np.testing.assert_allclose(scaled, np.array(sorted(scaler.apply(x).tolist())), atol=1e-5)
+    np.testing.assert_allclose(scaler.mean, x.mean(axis=0), atol=1e-9)
+    np.testing.assert_allclose(scaler.scale, want, rtol=1e-6)
+    fast = {r["event_id"]: r["vector"] for r in ft.scaled_log_vectors(rows, encoder, scaler).collect()}
+    for r in ft.log_vectors(rows, encoder).limit(50).collect():
+        np.testing.assert_allclose(fast[r["event_id"]], scaler.apply(np.array(r["vector"])), rtol=1e-6)
 
 
-def test_log_scaler_equals_scaler_of_stored_vectors(spark, sf):
+def test_moments_by_day_merge_and_subtract(spark, sf):
     rows = v.enriched(spark, sf)
     encoder = ft.collect_encoder(ft.build_vocabulary(rows))
-    fast = ft.collect_scaler(ft.fit_log_scaler(rows, encoder))
-    slow = ft.collect_scaler(ft.fit_scaler(ft.log_vectors(rows.where(~F.col("is_anomaly_candidate")), encoder)))
-    np.testing.assert_allclose(fast.mean, slow.mean, atol=1e-9)
-    np.testing.assert_allclose(fast.scale, slow.scale, rtol=1e-6)
+    days = ft.log_moments(rows, encoder, by_day=True).cache()
+    told = lambda df: {r["dim"]: (r["n"], r["mean"], r["m2"]) for r in df.collect()}
+    whole, full = told(ft.merge_moments(days)), told(ft.merge_moments(ft.log_moments(rows, encoder)))
+    some = F.col("date") < "2024-01-12"
+    without = told(ft.subtract_moments(ft.merge_moments(days), ft.merge_moments(days.where(some))))
+    rest = told(ft.merge_moments(days.where(~some)))
+    assert len(whole) == 77 and len(without) == 77
+    for d in range(77):
+        np.testing.assert_allclose(whole[d], full[d], rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(without[d], rest[d], rtol=1e-6, atol=1e-6)
+    per_day = ft.merge_moments(days, "date").where("dim = 0").agg(F.sum("n")).first()[0]
+    assert per_day == whole[0][0]
+
+
+def test_sketches_keep_their_bound_over_merges(spark):
+    rng = np.random.default_rng(7)
+    scores = np.concatenate([rng.exponential(1, 60_000), np.full(20_000, 0.25)])
+    df = spark.createDataFrame([(float(x), i % 13) for i, x in enumerate(scores)], "score double, part int")
+    sketches = ev.score_sketches(df, "part")
+    for q in (1, 50, 95, 99.9):
+        r = ev.sketch_percentile(sketches, q).first()
+        assert r["n"] == len(scores)
+        assert (scores < r["threshold"]).mean() - ev.SKETCH_ERROR <= q / 100 <= (scores <= r["threshold"]).mean() + ev.SKETCH_ERROR
+    for r in ev.sketch_sweep(sketches, [0.1, 0.25, 3.0]).collect():
+        assert abs(r["above"] - (scores > r["threshold"]).sum()) <= ev.SKETCH_ERROR * len(scores) + 1
 
 
 def test_shared_objects_need_no_installed_package(tmp_path, spark):
