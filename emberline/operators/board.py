@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import display
 from ..functions.display import ANOMALY, DEFAULT_ALERT_RATIO, NORMAL
+from .seen import key_filters, unseen
 
 # --- Fixed values: sizes of the board's views. ---
 MAX_ROWS = 2000
@@ -260,6 +261,16 @@ def new_incidents(board: DataFrame, history: DataFrame) -> DataFrame:
     return first_incidents(board).join(known, INCIDENT_KEY, "left_anti")
 
 
+def incident_filters(history: DataFrame, *by: str) -> DataFrame:
+    """Stored filters of the incidents of a board's history, by day for example."""
+    return key_filters(history.where(is_anomaly()), INCIDENT_KEY, *by)
+
+
+def new_incidents_filtered(board: DataFrame, history: DataFrame, filters: DataFrame) -> DataFrame:
+    """The same, where filters of the history are stored: history is scanned for possible hits alone, and not shuffled."""
+    return unseen(first_incidents(board), history.where(is_anomaly()), filters, INCIDENT_KEY)
+
+
 def feedback_records(board: DataFrame, feedback: Column, at: Column) -> DataFrame:
     return board.select(
         at.alias("timestamp"), feedback.alias("feedback"), F.col("id").alias("log_id"), "source", "host", "message",

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..operators import board as bd, metrics as mt
+from ..session import scratch_folder
 from . import views as v
-from .catalog import query
+from .catalog import ORACLES, query
 
 _B = f"WITH {v.SQL_BOARD}"
 _SHOWN = "arrival, id, timestamp, source, host, message, score, ratio, threshold, score_text, ratio_text, model, status"
@@ -217,6 +218,15 @@ def new_incidents(spark, sf):
     return bd.new_incidents(rows, rows.where(F.col("arrival") % 2 == 0)).select(*_SHOWN.split(", "))
 
 
+@query(ORACLES["new_incidents"])
+def new_incidents_filtered(spark, sf):
+    """The same out of stored filters by day: history is scanned for possible hits alone."""
+    rows, folder = v.board(spark, sf), f"{scratch_folder(spark)}/filters"
+    history = rows.where(F.col("arrival") % 2 == 0)
+    bd.incident_filters(history.withColumn("day", F.to_date("timestamp")), "day").write.partitionBy("day").parquet(folder)
+    return bd.new_incidents_filtered(rows, history, spark.read.parquet(folder)).select(*_SHOWN.split(", "))
+
+
 @query(f"""{_B}, f AS (SELECT id, arrival % 3 <> 0 AS positive FROM board WHERE arrival % 10 = 0)
 SELECT source, count(*) AS votes, count(*) FILTER (WHERE positive) AS positive, round(count(*) FILTER (WHERE positive) / count(*), 9) AS positive_rate
 FROM board JOIN f USING (id) GROUP BY source""")

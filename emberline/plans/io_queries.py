@@ -308,6 +308,27 @@ def stream_board(spark, sf):
     return sb.read_board(spark, f"{folder}/board").select("arrival", "source", "host", "message", "score", "status", "received")
 
 
+@query(f"WITH {v.SQL_ENRICHED} SELECT {_FIELDS} FROM enriched")
+def stream_etl_restarted(spark, sf):
+    """The ETL stream stopped after two micro-batches, gone on with, and its batches run once more after the loss of a checkpoint."""
+    folder = scratch_folder(spark)
+    targets = etl.EtlTargets(*[f"{folder}/{n}" for n in ("lake", "processed", "anomalies", "quarantine", "counters")])
+    rows = v.raw_logs(spark, sf)
+    _feed(sink.as_message(rows, "source", ENTRY_FIELDS, "raw"), "raw", f"{folder}/in")
+
+    def run(checkpoint: str, most: int | None = None) -> None:
+        query = etl.run_etl(topics.stream_folder(spark, f"{folder}/in", 1), targets, f"{folder}/{checkpoint}",
+                            DRAIN if most is None else {"processingTime": "0 seconds"}, lambda: v.BATCH_TIME)
+        while most is not None and query.isActive and (query.lastProgress is None or query.lastProgress.batchId + 1 < most):
+            query.awaitTermination(1)
+        query.stop() if most is not None else query.awaitTermination()
+
+    run("checkpoint", 2)
+    run("checkpoint")
+    run("another")
+    return lake.scan_lake(spark, targets.lake)
+
+
 # ---- Infrastructure series as streams --------------------------------------
 
 def _points_stream(spark, sf, folder: str, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluate as ev, features as ft, scoring, windows as wd
+from ..operators import evaluate as ev, features as ft, heavy, pca, scoring, windows as wd
 from ..session import scratch_folder
 from ..sinks import artefacts, topics as sink
 from . import training, views as v
@@ -70,6 +70,12 @@ def build_vocabulary_first_seen(spark, sf):
     return ft.build_vocabulary(v.enriched(spark, sf), order_by="event_id")
 
 
+@query(f"WITH {_WORDS}, {_vocab_sql(ft.VOCAB_SIZE)} SELECT token, n, idx FROM vocab")
+def build_vocabulary_heavy(spark, sf):
+    """The same tokens from bounded summaries of each task and an exact recount of candidates."""
+    return heavy.frequent_tokens(v.table(spark, sf, "documents"), "text")
+
+
 @query(f"""WITH {_WORDS}, {_vocab_sql(ft.VOCAB_SIZE)} SELECT w.doc_id, w.token, coalesce(v.idx, 0) AS idx, count(*) AS n
 FROM words w LEFT JOIN vocab v ON w.token = v.token GROUP BY ALL""")
 def vocab_lookup(spark, sf):
@@ -340,13 +346,34 @@ def scored_window_counts(spark, sf):
         F.count_if(F.col("label") | F.col("in_validation")).alias("held_out"))
 
 
-@query(f"""WITH {v.SQL_ENRICHED}, t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(message), '[a-z0-9]+')) AS token FROM enriched)
-SELECT {ev.THRESHOLD_PERCENTILE} AS percentile, '{v.BATCH_ISO}' AS computed_at, {ft.N_FEATURES} AS n_features, {wd.SEQ_LEN} AS seq_len,
-  CAST(least((SELECT count(*) FROM t), {ft.VOCAB_SIZE}) AS INTEGER) AS vocab_size, {ft.EMBED_DIM} AS embed_dim""")
+_SPLIT = f"""placed AS (SELECT *, CAST(concat('0x', substr(md5(concat_ws('|', source, host, epoch_us(event_time), event_id, '{scoring.SPLIT_SEED}')), 1, 8)) AS BIGINT) % 10000 < {int(scoring.VALIDATION_SHARE * 10_000)} AS val FROM wins)"""
+
+
+@query(f"""{_WIN}, {_SPLIT}, t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(message), '[a-z0-9]+')) AS token FROM enriched)
+SELECT {ev.THRESHOLD_PERCENTILE} AS percentile, '{v.BATCH_ISO}' AS computed_at, (SELECT count(*) FROM placed WHERE NOT label AND val) AS n_samples,
+  {ft.N_FEATURES} AS n_features, {wd.SEQ_LEN} AS seq_len, CAST(NULL AS INTEGER) AS hidden_size, {pca.LATENT} AS latent_size, CAST(NULL AS INTEGER) AS num_layers,
+  CAST(NULL AS DOUBLE) AS dropout, CAST(least((SELECT count(*) FROM t), {ft.VOCAB_SIZE}) AS INTEGER) AS vocab_size, {ft.EMBED_DIM} AS embed_dim,
+  CAST(NULL AS DOUBLE) AS train_loss, CAST(NULL AS DOUBLE) AS val_loss, CAST(NULL AS DOUBLE) AS best_val_loss, true AS has_threshold""")
 def model_metadata(spark, sf):
-    """The facts of a fitted model that do not depend on its weights."""
+    """All facts of a fitted model; of the threshold, which depends on its weights, that it is there."""
     found = training.metadata_frame(spark, _fitted(spark, sf).metadata)
-    return found.select("percentile", "computed_at", "n_features", "seq_len", "vocab_size", "embed_dim")
+    return found.withColumn("has_threshold", F.col("threshold") > 0).drop("threshold")
+
+
+@query(f"""WITH {_VECTOR_SQL}, wins AS (SELECT * FROM (SELECT *, count(*) OVER w AS window_rows, bool_or(is_anomaly_candidate) OVER w AS label,
+  row_number() OVER (PARTITION BY source, host ORDER BY event_time, event_id) AS place FROM enriched
+  WINDOW w AS (PARTITION BY source, host ORDER BY event_time, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))),
+{_SPLIT}, used AS (SELECT source, host, place FROM placed WHERE window_rows = 10 AND NOT label AND NOT val),
+steps AS (SELECT w.event_id, 9 - (u.place - w.place) AS step FROM used u JOIN wins w ON w.source = u.source AND w.host = u.host AND w.place BETWEEN u.place - 9 AND u.place),
+cells AS (SELECT CAST(step * {ft.N_FEATURES} + CAST(substr(name, 2) AS INTEGER) AS INTEGER) AS i, x FROM steps JOIN tall USING (event_id))
+SELECT i, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(avg(x * x), 6) + 0.0 AS square FROM cells GROUP BY i""")
+def pca_moments(spark, sf):
+    """What the linear model is fitted on: number, mean and mean square of each of a training window's 770 values."""
+    inputs = scoring.Inputs(_encoder(spark, sf), None)
+    source = scoring.window_source(v.enriched(spark, sf), v.ORDER, wd.HOT_ROWS)
+    sums = pca.product_sums(source, inputs)
+    own = F.element_at("product", F.col("i") + 1) / F.col("n")
+    return sums.select("i", "n", (F.round(F.col("total") / F.col("n"), 6) + F.lit(0.0)).alias("mean"), (F.round(own, 6) + F.lit(0.0)).alias("square"))
 
 
 @query(f"{_WIN} SELECT source, host, event_id AS last_id, true AS same FROM wins")
