@@ -36,6 +36,8 @@ from .batches import bounded, with_columns
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 14
 FIT_ZONES, MADE_ZONES, PASSES = 500, 1_200, 5
+#: Of one document at most so many, so that no long one fills them all.
+ZONES_A_DOCUMENT = 10
 CONFIDENCE = 0.9
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
@@ -394,7 +396,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SemiMa
 
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, zone) for h, t in zip(*[c.to_pylist() for c in batch.columns]) for zone in corpus_zones([t])]
+            rows = [(h, zone) for h, t in zip(*[c.to_pylist() for c in batch.columns]) for zone in corpus_zones([t])[:ZONES_A_DOCUMENT]]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()),
                                               pa.array([pickle.dumps(z) for _, z in rows], pa.binary())], names=["h", "zone"])
 
@@ -404,7 +406,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SemiMa
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     some = own.where(F.pmod("h", F.lit(1 << 32)) <= int(share * (1 << 32))).mapInArrow(few, "h long, zone binary")
-    picked = some.limit(FIT_ZONES).repartition(1).mapInArrow(run, "model binary").first()
+    picked = some.orderBy("h", "zone").limit(FIT_ZONES).repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(picked[0]) if picked else SemiMarkov().fit(made_zones())
 
 

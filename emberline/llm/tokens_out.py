@@ -161,8 +161,9 @@ def train_dictionary(docs: DataFrame, file: str, width: int, end: int, doc_id: s
     """A dictionary from the documents whose ids hash lowest; empty where there is too little to learn from."""
     n = docs.count()
     share = max(1, int((1 << 32) * min(1.0, 2 * DICTIONARY_DOCUMENTS / max(n, 1))))
-    some = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 32)) < share).limit(DICTIONARY_DOCUMENTS)
-    texts = [r[0] or "" for r in some.select(F.substring(text, 1, 8 * DICTIONARY_TOKENS)).collect()]
+    h = F.pmod(F.xxhash64(doc_id), F.lit(1 << 32))
+    some = docs.select(h.alias("h"), F.coalesce(F.substring(text, 1, 8 * DICTIONARY_TOKENS), F.lit("")).alias("t")).where(F.col("h") < share)
+    texts = [r["t"] for r in some.orderBy("h", "t").limit(DICTIONARY_DOCUMENTS).collect()]
     samples = [serialize(np.append(i, np.uint32(end)), width) for i in encoder(file).encode(texts)]
     samples = [s[:width * DICTIONARY_TOKENS] for s in samples if len(s) >= 16]
     if sum(map(len, samples)) < 4 * DICTIONARY_BYTES or len(samples) < 16:
