@@ -11,7 +11,7 @@ from ..operators import board as bd, metrics as mt
 from ..schemas import ANOMALY_SCHEMA, ENRICHED_FIELDS, ENTRY_FIELDS, FEEDBACK_SCHEMA, RAW_SCHEMA
 from ..session import scratch_folder
 from ..sinks import lake as lake_sink, topics as sink
-from ..sources import files, lake, topics
+from ..sources import files, formats, lake, tail, topics
 from ..streaming import board as sb, etl, late, scoring, series, windows as sw
 from . import board_queries, ingest_queries, views as v  # noqa: F401
 from .catalog import ORACLES, query
@@ -329,6 +329,28 @@ def stream_etl_restarted(spark, sf):
     return lake.scan_lake(spark, targets.lake)
 
 
+@query(_without_id("parse_linux"))
+def stream_log_files(spark, sf):
+    """Files of a log folder as a stream of lines, stopped within a file and gone on with, then parsed."""
+    folder = scratch_folder(spark)
+    _as_file(v.syslog_lines(spark, sf), f"{folder}/in")
+
+    def start(most: int):
+        lines = tail.stream_log_folder(spark, f"{folder}/in", f"{folder}/progress.json", 1, most, 0)
+        return (lines.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+                .trigger(processingTime="0 seconds").start())
+
+    query = start(700)
+    while query.isActive and not any(p.numInputRows for p in query.recentProgress):
+        query.awaitTermination(1)
+    query.stop()
+    query = start(topics.MAX_ROWS)
+    query.processAllAvailable()
+    query.stop()
+    lines = spark.read.schema(tail.SCHEMA).parquet(f"{folder}/out").withColumnRenamed("file", "file_name")
+    return formats.parse_linux(lines, v.REFERENCE_YEAR).select(*ENTRY_FIELDS)
+
+
 # ---- Infrastructure series as streams --------------------------------------
 
 def _points_stream(spark, sf, folder: str, value: str) -> DataFrame:
