@@ -1,10 +1,11 @@
 """Personal data by base recognisers and a semi-Markov conditional random field.
 
 The base recognisers are exact patterns for e-mail addresses, IP addresses, card numbers and phone numbers. Their matches
-always stand. The random field finds what the patterns lose, as two neighbours read as one number, or a phone
-number without a country code. It works on *zones*: stretches of text around digits and at signs. A zone is cut into
-tokens; every stretch of at most ``MOST_TOKENS`` tokens that may begin and end an entity is a candidate segment, with
-features of the whole stretch: shape, number of digits, checksum, octets, what stands on either side and before it.
+always stand. The random field finds what the patterns lose, as two neighbours read as one number, a phone
+number without a country code, or a secret. It works on *zones*: stretches of text around digits and at signs. A zone is cut into
+tokens; candidate segments are stretches of signs of numbers with at most ``MOST_DIGITS`` digits, stretches of signs of addresses around one at
+sign, both of at most ``MOST_SIGNS`` signs, and whole runs of signs of secrets, however long. Each has features of the
+whole stretch: shape, number of digits, checksum, octets, what stands on either side and before it.
 Segments outside entities are single tokens of score 0. Dynamic programming over the zone chooses boundaries and types
 together, with weights for neighbouring types; forward and backward sums give each chosen segment's probability.
 
@@ -33,9 +34,12 @@ from pyspark.sql import types as T
 
 from .batches import bounded, with_columns
 
-KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS = 14
-FIT_ZONES, MADE_ZONES, PASSES = 500, 1_200, 5
+#: The base patterns' kinds, and with them those that only the field knows.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+#: Digits of the longest card number; signs of the longest deliverable e-mail address.
+MOST_DIGITS, MOST_SIGNS = 19, 254
+FIT_ZONES, MADE_ZONES, PASSES = 500, 2_000, 5
 #: Of one document at most so many, so that no long one fills them all.
 ZONES_A_DOCUMENT = 10
 CONFIDENCE = 0.9
@@ -55,6 +59,10 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|.", re.DOTALL)
 _ANCHOR = re.compile("[0-9@]")
 _CHUNK = re.compile(r"\S+")
 _GAP = re.compile(" {1,2}(?! )")
+_RUN = re.compile("[A-Za-z0-9][A-Za-z0-9_+/-]{15,}={0,2}")
+_SECRET_CUE = re.compile(r"(?i)(token|secret|password|passwd|pwd|key|bearer|auth|credentials?)[\W_]{0,6}$")
+_NUMBER_SIGNS, _MAIL_SIGNS = frozenset(" ()+-./"), frozenset("@._%+-")
+_NEXT = re.compile("[ -]{0,2}([+(]?)([0-9]{0,9})")
 _CUES = re.compile(r"(?i)(mail|contact|tel|phone|call|fax|mobile|card|visa|pay|ip|host|addr|server|token|key|passw|version|v|page|no|date)\W*$")
 
 
@@ -126,14 +134,21 @@ def segments(text: str, start: int, end: int) -> tuple[int, list[Segment]]:
         if not (digit[i] or heads[i] in "+(" or heads[i].isalpha()):
             continue
         n_digits, ats, spaces = 0, 0, 0
+        mail = True
+        number = not heads[i].isalpha() and not (i > 1 and heads[i - 1] == "." and digit[i - 2])  # none begins inside a dotted number
         before = text[a - 1] if a else " "
-        for j in range(i, min(i + MOST_TOKENS, len(tokens))):
+        for j in range(i, len(tokens)):
             b = tokens[j][1]
             if digit[j]:
                 n_digits += b - tokens[j][0]
             ats += heads[j] == "@"
             spaces += heads[j] == " "
-            if not (digit[j] or heads[j].isalpha()) or not (ats == 1 or n_digits >= 4 and not heads[i].isalpha() and digit[j]):
+            inside = digit[j] or heads[j].isalpha()
+            mail = mail and ats <= 1 and (inside or heads[j] in _MAIL_SIGNS)
+            number = number and not ats and n_digits <= MOST_DIGITS and (digit[j] or heads[j] in _NUMBER_SIGNS)
+            if b - a > MOST_SIGNS or not (mail or number):
+                break
+            if not inside or not (mail and ats or number and n_digits >= 4 and digit[j]):
                 continue
             own, after = text[a:b], text[b:b + 1] or " "
             features = ["shape=" + shape(own), f"digits={min(n_digits, 20)}", f"ats={ats}", f"spaces={min(spaces, 4)}",
@@ -151,15 +166,40 @@ def segments(text: str, start: int, end: int) -> tuple[int, list[Segment]]:
                     groups = re.findall("[0-9]+", own)
                     features.append(("plus:" if own[0] == "+" else "paren:" if own[0] == "(" else "groups:")
                                     + "-".join(str(min(len(g), 5)) for g in groups[-4:]))
+                    sign, follows = _NEXT.match(text, b).groups()
+                    features.append(f"next={sign}{min(len(follows), 9)}")
+                    features.append(f"form={own[0] if own[0] in '+(' else '9'}:{'trunk' if '(0)' in own else ''}:{10 <= n_digits <= 15}:{min(max(map(len, groups)), 5)}:{sign}{min(len(follows), 5)}")
                     features.append("phone:" + ("ok" if 10 <= n_digits <= 15 else "odd") + ("" if own.count("(") == own.count(")") else "!"))
             else:
                 local, _, domain = own.partition("@")
                 features.append("mail:" + ("ok" if local and set(local) <= LOCAL and DOMAIN.fullmatch(domain) else "odd"))
                 features.append("ends:" + ("a" if heads[j].isalpha() else "9"))
             out.append(Segment(i, j + 1, a, b, features))
+    first, last = {a: i for i, (a, _) in enumerate(tokens)}, {b: j + 1 for j, (_, b) in enumerate(tokens)}
+    for a, b in secret_runs(text, start, end):
+        if a in first and b in last:
+            out.append(Segment(first[a], last[b], a, b, secret_features(text, a, b)))
     return len(tokens), out
 
 
+def secret_runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Whole runs of signs of secrets that hold letters and digits."""
+    for m in _RUN.finditer(text, start, end):
+        if any(x.isdigit() for x in m[0]) and any(x.isalpha() for x in m[0]):
+            yield m.span()
+
+
+def secret_features(text: str, a: int, b: int) -> list[str]:
+    own, before = text[a:b], text[a - 1] if a else " "
+    cue = _SECRET_CUE.search(text, max(0, a - 24), a)
+    signs = "hex" if set(own) <= set("0123456789abcdef") or set(own) <= set("0123456789ABCDEF") else "alnum" if own.isalnum() else "mixed"
+    switches = sum(x.isdigit() != y.isdigit() for x, y in zip(own, own[1:]))
+    return ["secret", "secret:cue=" + (cue[1].lower() if cue else ""), "secret:" + ("cued" if cue else "plain"), "secret:signs=" + signs,
+            f"secret:length={min(len(own) // 8, 9)}", f"secret:distinct={min(len(set(own)) // 4, 8)}", f"secret:switches={min(8 * switches // len(own), 8)}",
+            "secret:left=" + ("a" if before.isalnum() else "s" if before.isspace() else before),
+            "secret:right=" + ("a" if text[b:b + 1].isalnum() else "s" if not text[b:b + 1].strip() else text[b])]
+
+
 def _sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis)
     return np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis=axis)) + top
@@ -324,29 +364,61 @@ def made_zones(n: int = MADE_ZONES, seed: int = 11) -> list[tuple[str, int, int,
             parts[rng.randrange(4)] = str(rng.randint(256, 999))
         return ".".join(parts)
 
+    def far_phone() -> str:
+        while True:
+            sep = rng.choice((" ", " ", "-"))
+            groups = sep.join(number(rng.choice((2, 3, 4)) if rng.random() < 0.6 else 2) for _ in range(rng.choice((2, 2, 3, 4))))
+            own = f"+{number(2)} (0){rng.choice(('', ' '))}{number(rng.choice((1, 2, 2, 3)))}{sep}{groups}"
+            if 10 <= len(digits_of(own)) <= 15:
+                return own
+
+    def code() -> str:
+        signs = rng.choice(("0123456789abcdef", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+                            "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
+        body = "".join(rng.choice(signs) for _ in range(rng.choice((16, 18, 20, 24, 32, 40, 40, 64))))
+        return rng.choice("abcdefABCDEF" if len(signs) > 16 else signs[10:]) + body[1:-1] + number(1)
+
+    def secret() -> tuple[str, str, str]:
+        """What stands before a secret, the secret, and what stands after it."""
+        name = rng.choice(("token", "api_key", "apikey", "secret", "secret_key", "password", "passwd", "pwd", "access_token", "auth", "key", "credential"))
+        name = rng.choice((name, name, name.upper(), name.title()))
+        left, right = rng.choice((('="', '"'), (' = "', '"'), (": ", ""), ("=", ""), (": '", "'"), (" = '", "'"), ('": "', '"'), (" ", "")))
+        return rng.choice(((name + left, code(), right), ("Bearer ", code(), "")))
+
     def nothing() -> str:
         hexes = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((16, 18, 32, 40))))
         return rng.choice((number(rng.randint(1, 9)), number(rng.randint(20, 24)), f"{number(4)}-{number(2)}-{number(2)}", f"{number(1)}.{number(1)}.{number(2)}",
-                           f"${number(3)}.{number(2)}", f"{number(2)}:{number(2)}", f'"{hexes}"', f"password={hexes}", card(False), ip(False),
+                           f"${number(3)}.{number(2)}", f"{number(2)}:{number(2)}", f'"{hexes}"', f"commit {code()}", f"sha1={code()}", f"md5: {code()}", f"/{word()}/{code()}",
+                           "-".join(hexes[i:i + 4] for i in range(0, 16, 4)), code(), card(False), ip(False),
                            f"{word()}{number(3)}", f"@{word()}", f"{number(3)} {number(3)}", f"{number(4)} {number(4)}", f"{word()}@", hexes))
 
     out = []
     for _ in range(n):
         text, truth = rng.choice(("", word() + " ", word() + ". ")), []
-        start = len(text)
         for i in range(rng.choice((1, 1, 1, 2, 2, 3))):
-            kind = rng.choice((0, 1, 2, 3, None, None))
-            own = (email, lambda: ip(True), lambda: card(True), phone)[kind]() if kind is not None else nothing()
-            text += " " if i else ""
+            kind = rng.choice((0, 1, 2, 3, 4, None, None))
+            before, after = "", ""
+            if kind == 4:
+                before, own, after = secret()
+            elif kind == 3 and rng.random() < 0.4:
+                own = far_phone()
+            else:
+                own = (email, lambda: ip(True), lambda: card(True), phone)[kind]() if kind is not None else nothing()
+            text += (" " if i else "") + before
             if kind is not None:
                 truth.append((len(text), kind, len(text) + len(own)))
-            text += own
+            text += own + after
         tail = rng.choice(("", "", ".", ",", "###", "$$$", "!!"))
-        end = len(text) + len(tail)
-        out.append((text + tail + rng.choice(("", " " + word())), start, end, truth))
+        text += tail + rng.choice(("", " " + word()))
+        out += split_zones(text, truth)
     return out
 
 
+def split_zones(text: str, truth: list[tuple[int, int, int]]) -> list[tuple[str, int, int, list[tuple[int, int, int]]]]:
+    """The zones of a text, each with the entities in it."""
+    return [(text, start, end, [t for t in truth if start <= t[0] and t[2] <= end]) for start, end in zones(text)]
+
+
 def corpus_zones(texts: list[str]) -> list[tuple[str, int, int, list[tuple[int, int, int]]]]:
     """Zones of texts with the base matches in them as truth; zones where base matches overlap teach nothing."""
     out = []
@@ -354,7 +426,8 @@ def corpus_zones(texts: list[str]) -> list[tuple[str, int, int, list[tuple[int,
         found = base(text)
         for start, end in zones(text):
             truth = [(a, k, b) for a, k, b in found if start <= a and b <= end]
-            if all(x[2] <= y[0] for x, y in zip(truth, truth[1:])) and (truth or not _DIGIT.search(text, start, end)):
+            if all(x[2] <= y[0] for x, y in zip(truth, truth[1:])) and (truth or not _DIGIT.search(text, start, end)) \
+                    and not any(True for _ in secret_runs(text, start, end)):  # the patterns don't know secrets
                 around = text[max(0, start - 16):end + 1]
                 move = max(0, start - 16)
                 out.append((around, start - move, end - move, [(a - move, k, b - move) for a, k, b in truth]))
