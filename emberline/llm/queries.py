@@ -69,23 +69,39 @@ URL_RULES = [urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "
 
 @query("""
 WITH RECURSIVE
-scripts AS (SELECT url, regexp_replace(html, '<!--.*?-->|<script\\b.*?</script>', ' ', 'gis') AS html FROM pages
-            WHERE regexp_matches(html, '(?i)canonical|refresh') AND instr(url, '://') > 0),
+plain AS (SELECT url, regexp_replace(html, '<!--.*?-->|<script\\b.*?</script>', ' ', 'gis') AS html FROM pages
+          WHERE regexp_matches(html, '(?i)canonical|refresh') AND instr(url, '://') > 0),
+headed AS (SELECT url, html, replace(regexp_extract(regexp_extract(html, '<base\\b[^>]*\\bhref\\b[^>]*>', 0, 'is'),
+                      '\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'is'), '&amp;', '&') AS href,
+                  regexp_extract(url, '^(.*?)://', 1, 's') AS scheme,
+                  translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+                  coalesce(nullif(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), ''), '/') AS p FROM plain),
+scripts AS (SELECT url, html, CASE WHEN href = '' OR href[1] = '#' THEN url WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+            WHEN href[1:2] = '//' THEN scheme || ':' || href WHEN href[1] = '/' THEN scheme || '://' || h || href
+            WHEN href[1] = '?' THEN scheme || '://' || h || p || href
+            ELSE scheme || '://' || h || regexp_extract(p, '^(.*/)', 1, 's') || href END AS base FROM headed),
 raw AS (
-  SELECT url, replace(regexp_extract(regexp_extract(html, '<link\\b[^>]*?\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'is'),
+  SELECT url, base, replace(regexp_extract(regexp_extract(html, '<link\\b[^>]*?\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'is'),
                       '\\bhref\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'is'), '&amp;', '&') AS link FROM scripts
   UNION ALL
-  SELECT url, replace(regexp_extract(regexp_extract(html, '<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'is'),
+  SELECT url, base, replace(regexp_extract(regexp_extract(html, '<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'is'),
                       '\\burl\\s*=\\s*["'']?\\s*([^"''\\s>]+)', 1, 'is'), '&amp;', '&') FROM scripts),
-based AS (SELECT url, link, regexp_extract(url, '^(.*?)://', 1, 's') AS scheme,
-                 regexp_extract(url, '^.*?://([^/?#]*)', 1, 's') AS h,
-                 regexp_extract(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '^(.*/)', 1, 's') AS folder
-          FROM raw WHERE link <> ''),
-whole AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
-            WHEN starts_with(link, '//') THEN scheme || ':' || link
-            WHEN starts_with(link, '/') THEN scheme || '://' || translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || link
-            ELSE scheme || '://' || translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-                 || CASE WHEN folder = '' THEN '/' ELSE folder END || link END AS target FROM based),
+based AS (SELECT url, base, link, regexp_extract(base, '^(.*?)://', 1, 's') || '://'
+                   || translate(regexp_extract(base, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS root,
+                 coalesce(nullif(regexp_extract(base, '^.*?://[^/?#]*([^?#]*)', 1, 's'), ''), '/') AS p FROM raw WHERE link <> ''),
+dotted AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+             WHEN link[1:2] = '//' THEN regexp_extract(base, '^(.*?)://', 1, 's') || ':' || link WHEN link[1] = '/' THEN root || link
+             WHEN link[1] = '?' THEN root || p || link
+             WHEN link[1] = '#' THEN root || p || regexp_extract(base, '^[^?#]*(\\?[^#]*)', 1, 's')
+             ELSE root || regexp_extract(p, '^(.*/)', 1, 's') || link END AS whole FROM based),
+parted AS (SELECT url, whole, regexp_extract(whole, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS p FROM dotted),
+kept AS (SELECT *, list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(p, '/')[2:], lambda x: [x])),
+                   lambda done, x: CASE WHEN x[1] = '..' THEN done[1:len(done) - 1] WHEN x[1] = '.' THEN done ELSE done || x END) AS parts FROM parted),
+whole AS (SELECT url, CASE WHEN regexp_matches(p, '/[.][.]?(/|$)')
+            THEN regexp_extract(whole, '^(.*?://[^/?#]*)', 1, 's') || '/' || array_to_string(parts, '/')
+                 || CASE WHEN regexp_matches(p, '/[.][.]?$') AND len(parts) > 0 THEN '/' ELSE '' END
+                 || regexp_extract(whole, '^[^?#]*([?#].*)$', 1, 's')
+            ELSE whole END AS target FROM kept),
 every AS (SELECT url AS u FROM pages UNION SELECT target FROM whole),
 addressed AS (
   SELECT u, h, p, CASE WHEN instr(u, '://') > 0 THEN

@@ -7,6 +7,9 @@ keeps its rule's verdict. Any other is allowed if an alias is explicitly allowed
 else allowed: an explicit allow goes before a block that was only passed on. Addresses that are named by links but are no
 pages of the table count as aliases too.
 
+Links are resolved as browsers do: against the page's first ``<base href>`` where it has one, with ``.`` and ``..`` taken out of the
+path, and a link that is only a query or fragment keeps the base's path.
+
 Cases: a null address, or one without ``://``, has an empty host and path and fits no rule; null or empty html has no
 links; a link to the page itself is none; repeated pages get equal rows; the first canonical and the first refresh of a
 page count, as browsers do; comments and scripts are not read for links; an empty table gives no rows.
@@ -28,6 +31,7 @@ COMMENTS = "(?is)<!--.*?-->|<script\\b.*?</script>"
 CANONICAL = "(?is)<link\\b[^>]*?\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>"
 REFRESH = "(?is)<meta\\b[^>]*?\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>"
 HREF = "(?is)\\bhref\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)"
+BASE = "(?is)<base\\b[^>]*\\bhref\\b[^>]*>"
 TARGET = "(?is)\\burl\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)"
 
 
@@ -72,15 +76,30 @@ def address(url: Column) -> Column:
 
 
 def resolved(base: Column, link: Column) -> Column:
-    """A link as a whole address: absolute, without scheme, from the host's root, or relative to the base's folder."""
+    """A link as a whole address: absolute, without scheme, from the host's root, a query or fragment alone, or relative to the base's folder."""
     link = F.replace(link, F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract(base, "(?s)^(.*?)://", 1)
     root = F.concat(scheme, F.lit("://"), host(base))
-    folder = F.regexp_extract(path(base), "(?s)^(.*/)", 1)
+    own = F.when(path(base) == "", "/").otherwise(path(base))
+    query = F.regexp_extract(base, "(?s)^[^?#]*(\\?[^#]*)", 1)
+    folder = F.regexp_extract(own, "(?s)^(.*/)", 1)
     return (F.when(link == "", F.lit(None)).when(F.rlike(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), link)
             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
             .when(link.startswith("/"), F.concat(root, link))
-            .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link)))
+            .when(link.startswith("?"), F.concat(root, own, link))
+            .when(link.startswith("#"), F.concat(root, own, query, link))
+            .otherwise(F.concat(root, folder, link)))
+
+
+def undotted(url: Column) -> Column:
+    """A whole address without ``.`` and ``..`` in its path; what would go above the root stays there."""
+    parts = F.split(path(url), "/")
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"),
+                       lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done)
+                       .otherwise(F.concat(done, F.array(x))))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.when(F.size(kept) > 0, "/").otherwise("")).otherwise("")
+    made = F.concat(F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1), F.lit("/"), F.array_join(kept, "/"), end, F.regexp_extract(url, "(?s)^[^?#]*([?#].*)$", 1))
+    return F.when(F.rlike(path(url), F.lit("/[.][.]?(/|$)")), made).otherwise(url)
 
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -88,11 +107,14 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     own = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html")).where(
         F.rlike("html", F.lit("(?i)canonical|refresh")) & (F.instr("url", "://") > 0))
     plain = own.select("url", F.regexp_replace("html", COMMENTS, " ").alias("html"))
-    found = plain.select("url", F.explode(F.array(
+    based = plain.select("url", "html", F.regexp_extract(F.regexp_extract("html", BASE, 0), HREF, 1).alias("href"))
+    # one step at a time: each step's expressions use the last one's several times
+    based = based.select("url", "html", F.when(F.col("href") != "", resolved(F.col("url"), F.col("href"))).otherwise(F.col("url")).alias("base"))
+    found = based.select("url", "base", F.explode(F.array(
         F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
         F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1))).alias("link"))
-    # one step at a time: each step's expressions use the last one's several times
-    whole = found.where("link <> ''").select("url", resolved(F.col("url"), F.col("link")).alias("target"))
+    whole = found.where("link <> ''").select("url", resolved(F.col("base"), F.col("link")).alias("target"))
+    whole = whole.select("url", undotted(F.col("target")).alias("target"))
     made = whole.select(address(F.col("url")).alias("source"), address(F.col("target")).alias("target"))
     return made.where("target IS NOT NULL AND source <> target").distinct()
 
@@ -110,12 +132,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
                         rule_of(host(F.col("address")), path(F.col("address")), rules)["verdict"].alias("verdict"))
     passed = (told.where("verdict IS NOT NULL").join(found, "node").groupBy("component")
               .agg(F.min("verdict").alias("passed")))  # "allow" sorts before "block"
-    aliases = found.join(passed, "component").select("node", "passed")
+    aliases = named.withColumn("node", F.xxhash64("address")).join(found.join(passed, "component"), "node").select("address", "passed")
 
     own = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"))
     placed = own.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"),
-                        F.xxhash64(address(F.col("url"))).alias("node"))
-    ruled = placed.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).join(aliases, "node", "left")
+                        address(F.col("url")).alias("address"), "url")
+    # pages without an address have no aliases; a key of their own keeps them from meeting in one task
+    placed = placed.withColumn("address", F.coalesce("address", F.concat_ws("-", F.lit("none"), "page_id", "url"))).drop("url")
+    ruled = placed.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)).join(aliases, "address", "left")
     return ruled.select("page_id", "host", "path", F.col("own.name").alias("rule"),
                         F.coalesce("own.verdict", "passed", F.lit("allow")).alias("verdict"),
                         (F.col("own").isNull() & F.col("passed").isNotNull()).alias("by_alias"))

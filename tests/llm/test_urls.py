@@ -20,6 +20,14 @@ PAGES = [
     (12, None, '<link rel="canonical" href="https://shop.net/">'), (13, "no scheme", None), (14, "ftp://Example.NET?x", ""),
     (15, "http://example.net", None), (16, "http://notexample.com/de/", ""), (17, "http://h.net/#/en/", ""), (None, "http://h.org/fr/", ""),
     (6, "https://alias.test/4", ""),
+    (20, "https://dots.test/a/b/c", '<link rel=canonical href="../../x/./y">'), (21, "https://dots.test/x/y", '<link rel=canonical href="http://bad.net/1">'),
+    (22, "https://dots.test/a/b/d", '<link rel=canonical href="../../../../up/..">'), (23, "https://dots.test/", '<link rel=canonical href="http://bad.net/2">'),
+    (24, "https://query.test/p?old=1", '<link rel=canonical href="?q=2">'), (25, "https://query.test/p?q=2", '<link rel=canonical href="http://bad.net/3">'),
+    (26, "https://based.test/deep/er/z", '<base target=_top><BASE HREF="/root/"><link rel=canonical href="z">'),
+    (27, "https://based.test/root/z", '<link rel=canonical href="http://bad.net/4">'),
+    (28, "https://based.test/other", '<base href="https://query.test/p?old=1"><link rel=canonical href="?q=2#top">'),
+    (29, "https://alone.test/p?x", '<link rel=canonical href="#top">'), (30, "https://dots.test/a/b/", '<link rel=canonical href="..">'),
+    (31, "https://dots.test/a/", '<link rel=canonical href="//x.org/fr/./k/../k">'), (32, "https://x.org/q", '<link rel=canonical href="./fr/../fr/k">'),
 ]
 SCHEMA = "page_id long, url string, html string"
 
@@ -39,6 +47,16 @@ def test_aliases(spark):
     assert rows[16] == (None, "allow", False) and rows[17] == ("net/", "block", False) and rows[None] == ("org/fr/", "allow", False)
 
 
+def test_links_are_resolved_as_browsers_do(spark):
+    pages = spark.createDataFrame(PAGES, SCHEMA)
+    rows = {r["page_id"]: (r["verdict"], r["by_alias"]) for r in urls.judge(pages, URL_RULES).collect()}
+    for i in (*range(20, 29),):
+        assert rows[i] == ("block", True), i
+    assert rows[29] == ("allow", False) and rows[30] == rows[31] == rows[32] == ("allow", True)
+    assert {r["target"] for r in urls.links(pages.where("page_id IN (20, 22, 24, 26, 30, 32)")).collect()} == {
+        "https://dots.test/x/y", "https://dots.test/", "https://query.test/p?q=2", "https://based.test/root/z", "https://dots.test/a/", "https://x.org/fr/k"}
+
+
 def test_hosts_and_paths(spark):
     rows = {r["page_id"]: (r["host"], r["path"]) for r in urls.judge(spark.createDataFrame(PAGES, SCHEMA), URL_RULES).collect()}
     assert rows[9] == ("alias.test", "/dir/7") and rows[12] == rows[13] == ("", "") and rows[14] == ("example.net", "")
