@@ -11,7 +11,7 @@ DEFAULT_ALERT_RATIO = 2.0
 MESSAGE_WIDTH = 240
 COMPACT_MESSAGE_WIDTH = 180
 ANOMALY, NORMAL = "ANOMALIE", "NORMAL"
-IP_PATTERN = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
+IP_PATTERN = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 USER_PATTERN = r"user=([a-zA-Z0-9_.-]+)"
 NO_IP, NO_USER = "non détectée", "non détecté"
 ADVICE_ACCESS = (
