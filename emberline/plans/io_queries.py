@@ -172,18 +172,23 @@ def _event_stream(spark, sf) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-#: Rows of a file of a feed, about, and the fewest files.
-FEED_ROWS, FEED_FILES = 12_500, 4
+#: Rows of a file of a feed, about, the fewest files, and the most micro-batches they make: a larger feed has larger ones.
+FEED_ROWS, FEED_FILES, FEED_BATCHES = 12_500, 4, 4
 #: Rows of a feed are out of order by up to this, and streams wait so long for them.
 DISORDER = "2 hours"
 
 
-def _feed(messages: DataFrame, position: str, folder: str) -> None:
-    """Messages as files of a topic folder, in ranges of ``position``; files of later ranges are younger. No task sees more than a range."""
+def _feed(messages: DataFrame, position: str, folder: str) -> int:
+    """Messages as files of a topic folder, in ranges of ``position``; files of later ranges are younger. No task sees more than a range.
+
+    Gives the files of a micro-batch: what a micro-batch costs whatever its size is paid a bounded number of times.
+    """
     spark = messages.sparkSession
     parts = max(FEED_FILES, -(-messages.count() // FEED_ROWS))
     messages.repartitionByRange(parts, position).sortWithinPartitions(position).select("key", "value").write.mode("append").json(folder)
-    files.date_files(spark, files.list_paths(spark, f"{folder}/part-*"))
+    written = files.list_paths(spark, f"{folder}/part-*")
+    files.date_files(spark, written)
+    return max(1, -(-len(written) // FEED_BATCHES))
 
 
 def _shaken(at: Column, *by: str) -> Column:
@@ -199,10 +204,10 @@ def _processed_feed(spark, sf, folder: str) -> DataFrame:
     """
     rows = v.enriched(spark, sf)
     messages = sink.as_message(rows.withColumn("_at", _shaken(F.col("event_time"), "event_id")), F.col("event_id").cast("string"), ENRICHED_FIELDS, "_at")
-    _feed(messages, "_at", f"{folder}/in")
+    most = _feed(messages, "_at", f"{folder}/in")
     last = rows.limit(1).withColumns({"timestamp": F.lit("2100-01-01T00:00:00+00:00"), "source": F.lit("~"), "host": F.lit("~")})
     sink.as_message(last, F.lit("-1"), ENRICHED_FIELDS).write.mode("append").json(f"{folder}/in")
-    fed = topics.stream_folder(spark, f"{folder}/in", 1).withColumn("position", F.col("key").cast("bigint"))
+    fed = topics.stream_folder(spark, f"{folder}/in", most).withColumn("position", F.col("key").cast("bigint"))
     return scoring.processed_rows(fed)
 
 
@@ -232,10 +237,10 @@ def _drained(stream: DataFrame, folder: str) -> DataFrame:
 
 @query(f"WITH {v.SQL_RAW} SELECT {', '.join(ENTRY_FIELDS)} FROM raw_logs")
 def stream_raw(spark, sf):
-    """The raw topic as a folder of several files, read one a micro-batch."""
+    """The raw topic as a folder of several files, read in several micro-batches."""
     folder, rows = scratch_folder(spark), v.raw_logs(spark, sf)
-    _feed(sink.as_message(rows, "source", ENTRY_FIELDS, "raw"), "raw", f"{folder}/in")
-    read = topics.decode(topics.stream_folder(spark, f"{folder}/in", 1), RAW_SCHEMA)
+    most = _feed(sink.as_message(rows, "source", ENTRY_FIELDS, "raw"), "raw", f"{folder}/in")
+    read = topics.decode(topics.stream_folder(spark, f"{folder}/in", most), RAW_SCHEMA)
     return _drained(read.select(*ENTRY_FIELDS), folder)
 
 
@@ -243,8 +248,8 @@ def stream_raw(spark, sf):
 def stream_anomalies(spark, sf):
     """The anomaly topic as a folder of several files; the place of a message is its key here."""
     folder, rows = scratch_folder(spark), v.ml_anomalies(spark, sf)
-    _feed(sink.as_message(rows, F.col("arrival").cast("string"), sink.ANOMALY_FIELDS, "arrival"), "arrival", f"{folder}/in")
-    read = sb.anomaly_rows(topics.stream_folder(spark, f"{folder}/in", 1), F.col("key").cast("bigint"))
+    most = _feed(sink.as_message(rows, F.col("arrival").cast("string"), sink.ANOMALY_FIELDS, "arrival"), "arrival", f"{folder}/in")
+    read = sb.anomaly_rows(topics.stream_folder(spark, f"{folder}/in", most), F.col("key").cast("bigint"))
     number = {c: F.col(c).cast("double").alias(c) for c in ("anomaly_score", "threshold", "severity_ratio")}
     return _drained(read, folder).select("arrival", "detected_at", "source", "host", *number.values(), "model_version")
 
@@ -270,9 +275,9 @@ def etl_counters(spark, sf):
     """What the ETL stream received, quarantined, rejected and kept, summed over its batches."""
     folder = scratch_folder(spark)
     messages = v.json_messages(spark, sf).select(F.col("event_id").cast("string").alias("key"), "value", F.col("event_id").alias("_at"))
-    _feed(messages, "_at", f"{folder}/in")
+    most = _feed(messages, "_at", f"{folder}/in")
     targets = etl.EtlTargets(*[f"{folder}/{n}" for n in ("lake", "processed", "anomalies", "quarantine", "counters")])
-    etl.run_etl(topics.stream_folder(spark, f"{folder}/in", 1), targets, f"{folder}/checkpoint", DRAIN, lambda: v.BATCH_TIME).awaitTermination()
+    etl.run_etl(topics.stream_folder(spark, f"{folder}/in", most), targets, f"{folder}/checkpoint", DRAIN, lambda: v.BATCH_TIME).awaitTermination()
     counted = spark.read.schema("quarantined long, received long, rejected long, records long").json(f"{targets.counters}/counts")
     return counted.agg(*[F.sum(c).alias(c) for c in ("quarantined", "received", "rejected", "records")])
 
@@ -314,10 +319,10 @@ def stream_etl_restarted(spark, sf):
     folder = scratch_folder(spark)
     targets = etl.EtlTargets(*[f"{folder}/{n}" for n in ("lake", "processed", "anomalies", "quarantine", "counters")])
     rows = v.raw_logs(spark, sf)
-    _feed(sink.as_message(rows, "source", ENTRY_FIELDS, "raw"), "raw", f"{folder}/in")
+    in_batch = _feed(sink.as_message(rows, "source", ENTRY_FIELDS, "raw"), "raw", f"{folder}/in")
 
     def run(checkpoint: str, most: int | None = None) -> None:
-        query = etl.run_etl(topics.stream_folder(spark, f"{folder}/in", 1), targets, f"{folder}/{checkpoint}",
+        query = etl.run_etl(topics.stream_folder(spark, f"{folder}/in", in_batch), targets, f"{folder}/{checkpoint}",
                             DRAIN if most is None else {"processingTime": "0 seconds"}, lambda: v.BATCH_TIME)
         while most is not None and query.isActive and (query.lastProgress is None or query.lastProgress.batchId + 1 < most):
             query.awaitTermination(1)
@@ -357,11 +362,11 @@ def _points_stream(spark, sf, folder: str, value: str) -> DataFrame:
     """Points out of order in several files, and a last one of a series of its own long after them; as a stream."""
     points = v.infra_points(spark, sf).select("event_id", "ts", F.col("resource").cast("long").alias("resource"), F.col(value).cast("double").alias("value"))
     record = F.struct("event_id", F.unix_micros("ts").alias("micros"), "resource", "value")
-    _feed(points.select(F.lit("").alias("key"), F.to_json(record).alias("value"), _shaken(F.col("ts"), "event_id").alias("_at")), "_at", f"{folder}/in")
+    most = _feed(points.select(F.lit("").alias("key"), F.to_json(record).alias("value"), _shaken(F.col("ts"), "event_id").alias("_at")), "_at", f"{folder}/in")
     last = points.limit(1).withColumns({"ts": F.lit("2100-01-01").cast("timestamp"), "resource": F.lit(-1).cast("long"), "value": F.lit(0.0)})
     last.select(F.lit("").alias("key"), F.to_json(record).alias("value")).write.mode("append").json(f"{folder}/in")
     told = F.from_json("value", "event_id long, micros long, resource long, value double").alias("p")
-    fed = topics.stream_folder(spark, f"{folder}/in", 1).select(told).select("p.*")
+    fed = topics.stream_folder(spark, f"{folder}/in", most).select(told).select("p.*")
     return fed.withColumn("ts", F.timestamp_micros("micros"))
 
 
