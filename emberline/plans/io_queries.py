@@ -230,8 +230,10 @@ def stream_etl(spark, sf):
 
 
 def _drained(stream: DataFrame, folder: str) -> DataFrame:
-    (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-     .trigger(**DRAIN).start().awaitTermination())
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    with sw.state_partitions(stream.sparkSession):
+        query = writer.trigger(**DRAIN).start()
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -260,8 +262,10 @@ def stream_scoring(spark, sf):
     folder = scratch_folder(spark)
     fed = _processed_feed(spark, sf, folder)
     inputs, model = v.rule_scorer(spark, sf)
-    scoring.run_scoring(fed, "position", inputs, model, v.RULE_THRESHOLD, v.BATCH_ISO, f"{folder}/sent",
-                        f"{folder}/checkpoint", DRAIN, lateness=DISORDER, idle_minutes=None).awaitTermination()
+    with sw.state_partitions(spark):
+        sent = scoring.run_scoring(fed, "position", inputs, model, v.RULE_THRESHOLD, v.BATCH_ISO, f"{folder}/sent",
+                                   f"{folder}/checkpoint", DRAIN, lateness=DISORDER, idle_minutes=None)
+    sent.awaitTermination()
     sent = topics.read_folder(spark, f"{folder}/sent").select("key", F.from_json("value", ANOMALY_SCHEMA).alias("m"))
     return sent.select(F.col("key").alias("source"), "m.host", "m.anomaly_score", "m.severity_ratio",
                        F.array_join("m.sequence.message", "|").alias("messages"))

@@ -9,6 +9,7 @@ rows through and forget keys gone silent, so a replay does the same again; a tim
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,22 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, least: int = 8) -> Iterator[None]:
+    """Streams started inside keep their state in as many partitions as tasks run at once, at least ``least``, never more than configured.
+
+    Every micro-batch opens, writes and commits each partition's state with a Python worker of its own, however few rows it has.
+    A stream keeps the number it began with.
+    """
+    key = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(configured), max(least, spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, configured)
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key in order of (event time, position) once the watermark has passed them, led by the rows before."""
 

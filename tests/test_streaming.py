@@ -4,12 +4,14 @@ import json
 import os
 import random
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window as W, functions as F
 
 from emberline.operators import board as bd, metrics, windows as wd
-from emberline.plans import training, views as v
+from emberline.plans import io_queries, training, views as v
 from emberline.schemas import ANOMALY_SCHEMA, ENRICHED_SCHEMA
 from emberline.sinks import topics as sink
 from emberline.sources import lake, topics
@@ -294,3 +296,70 @@ def test_kafka_options():
     assert raw["startingOffsets"] == "earliest" and raw["minOffsetsPerTrigger"] == "500" and raw["maxTriggerDelay"] == "30s"
     assert topics.processed_topic_options("b", "t", "g")["startingOffsets"] == "latest"
     assert "kafka.group.id" not in topics.board_topic_options("b", "t")
+
+
+def test_a_larger_feed_makes_larger_micro_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io_queries, "FEED_ROWS", 10)
+    rows = spark.range(1000).select(F.lit("").alias("key"), F.col("id").cast("string").alias("value"), "id")
+    most = io_queries._feed(rows, "id", str(tmp_path / "in"))
+    query = (topics.stream_folder(spark, str(tmp_path / "in"), most).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(**DRAIN).start())
+    query.awaitTermination()
+    took = [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    assert sum(took) == 1000 and 3 <= len(took) <= io_queries.FEED_BATCHES
+    assert sorted(int(r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(1000))
+
+
+def test_streams_keep_few_state_partitions(spark, tmp_path):
+    key = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(key)
+    spark.conf.set(key, "40")
+    try:
+        drop_files(spark, [points_of(spark, 1)], str(tmp_path / "in"))
+        stream = spark.readStream.schema(points_of(spark, 1).schema).parquet(str(tmp_path / "in"))
+        io_queries._drained(series.stream_mean(stream, ["resource"], "place"), str(tmp_path))
+        assert spark.conf.get(key) == "40"
+    finally:
+        spark.conf.set(key, configured)
+    kept = [d for d in os.listdir(tmp_path / "checkpoint/state/0") if d.isdigit()]
+    assert 0 < len(kept) <= max(8, spark.sparkContext.defaultParallelism) < 40
+
+
+class Held:
+    """A state variable and a handle of timers in memory."""
+
+    def __init__(self):
+        self.rows, self.states = [], {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, Held())
+
+    getValueState = getListState
+
+    def listTimers(self):
+        return iter([])
+
+    def registerTimer(self, at):
+        self.timer = at
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+
+def test_waiting_points_are_packed():
+    """The state takes a row a chunk, not one a point."""
+    n, handle = series.CHUNK + 1_000, Held()
+    aligned = series.Aligned(["resource"], series.MEAN, 60, None, 1)
+    aligned.init(handle)
+    rows = pd.DataFrame({"micros": [59_000_000 - i for i in range(n)], "place": range(n), "value": [float(i % 7) for i in range(n)]})
+    timers = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert list(aligned.handleInputRows(("a",), iter([rows[:50_000], rows[50_000:]]), timers(0))) == []
+    assert len(handle.states["waiting"].rows) == 2 and handle.timer == 60_000
+    told, = aligned.handleExpiredTimer(("a",), timers(60_000), None)
+    assert told.values.tolist() == [["a", 0, sum(rows["value"]) / n]] and handle.states["waiting"].rows == []
