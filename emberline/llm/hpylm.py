@@ -18,8 +18,9 @@ are the customers of the word restaurant and of the row *rare*. ``learn`` gives
 **Seating.** A restaurant's state is the sizes of the tables at which each dish is eaten. In a sweep, each restaurant takes
 ``MOVES`` customers of every dish, one after the other, from a table drawn by size, and seats them again: at a table of
 the dish with weight size less discount, at a new one with weight (strength + discount * tables) * parent's probability.
-Tables are the parent's customers. Restaurants are seated in parallel given the parent; the parent, and the number of
-rare tables, follow between sweeps. After ``BURN_IN`` sweeps, predictive probabilities are averaged over ``SAMPLES``. Seating
+Tables are the parent's customers. Restaurants are seated in parallel given the parent. A parent keeps its seating: after
+each sweep below it, a customer leaves for each table gone there, drawn by table size, one sits down for each new table, drawn
+like any other, and then it is swept itself (``Seating.follow``). After ``BURN_IN`` sweeps, predictive probabilities are averaged over ``SAMPLES``. Seating
 starts at the expected number of tables. Discounts are estimated from dishes seen once and twice, at each level.
 
 Tokens and pairs known to the broadcast tables of the ``LOOKUP`` and ``PAIRS`` commonest are scored where the text is read;
@@ -130,6 +131,53 @@ class Seating:
         kept = sizes > 0
         return Seating(self.counts, sizes[kept], np.concatenate([[0], np.cumsum(tables)]))
 
+    def follow(self, counts: np.ndarray, restaurant: np.ndarray, total: np.ndarray, parent: np.ndarray, d: float, rng: np.random.Generator,
+               strength: float = STRENGTH) -> Seating:
+        """The same tables for other numbers of customers: those gone are drawn from the seated, those new sit down one after the other."""
+        held = self.sizes.copy()
+        for i in np.flatnonzero(counts < self.counts):
+            own = slice(self.first[i], self.first[i + 1])
+            held[own] -= rng.multivariate_hypergeometric(held[own], self.counts[i] - counts[i], method="marginals")
+        dish = np.repeat(np.arange(len(counts)), self.tables)
+        dish, held = dish[held > 0], held[held > 0]
+        tables, total = np.bincount(dish, minlength=len(counts)), total.astype(float)
+        np.subtract.at(total, restaurant, self.tables - tables)
+        # dishes by how many sit down, most first: those with one more to seat stand in front
+        come = np.maximum(counts - self.counts, 0)
+        order = np.argsort(-come, kind="stable")
+        come, where, p, c, left = come[order], restaurant[order], parent[order], np.minimum(self.counts, counts)[order], tables[order]
+        first = np.concatenate([[0], np.cumsum(left + come)])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        sizes = np.zeros(first[-1], np.int64)
+        sizes[first[place[dish]] + np.arange(len(dish)) - np.concatenate([[0], np.cumsum(tables)])[dish]] = held
+        for step in range(int(come.max(initial=0))):
+            m = int(np.searchsorted(-come, -step, "left"))  # with more than ``step`` to come
+            begin, upto = first[:m], np.concatenate([[0.0], np.cumsum(np.maximum(sizes[:first[m]] - d, 0.0))])
+            old = c[:m] - d * left[:m]
+            draw = rng.random(m) * (old + (strength + d * total[where[:m]]) * p[:m])
+            joined = np.clip(np.searchsorted(upto, upto[begin] + draw, "right") - 1, begin, first[1:m + 1] - 1)
+            opened = (draw >= old) | (sizes[joined] == 0)
+            sizes[np.where(opened, begin + left[:m], joined)] += 1
+            left[:m] += opened
+            c[:m] += 1
+            np.add.at(total, where[:m], opened)
+        owner = np.repeat(order, np.diff(first))
+        kept = sizes > 0
+        owner, sizes = owner[kept], sizes[kept]
+        by_dish = np.argsort(owner, kind="stable")
+        return Seating(counts, sizes[by_dish], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]))
+
+
+def lists_seating(lists: pa.ListArray) -> Seating:
+    """A seating out of its stored table sizes, a list a dish."""
+    sizes, first = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return Seating(np.diff(np.concatenate([[0], np.cumsum(sizes)])[first]), sizes, first)
+
+
+def seating_lists(seating: Seating) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(seating.first.astype(np.int32)), pa.array(seating.sizes))
+
 
 def counted(docs: DataFrame) -> DataFrame:
     """Rows (word, n) of all tokens of the texts; counted within tasks before the shuffle."""
@@ -345,10 +393,14 @@ def seat_classes(docs: DataFrame, classes: np.ndarray, rare_row: np.ndarray | No
         sums = own.groupBy("x.w").agg(F.sum("x.t").alias("t")).toArrow()
         customers = np.zeros(k, np.int64)
         customers[sums["w"].to_numpy()] = sums["t"].to_numpy()
-        # the parent is small: its customers come anew from the tables below, and it is seated here
-        weight = (STRENGTH + PARENT_DISCOUNT * np.count_nonzero(customers)) * uniform
-        parent = Seating.even(customers, start_tables(customers, weight)).sweep(
-            np.zeros(k, np.int64), np.array([np.count_nonzero(customers)]), uniform, PARENT_DISCOUNT, np.random.default_rng(step))
+        # the parent is small, and it is seated here
+        rng, one_room = np.random.default_rng(step), np.zeros(k, np.int64)
+        if step == 0:
+            weight = (STRENGTH + PARENT_DISCOUNT * np.count_nonzero(customers)) * uniform
+            parent = Seating.even(customers, start_tables(customers, weight))
+        else:
+            parent = parent.follow(customers, one_room, np.array([parent.tables.sum()]), uniform, PARENT_DISCOUNT, rng)
+        parent = parent.sweep(one_room, np.array([parent.tables.sum()]), uniform, PARENT_DISCOUNT, rng)
     shared = spark.sparkContext.broadcast((np.stack(parents), probabilities(parent)))
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,16 +541,20 @@ def seat_pairs(pairs: DataFrame, table: DataFrame, k: int, v: int):
     d_word = discount(once=few["once"] + alone, twice=few["twice"])
     types = few["types"] + alone
 
-    def seat_words(step: int):
-        """Tables of the word restaurant, whose customers come anew from the tables below."""
+    def seat_words(step: int, total: float):
+        """Seats the word restaurant on from its last seating, as its customers, the tables below, have changed."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 word, customers = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                weight = np.full(len(word), (STRENGTH + d_word * types) * share)
-                seating = Seating.even(customers, start_tables(customers, weight))
                 rng = np.random.default_rng([step, int(word[0]) & 0x7FFFFFFF]) if len(word) else np.random.default_rng(step)
-                seating = seating.sweep(np.zeros(len(word), np.int64), np.array([types]), np.full(len(word), share), d_word, rng)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seating.tables)], names=[*names, "s"])
+                one_room, p = np.zeros(len(word), np.int64), np.full(len(word), share)
+                if step == 0:
+                    seating = Seating.even(customers, start_tables(customers, (STRENGTH + d_word * total) * p))
+                else:
+                    last = lists_seating(batch.column(6))
+                    seating = last.follow(customers, one_room, np.array([total]), p, d_word, rng)
+                    seating = seating.sweep(one_room, np.array([total + len(seating.sizes) - len(last.sizes)]), p, d_word, rng)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], seating_lists(seating)], names=[*names, "sizes"])
         names = ["word", "n", "customers", "t", "sum_p", "sum_t"]
         return run
 
@@ -524,12 +580,15 @@ def seat_pairs(pairs: DataFrame, table: DataFrame, k: int, v: int):
 
     state = again.withColumns({"sizes": F.array().cast("array<long>"), "seen": F.lit(0).cast("long")})
     class_t, row = kinds
-    now = words_.select("word", "n", F.col("w_kinds").alias("customers"), F.col("u_kinds").alias("t"), F.lit(0.0).alias("sum_p"), F.lit(0).cast("long").alias("sum_t"))
+    now = words_.select("word", "n", F.col("w_kinds").alias("customers"), F.col("u_kinds").alias("t"), F.lit(0.0).alias("sum_p"), F.lit(0).cast("long").alias("sum_t"), F.array().cast("array<long>").alias("sizes"))
+    word_tables = float(types)  # those of words seen once are always theirs alone
     unknown, once, class_sum = [], [], np.zeros(k)
     for step in range(BURN_IN + SAMPLES + 1):
-        now = stored(now.mapInArrow(seat_words(step), "word long, n long, customers long, t long, sum_p double, sum_t long, s long"))
+        now = stored(now.mapInArrow(seat_words(step, word_tables), "word long, n long, customers long, t long, sum_p double, sum_t long, sizes array<long>"))
+        now = now.withColumn("s", F.size("sizes").cast("long"))
         sums = now.agg(F.coalesce(F.sum("customers"), F.lit(0)).alias("c"), F.coalesce(F.sum("s"), F.lit(0)).alias("s")).first()
-        mass, whole = (STRENGTH + d_word * (sums["s"] + alone)) * share, STRENGTH + sums["c"] + alone
+        word_tables = float(sums["s"] + alone)
+        mass, whole = (STRENGTH + d_word * word_tables) * share, STRENGTH + sums["c"] + alone
         p_once = (1 - d_word + mass) / whole
         now = now.withColumn("p", (F.col("customers") - d_word * F.col("s") + mass) / whole)
         smooth = (row + STRENGTH / (k + 1)) / (row.sum() + STRENGTH)
@@ -546,9 +605,9 @@ def seat_pairs(pairs: DataFrame, table: DataFrame, k: int, v: int):
             class_sum += class_t
         new = words_.join(roles(tables, "t"), "word", "left").select(
             "word", "n", (F.col("w_ones") + F.coalesce("w_t", F.lit(0))).alias("customers"), (F.col("u_ones") + F.coalesce("u_t", F.lit(0))).alias("new_t"))
-        now = new.join(now.select("word", "p", "sum_p", "sum_t"), "word").select(
+        now = new.join(now.select("word", "p", "sum_p", "sum_t", "sizes"), "word").select(
             "word", "n", "customers", F.col("new_t").alias("t"), (F.col("sum_p") + F.col("p") * float(sampled)).alias("sum_p"),
-            (F.col("sum_t") + F.col("new_t") * int(sampled)).cast("long").alias("sum_t"))
+            (F.col("sum_t") + F.col("new_t") * int(sampled)).cast("long").alias("sum_t"), "sizes")
     found = stored(now.select("word", "n", (F.col("sum_p") / SAMPLES).alias("p"), (F.col("sum_t") / SAMPLES).alias("t")))
     means = pairs.where("n = 1").select("u", "w", "n", "a", "c", F.lit(1.0).alias("tables")).unionByName(
         state.select("u", "w", "n", "a", "c", (F.col("seen") / SAMPLES).alias("tables")))

@@ -243,6 +243,42 @@ def test_gibbs_agrees_with_the_exact_posterior():
     assert np.abs(found - exact).max() < 0.04
 
 
+def exact_tables(c, d, strength, parent):
+    """Probability of each number of tables of ``c`` customers of one dish."""
+    ways = np.zeros((c + 1, c + 2))
+    ways[1, 1] = 1
+    for n in range(1, c):
+        for t in range(1, n + 1):
+            ways[n + 1, t] += (n - d * t) * ways[n, t]
+            ways[n + 1, t + 1] += ways[n, t]
+    exact = np.array([ways[c, t] * np.prod([(strength + d * i) for i in range(1, t)]) * parent ** t for t in range(c + 1)])
+    exact[0] = 0
+    return exact / exact.sum()
+
+
+def test_a_parent_goes_on_from_its_seating_as_customers_come_and_go():
+    """Swept on, table numbers have their exact distribution, whatever the count was before; untouched dishes keep their tables."""
+    d, strength, parent, copies = 0.4, 1.0, 0.3, 4_000
+    rng, rooms, p = np.random.default_rng(5), np.arange(4_000), np.full(4_000, 0.3)
+    seating = hpylm.Seating.even(np.full(copies, 1), np.ones(copies, np.int64))
+    for c in (7, 3, 9):
+        seating = seating.follow(np.full(copies, c), rooms, seating.tables, p, d, rng, strength)
+        assert (np.bincount(np.repeat(rooms, seating.tables), seating.sizes, copies) == c).all() and (seating.sizes > 0).all()
+        for _ in range(15):
+            seating = seating.sweep(rooms, seating.tables, p, d, rng, strength=strength)
+        assert np.abs(np.bincount(seating.tables, minlength=c + 1) / copies - exact_tables(c, d, strength, parent)).max() < 0.04
+    same = seating.follow(seating.counts, rooms, seating.tables, p, d, rng, strength)
+    assert same.sizes.tolist() == seating.sizes.tolist() and same.first.tolist() == seating.first.tolist()
+    mixed = hpylm.Seating(np.array([5, 3, 2, 1]), np.array([3, 2, 3, 1, 1, 1]), np.array([0, 2, 3, 5, 6]))
+    want = np.array([5, 6, 0, 4])
+    after = mixed.follow(want, np.zeros(4, np.int64), np.array([6]), np.full(4, 0.2), d, rng)
+    assert [int(after.sizes[a:b].sum()) for a, b in zip(after.first, after.first[1:])] == want.tolist()
+    assert after.sizes[:2].tolist() == [3, 2] and after.first[3] == after.first[2]
+    lists = hpylm.seating_lists(after)
+    again = hpylm.lists_seating(lists)
+    assert again.counts.tolist() == want.tolist() and again.sizes.tolist() == after.sizes.tolist() and again.first.tolist() == after.first.tolist()
+
+
 def test_language_model_of_odd_rows(spark, odd_docs, no_docs):
     model, rare = hpylm.learn(odd_docs)
     rows = hpylm.score(odd_docs, model, rare, odd_docs.columns).collect()
