@@ -41,6 +41,13 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _plain(values: pd.Series) -> list:
+    """Python values, None for a missing one."""
+    if values.hasnans:
+        return values.astype(object).where(values.notna(), None).tolist()
+    return values.tolist()
+
+
 @contextmanager
 def state_partitions(spark: SparkSession, least: int = 8) -> Iterator[None]:
     """Streams started inside keep their state in as many partitions as tasks run at once, at least ``least``, never more than configured.
@@ -69,13 +76,14 @@ class InOrder(StatefulProcessor):
         self.kept = handle.getListState("kept", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [tuple(r) for part in rows for r in part[_HELD].astype(object).where(part[_HELD].notna(), None).itertuples(index=False)]
-        yield from self._let_through(key, [*self.waiting.get(), *fresh], bool(fresh), timerValues.getCurrentWatermarkInMs())
+        fresh = [r for part in rows for r in zip(*[_plain(part[c]) for c in _HELD])]
+        yield from self._let_through(key, list(self.waiting.get()), fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._let_through(key, list(self.waiting.get()), False, timerValues.getCurrentWatermarkInMs())
+        yield from self._let_through(key, list(self.waiting.get()), [], timerValues.getCurrentWatermarkInMs())
 
-    def _let_through(self, key, waiting: list[tuple], changed: bool, watermark: int) -> Iterator[pd.DataFrame]:
+    def _let_through(self, key, waited: list[tuple], fresh: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        waiting = [*waited, *fresh]
         ready = sorted((r for r in waiting if r[0] <= watermark * 1000), key=lambda r: (r[0], r[1]))
         rest = [r for r in waiting if r[0] > watermark * 1000]
         kept = list(self.kept.get()) if ready or self.idle else []
@@ -87,10 +95,11 @@ class InOrder(StatefulProcessor):
                 block[1:] = np.cumsum(np.diff(times) // 1000 > self.idle)
             own = [r for r, b in zip(rows[-self.carry:], block[-self.carry:]) if b == block[-1]] if self.carry else []
             self._put(self.kept, own)
-            out = pd.DataFrame([r[1:] for r in rows], columns=_HELD[1:])
-            yield out.assign(source=key[0], host=key[1], _halo=np.arange(len(rows)) < len(kept), _block=block)[_ROW.names]
+            held = dict(zip(_HELD, zip(*rows)))
+            held |= {"source": [key[0]] * len(rows), "host": [key[1]] * len(rows), "_halo": np.arange(len(rows)) < len(kept), "_block": block}
+            yield pd.DataFrame({c: held[c] for c in _ROW.names})
             kept = rows[-1:]
-        if ready or changed:
+        if rest != waited:
             self._put(self.waiting, rest)
         forgotten = self.idle and kept and not rest and kept[-1][0] // 1000 + self.idle <= watermark
         if forgotten:
