@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import text
 from ..session import materialised
@@ -248,6 +248,26 @@ def scaled_log_vectors(enriched: DataFrame, encoder: Encoder, scaler: Scaler | N
     return with_vector_inputs(enriched).withColumn(name, vectors(F.col("_tokens"), F.col("_plain"))).drop("_tokens", "_plain")
 
 
+def value_columns(rows: DataFrame, vector: str, prefix: str, size: int, keep: list[str], digits: int | None = None) -> DataFrame:
+    """``keep``, and the first ``size`` values of an array of floats as double columns, rounded to at most six ``digits``, halves away from zero.
+
+    They are laid out inside tasks: so many expressions in one stage are more code than the JVM compiles. Rounding is that of
+    ``F.round``: a float times a power of ten up to 10^6 is exact in a double, so no tie is made or lost.
+    """
+    kept = rows.select(*keep, vector)
+    schema = T.StructType([*kept.schema.fields[:-1], *[T.StructField(f"{prefix}{i}", T.DoubleType()) for i in range(size)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keep))
+            values = [pc.cast(pc.list_element(lists, i), pa.float64()) for i in range(size)]
+            if digits is not None:
+                values = [pc.add(pc.round(x, digits, "half_towards_infinity"), 0.0) for x in values]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *values], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
 def with_vector_inputs(enriched: DataFrame) -> DataFrame:
     """Adds what ``vectors_of`` needs; done after a shuffle, so that the shuffle carries the plain text."""
     return enriched.withColumns({

@@ -130,12 +130,15 @@ def message_embedding(spark, sf):
     docs = v.table(spark, sf, "documents")
     encoder = ft.collect_encoder(ft.build_vocabulary(docs, "text"), _exact_table(ft.VOCAB_SIZE))
     embed = ft.message_embedding(spark, encoder)
-    rows = docs.select("doc_id", embed(F.col("text")).alias("e"))
-    return rows.select("doc_id", *[F.col("e")[i].cast("double").alias(f"e{i}") for i in range(_DIMS)])
+    return ft.value_columns(docs.select("doc_id", embed(F.col("text")).alias("e")), "e", "e", _DIMS, ["doc_id"])
 
 
 def _encoder(spark, sf):
-    return ft.collect_encoder(ft.build_vocabulary(v.enriched(spark, sf)), _exact_table(ft.VOCAB_SIZE))
+    return ft.collect_encoder(ft.build_vocabulary(v.dealt_enriched(spark, sf)), _exact_table(ft.VOCAB_SIZE))
+
+
+def _shown_vectors(vectors):
+    return ft.value_columns(vectors, "vector", "v", ft.N_FEATURES, ["event_id"], digits=4)
 
 
 _PLAIN_SQL = [f"CASE WHEN source = '{s}' THEN 1.0 ELSE 0.0 END" for s in ft.SOURCES] + [
@@ -157,8 +160,7 @@ def _fit_sql(where: str = "TRUE") -> str:
 @query(f"""WITH {_VECTOR_SQL} SELECT event_id, {', '.join(f'round(v{i}, 4) + 0.0 AS v{i}' for i in range(ft.N_FEATURES))} FROM vec""")
 def log_vector(spark, sf):
     """All 77 values of every row's vector."""
-    vectors = ft.log_vectors(v.enriched(spark, sf), _encoder(spark, sf))
-    return vectors.select("event_id", *[(F.round(F.col("vector")[i].cast("double"), 4) + F.lit(0.0)).alias(f"v{i}") for i in range(ft.N_FEATURES)])
+    return _shown_vectors(ft.log_vectors(v.dealt_enriched(spark, sf), _encoder(spark, sf)))
 
 
 def _rounded_fit(fitted):
@@ -168,14 +170,14 @@ def _rounded_fit(fitted):
 @query(f"WITH {_VECTOR_SQL}, {_fit_sql()} SELECT dim, round(mean, 5) + 0.0 AS mean, round(scale, 5) AS scale FROM fit")
 def fit_scaler(spark, sf):
     """The production scaler: 77 means and deviations of the normal rows."""
-    return _rounded_fit(ft.fit_log_scaler(v.enriched(spark, sf), _encoder(spark, sf)))
+    return _rounded_fit(ft.fit_log_scaler(v.dealt_enriched(spark, sf), _encoder(spark, sf)))
 
 
 @query(f"WITH {_VECTOR_SQL}, {_fit_sql('day BETWEEN 5 AND 20 AND day <> 11')} SELECT dim, round(mean, 5) + 0.0 AS mean, round(scale, 5) AS scale FROM fit")
 def fit_scaler_from_days(spark, sf):
     """A scaler of some days from stored moments by day: added up, and one day taken out again."""
     folder = f"{scratch_folder(spark)}/moments"
-    ft.log_moments(v.enriched(spark, sf), _encoder(spark, sf), by_day=True).write.partitionBy("date").parquet(folder)
+    ft.log_moments(v.dealt_enriched(spark, sf), _encoder(spark, sf), by_day=True).write.partitionBy("date").parquet(folder)
     stored = spark.read.parquet(folder)
     days = stored.where(F.dayofmonth("date").between(5, 20))
     whole, one = ft.merge_moments(days), ft.merge_moments(days.where(F.dayofmonth("date") == 11))
@@ -187,9 +189,8 @@ def fit_scaler_from_days(spark, sf):
 SELECT event_id, {', '.join(f'max(y) FILTER (WHERE dim = {i}) AS v{i}' for i in range(ft.N_FEATURES))} FROM scaled GROUP BY event_id""")
 def scale_vector(spark, sf):
     """All 77 scaled values, on the path that models take."""
-    rows, encoder = v.enriched(spark, sf), _encoder(spark, sf)
-    vectors = ft.scaled_log_vectors(rows, encoder, ft.collect_scaler(ft.fit_log_scaler(rows, encoder)))
-    return vectors.select("event_id", *[(F.round(F.col("vector")[i].cast("double"), 4) + F.lit(0.0)).alias(f"v{i}") for i in range(ft.N_FEATURES)])
+    rows, encoder = v.dealt_enriched(spark, sf), _encoder(spark, sf)
+    return _shown_vectors(ft.scaled_log_vectors(rows, encoder, ft.collect_scaler(ft.fit_log_scaler(rows, encoder))))
 
 
 # ---- Scores, thresholds, evaluation ----------------------------------------

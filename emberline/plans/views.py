@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import times
 from ..operators import board as bd, enrich as en, features as ft, scoring, windows as wd
 from ..schemas import ENTRY_FIELDS
+from ..session import dealt
 from ..sinks.topics import anomaly_payload
 
 BATCH_TIME = "2024-02-01 00:00:00"
@@ -72,6 +73,11 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.enrich(raw_logs(spark, sf_dir), BATCH_TIME)
 
 
+def dealt_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, dealt over all tasks before they are parsed: for vectors and models, whose work is in the rows and not in the bytes."""
+    return en.enrich(raw_logs_of(dealt(events(spark, sf_dir), "event_id", "user_id", "ts")), BATCH_TIME)
+
+
 def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled windows with a score made from the last row's value."""
     labelled = wd.window_labels(enriched(spark, sf_dir), ORDER, keep=["value"])

@@ -17,6 +17,7 @@ from emberline.functions import text
 from emberline.operators import evaluate as ev, features as ft
 from emberline.operators.quantiles import exact_percentile
 from emberline.plans import views as v
+from emberline.session import dealt
 
 SAMPLE = "Invalid user webmaster from 173.234.31.186"
 
@@ -197,3 +198,34 @@ def test_histogram_equals_numpy(spark):
             if r["label"] == label:
                 dense[r["bin"]] = r["density"]
         np.testing.assert_allclose(dense, want, rtol=1e-9)
+
+
+def test_value_columns_round_as_spark_does(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([
+        rng.standard_normal(4000), rng.integers(-400_000, 400_000, 3000) / 32, rng.standard_normal(500) * 1e-5, rng.standard_normal(500) * 1e12,
+        [0.0, -0.0, -1e-9, 1e-30, 0.03125, -0.03125, 3e38, math.inf, -math.inf, math.nan]]).astype(np.float32)
+    lists = [[float(x), 0.5] for x in values] + [[None, 1.0], None]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i long, w array<float>").repartition(3)
+    got = ft.value_columns(rows, "w", "v", 1, ["i"], digits=4)
+    assert got.schema.simpleString() == "struct<i:bigint,v0:double>"
+    want = rows.select("i", (F.round(F.col("w")[0].cast("double"), 4) + F.lit(0.0)).alias("v0"))
+    assert got.count() == len(lists) and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert {str(r["v0"]) for r in got.where("i in (4000, 8001)").collect()}.isdisjoint({"-0.0"})
+    plain = ft.value_columns(rows, "w", "e", 2, ["i"]).where("i < 8000").select("e0", "e1").first()
+    assert plain["e0"] in values and plain["e1"] == 0.5
+
+
+def test_dealt_rows_of_one_row_group_are_many_tasks(spark, tmp_path):
+    spark.range(0, 200, 1, 1).write.parquet(str(tmp_path / "one"))
+    rows = dealt(spark.read.parquet(str(tmp_path / "one")), "id")
+    used = rows.select(F.spark_partition_id().alias("p"), "id").groupBy("p").count().collect()
+    assert len(used) > spark.sparkContext.defaultParallelism and sum(r["count"] for r in used) == 200
+
+
+def test_vector_queries_work_in_many_tasks(spark, sf):
+    """The table of events is one row group, so one task; the vectors are made by all."""
+    assert v.events(spark, sf).select(F.spark_partition_id()).distinct().count() == 1
+    made = v.dealt_enriched(spark, sf)
+    assert made.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism
+    assert made.exceptAll(v.enriched(spark, sf)).count() == 0 and made.count() == v.enriched(spark, sf).count()
