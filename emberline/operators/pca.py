@@ -21,6 +21,8 @@ from .scoring import Inputs, vector_windows, window_source
 from .windows import HOT_ROWS
 
 LATENT = 32  # fixed value
+#: Windows taken at a time: their tenfold copy as doubles, about 3 MB, stays in a core's cache.
+_STEP = 512
 
 
 @dataclass
@@ -30,9 +32,13 @@ class PcaModel:
 
     def errors(self, windows: np.ndarray) -> np.ndarray:
         """Mean squared reconstruction error per window (orthonormal components)."""
-        x = windows.reshape(len(windows), -1).astype(np.float64) - self.mean
-        kept = x @ self.components
-        return np.maximum((x * x).sum(axis=1) - (kept * kept).sum(axis=1), 0.0) / x.shape[1]
+        out = np.empty(len(windows))
+        for at in range(0, len(windows), _STEP):
+            x = windows[at: at + _STEP].reshape(-1, len(self.mean)).astype(np.float64)
+            x -= self.mean
+            kept = x @ self.components
+            out[at: at + _STEP] = np.einsum("ij,ij->i", x, x) - np.einsum("ij,ij->i", kept, kept)
+        return np.maximum(out, 0.0) / len(self.mean)
 
 
 def product_sums(source: DataFrame, inputs: Inputs) -> DataFrame:
@@ -42,13 +48,13 @@ def product_sums(source: DataFrame, inputs: Inputs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, product = 0, None, None
         for _, _, windows, labels, validation in vector_windows(batches, shared.value):
-            x = windows[~labels & ~validation]
-            if len(x) == 0:
-                continue
-            x = x.reshape(len(x), -1).astype(np.float64)
-            n += len(x)
-            total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
-            product = x.T @ x if product is None else product + x.T @ x
+            used = np.flatnonzero(~labels & ~validation)
+            for at in range(0, len(used), _STEP):
+                x = windows[used[at: at + _STEP]]
+                x = x.reshape(len(x), -1).astype(np.float64)
+                n += len(x)
+                total = x.sum(axis=0) if total is None else total + x.sum(axis=0)
+                product = x.T @ x if product is None else product + x.T @ x
         if n:
             d = len(total)
             offsets = pa.array(np.arange(0, d * d + 1, d, dtype=np.int32))

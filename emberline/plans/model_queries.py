@@ -328,7 +328,7 @@ def train_val_split(spark, sf):
 
 
 def _fitted(spark, sf, kind="pca", **options):
-    return training.fit(v.enriched(spark, sf), v.ORDER, v.BATCH_ISO, kind, **options)
+    return training.fit(v.dealt_enriched(spark, sf), v.ORDER, v.BATCH_ISO, kind, **options)
 
 
 @query()
@@ -371,7 +371,7 @@ SELECT i, count(*) AS n, round(avg(x), 6) + 0.0 AS mean, round(avg(x * x), 6) +
 def pca_moments(spark, sf):
     """What the linear model is fitted on: number, mean and mean square of each of a training window's 770 values."""
     inputs = scoring.Inputs(_encoder(spark, sf), None)
-    source = scoring.window_source(v.enriched(spark, sf), v.ORDER, wd.HOT_ROWS)
+    source = scoring.window_source(v.dealt_enriched(spark, sf), v.ORDER, wd.HOT_ROWS)
     sums = pca.product_sums(source, inputs)
     own = F.element_at("product", F.col("i") + 1) / F.col("n")
     return sums.select("i", "n", (F.round(F.col("total") / F.col("n"), 6) + F.lit(0.0)).alias("mean"), (F.round(own, 6) + F.lit(0.0)).alias("square"))
@@ -383,7 +383,7 @@ def artefact_round_trip(spark, sf):
     folder, fitted = scratch_folder(spark), _fitted(spark, sf)
     artefacts.save_model(spark, folder, fitted.inputs, fitted.model, fitted.metadata)
     inputs, model, facts = artefacts.load_model(spark, folder)
-    again = scoring.score_windows(v.enriched(spark, sf), inputs, model, v.ORDER)
+    again = scoring.score_source(fitted.source, inputs, model, v.ORDER)
     key = ["source", "host", "event_id"]
     both = fitted.scored.select(*key, "score").join(again.select(*key, F.col("score").alias("again")), key)
     same = (F.col("score") == F.col("again")) & F.lit(facts["threshold"] == fitted.threshold)

@@ -24,6 +24,7 @@ class Fitted:
     threshold: float
     metadata: dict
     scored: DataFrame
+    source: DataFrame | None = None  # the stored rows of the windows, where the fit stored them
 
 
 def fit(enriched: DataFrame, order: list[str], computed_at: str, kind: str = "pca", hot_rows: int | None = HOT_ROWS,
@@ -55,7 +56,7 @@ def fit(enriched: DataFrame, order: list[str], computed_at: str, kind: str = "pc
         metadata["latent_size"] = model.components.shape[1]
     else:
         metadata |= {"hidden_size": model.shape.hidden, "latent_size": model.shape.latent, "num_layers": lstm.LAYERS, "dropout": lstm.DROPOUT}
-    return Fitted(inputs, model, row["threshold"], metadata, scored)
+    return Fitted(inputs, model, row["threshold"], metadata, scored, source)
 
 
 METADATA_SCHEMA = (

@@ -171,3 +171,23 @@ def test_fit_from_the_lake(spark, rows, tmp_path):
     fitted = training.fit(stored, order, v.BATCH_ISO)
     assert fitted.scored.count() == window_labels(rows, v.ORDER).count()
     assert stored.where("event_time is null").count() == 0
+
+
+def test_errors_of_many_windows_equal_one_by_one():
+    """More windows than are taken at a time, in views over rows; a plain formula, window by window."""
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((1200, 3)).astype(np.float32)
+    windows = np.lib.stride_tricks.sliding_window_view(rows, 4, axis=0).transpose(0, 2, 1)
+    model = pca.PcaModel(rng.standard_normal(12), np.linalg.qr(rng.standard_normal((12, 5)))[0])
+    flat = [w.reshape(-1).astype(np.float64) - model.mean for w in windows]
+    want = [((x - model.components @ (model.components.T @ x)) ** 2).mean() for x in flat]
+    np.testing.assert_allclose(model.errors(windows), want, rtol=1e-9, atol=1e-12)
+    assert model.errors(windows[:0]).shape == (0,)
+
+
+def test_a_fit_keeps_its_window_rows(spark, sf):
+    """So that a loaded model scores the very rows the saved one scored, and nothing is read or shuffled again."""
+    fitted = training.fit(v.dealt_enriched(spark, sf), v.ORDER, v.BATCH_ISO)
+    again = scoring.score_source(fitted.source, fitted.inputs, fitted.model, v.ORDER)
+    assert again.exceptAll(fitted.scored).count() == 0 and again.count() == fitted.scored.count() > 0
+    assert "Scan parquet" not in again._jdf.queryExecution().executedPlan().toString()
