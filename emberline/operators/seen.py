@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialised
+
 #: Bits of a filter: sixteen or more a key keep false hits below one in sixteen; a billion bits are 128 MB of rows.
 BITS = 30
 #: Possible hits up to this number are broadcast to history; beyond it both sides are shuffled.
@@ -36,8 +38,11 @@ def possible_hits(rows: DataFrame, keys: list[str], filters: DataFrame, bits: in
 
 
 def unseen(rows: DataFrame, history: DataFrame, filters: DataFrame, keys: list[str], bits: int = BITS) -> DataFrame:
-    """Rows whose keys no row of ``history`` has; ``filters`` hold at least the keys of ``history``. Keys with a null are never seen."""
-    maybe = possible_hits(rows.select(*keys).distinct(), keys, filters, bits)
+    """Rows whose keys no row of ``history`` has; ``filters`` hold at least the keys of ``history``. Keys with a null are never seen.
+
+    The possible hits are stored: they are counted, and then looked up. ``rows`` and ``history`` are read twice and once.
+    """
+    maybe = materialised(possible_hits(rows.select(*keys).distinct(), keys, filters, bits))
     few = maybe.count() <= BROADCAST_KEYS
     seen = history.select(*keys).join(F.broadcast(maybe) if few else maybe, keys, "left_semi").distinct()
     return rows.join(F.broadcast(seen) if few else seen, keys, "left_anti")  # no more keys seen than may be

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display
 from ..operators import board as bd, metrics as mt
-from ..session import scratch_folder
+from ..session import materialised, scratch_folder
 from . import views as v
 from .catalog import ORACLES, query
 
@@ -220,8 +220,11 @@ def new_incidents(spark, sf):
 
 @query(ORACLES["new_incidents"])
 def new_incidents_filtered(spark, sf):
-    """The same out of stored filters by day: history is scanned for possible hits alone."""
-    rows, folder = v.board(spark, sf), f"{scratch_folder(spark)}/filters"
+    """The same out of stored filters by day: history is scanned for possible hits alone.
+
+    Filters and incidents are of a stored board, as they are of a lake; its windows are made once and not for each reading.
+    """
+    rows, folder = materialised(v.board(spark, sf, spread=True)), f"{scratch_folder(spark)}/filters"
     history = rows.where(F.col("arrival") % 2 == 0)
     bd.incident_filters(history.withColumn("day", F.to_date("timestamp")), "day").write.partitionBy("day").parquet(folder)
     return bd.new_incidents_filtered(rows, history, spark.read.parquet(folder)).select(*_SHOWN.split(", "))

@@ -84,9 +84,10 @@ def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.withColumn("score", F.col("value") / 50)
 
 
-def ml_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ml_anomalies(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     score = F.col("value") / 50
-    found = scoring.hit_windows(enriched(spark, sf_dir), ORDER, score > THRESHOLD, ["timestamp", "level", "message"], keep=["value"])
+    rows = dealt_enriched(spark, sf_dir) if spread else enriched(spark, sf_dir)
+    found = scoring.hit_windows(rows, ORDER, score > THRESHOLD, ["timestamp", "level", "message"], keep=["value"])
     hits = found.select("source", "host", F.col("event_id").alias("arrival"), "sequence", score.alias("score"))
     return anomaly_payload(hits, THRESHOLD, BATCH_ISO, detected_at=F.element_at("sequence", -1)["timestamp"])
 
@@ -106,8 +107,8 @@ def rule_scorer(spark: SparkSession, sf_dir: str):
     return scoring.Inputs(ft.collect_encoder(ft.build_vocabulary(enriched(spark, sf_dir))), None), ErrorShare()
 
 
-def board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bd.board_rows(ml_anomalies(spark, sf_dir))
+def board(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return bd.board_rows(ml_anomalies(spark, sf_dir, spread))
 
 
 def json_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from emberline.operators import board as bd, features as ft, heavy, seen
+from emberline import plans
 from emberline.plans import views as v
 
 KEYS = ["a", "b"]
@@ -59,3 +60,19 @@ def test_summaries_stay_small_and_within_their_error(spark):
     assert len(rows) <= 3 * 81 and lost > 0
     for word in set(words):
         assert low.get(word, 0) <= words.count(word) <= low.get(word, 0) + lost
+
+
+def test_a_board_is_made_once(spark, sf, monkeypatch):
+    """Filters, possible hits and incidents are of one stored board; each used to make the board's windows again."""
+    seen_plans = []
+    real = bd.new_incidents_filtered
+
+    def watched(board, history, filters):
+        seen_plans.extend(df._jdf.queryExecution().executedPlan().toString() for df in (board, history))
+        return real(board, history, filters)
+
+    monkeypatch.setattr(bd, "new_incidents_filtered", watched)
+    found = plans.QUERIES["new_incidents_filtered"](spark, sf)
+    assert len(seen_plans) == 2 and not any("Scan parquet" in p or "MapInArrow" in p for p in seen_plans)
+    want = plans.QUERIES["new_incidents"](spark, sf)
+    assert found.exceptAll(want).count() == 0 and found.count() == want.count() > 0
