@@ -59,6 +59,16 @@ def lookup(words: DataFrame, vocabulary: DataFrame, token: str = "token") -> Dat
     )
 
 
+def lookup_counts(texts: DataFrame, row_id: str, message: str, vocabulary: DataFrame) -> DataFrame:
+    """``row_id``, ``token``, ``idx`` and how often: texts are shuffled by id before they are cut, so their words, many times as large, never are.
+
+    All of the shuffle's partitions are kept, as merged ones would hold too many distinct words to count in memory.
+    """
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = texts.select(row_id, message).repartition(partitions, row_id).select(row_id, F.explode(text.tokens(F.col(message))).alias("token"))
+    return lookup(words, vocabulary).groupBy(row_id, "token", "idx").agg(F.count("*").alias("n"))
+
+
 def coverage(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Share of tokens the vocabulary knows."""
     known = F.col("idx") > 0

@@ -79,8 +79,8 @@ def build_vocabulary_heavy(spark, sf):
 @query(f"""WITH {_WORDS}, {_vocab_sql(ft.VOCAB_SIZE)} SELECT w.doc_id, w.token, coalesce(v.idx, 0) AS idx, count(*) AS n
 FROM words w LEFT JOIN vocab v ON w.token = v.token GROUP BY ALL""")
 def vocab_lookup(spark, sf):
-    vocabulary = ft.build_vocabulary(v.table(spark, sf, "documents"), "text")
-    return ft.lookup(_words(spark, sf), vocabulary).groupBy("doc_id", "token", "idx").agg(F.count("*").alias("n"))
+    docs = v.table(spark, sf, "documents")
+    return ft.lookup_counts(docs, "doc_id", "text", ft.build_vocabulary(docs, "text"))
 
 
 @query(f"""WITH {_WORDS}, {_vocab_sql(ft.VOCAB_SIZE)} SELECT count(*) AS tokens, count(v.idx) AS known,

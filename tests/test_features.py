@@ -229,3 +229,16 @@ def test_vector_queries_work_in_many_tasks(spark, sf):
     made = v.dealt_enriched(spark, sf)
     assert made.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism
     assert made.exceptAll(v.enriched(spark, sf)).count() == 0 and made.count() == v.enriched(spark, sf).count()
+
+
+def test_lookup_counts_shuffle_texts_and_not_words(spark):
+    texts = [(1, "b a b zz"), (2, "a"), (1, "b c"), (None, "a a"), (None, "a"), (3, None), (4, "")]
+    df = spark.createDataFrame(texts, "d long, m string").repartition(3)
+    vocabulary = ft.build_vocabulary(df, "m", size=2)
+    found = ft.lookup_counts(df, "d", "m", vocabulary)
+    got = {(r["d"], r["token"]): (r["idx"], r["n"]) for r in found.collect()}
+    assert found.count() == len(got)
+    assert got == {(1, "a"): (1, 1), (1, "b"): (2, 3), (1, "zz"): (0, 1), (1, "c"): (0, 1), (2, "a"): (1, 1), (None, "a"): (1, 3)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(d" in plan and "hashpartitioning(d#" in plan and ", token#" not in "".join(
+        line for line in plan.splitlines() if "Exchange hashpartitioning(d" in line)
