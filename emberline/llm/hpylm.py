@@ -44,11 +44,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import bounded, with_columns
-from .stored import stored
+from .stored import dropped, shuffles_dropped, stored
 from .words import NOT_SPACE, mix, words
 
 CLASSES, LOOKUP, PAIRS = 2_047, 1 << 18, 1 << 20
 BURN_IN, SAMPLES, MOVES = 2, 3, 6
+SHARD_BYTES = 4 << 20  # of text
 STRENGTH, PARENT_DISCOUNT = 1.0, 0.5
 
 END = mix(np.array([0xE4D], dtype=np.uint64))[0]
@@ -313,11 +314,10 @@ def seat_rare(table: DataFrame, n: int, v: int) -> tuple[DataFrame, float]:
     return scored, float(np.log10(parent / whole))
 
 
-def seat_classes(docs: DataFrame, classes: np.ndarray, rare_row: np.ndarray | None = None) -> np.ndarray:
-    """log10 of each class given each class before it, averaged over the samples; ``rare_row`` are the customers of the row *rare*, if not all tokens."""
-    spark = docs.sparkSession
+def class_cells(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """Rows (u, w, n) of all pairs of a token's class and the class of the one after it."""
     k = len(classes) + 1
-    known = spark.sparkContext.broadcast(classes)
+    known = docs.sparkSession.sparkContext.broadcast(classes)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -336,7 +336,16 @@ def seat_classes(docs: DataFrame, classes: np.ndarray, rare_row: np.ndarray | No
         if held:
             yield rows()
 
-    cells = docs.mapInArrow(pairs, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(pairs, "u long, w long, n long")
+
+
+def seat_classes(cells: DataFrame, k: int, rare_row: np.ndarray | None = None) -> np.ndarray:
+    """log10 of each of ``k`` classes given each class before it, averaged over the samples, from counts (u, w, n) of their pairs, which may repeat.
+
+    ``rare_row`` are the customers of the row *rare*, if not all tokens.
+    """
+    spark = cells.sparkSession
+    cells = cells.groupBy("u", "w").agg(F.sum("n").alias("n"))
     if rare_row is not None:
         row = spark.createDataFrame([(k - 1, int(c), int(rare_row[c])) for c in np.flatnonzero(rare_row)], "u long, w long, n long")
         cells = cells.where(F.col("u") < k - 1).union(row)
@@ -386,7 +395,8 @@ def seat_classes(docs: DataFrame, classes: np.ndarray, rare_row: np.ndarray | No
 
     for step in range(BURN_IN + SAMPLES + 1):
         p = probabilities(parent)
-        state = stored(state.mapInArrow(sweep(step, p), schema))
+        last, state = state, stored(state.mapInArrow(sweep(step, p), schema))
+        dropped(last)
         if step > BURN_IN:
             parents.append(p)
         own = state.select(F.explode(F.arrays_zip(F.col("dishes.w").alias("w"), F.col("tables").alias("t"))).alias("x"))
@@ -420,6 +430,7 @@ def seat_classes(docs: DataFrame, classes: np.ndarray, rare_row: np.ndarray | No
     made = state.mapInArrow(dense, "u long, row binary").toArrow()
     for u, row in zip(made["u"].to_pylist(), made["row"].to_pylist()):
         log_p[u] = np.frombuffer(row, "<f4")
+    dropped(state)
     return log_p
 
 
@@ -435,7 +446,7 @@ def learn(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     words_, n, log = sorted_words(rare.where(F.col("n") >= commonest(rare, LOOKUP)), "n", "log_rare")
     lookup = np.concatenate([classes, words_])
     order = np.argsort(lookup)
-    model = Model(classes, seat_classes(own, classes), lookup[order], np.concatenate([class_n, n])[order],
+    model = Model(classes, seat_classes(class_cells(own, classes), len(classes) + 1), lookup[order], np.concatenate([class_n, n])[order],
                   np.concatenate([np.zeros(len(classes)), log])[order], log_unknown, facts["n"], facts["v"])
     return model, rare
 
@@ -476,38 +487,61 @@ def counted_pairs(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         F.sum("n").alias("n"), F.first("a").alias("a"), F.first("c").alias("c"))
 
 
-def beside(pairs: DataFrame, k: int, words_: DataFrame, once: float) -> DataFrame:
-    """Pairs with ``p`` of the rare token and ``t`` tables of the rare context from rows (word, n, p, t).
+class Near:
+    """Probabilities and tables of rare tokens beside their pairs.
 
-    Classes need no join, and the ``LOOKUP`` commonest rare tokens are broadcast, so no join has a hot key. Tokens that aren't
-    among the rows were seen once: they have the probability ``once`` and one table after them.
+    Pairs whose rare tokens are among the ``LOOKUP`` commonest find them in broadcast arrays where they are used; the others, marked
+    once, are joined with the rows of the other tokens, so no join has a hot key.
     """
-    floor = commonest(words_, LOOKUP)
-    near = words_.where(F.col("n") >= floor)
-    far = words_.where(F.col("n") < floor)
-    is_far = not far.isEmpty()
-    out = pairs
-    for key, own, value, other in (("w", "c", "p", once), ("u", "a", "t", 1.0)):
-        def named(rows: DataFrame) -> DataFrame:
-            return rows.select(F.col("word").alias(key), F.col(value))
-
-        out = out.join(F.broadcast(named(near)), key, "left")
-        if is_far:
-            open_ = (F.col(own) == k) & F.col(value).isNull()
-            out = out.where(~open_).unionByName(out.where(open_).drop(value).join(named(far), key, "left"))
-        out = out.withColumn(value, F.coalesce(value, F.lit(other)))
-    return out
-
-
-def seat_pairs(pairs: DataFrame, table: DataFrame, k: int, v: int):
+
+    def __init__(self, words_: DataFrame, k: int):
+        self.k, self.floor = k, commonest(words_, LOOKUP)
+        self.words, = sorted_words(words_.where(F.col("n") >= self.floor))
+
+    def marked(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with ``far``: whether one of their tokens has to be joined."""
+        k, known = self.k, pairs.sparkSession.sparkContext.broadcast(self.words)
+
+        def start():
+            def run(u: pa.Array, w: pa.Array, a: pa.Array, c: pa.Array):
+                (_, has_u), (_, has_w) = (place_in(known.value, x.to_numpy().view(np.uint64)) for x in (u, w))
+                return (pa.array(((a.to_numpy() == k) & ~has_u) | ((c.to_numpy() == k) & ~has_w)),)
+            return run
+
+        return with_columns(pairs, ["u", "w", "a", "c"], [T.StructField("far", T.BooleanType())], start)
+
+    def beside(self, pairs: DataFrame, words_: DataFrame):
+        """Marked pairs with ``p`` and ``t`` where they were joined from rows (word, n, p, t), and what gives both for columns of a batch of them."""
+        k = self.k
+        word, p, t = sorted_words(words_.where(F.col("n") >= self.floor).select("word", "p", F.col("t").cast("double").alias("t")), "p", "t")
+        known = pairs.sparkSession.sparkContext.broadcast((word, p, t))
+        others = words_.where(F.col("n") < self.floor)
+        far = pairs.where("far")
+        for key, value in (("w", "p"), ("u", "t")):
+            far = far.join(others.select(F.col("word").alias(key), F.col(value).cast("double").alias(value)), key, "left")
+        near = pairs.where("NOT far").withColumns({"p": F.lit(None).cast("double"), "t": F.lit(None).cast("double")})
+
+        def values(u, w, a, c, p, t):
+            word, near_p, near_t = known.value
+            out = []
+            for token, is_rare, joined, near in ((w, c == k, p, near_p), (u, a == k, t, near_t)):
+                at, has = place_in(word, token.view(np.uint64))
+                out.append(np.where(is_rare, np.where(has, near[at] if len(word) else 0.0, joined), 1.0))
+            return out
+
+        return far.select(*pairs.columns, "p", "t").unionByName(near), values
+
+
+def seat_pairs(again: DataFrame, by: pa.Table, once: int, twice: int, table: DataFrame, k: int, v: int):
     """Seats the restaurants of pairs and the word restaurant together.
 
-    Gives rows (u, w, n, a, c, t) of pairs with their mean tables, rows (word, n, p, t) of rare tokens with their mean probability
-    and the mean tables after them, but of those seen once, their probability, that of an unknown token, customers and mean tables of classes as contexts, the
-    last customers of the row *rare*, and the discount.
+    ``again`` are the marked pairs seen more than once, ``by`` how many pairs of each two classes there are (kinds), how many were seen once (ones)
+    and their customers (n), ``once`` and ``twice`` how many pairs were seen so often. Gives rows (u, w, n, a, c, far, tables) of ``again`` with
+    their mean tables, rows (word, n, p, t) of rare tokens with their mean probability and the mean tables after them, but of those seen once,
+    their probability, that of an unknown token, customers and mean tables of classes as contexts, the last customers of the row *rare*, the
+    discount, and the finder of tokens beside pairs.
     """
-    facts = pairs.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    d = discount(once=facts["once"], twice=facts["twice"])
+    d = discount(once=once, twice=twice)
     share = 1 / (v + 1)
 
     def roles(rows: DataFrame, *sums: str) -> DataFrame:
@@ -519,23 +553,21 @@ def seat_pairs(pairs: DataFrame, table: DataFrame, k: int, v: int):
             rows.where(F.col("a") == k).select(F.col("u").alias("word"), *[x.alias(m) for x, m in zip([*zero, *own], names)]))
         return both.groupBy("word").agg(*[F.sum(m).alias(m) for m in names])
 
-    def by_class(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def by_class(a: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tables of each class as a context, and customers of the row *rare*."""
-        got = rows.groupBy("a", "c").agg(F.sum("t").alias("t")).toArrow()
-        a, c, t = (got[x].to_numpy() for x in ("a", "c", "t"))
         return np.bincount(a[a < k], t[a < k], k), np.bincount(c[a == k], t[a == k], k + 1)
 
+    def columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
+        return [rows[x].to_numpy() for x in names]
+
     # What is seen once has one table whatever is drawn: only words and pairs seen more often are seated.
-    again = pairs.where("n > 1")
     more = stored(table.where("n > 1").select("word", "n").join(
         roles(again.select("u", "w", "a", "c", "n", F.lit(1).cast("long").alias("kinds")), "n", "kinds"), "word", "left").fillna(0))
     # a token stands in as many pairs as it is counted, on either side; the others of its pairs were seen once
     words_ = more.select("word", "n", (F.col("n") - F.col("w_n")).alias("w_ones"), (F.col("n") - F.col("u_n")).alias("u_ones"),
                          (F.col("n") - F.col("w_n") + F.col("w_kinds")).alias("w_kinds"), (F.col("n") - F.col("u_n") + F.col("u_kinds")).alias("u_kinds"))
-    by = pairs.groupBy("a", "c").agg(F.count_if(F.col("n") == 1).alias("ones"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    by = by.sparkSession.createDataFrame(by.toArrow())
-    ones, kinds = by_class(by.withColumnRenamed("ones", "t")), by_class(by.withColumnRenamed("kinds", "t"))
-    class_n, _ = by_class(by.withColumnRenamed("n", "t"))
+    ones, kinds = by_class(*columns(by, "a", "c", "ones")), by_class(*columns(by, "a", "c", "kinds"))
+    class_n, _ = by_class(*columns(by, "a", "c", "n"))
     alone = table.where("n = 1").count()
     few = words_.agg(F.count_if(F.col("w_kinds") == 1).alias("once"), F.count_if(F.col("w_kinds") == 2).alias("twice"), F.count("*").alias("types")).first()
     d_word = discount(once=few["once"] + alone, twice=few["twice"])
@@ -558,50 +590,53 @@ def seat_pairs(pairs: DataFrame, table: DataFrame, k: int, v: int):
         names = ["word", "n", "customers", "t", "sum_p", "sum_t"]
         return run
 
-    def seat(step: int, class_t: np.ndarray, row: np.ndarray):
+    def seat(step: int, class_t: np.ndarray, row: np.ndarray, values):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                u, n, a, c = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
-                p, total = (batch.column(i).to_numpy(zero_copy_only=False) for i in (7, 8))
-                p = np.where(c == k, p, 1.0) * np.where(a == k, row[c], 1.0)
+                u, w, n, a, c = (batch.column(i).to_numpy() for i in range(5))
+                p, total = values(u, w, a, c, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (8, 9)))
+                p = p * np.where(a == k, row[c], 1.0)
                 total = np.where(a == k, total, np.append(class_t, 0.0)[a])
                 if step == 0:
                     seating, seen = Seating.even(n, start_tables(n, (STRENGTH + d * total) * p)), np.zeros(len(n), np.int64)
                 else:
-                    lists = batch.column(5)
-                    seating = Seating(n, lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64))
+                    seating = lists_seating(batch.column(6))
                     rng = np.random.default_rng([step, int(u[0]) & 0x7FFFFFFF]) if len(u) else np.random.default_rng(step)
                     _, at, restaurant = np.unique(u, return_index=True, return_inverse=True)
                     seating = seating.sweep(restaurant, total[at], p, d, rng)
-                    seen = batch.column(6).to_numpy() + (seating.tables if step > BURN_IN else 0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(seating.first.astype(np.int32)), pa.array(seating.sizes)),
-                                                  pa.array(seen)], names=["u", "w", "n", "a", "c", "sizes", "seen"])
+                    seen = batch.column(7).to_numpy() + (seating.tables if step > BURN_IN else 0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], seating_lists(seating), pa.array(seen)],
+                                                 names=["u", "w", "n", "a", "c", "far", "sizes", "seen"])
         return run
 
-    state = again.withColumns({"sizes": F.array().cast("array<long>"), "seen": F.lit(0).cast("long")})
+    near = Near(words_, k)
+    state = near.marked(again).select("u", "w", "n", "a", "c", "far", F.array().cast("array<long>").alias("sizes"), F.lit(0).cast("long").alias("seen"))
     class_t, row = kinds
     now = words_.select("word", "n", F.col("w_kinds").alias("customers"), F.col("u_kinds").alias("t"), F.lit(0.0).alias("sum_p"), F.lit(0).cast("long").alias("sum_t"), F.array().cast("array<long>").alias("sizes"))
     word_tables = float(types)  # those of words seen once are always theirs alone
-    unknown, once, class_sum = [], [], np.zeros(k)
+    unknown, p_ones, class_sum = [], [], np.zeros(k)
+    gone: list[DataFrame] = []  # of the sweep before
     for step in range(BURN_IN + SAMPLES + 1):
-        now = stored(now.mapInArrow(seat_words(step, word_tables), "word long, n long, customers long, t long, sum_p double, sum_t long, sizes array<long>"))
-        now = now.withColumn("s", F.size("sizes").cast("long"))
+        seated_words = stored(now.mapInArrow(seat_words(step, word_tables), "word long, n long, customers long, t long, sum_p double, sum_t long, sizes array<long>"))
+        now = seated_words.withColumn("s", F.size("sizes").cast("long"))
         sums = now.agg(F.coalesce(F.sum("customers"), F.lit(0)).alias("c"), F.coalesce(F.sum("s"), F.lit(0)).alias("s")).first()
         word_tables = float(sums["s"] + alone)
         mass, whole = (STRENGTH + d_word * word_tables) * share, STRENGTH + sums["c"] + alone
         p_once = (1 - d_word + mass) / whole
         now = now.withColumn("p", (F.col("customers") - d_word * F.col("s") + mass) / whole)
         smooth = (row + STRENGTH / (k + 1)) / (row.sum() + STRENGTH)
-        placed = beside(state, k, now.select("word", "n", "p", F.col("t").cast("double").alias("t")), p_once)
-        state = stored(placed.select("u", "w", "n", "a", "c", "sizes", "seen", "p", "t").mapInArrow(
-            seat(step, class_t, smooth), "u long, w long, n long, a int, c int, sizes array<long>, seen long"))
+        placed, values = near.beside(state, now)
+        state = stored(placed.select("u", "w", "n", "a", "c", "far", "sizes", "seen", "p", "t").mapInArrow(
+            seat(step, class_t, smooth, values), "u long, w long, n long, a int, c int, far boolean, sizes array<long>, seen long"))
+        dropped(*gone)
+        gone = [seated_words, state]
         tables = state.select("u", "w", "a", "c", F.size("sizes").cast("long").alias("t"))
-        seated = by_class(tables)
+        seated = by_class(*columns(tables.groupBy("a", "c").agg(F.sum("t").alias("t")).toArrow(), "a", "c", "t"))
         class_t, row = ones[0] + seated[0], ones[1] + seated[1]
         sampled = step > BURN_IN
         if sampled:
             unknown.append(mass / whole)
-            once.append(p_once)
+            p_ones.append(p_once)
             class_sum += class_t
         new = words_.join(roles(tables, "t"), "word", "left").select(
             "word", "n", (F.col("w_ones") + F.coalesce("w_t", F.lit(0))).alias("customers"), (F.col("u_ones") + F.coalesce("u_t", F.lit(0))).alias("new_t"))
@@ -609,9 +644,31 @@ def seat_pairs(pairs: DataFrame, table: DataFrame, k: int, v: int):
             "word", "n", "customers", F.col("new_t").alias("t"), (F.col("sum_p") + F.col("p") * float(sampled)).alias("sum_p"),
             (F.col("sum_t") + F.col("new_t") * int(sampled)).cast("long").alias("sum_t"), "sizes")
     found = stored(now.select("word", "n", (F.col("sum_p") / SAMPLES).alias("p"), (F.col("sum_t") / SAMPLES).alias("t")))
-    means = pairs.where("n = 1").select("u", "w", "n", "a", "c", F.lit(1.0).alias("tables")).unionByName(
-        state.select("u", "w", "n", "a", "c", (F.col("seen") / SAMPLES).alias("tables")))
-    return means, found, float(np.mean(once)), float(np.mean(unknown)), class_n, class_sum / SAMPLES, row.astype(np.int64), d
+    dropped(more, seated_words)
+    means = state.select("u", "w", "n", "a", "c", "far", (F.col("seen") / SAMPLES).alias("tables"))
+    return means, found, float(np.mean(p_ones)), float(np.mean(unknown)), class_n, class_sum / SAMPLES, row.astype(np.int64), d, near
+
+
+def pair_adds(some: DataFrame, found: DataFrame, near: Near, after_rare: np.ndarray, left: np.ndarray, d: float, once: float) -> DataFrame:
+    """Rows (key, n, log_add) of marked pairs (u, w, n, a, c, far, tables): log10 of what their own customers add.
+
+    Tokens that aren't among the rows were seen once: they have the probability ``once`` and one table after them.
+    """
+    k = near.k
+    placed, values = near.beside(some, found)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, n, a, c = (batch.column(i).to_numpy() for i in range(5))
+            tables, p, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
+            p, t = values(u, w, a, c, np.where(np.isnan(p), once, p), np.where(np.isnan(t), 1.0, t))
+            p = p * np.where(a == k, after_rare[c], 1.0)
+            weight = np.where(a == k, STRENGTH + d * t, np.append(left, 1.0)[a])
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(u.view(np.uint64), w.view(np.uint64)).view(np.int64)), pa.array(n),
+                                              pa.array(np.log10(1 + (n - d * tables) / (weight * p)).astype(np.float32))], names=["key", "n", "log_add"])
+
+    columns = placed.select("u", "w", "n", "a", "c", "tables", "p", "t")
+    return columns.mapInArrow(added, "key long, n long, log_add float")
 
 
 def learn_whole(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, DataFrame]:
@@ -623,22 +680,17 @@ def learn_whole(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame,
     classes, class_n = sorted_words(table.where(F.col("n") >= floor), "n")
     k = len(classes)
     pairs = stored(counted_pairs(own, classes))
-    means, found, once, unknown, rare_n, class_t, row, d = seat_pairs(pairs, table.where(F.col("n") < floor), k, facts["v"])
-    log_p = seat_classes(own, classes, row)
+    by = pairs.groupBy("a", "c").agg(F.count_if(F.col("n") == 1).alias("ones"), F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    facts_2 = pairs.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
+    means, found, once, unknown, rare_n, class_t, row, d, near = seat_pairs(
+        pairs.where("n > 1"), by, facts_2["once"], facts_2["twice"], table.where(F.col("n") < floor), k, facts["v"])
+    log_p = seat_classes(class_cells(own, classes), k + 1, row)
     after_rare = 10.0 ** log_p[k].astype(float)
     left = STRENGTH + d * class_t
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, w, n, a, c = (batch.column(i).to_numpy() for i in range(5))
-            tables, p, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
-            p = np.where(c == k, p, 1.0) * np.where(a == k, after_rare[c], 1.0)
-            weight = np.where(a == k, STRENGTH + d * t, np.append(left, 1.0)[a])
-            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(u.view(np.uint64), w.view(np.uint64)).view(np.int64)), pa.array(n),
-                                              pa.array(np.log10(1 + (n - d * tables) / (weight * p)).astype(np.float32))], names=["key", "n", "log_add"])
+    means = means.unionByName(near.marked(pairs.where("n = 1")).withColumn("tables", F.lit(1.0)))
 
     def whole(some: DataFrame) -> DataFrame:
-        return beside(some, k, found, once).select("u", "w", "n", "a", "c", "tables", "p", "t").mapInArrow(added, "key long, n long, log_add float")
+        return pair_adds(some, found, near, after_rare, left, d, once)
 
     # every rare token is the context of as many tokens as it stands there
     all_words = found.unionByName(table.where(f"n = 1 AND n < {floor}").select("word", "n", F.lit(once).alias("p"), F.lit(1.0).alias("t")))
@@ -652,6 +704,218 @@ def learn_whole(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame,
     return model, rare, whole(means)
 
 
+def dealt_in_shards(docs: DataFrame, text: str, keep: list[str], learned: Column) -> DataFrame:
+    """Rows (kept, text, learned, shard); a shard has about ``SHARD_BYTES`` of text and follows from a row's values alone, so every pass deals alike."""
+    facts = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    shards = 1 + (facts["bytes"] + 64 * facts["rows"]) // SHARD_BYTES
+    told = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in {*keep, text} and isinstance(f.dataType, T.AtomicType)]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").cast("string").alias("text"),
+                       F.coalesce(learned, F.lit(False)).alias("learned"), F.pmod(F.xxhash64(*told), F.lit(shards)).cast("int").alias("shard"))
+
+
+def pair_cells(docs: DataFrame, classes: np.ndarray, tasks: int) -> DataFrame:
+    """Rows (key, shard, n, first) of pairs and the shards that hold them; ``n`` is the pair's number in all learned texts.
+
+    Pairs of two classes are left out, and those seen once in learned texts but where a text not learned has them too: in a learned text,
+    a pair without a row was seen once. ``first`` marks one of a pair's rows.
+    """
+    k = len(classes)
+    known = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+
+        def rows():
+            key, code = (np.concatenate(x) for x in zip(*held))
+            _, at, n = np.unique(pair_keys(code.view(np.uint64), key), return_index=True, return_counts=True)
+            at_n = np.where(code[at] & 1, 0, n)
+            return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(code[at].astype(np.int32)), pa.array(at_n.astype(np.int32))],
+                                              names=["key", "code", "n"])
+
+        for batch in batches:
+            found, first = tokens(batch.column(0))
+            own, before = classes_of(known.value, found, first)
+            some = np.flatnonzero((own == k) | (before == k))
+            code = 2 * batch.column(2).to_numpy().astype(np.int64) + ~batch.column(1).to_numpy(zero_copy_only=False)
+            held.append((pair_keys(contexts_of(found, first)[some], found[some]), np.repeat(code, np.diff(first))[some]))
+            waiting += len(some)
+            if waiting > 2_500_000:
+                yield rows()
+                held, waiting = [], 0
+        if waiting:
+            yield rows()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        key, code, n = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((code, key))
+        key, code, n = key[order], code[order], n[order]
+        shard = code >> 1
+        new_key = np.append(True, key[1:] != key[:-1])
+        cells = np.flatnonzero(new_key | np.append(True, shard[1:] != shard[:-1]))
+        kinds = np.flatnonzero(new_key)
+        whole = np.add.reduceat(n, kinds)[np.cumsum(new_key)[cells] - 1]
+        unlearned = np.maximum.reduceat(code & 1, cells) == 1
+        kept = (whole > 1) | ((whole == 1) & unlearned)
+        cells, whole = cells[kept], whole[kept]
+        first = np.append(True, key[cells][1:] != key[cells][:-1])[:len(cells)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[cells]), pa.array(shard[cells]), pa.array(whole.astype(np.int32)), pa.array(first)],
+                                         names=["key", "shard", "n", "first"])
+
+    parts = docs.select("text", "learned", "shard").mapInArrow(count, "key long, code int, n int")
+    return parts.repartition(tasks, "key").mapInArrow(total, "key long, shard int, n int, first boolean")
+
+
+#: What a row of ``shard_parts`` is: a pair seen more than once, pairs of two classes of which one is rare and that were seen once, a token beyond
+#: the lookup in a shard (``a``), pairs of a class and a class or any rare token.
+PAIR, ONES, FAR_WORD, CELL = range(4)
+
+
+def shard_parts(docs: DataFrame, cells: DataFrame, classes: np.ndarray, lookup: np.ndarray, common: np.ndarray) -> DataFrame:
+    """Rows (kind, u, w, n, a, c) that the shards' texts and their rows of ``pair_cells`` give; pairs in ``common`` need a row only where it is the first."""
+    k = len(classes)
+    known = docs.sparkSession.sparkContext.broadcast((classes, lookup, common))
+
+    def run(docs: pa.Table, cells: pa.Table) -> pa.Table:
+        classes, lookup, common = known.value
+        found, first = tokens(docs["text"].combine_chunks())
+        own, before = classes_of(classes, found, first)
+        learned = np.repeat(docs["learned"].to_numpy(), np.diff(first))
+        is_rare = (own == k) | (before == k)
+        some = np.flatnonzero(is_rare)
+        u, w = contexts_of(found, first)[some], found[some]
+        order = np.argsort(cells["key"].to_numpy().view(np.uint64))
+        n = cells["n"].to_numpy()[order]
+        key = pair_keys(u, w)
+        at, has = place_in(cells["key"].to_numpy().view(np.uint64)[order], key)
+        out = []
+
+        def rows(kind, n, a, c, u=None, w=None):
+            zero = np.zeros(len(n), np.int64)
+            out.append(pa.table([pa.array(np.full(len(n), kind, np.int32)), pa.array(zero if u is None else u.view(np.int64)), pa.array(zero if w is None else w.view(np.int64)),
+                                 pa.array(n.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32))], names=["kind", "u", "w", "n", "a", "c"]))
+
+        def classes_at(kind, here):
+            both, n = np.unique(before[here] * (k + 1) + own[here], return_counts=True)
+            rows(kind, n, both // (k + 1), both % (k + 1))
+
+        if len(n):
+            mine = np.flatnonzero(has & cells["first"].to_numpy()[order][at] & (n[at] > 1))
+            cell, where = np.unique(at[mine], return_index=True)
+            where = mine[where]
+            rows(PAIR, n[cell], before[some][where], own[some][where], u[where], w[where])
+        seen_once = ~place_in(common, key)[1]
+        if len(n):
+            seen_once &= ~has | (n[at] == 1)
+        classes_at(ONES, some[learned[some] & seen_once])
+        classes_at(CELL, learned & (before < k))
+        words_ = np.unique(found[(own == k)])
+        words_ = words_[~place_in(lookup, words_)[1]]
+        shard = docs["shard"][0].as_py()
+        rows(FAR_WORD, np.ones(len(words_)), np.full(len(words_), shard), np.zeros(len(words_)), w=words_)
+        return pa.concat_tables(out)
+
+    return docs.select("text", "learned", "shard").groupBy("shard").cogroup(cells.groupBy("shard")).applyInArrow(
+        run, "kind int, u long, w long, n long, a int, c int")
+
+
+def learn_and_score(docs: DataFrame, learned: Column, keep: list[str], text: str = "text") -> tuple[DataFrame, int]:
+    """``score`` of all texts by the model of ``learn_whole`` of those where ``learned``, and how many tokens were learned.
+
+    A table of all pairs is made nowhere: shards of texts are told which of their pairs were seen more than once, so a text's other pairs
+    were seen once if it was learned, and what such a pair adds follows from its two tokens.
+    """
+    keep = [c for c in keep if c.lower() not in ("n_tokens", "n_known", "base_score", "score")]
+    spark = bounded(docs.sparkSession)
+    with shuffles_dropped(spark):
+        dealt = dealt_in_shards(docs, text, keep, learned)
+        table = stored(counted(dealt.where("learned").select("text")))
+        facts = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        floor = commonest(table, CLASSES)
+        classes, class_n = sorted_words(table.where(F.col("n") >= floor), "n")
+        k = len(classes)
+        rare = table.where(F.col("n") < floor)
+        lookup_floor = commonest(rare, LOOKUP)
+        words_, = sorted_words(rare.where(F.col("n") >= lookup_floor))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + facts["n"] // 1_500_000)
+        cells = stored(pair_cells(dealt, classes, tasks))
+        pair_floor = max(2, commonest(cells.where("first"), PAIRS))  # a pair seen once may be one that a learned text has elsewhere
+        common, = sorted_words(cells.where(F.col("first") & (F.col("n") >= pair_floor)).withColumnRenamed("key", "word"))
+        parts = stored(shard_parts(dealt, cells.where(F.col("first") | (F.col("n") < pair_floor)), classes, words_, common))
+        other = stored(cells.where(F.col("n") < pair_floor).select("key", "shard"))
+        dropped(cells)
+        own = parts.where(F.col("kind") <= ONES)
+        is_one = F.col("kind") == ONES
+        by = own.groupBy("a", "c").agg(F.sum(F.when(is_one, F.col("n")).otherwise(0)).alias("ones"), F.sum("n").alias("n"),
+                                       F.sum(F.when(is_one, F.col("n")).otherwise(1)).alias("kinds")).toArrow()
+        again = parts.where(F.col("kind") == PAIR).select("u", "w", "n", "a", "c")
+        means, found, once, unknown, rare_n, class_t, row, d, near = seat_pairs(
+            again, by, sum(by["ones"].to_pylist()), again.where("n = 2").count(), rare, k, facts["v"])
+        log_p = seat_classes(parts.where(F.col("kind") == CELL).select(F.col("a").cast("long").alias("u"), F.col("c").cast("long").alias("w"), "n"), k + 1, row)
+        after_rare = 10.0 ** log_p[k].astype(float)
+        left = STRENGTH + d * class_t
+        adds = pair_adds(means, found, near, after_rare, left, d, once)
+        common, common_add = sorted_words(adds.where(F.col("n") >= pair_floor).withColumnRenamed("key", "word"), "log_add")
+        all_words = found.unionByName(rare.where("n = 1").select("word", "n", F.lit(once).alias("p"), F.lit(1.0).alias("t")))
+        word, n, p, t = sorted_words(all_words.where(F.col("n") >= lookup_floor), "n", "p", "t")
+        far = parts.where(F.col("kind") == FAR_WORD).select(F.col("w").alias("word"), F.col("a").alias("shard")).join(all_words, "word")
+        told = stored(other.join(adds.where(F.col("n") < pair_floor).select("key", "log_add"), "key", "left").select(
+            "shard", "key", "log_add", *[F.lit(None).cast(kind).alias(c) for c, kind in (("n", "long"), ("p", "double"), ("t", "double"))]).unionByName(
+                far.select("shard", F.col("word").alias("key"), F.lit(None).cast("float").alias("log_add"), "n", "p", "t")))
+        dropped(other, parts, means, found, table)
+    back = np.log10(left / (STRENGTH + rare_n))
+    shared = spark.sparkContext.broadcast((classes, class_n, common, common_add, word, n, p, t))
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        classes, class_n, common, common_add, *lookup = shared.value
+        found, first = tokens(docs["text"].combine_chunks())
+        own, before = classes_of(classes, found, first)
+        rows = docs.num_rows
+        owner = np.repeat(np.arange(rows), np.diff(first))
+        key, is_word = told["key"].to_numpy().view(np.uint64), told["n"].is_valid().to_numpy()
+        n, p, t = (np.zeros(len(found)) for _ in range(3))
+        if k:
+            at, has = place_in(classes, found)
+            n[has] = class_n[at[has]]
+        mine = np.flatnonzero(is_word)
+        mine = mine[np.argsort(key[mine])]
+        for words_, values in ((lookup[0], lookup[1:]), (key[mine], [told[c].to_numpy()[mine] for c in ("n", "p", "t")])):
+            at, has = place_in(words_, found)
+            for out, value in zip((n, p, t), values):
+                out[has] = value[at[has]]
+        base = np.log10((n + 1) / (facts["n"] + facts["v"] + 1))
+        log = log_p[before, own].astype(float)
+        after, under, is_known = own == k, before == k, n > 0
+        log += np.where(after, np.log10(np.where(is_known, p, unknown), where=after, out=np.zeros(len(p))), 0.0)
+        log += np.where(after & ~under, np.append(back, 0.0)[before], 0.0)
+        context = np.arange(len(found)) - 1
+        context[first[:-1]] = first[1:] - 1  # the end that stands before a text is like its own
+        weight = np.where(under, STRENGTH + d * t[context], np.append(left, 1.0)[before])
+        log += np.where(under & is_known[context], np.log10(weight / (STRENGTH + n[context])), 0.0)
+        some = np.flatnonzero(after | under)
+        mine = np.flatnonzero(~is_word)
+        mine = mine[np.argsort(key[mine])]
+        add, pairs = np.full(len(some), np.nan), pair_keys(contexts_of(found, first)[some], found[some])
+        at, has = place_in(common, pairs)
+        add[has] = common_add[at[has]]
+        at, has = place_in(key[mine], pairs)
+        add[has] = told["log_add"].to_numpy()[mine][at[has]]
+        once = np.isnan(add) & (has | docs["learned"].to_numpy()[owner[some]])
+        one = some[once]
+        add[once] = np.log10(1 + (1 - d) / (weight[one] * np.where(after[one], p[one], 1.0) * np.where(under[one], after_rare[own[one]], 1.0)))
+        log[some] += np.nan_to_num(add)
+        sums = [np.diff(first), np.bincount(owner, is_known, rows).astype(np.int64), np.bincount(owner, base, rows), np.bincount(owner, log, rows)]
+        return pa.table([docs["kept"], *[pa.array(x) for x in sums]], names=["kept", "n_tokens", "n_known", "base_score", "score"])
+
+    schema = T.StructType([dealt.schema["kept"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+                           T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    scored = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, schema)
+    return scored.select("kept.*", "n_tokens", "n_known", "base_score", "score"), facts["n"]
+
+
 def score(docs: DataFrame, model: Model, rare: DataFrame, keep: list[str], text: str = "text", pairs: DataFrame | None = None) -> DataFrame:
     """Columns ``keep`` with n_tokens, n_known, base_score and score (log10 of the text's probability), one row per input row.
 

@@ -1,6 +1,7 @@
 """Quality classifier, personal data, language model and languages."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -377,6 +378,30 @@ def test_pairs_of_rare_words_have_their_own_customers(spark, monkeypatch):
             assert abs(log[f"{u} {w}"] - p("end", u) - p(u, w) - p(w, "end")) < 1e-5
 
 
+def test_texts_are_scored_in_shards_as_by_the_table_of_all_pairs(spark, monkeypatch):
+    """Pairs seen once are in no table; scratch tables of a sweep and of the shards go when the next are there."""
+    monkeypatch.setattr(hpylm, "CLASSES", 3)
+    monkeypatch.setattr(hpylm, "LOOKUP", 2)
+    monkeypatch.setattr(hpylm, "PAIRS", 1)
+    monkeypatch.setattr(hpylm, "SHARD_BYTES", 200)
+    texts = ["a x y b"] * 6 + ["a z q b"] * 6 + ["a b a b", "", None, "b e f f", "a a b x q", "g h a i j", "", None, "a x q f", "e f new g h", "i j", "a x y b"]
+    docs = spark.createDataFrame([(i if i != 12 else None, t, i < 18) for i, t in enumerate(texts)], "doc_id long, text string, own boolean")
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    scored, n = hpylm.learn_and_score(docs, F.col("own"), ["doc_id", "own", "text"])
+    assert len(set(os.listdir(folder)) - before) == 1
+    found = {(r["doc_id"], r["text"]): r for r in scored.collect()}
+    assert len(found) == len(texts) and n == sum(len((t or "").split()) + 1 for t in texts[:18])
+    model, rare, pairs = hpylm.learn_whole(docs.where("own"))
+    for r in hpylm.score(docs, model, rare, ["doc_id", "own", "text"], pairs=pairs).collect():
+        own = found[r["doc_id"], r["text"]]
+        assert (own["n_tokens"], own["n_known"]) == (r["n_tokens"], r["n_known"]) and abs(own["base_score"] - r["base_score"]) < 1e-9
+        assert abs(own["score"] - r["score"]) < 0.1 * r["n_tokens"], r
+    none, n = hpylm.learn_and_score(docs, F.lit(False), ["doc_id"])
+    assert n == 0 and all(r["base_score"] == r["score"] == r["n_known"] == 0 for r in none.collect())
+    assert hpylm.learn_and_score(docs.where("false"), F.col("own"), ["doc_id"])[0].count() == 0
+
+
 def test_a_language_of_one_document_in_a_large_table_is_learned(spark):
     ids = spark.range(21_000).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("hash"))
     last = ids.orderBy(F.desc("hash")).first()["doc_id"]  # no sample of the lowest hashes holds it
