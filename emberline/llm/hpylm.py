@@ -15,7 +15,9 @@ So every pair of tokens seen in training has its own customers (``learn_whole``)
 table, and pairs with a rare token are a distributed table as large as the corpus makes it. Tables of these restaurants
 are the customers of the word restaurant and of the row *rare*. ``learn`` gives the parents alone, from plain counts.
 
-**Seating.** A restaurant's state is the sizes of the tables at which each dish is eaten. In a sweep, each restaurant takes
+**Seating.** A dish of a pair or of a word, with at most ``DRAWN`` customers, is only a number of tables (``learn_and_score``): in a sweep
+it is drawn as a whole from its exact distribution given the other dishes' tables (``draw_tables``). Otherwise, a
+restaurant's state is the sizes of the tables at which each dish is eaten. In a sweep, each restaurant takes
 ``MOVES`` customers of every dish, one after the other, from a table drawn by size, and seats them again: at a table of
 the dish with weight size less discount, at a new one with weight (strength + discount * tables) * parent's probability.
 Tables are the parent's customers. Restaurants are seated in parallel given the parent. A parent keeps its seating: after
@@ -34,21 +36,25 @@ as they stand there; an empty training set scores every token 1 / (1 + 0), so 0;
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import bounded, with_columns
 from .stored import dropped, shuffles_dropped, stored
-from .words import NOT_SPACE, mix, words
+from .words import Prefix, mix, utf8
 
 CLASSES, LOOKUP, PAIRS = 2_047, 1 << 18, 1 << 20
 BURN_IN, SAMPLES, MOVES = 2, 3, 6
+DRAWN = 32  # dishes with so many customers have their number of tables drawn as a whole
+MIN_PARTS = 8
 SHARD_BYTES = 4 << 20  # of text
 STRENGTH, PARENT_DISCOUNT = 1.0, 0.5
 
@@ -57,13 +63,56 @@ END = mix(np.array([0xE4D], dtype=np.uint64))[0]
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts with their ends, and where each text's begin."""
-    found = words(texts, NOT_SPACE)
-    first = found.first + np.arange(len(found.first))
+    data, offsets = utf8(texts)
+    n = len(data)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    padded[:n] |= (data - np.uint8(ord("A")) < 26).astype(np.uint8) << 5  # lower case
+    inside = (data != 0x20) & (data - np.uint8(0x09) >= 5)
+    start, end = inside.copy(), inside.copy()  # of a word: its neighbour is white space or of another text
+    start[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    edge = offsets[:-1][offsets[:-1] < n]
+    start[edge] = inside[edge]
+    edge = edge[edge > 0] - 1
+    end[edge] = inside[edge]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    count = np.searchsorted(starts, offsets)
+    first = count + np.arange(len(offsets))
     out = np.full(first[-1], END, dtype=np.uint64)
-    out[np.arange(len(found.hashes)) + found.owners()] = found.hashes
+    out[np.arange(len(starts)) + np.repeat(np.arange(len(offsets) - 1), np.diff(count))] = hashes(padded, starts, ends - starts)
     return out, first
 
 
+#: What of eight bytes belongs to a word that ends after so many.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+LONG = 256
+
+
+def hashes(padded: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Identities of words of a buffer that goes on for eight bytes: eight bytes at a time, very long words by the buffer's running sums."""
+    eight = np.ndarray(len(padded) - 7, np.dtype("<u8"), padded, strides=(1,))
+    out = mix((eight[starts] & _MASKS[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    rest = np.flatnonzero(sizes > 8)
+    for at in range(8, min(LONG, int(sizes.max(initial=0))), 8):
+        rest = rest[sizes[rest] > at]
+        out[rest] = mix(out[rest] * np.uint64(0x9E3779B97F4A7C15) + (eight[starts[rest] + at] & _MASKS[np.minimum(sizes[rest] - at, 8)]))
+    long = np.flatnonzero(sizes > LONG)
+    if len(long):
+        out[long] = Prefix(padded).slices(starts[long], starts[long] + sizes[long])
+    return out
+
+
+def kinds_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and which of them each value is."""
+    order = np.argsort(found)
+    found = found[order]
+    new = np.append(True, found[1:] != found[:-1])[:len(found)]
+    which = np.empty(len(found), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return found[new], which
+
+
 def discount(counts: np.ndarray | None = None, once: float = 0, twice: float = 0) -> float:
     """From dishes seen once and twice."""
     if counts is not None:
@@ -180,36 +229,51 @@ def seating_lists(seating: Seating) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(seating.first.astype(np.int32)), pa.array(seating.sizes))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Rows (word, n) of all tokens of the texts; counted within tasks before the shuffle."""
+def counted(docs: DataFrame, parts: int = 64) -> DataFrame:
+    """Rows (word, n) of all tokens of the texts; counted within tasks before the shuffle, which moves arrays of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(parts):
-            word, where = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-            return word, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
-
         held, waiting = [], 0
+
+        def rows():
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            order, bounds = by_part(part_of(word, parts), parts)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), blobs(word[order], bounds), blobs(n[order], bounds)], names=["part", "word", "n"])
+
         for batch in batches:
-            found, _ = tokens(batch.column(0))
-            held.append(np.unique(found, return_counts=True))
-            waiting += len(held[-1][0])
-            if waiting > 2_000_000:
-                held = [merged(held)]
-                waiting = len(held[0][0])
-                if waiting > 1_000_000:
-                    yield rows(*held.pop())
-                    waiting = 0
+            held.append(tokens(batch.column(0))[0])
+            waiting += len(held[-1])
+            if waiting > 5_000_000:
+                yield rows()
+                held, waiting = [], 0
         if held:
-            yield rows(*merged(held))
+            yield rows()
+
+    def total(table: pa.Table) -> pa.Table:
+        word, n = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("word", "n"))
+        word, which = kinds_of(word)
+        return pa.table([pa.array(word), pa.array(np.bincount(which, n, len(word)).astype(np.int64))], names=["word", "n"])
+
+    return docs.mapInArrow(run, "part int, word binary, n binary").groupBy("part").applyInArrow(total, "word long, n long")
 
-    def rows(word, n):
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def part_of(word: np.ndarray, parts: int) -> np.ndarray:
+    return ((word >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def commonest(table: DataFrame, most: int) -> int:
-    """The least count that no more than ``most`` words reach."""
-    by_n = table.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).limit(most + 1).toArrow()  # a word each at least
+def by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of things by part, and each part's bounds in it."""
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    return order, np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+
+
+def blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Slices of an array, each as the bytes of one row."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def commonest(table: DataFrame, most: int, times: str | None = None) -> int:
+    """The least count that no more than ``most`` words reach; ``times`` holds how many words a row stands for."""
+    by_n = table.groupBy("n").agg((F.sum(times) if times else F.count("*")).alias("m")).orderBy(F.desc("n")).limit(most + 1).toArrow()  # a word each at least
     n, m = by_n["n"].to_numpy(), by_n["m"].to_numpy()
     order = np.argsort(-n)
     fits = np.cumsum(m[order]) <= most
@@ -228,14 +292,21 @@ def place_in(known: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Where tokens stand in a sorted array, and whether they do."""
     if not len(known):
         return np.zeros(len(found), np.int64), np.zeros(len(found), dtype=bool)
-    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    if len(known) > 4_096 and len(found) > 4_096:  # a search in order stays in the cache
+        order = np.argsort(found)
+        at = np.empty(len(found), np.int64)
+        at[order] = np.searchsorted(known, found[order])
+    else:
+        at = np.searchsorted(known, found)
+    at = np.minimum(at, len(known) - 1)
     return at, known[at] == found
 
 
 def classes_of(known: np.ndarray, found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class of each token and of the one before it; before a text stands an end."""
-    at, is_class = place_in(known, found)
-    own = np.where(is_class, at, len(known))
+    kinds, which = kinds_of(found)
+    at, is_class = place_in(known, kinds)
+    own = np.where(is_class, at, len(known))[which]
     at, is_class = place_in(known, np.array([END], dtype=np.uint64))
     before = np.concatenate([[0], own[:-1]])
     before[first[:-1]] = at[0] if is_class[0] else len(known)
@@ -350,7 +421,15 @@ def seat_classes(cells: DataFrame, k: int, rare_row: np.ndarray | None = None) -
         row = spark.createDataFrame([(k - 1, int(c), int(rare_row[c])) for c in np.flatnonzero(rare_row)], "u long, w long, n long")
         cells = cells.where(F.col("u") < k - 1).union(row)
     # a restaurant has at most CLASSES + 1 dishes
-    state = stored(cells.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("dishes")))
+    def dishes(table: pa.Table) -> pa.Table:
+        cell = table["u"].to_numpy() * k + table["w"].to_numpy()
+        order = np.argsort(cell)
+        u, starts = np.unique(cell[order] // k, return_index=True)
+        lists = pa.StructArray.from_arrays([pa.array(cell[order] % k), pa.array(table["n"].to_numpy()[order])], ["w", "n"])
+        return pa.table([pa.array(u), pa.ListArray.from_arrays(pa.array(np.append(starts, len(cell)).astype(np.int32)), lists)], names=["u", "dishes"])
+
+    blocks = cells.select(F.pmod("u", F.lit(16)).alias("block"), "u", "w", "n")
+    state = stored(blocks.groupBy("block").applyInArrow(dishes, "u long, dishes array<struct<w:long,n:long>>"))
     flat = state.select(F.explode("dishes").alias("x"))
     facts = flat.agg(F.count_if(F.col("x.n") == 1).alias("once"), F.count_if(F.col("x.n") == 2).alias("twice")).first()
     d = discount(once=facts["once"], twice=facts["twice"])
@@ -385,7 +464,7 @@ def seat_classes(cells: DataFrame, k: int, rare_row: np.ndarray | None = None) -
                 for i, u in enumerate(batch.column(0).to_pylist()):
                     dishes = batch.column(1)[i].values
                     w, n = dishes.field("w").to_numpy(), dishes.field("n").to_numpy()
-                    rest = [np.array(batch.column(c)[i].as_py(), dtype=np.int64) for c in range(2, 6)] if step else [None] * 4
+                    rest = [batch.column(c)[i].values.to_numpy() for c in range(2, 6)] if step else [None] * 4
                     seating, seen, totals = one(u, w, n, *rest)
                     out.append((batch.column(1)[i:i + 1], seating.sizes, seating.tables, seen, totals))
                 yield pa.RecordBatch.from_arrays([
@@ -420,7 +499,7 @@ def seat_classes(cells: DataFrame, k: int, rare_row: np.ndarray | None = None) -
             for i in range(batch.num_rows):
                 dishes = batch.column(1)[i].values
                 w, n = dishes.field("w").to_numpy(), dishes.field("n").to_numpy()
-                seen, totals = (np.array(batch.column(c)[i].as_py(), dtype=float) for c in (4, 5))
+                seen, totals = (batch.column(c)[i].values.to_numpy().astype(float) for c in (4, 5))
                 row = ((STRENGTH + d * totals)[:, None] * parents).sum(axis=0) / SAMPLES
                 row[w] += n - d * seen / SAMPLES
                 out.append(np.log10(row / (STRENGTH + n.sum())).astype("<f4").tobytes())
@@ -704,169 +783,434 @@ def learn_whole(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame,
     return model, rare, whole(means)
 
 
-def dealt_in_shards(docs: DataFrame, text: str, keep: list[str], learned: Column) -> DataFrame:
-    """Rows (kept, text, learned, shard); a shard has about ``SHARD_BYTES`` of text and follows from a row's values alone, so every pass deals alike."""
+def dealt_in_shards(docs: DataFrame, text: str, keep: list[str], learned: Column) -> tuple[DataFrame, int]:
+    """Rows (kept, text, learned, shard), and how many shards there are; a shard has about ``SHARD_BYTES`` of text and follows from a row's values alone, so every pass deals alike."""
     facts = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     shards = 1 + (facts["bytes"] + 64 * facts["rows"]) // SHARD_BYTES
     told = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in {*keep, text} and isinstance(f.dataType, T.AtomicType)]
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").cast("string").alias("text"),
-                       F.coalesce(learned, F.lit(False)).alias("learned"), F.pmod(F.xxhash64(*told), F.lit(shards)).cast("int").alias("shard"))
-
-
-def pair_cells(docs: DataFrame, classes: np.ndarray, tasks: int) -> DataFrame:
-    """Rows (key, shard, n, first) of pairs and the shards that hold them; ``n`` is the pair's number in all learned texts.
-
-    Pairs of two classes are left out, and those seen once in learned texts but where a text not learned has them too: in a learned text,
-    a pair without a row was seen once. ``first`` marks one of a pair's rows.
+                       F.coalesce(learned, F.lit(False)).alias("learned"), F.pmod(F.xxhash64(*told), F.lit(shards)).cast("int").alias("shard")), shards
+
+
+def told_cells(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of keys that stand at codes 2 * shard + learned: where each distinct key first stands, the keys, their numbers in learned texts, and
+    the (key, shard) that a shard has to be told: a key seen once is known in the learned text that has it."""
+    order = np.argsort(key)
+    key, code = key[order], code[order]
+    new = np.append(True, key[1:] != key[:-1])[:len(key)]
+    starts, at = np.flatnonzero(new), np.cumsum(new) - 1
+    learned = (code & 1).astype(np.int64)
+    n = np.add.reduceat(learned, starts) if len(starts) else np.zeros(0, np.int64)
+    tell = (n[at] > 1) | ((n[at] == 1) & (learned == 0))
+    both = np.sort((at[tell] << 32) | (code[tell] >> 1))
+    both = both[np.append(True, both[1:] != both[:-1])[:len(both)]]
+    return order[starts], key[starts], n, both >> 32, both & 0xFFFFFFFF
+
+
+def table_ratios(d: float) -> np.ndarray:
+    """At [c, t]: the ways to seat c customers at t + 1 tables over those at t, for at most ``DRAWN`` customers."""
+    ways = np.zeros((DRAWN + 1, DRAWN + 2))
+    ways[1, 1] = 1
+    t = np.arange(1, DRAWN + 1)
+    for c in range(1, DRAWN):
+        ways[c + 1, 1:-1] = (c - d * t) * ways[c, 1:-1] + ways[c, :-2]
+    return ways[:, 1:] / np.where(ways[:, :-1] > 0, ways[:, :-1], 1.0)
+
+
+def draw_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, ratios: np.ndarray, rng: np.random.Generator,
+                strength: float = STRENGTH) -> np.ndarray:
+    """The number of tables of dishes with 1 to ``DRAWN`` customers, drawn given the ``others`` of their restaurants, all customers at once."""
+    tables = np.ones(len(c), np.int64)
+    order = np.argsort(c.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(c[order], np.arange(DRAWN + 2))
+    for n in range(2, DRAWN + 1):
+        here = order[bounds[n]:bounds[n + 1]]
+        if not len(here):
+            continue
+        weight = (strength + d * others[here])[:, None] + d * np.arange(1, n)
+        weight *= parent[here][:, None] * ratios[n, 1:n]
+        upto = np.cumsum(np.cumprod(weight, axis=1), axis=1) + 1
+        draw = rng.random(len(here)) * upto[:, -1]
+        tables[here] += (draw >= 1) + (draw[:, None] >= upto[:, :-1]).sum(axis=1)
+    return tables
+
+
+def pair_places(docs: DataFrame, classes: np.ndarray, parts: int) -> DataFrame:
+    """Rows (part, home, side, far, code) of arrays: the pairs with a rare token as they stand in the texts, by the part of their home.
+
+    Home is the rare token, of two the first, and ``far`` the second. ``side`` tells the other's class: a class before the home, ``AFTER``
+    and a class after it, or ``RARE``. ``code`` is 2 * shard + learned. Parts from ``parts`` on hold pairs of a class and what follows, with their numbers.
     """
     k = len(classes)
     known = docs.sparkSession.sparkContext.broadcast(classes)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cells, waiting = [], [], 0
 
         def rows():
-            key, code = (np.concatenate(x) for x in zip(*held))
-            _, at, n = np.unique(pair_keys(code.view(np.uint64), key), return_index=True, return_counts=True)
-            at_n = np.where(code[at] & 1, 0, n)
-            return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(code[at].astype(np.int32)), pa.array(at_n.astype(np.int32))],
-                                              names=["key", "code", "n"])
+            home, side, far, code = (np.concatenate(x) for x in zip(*held))
+            part = part_of(home, parts)
+            order, bounds = by_part(part, parts)
+            both = order[side[order] == RARE]
+            far_bounds = np.append(0, np.cumsum(np.bincount(part[both], minlength=parts)))
+            yield [pa.array(np.arange(parts, dtype=np.int32)), blobs(home[order], bounds), blobs(side[order], bounds), blobs(far[both], far_bounds), blobs(code[order], bounds)]
+            cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            n = n.astype(np.int32)
+            bounds = np.searchsorted(cell, np.arange(CELL_PARTS + 1) * (k // CELL_PARTS + 1) * (k + 1))
+            none = blobs(np.zeros(0, np.uint16), np.zeros(CELL_PARTS + 1, np.int64))
+            yield [pa.array(np.arange(parts, parts + CELL_PARTS, dtype=np.int32)), blobs(cell, bounds), none, none, blobs(n, bounds)]
+
+        def flushed():
+            for columns in rows():
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "home", "side", "far", "code"])
 
         for batch in batches:
             found, first = tokens(batch.column(0))
             own, before = classes_of(known.value, found, first)
+            learned = batch.column(1).to_numpy(zero_copy_only=False)
+            code = np.repeat((2 * batch.column(2).to_numpy() + learned).astype(np.int32), np.diff(first))
             some = np.flatnonzero((own == k) | (before == k))
-            code = 2 * batch.column(2).to_numpy().astype(np.int64) + ~batch.column(1).to_numpy(zero_copy_only=False)
-            held.append((pair_keys(contexts_of(found, first)[some], found[some]), np.repeat(code, np.diff(first))[some]))
-            waiting += len(some)
-            if waiting > 2_500_000:
-                yield rows()
-                held, waiting = [], 0
-        if waiting:
-            yield rows()
+            u, w, a, c = contexts_of(found, first)[some], found[some], before[some], own[some]
+            held.append((np.where(a < k, w, u), np.where(a < k, a, np.where(c < k, AFTER + c, RARE)).astype(np.uint16), w, code[some]))
+            cells.append((before * (k + 1) + own)[(code & 1 == 1) & (before < k)])
+            waiting += len(found)
+            if waiting > 3_500_000:
+                yield from flushed()
+                held, cells, waiting = [], [], 0
+        if held:
+            yield from flushed()
+
+    return docs.select("text", "learned", "shard").mapInArrow(run, "part int, home binary, side binary, far binary, code binary")
+
+
+#: What the tables of the passes over parts hold: a part's state, or what is sent to another part's word, or numbers for the driver.
+PASSED = "part int, word long, sender int, n long, m long, raw double, stat array<double>, data binary, places binary"
+AFTER, RARE, CELL_PARTS = 1 << 14, 1 << 15, 16
+
+
+def packed(**arrays: np.ndarray) -> bytes:
+    """Arrays by name as bytes; integers that fit are stored in four bytes."""
+    def short(x: np.ndarray) -> np.ndarray:
+        return x.astype(np.int32) if x.dtype == np.int64 and (not len(x) or -1 << 31 <= x.min() and x.max() < 1 << 31) else x
+    return pickle.dumps({name: short(x) for name, x in arrays.items()}, protocol=5)
+
+
+def passed_rows(rows: int, **columns) -> pa.Table:
+    """Rows of ``PASSED``; columns not given are null."""
+    fields = [("part", pa.int32()), ("word", pa.int64()), ("sender", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), ("raw", pa.float64()),
+              ("stat", pa.list_(pa.float64())), ("data", pa.binary()), ("places", pa.binary())]
+    return pa.table([pa.array(columns[f], kind) if f in columns else pa.nulls(rows, kind) for f, kind in fields], names=[f for f, _ in fields])
+
+
+def state_of(table: pa.Table) -> tuple[dict[str, np.ndarray], pa.Table]:
+    """A part's state, as arrays that aren't to be changed, and what was sent to it."""
+    own = table["data"].is_valid()
+    data = table["data"].filter(own)
+    return pickle.loads(data[0].as_buffer()), table.drop_columns(["data"]).filter(pa.compute.invert(own))
+
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
-        if not held:
-            return
-        key, code, n = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort((code, key))
-        key, code, n = key[order], code[order], n[order]
-        shard = code >> 1
-        new_key = np.append(True, key[1:] != key[:-1])
-        cells = np.flatnonzero(new_key | np.append(True, shard[1:] != shard[:-1]))
-        kinds = np.flatnonzero(new_key)
-        whole = np.add.reduceat(n, kinds)[np.cumsum(new_key)[cells] - 1]
-        unlearned = np.maximum.reduceat(code & 1, cells) == 1
-        kept = (whole > 1) | ((whole == 1) & unlearned)
-        cells, whole = cells[kept], whole[kept]
-        first = np.append(True, key[cells][1:] != key[cells][:-1])[:len(cells)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[cells]), pa.array(shard[cells]), pa.array(whole.astype(np.int32)), pa.array(first)],
-                                         names=["key", "shard", "n", "first"])
-
-    parts = docs.select("text", "learned", "shard").mapInArrow(count, "key long, code int, n int")
-    return parts.repartition(tasks, "key").mapInArrow(total, "key long, shard int, n int, first boolean")
-
-
-#: What a row of ``shard_parts`` is: a pair seen more than once, pairs of two classes of which one is rare and that were seen once, a token beyond
-#: the lookup in a shard (``a``), pairs of a class and a class or any rare token.
-PAIR, ONES, FAR_WORD, CELL = range(4)
-
-
-def shard_parts(docs: DataFrame, cells: DataFrame, classes: np.ndarray, lookup: np.ndarray, common: np.ndarray) -> DataFrame:
-    """Rows (kind, u, w, n, a, c) that the shards' texts and their rows of ``pair_cells`` give; pairs in ``common`` need a row only where it is the first."""
+def state_rows(state: dict[str, np.ndarray], part: int, stat: np.ndarray | list[float]) -> pa.Table:
+    return passed_rows(1, part=[part], stat=[np.asarray(stat, float)], data=[packed(**state)])
+
+
+def counted_parts(places: DataFrame, classes: np.ndarray, parts: int, lookup_floor: int) -> DataFrame:
+    """Rows of ``PASSED``: each part's words and pairs seen more than once, with the shards to be told of them; what pairs of two rare tokens
+    give the second; rows of class cells, with part -2. A part's numbers: for each side, its pairs seen once, all its pairs and their customers;
+    pairs seen twice."""
     k = len(classes)
-    known = docs.sparkSession.sparkContext.broadcast((classes, lookup, common))
+    known = places.sparkSession.sparkContext.broadcast(classes)
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+
+        def column(name: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+        if part >= parts:
+            cell, where = kinds_of(column("home", np.int64))
+            n = np.bincount(where, column("code", np.int32), len(cell)).astype(np.int64)
+            return passed_rows(len(cell), part=np.full(len(cell), -2, np.int32), sender=(cell // (k + 1)).astype(np.int32), word=cell % (k + 1), n=n)
+        home, side, code = column("home", np.uint64), column("side", np.uint16).astype(np.int64), column("code", np.int32).astype(np.int64)
+        far = np.zeros(len(home), np.uint64)
+        far[side == RARE] = column("far", np.uint64)
+        classes = np.append(known.value, np.uint64(0))
+        u = np.where(side < AFTER, classes[np.minimum(side, k)], home)
+        w = np.where(side < AFTER, home, np.where(side < RARE, classes[np.clip(side - AFTER, 0, k)], far))
+        at, key, n, cell, shard = told_cells(pair_keys(u, w), code)
+        numbers = [np.bincount(np.where(side[at] < AFTER, side[at], np.where(side[at] < RARE, k + side[at] - AFTER, 2 * k))[n > 0], x[n > 0], 2 * k + 1)
+                   for x in (n == 1, n > 0, n)]
+        again = np.flatnonzero(n > 1)
+        alone = n[cell] == 1
+        place_of = np.cumsum(n > 1) - 1
+        # a rare token stands once as a context for every time it stands in a text, and its home is here
+        first = np.flatnonzero(side >= AFTER)
+        _, word, word_n, word_cell, word_shard = told_cells(home[first], code[first])
+        beyond = word_n[word_cell] < lookup_floor
+        one = beyond & (word_n[word_cell] == 1)
+        more = word_n > 1
+        word_of = np.cumsum(more) - 1
+        places = packed(pair=place_of[cell[~alone]].astype(np.int32), shard=shard[~alone].astype(np.int32), once=key[cell[alone]], once_shard=shard[alone].astype(np.int32),
+                        word=word_of[word_cell[beyond & ~one]].astype(np.int32), word_shard=word_shard[beyond & ~one].astype(np.int32),
+                        word_once=word[word_cell[one]], word_once_shard=word_shard[one].astype(np.int32), key=key[again])
+        word, word_n = word[more], word_n[more]
+        at, n = at[again], n[again]
+        side, far, home = side[at], far[at], np.searchsorted(word, home[at])
+        rare, other = kinds_of(far[side == RARE])  # ``other``: which of these a pair of two rare tokens has second
+        before, after = side < AFTER, side >= AFTER
+        state = dict(
+            word=word, word_n=word_n, side=side.astype(np.uint16), home=home.astype(np.int32), n=n.astype(np.int32), other=other.astype(np.int32), rare=rare,
+            w_ones=word_n - np.bincount(home[before], n[before], len(word)).astype(np.int64), w_kinds=np.bincount(home[before], minlength=len(word)),
+            u_ones=word_n - np.bincount(home[after], n[after], len(word)).astype(np.int64))
+        sent = passed_rows(len(rare), part=part_of(rare, parts).astype(np.int32), word=rare.view(np.int64), sender=np.full(len(rare), part, np.int32),
+                           n=np.bincount(other, n[side == RARE], len(rare)).astype(np.int64), m=np.bincount(other, minlength=len(rare)))
+        own = passed_rows(1, part=[part], stat=[np.concatenate([*numbers, [(n == 2).sum()]])], data=[packed(**state)], places=[places])
+        times = np.unique(n, return_counts=True)  # how many pairs were seen so often, as part -3
+        return pa.concat_tables([own, sent, passed_rows(len(times[0]), part=np.full(len(times[0]), -3, np.int32), n=times[0], m=times[1])])
+
+    # as many tasks as parts, so that a task's share doesn't grow with the texts
+    return stored(places.repartition(parts, "part").groupBy("part").applyInArrow(run, PASSED), dictionary=False)
+
+
+def summed(passed: DataFrame, size: int) -> np.ndarray:
+    """The sum of all parts' ``size`` numbers."""
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array([np.sum([np.asarray(x) for x in table["stat"].to_pylist()], axis=0)], pa.list_(pa.float64()))], names=["stat"])
+
+    some = passed.where("stat IS NOT NULL").select(F.pmod("part", F.lit(8)).alias("part"), "stat")
+    rows = some.groupBy("part").applyInArrow(run, "stat array<double>").collect()
+    return np.sum([np.zeros(size), *[r["stat"] for r in rows]], axis=0)
+
+
+class Parts:
+    """The restaurants of pairs and the word restaurant, seated together part by part.
+
+    A part holds rare tokens and the pairs whose home they are; what a pair of two rare tokens and its second need of each other is sent.
+    """
 
-    def run(docs: pa.Table, cells: pa.Table) -> pa.Table:
-        classes, lookup, common = known.value
-        found, first = tokens(docs["text"].combine_chunks())
-        own, before = classes_of(classes, found, first)
-        learned = np.repeat(docs["learned"].to_numpy(), np.diff(first))
-        is_rare = (own == k) | (before == k)
-        some = np.flatnonzero(is_rare)
-        u, w = contexts_of(found, first)[some], found[some]
-        order = np.argsort(cells["key"].to_numpy().view(np.uint64))
-        n = cells["n"].to_numpy()[order]
-        key = pair_keys(u, w)
-        at, has = place_in(cells["key"].to_numpy().view(np.uint64)[order], key)
-        out = []
-
-        def rows(kind, n, a, c, u=None, w=None):
-            zero = np.zeros(len(n), np.int64)
-            out.append(pa.table([pa.array(np.full(len(n), kind, np.int32)), pa.array(zero if u is None else u.view(np.int64)), pa.array(zero if w is None else w.view(np.int64)),
-                                 pa.array(n.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32))], names=["kind", "u", "w", "n", "a", "c"]))
-
-        def classes_at(kind, here):
-            both, n = np.unique(before[here] * (k + 1) + own[here], return_counts=True)
-            rows(kind, n, both // (k + 1), both % (k + 1))
-
-        if len(n):
-            mine = np.flatnonzero(has & cells["first"].to_numpy()[order][at] & (n[at] > 1))
-            cell, where = np.unique(at[mine], return_index=True)
-            where = mine[where]
-            rows(PAIR, n[cell], before[some][where], own[some][where], u[where], w[where])
-        seen_once = ~place_in(common, key)[1]
-        if len(n):
-            seen_once &= ~has | (n[at] == 1)
-        classes_at(ONES, some[learned[some] & seen_once])
-        classes_at(CELL, learned & (before < k))
-        words_ = np.unique(found[(own == k)])
-        words_ = words_[~place_in(lookup, words_)[1]]
-        shard = docs["shard"][0].as_py()
-        rows(FAR_WORD, np.ones(len(words_)), np.full(len(words_), shard), np.zeros(len(words_)), w=words_)
-        return pa.concat_tables(out)
-
-    return docs.select("text", "learned", "shard").groupBy("shard").cogroup(cells.groupBy("shard")).applyInArrow(
-        run, "kind int, u long, w long, n long, a int, c int")
+    def __init__(self, counted: DataFrame, k: int, parts: int, alone: int, v: int):
+        self.table, self.k, self.parts, self.alone, self.share = counted, k, parts, alone, 1 / (v + 1)
+        numbers = summed(counted, 3 * (2 * k + 1) + 1)
+        self.ones, kinds, customers = (numbers[i * (2 * k + 1):(i + 1) * (2 * k + 1)] for i in range(3))
+        self.rare_n = customers[:k].astype(np.int64)
+        self.d = discount(once=self.ones.sum(), twice=numbers[-1])
+        self.class_t, self.row = kinds[:k], kinds[k:]
+
+    def passed(self, run, size: int) -> np.ndarray:
+        """Replace each part's state by what ``run`` makes of it and of what was sent to it; gives the sum of the parts' ``size`` numbers."""
+        def one(table: pa.Table) -> pa.Table:
+            state, sent = state_of(table)
+            return run(table["part"][0].as_py(), state, sent)
+
+        last = self.table
+        self.table = stored(last.where("part >= 0").select(*[F.col(c) for c in last.columns if c not in ("stat", "places")]).groupBy("part").applyInArrow(one, PASSED), dictionary=False)
+        if last is not self.counted:
+            dropped(last)
+        return summed(self.table, size)
+
+    def seat(self) -> None:
+        """All sweeps; leaves the mean probabilities of what is in no table, and those of the others in the states."""
+        k, parts, d, share = self.k, self.parts, self.d, self.share
+        self.counted = self.table
+        ratios = table_ratios(d)
+
+        def begin(part: int, s: dict, sent: pa.Table) -> pa.Table:
+            at = np.searchsorted(s["word"], sent["word"].to_numpy().view(np.uint64))
+            n, m = (np.bincount(at, sent[c].to_numpy(), len(s["word"])).astype(np.int64) for c in ("n", "m"))
+            s["w_ones"] = s["w_ones"] - n
+            s["asks"], s["asked_by"] = at.astype(np.int32), sent["sender"].to_numpy()
+            kinds = s.pop("w_kinds") + m + s["w_ones"]
+            s["customers"] = kinds
+            return state_rows(s, part, [len(kinds), (kinds == 1).sum(), (kinds == 2).sum()])
+
+        types, once, twice = self.passed(begin, 3)
+        d_word = discount(once=once + self.alone, twice=twice)
+        word_ratios = table_ratios(d_word)
+        alone, sampled = self.alone, range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
+
+        def seat_words(step: int, total: float):
+            def run(part: int, s: dict, sent: pa.Table) -> pa.Table:
+                rng = np.random.default_rng([step, 1, part])
+                p = np.full(len(s["word"]), share)
+                if step == 0:
+                    customers = s["customers"].astype(np.int64)
+                    tables = start_tables(customers, (STRENGTH + d_word * total) * p)
+                    large = customers > DRAWN
+                    seating = Seating.even(customers[large], tables[large])
+                else:
+                    at = np.searchsorted(s["word"], sent["word"].to_numpy().view(np.uint64))
+                    before = s["side"] < AFTER
+                    customers = s["w_ones"] + np.bincount(at, sent["n"].to_numpy(), len(p)).astype(np.int64) + np.bincount(
+                        s["home"][before], s["tables"][before], len(p)).astype(np.int64)
+                    last, large = s["word_tables"].astype(np.int64), customers > DRAWN
+                    tables = np.ones(len(p), np.int64)
+                    few = np.flatnonzero(~large)
+                    tables[few] = draw_tables(customers[few], total - last[few], p[few], d_word, word_ratios, rng)
+                    seating = grown(s["customers"].astype(np.int64), last, s["word_sizes"], large)
+                    one_room, m = np.zeros(int(large.sum()), np.int64), len(seating.sizes)
+                    seating = seating.follow(customers[large], one_room, np.array([total]), p[large], d_word, rng)
+                    seating = seating.sweep(one_room, np.array([total + len(seating.sizes) - m]), p[large], d_word, rng)
+                    tables[large] = seating.tables
+                s |= dict(customers=customers, word_tables=tables, word_sizes=seating.sizes)
+                raw = (customers - d_word * tables)[s["asks"]]
+                asked = s["asks"]
+                replies = passed_rows(len(asked), part=s["asked_by"], word=s["word"][asked].view(np.int64), raw=raw)
+                return pa.concat_tables([state_rows(s, part, [customers.sum(), tables.sum()]), replies])
+            return run
+
+        def grown(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, large: np.ndarray) -> Seating:
+            """The seating of the ``large`` dishes before they change; of those that had few customers only the number of tables is kept."""
+            even = Seating.even(customers[large], tables[large])
+            held = np.repeat(customers[large] > DRAWN, tables[large])
+            even.sizes[held] = sizes[np.repeat(large[customers > DRAWN], tables[customers > DRAWN])]
+            return even
+
+        def seat_pairs(step: int, class_t: np.ndarray, row: np.ndarray, mass: float, whole: float):
+            def run(part: int, s: dict, sent: pa.Table) -> pa.Table:
+                rng = np.random.default_rng([step, 2, part])
+                n, side, home = s["n"].astype(np.int64), s["side"].astype(np.int64), s["home"]
+                p_word = (s["customers"] - d_word * s["word_tables"] + mass) / whole
+                before, after, both = side < AFTER, side >= AFTER, side == RARE
+                if step == 0:
+                    u_t = s["u_ones"] + np.bincount(home[after], minlength=len(p_word))
+                else:
+                    u_t = s["u_ones"] + np.bincount(home[after], s["tables"][after], len(p_word))
+                total = np.where(before, np.append(class_t, 0.0)[np.minimum(side, k)], u_t[home])
+                p = np.where(before, p_word[home], row[np.where(both, k, np.clip(side - AFTER, 0, k))])
+                raw = np.zeros(len(s["rare"]))
+                raw[np.searchsorted(s["rare"], sent["word"].to_numpy().view(np.uint64))] = sent["raw"].to_numpy()
+                p[both] *= (raw[s["other"]] + mass) / whole
+                large = n > DRAWN
+                if step == 0:
+                    tables = start_tables(n, (STRENGTH + d * total) * p)
+                    seating = Seating.even(n[large], tables[large])
+                    s |= dict(seen=np.zeros(len(n), np.int32), sum_p=np.zeros(len(p_word)), sum_t=np.zeros(len(p_word), np.int64))
+                else:
+                    tables = np.ones(len(n), np.int64)
+                    few = np.flatnonzero(~large)
+                    tables[few] = draw_tables(n[few], total[few] - s["tables"][few], p[few], d, ratios, rng)
+                    room = np.where(before, side, k + home)[large]
+                    _, at, room = np.unique(room, return_index=True, return_inverse=True)
+                    held = Seating(n[large], s["sizes"].astype(np.int64), np.append(0, np.cumsum(s["tables"][large])).astype(np.int64))
+                    seating = held.sweep(room, total[large][at], p[large], d, rng)
+                    tables[large] = seating.tables
+                u_t = s["u_ones"] + np.bincount(home[after], tables[after], len(p_word)).astype(np.int64)
+                s |= dict(tables=tables.astype(np.int32), sizes=seating.sizes)
+                if step in sampled:
+                    s |= dict(seen=s["seen"] + s["tables"], sum_p=s["sum_p"] + p_word, sum_t=s["sum_t"] + u_t)
+                given = np.bincount(s["other"], tables[both], len(s["rare"])).astype(np.int64)
+                out = passed_rows(len(given), part=part_of(s["rare"], parts).astype(np.int32), word=s["rare"].view(np.int64), n=given)
+                numbers = np.bincount(np.where(before, side, np.where(both, 2 * k, k + side - AFTER)), tables, 2 * k + 1)
+                return pa.concat_tables([state_rows(s, part, numbers), out])
+            return run
+
+        def tell(part: int, s: dict, sent: pa.Table) -> pa.Table:
+            asked = s["asks"]
+            replies = passed_rows(len(asked), part=s["asked_by"], word=s["word"][asked].view(np.int64), raw=s["sum_p"][asked] / SAMPLES)
+            return pa.concat_tables([state_rows(s, part, []), replies])
+
+        word_tables = float(types + alone)  # those of words seen once are always theirs alone
+        once, unknown, class_sum = [], [], np.zeros(k)
+        for step in range(BURN_IN + SAMPLES + 1):
+            customers, seated = self.passed(seat_words(step, word_tables), 2)
+            word_tables = float(seated + alone)
+            mass, whole = (STRENGTH + d_word * word_tables) * share, STRENGTH + customers + alone
+            smooth = (self.row + STRENGTH / (k + 1)) / (self.row.sum() + STRENGTH)
+            numbers = self.ones + self.passed(seat_pairs(step, self.class_t, smooth, mass, whole), 2 * k + 1)
+            self.class_t, self.row = numbers[:k], numbers[k:]
+            if step in sampled:
+                unknown.append(mass / whole)
+                once.append((1 - d_word + mass) / whole)
+                class_sum += self.class_t
+        self.passed(tell, 0)
+        self.once, self.unknown, self.class_sum = float(np.mean(once)), float(np.mean(unknown)), class_sum / SAMPLES
+
+    def told(self, after_rare: np.ndarray, left: np.ndarray, lookup_floor: int, pair_floor: int) -> DataFrame:
+        """Rows (shard, key, log_add, word, n, p, t) of arrays: what a shard is told of pairs and words; what all are told has shard -1.
+
+        Pairs and words seen once have no number: NaN.
+        """
+        k, d, once = self.k, self.d, self.once
+        names = ["shard", "key", "log_add", "word", "n", "p", "t"]
+
+        def run(table: pa.Table, places: pa.Table) -> pa.Table:
+            s, sent = state_of(table)
+            at = pickle.loads(places["places"][0].as_py())
+            n, side, home = s["n"].astype(np.int64), s["side"].astype(np.int64), s["home"]
+            before, both = side < AFTER, side == RARE
+            p_word, t_word = s["sum_p"] / SAMPLES, s["sum_t"] / SAMPLES
+            p = np.where(before, p_word[home], after_rare[np.where(both, k, np.clip(side - AFTER, 0, k))])
+            raw = np.zeros(len(s["rare"]))
+            raw[np.searchsorted(s["rare"], sent["word"].to_numpy().view(np.uint64))] = sent["raw"].to_numpy()
+            p[both] *= raw[s["other"]]
+            weight = np.where(before, np.append(left, 0.0)[np.minimum(side, k)], STRENGTH + d * t_word[home])
+            add = np.log10(1 + (n - d * s["seen"] / SAMPLES) / (weight * p)).astype(np.float32)
+            all_pairs, all_words = np.flatnonzero(n >= pair_floor), np.flatnonzero(s["word_n"] >= lookup_floor)
+            some = n[at["pair"]] < pair_floor
+            pair, word = at["pair"][some], at["word"]
+            shard = np.concatenate([at["shard"][some], at["once_shard"], np.full(len(all_pairs), -1, np.int32)])
+            key = np.concatenate([at["key"][pair], at["once"], at["key"][all_pairs]])
+            log_add = np.concatenate([add[pair], np.full(len(at["once"]), np.nan, np.float32), add[all_pairs]])
+            word_shard = np.concatenate([at["word_shard"], at["word_once_shard"], np.full(len(all_words), -1, np.int32)])
+            words_ = np.concatenate([s["word"][word], at["word_once"], s["word"][all_words]])
+            alone = np.ones(len(at["word_once"]))
+            values = [np.concatenate([x[word], alone * y, x[all_words]]) for x, y in ((s["word_n"].astype(float), 1.0), (p_word, once), (t_word, 1.0))]
+            shards = np.unique(np.concatenate([shard, word_shard]))
+            out = [pa.array(shards)]
+            for where, arrays in ((shard, (key, log_add)), (word_shard, (words_, *values))):
+                order = np.argsort(where, kind="stable")
+                bounds = np.searchsorted(where[order], np.append(shards, np.iinfo(np.int32).max))
+                for x in arrays:
+                    out.append(pa.Array.from_buffers(pa.binary(), len(shards), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])]))
+            return pa.table(out, names=names)
+
+        states = self.table.where("part >= 0").select("part", "word", "raw", "data")
+        own = self.counted.where("places IS NOT NULL").select("part", "places")
+        return stored(states.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(
+            run, "shard int, key binary, log_add binary, word binary, n binary, p binary, t binary"), dictionary=False)
+
+
+def unpacked(told: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Arrays of the columns of ``Parts.told``, ordered by the first."""
+    kinds = {"key": np.uint64, "word": np.uint64, "log_add": np.float32, "n": float, "p": float, "t": float}
+    out = [np.frombuffer(b"".join(told[c].to_pylist()), kinds[c]) for c in columns]
+    order = np.argsort(out[0])
+    return [x[order] for x in out]
 
 
 def learn_and_score(docs: DataFrame, learned: Column, keep: list[str], text: str = "text") -> tuple[DataFrame, int]:
     """``score`` of all texts by the model of ``learn_whole`` of those where ``learned``, and how many tokens were learned.
 
     A table of all pairs is made nowhere: shards of texts are told which of their pairs were seen more than once, so a text's other pairs
-    were seen once if it was learned, and what such a pair adds follows from its two tokens.
+    were seen once if it was learned, and what such a pair adds follows from its two tokens. Texts, parts of pairs and shards exchange arrays.
     """
     keep = [c for c in keep if c.lower() not in ("n_tokens", "n_known", "base_score", "score")]
     spark = bounded(docs.sparkSession)
     with shuffles_dropped(spark):
-        dealt = dealt_in_shards(docs, text, keep, learned)
-        table = stored(counted(dealt.where("learned").select("text")))
+        dealt, shards = dealt_in_shards(docs, text, keep, learned)
+        table = stored(counted(dealt.where("learned").select("text"), max(64, shards // 8)))
         facts = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         floor = commonest(table, CLASSES)
         classes, class_n = sorted_words(table.where(F.col("n") >= floor), "n")
         k = len(classes)
         rare = table.where(F.col("n") < floor)
-        lookup_floor = commonest(rare, LOOKUP)
-        words_, = sorted_words(rare.where(F.col("n") >= lookup_floor))
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + facts["n"] // 1_500_000)
-        cells = stored(pair_cells(dealt, classes, tasks))
-        pair_floor = max(2, commonest(cells.where("first"), PAIRS))  # a pair seen once may be one that a learned text has elsewhere
-        common, = sorted_words(cells.where(F.col("first") & (F.col("n") >= pair_floor)).withColumnRenamed("key", "word"))
-        parts = stored(shard_parts(dealt, cells.where(F.col("first") | (F.col("n") < pair_floor)), classes, words_, common))
-        other = stored(cells.where(F.col("n") < pair_floor).select("key", "shard"))
-        dropped(cells)
-        own = parts.where(F.col("kind") <= ONES)
-        is_one = F.col("kind") == ONES
-        by = own.groupBy("a", "c").agg(F.sum(F.when(is_one, F.col("n")).otherwise(0)).alias("ones"), F.sum("n").alias("n"),
-                                       F.sum(F.when(is_one, F.col("n")).otherwise(1)).alias("kinds")).toArrow()
-        again = parts.where(F.col("kind") == PAIR).select("u", "w", "n", "a", "c")
-        means, found, once, unknown, rare_n, class_t, row, d, near = seat_pairs(
-            again, by, sum(by["ones"].to_pylist()), again.where("n = 2").count(), rare, k, facts["v"])
-        log_p = seat_classes(parts.where(F.col("kind") == CELL).select(F.col("a").cast("long").alias("u"), F.col("c").cast("long").alias("w"), "n"), k + 1, row)
+        lookup_floor = max(2, commonest(rare, LOOKUP))
+        alone = rare.where("n = 1").count()
+        parts = max(MIN_PARTS, 1 + facts["n"] // 1_500_000)
+        counted_ = counted_parts(pair_places(dealt, classes, parts), classes, parts, lookup_floor)
+        dropped(table)
+        pair_floor = max(2, commonest(counted_.where("part = -3").groupBy("n").agg(F.sum("m").alias("m")), PAIRS, "m"))
+        all_parts = Parts(counted_, k, parts, alone, facts["v"])
+        all_parts.seat()
+        log_p = seat_classes(counted_.where("part = -2").select(F.col("sender").cast("long").alias("u"), F.col("word").alias("w"), "n"), k + 1, all_parts.row.astype(np.int64))
+        d, once, unknown = all_parts.d, all_parts.once, all_parts.unknown
         after_rare = 10.0 ** log_p[k].astype(float)
-        left = STRENGTH + d * class_t
-        adds = pair_adds(means, found, near, after_rare, left, d, once)
-        common, common_add = sorted_words(adds.where(F.col("n") >= pair_floor).withColumnRenamed("key", "word"), "log_add")
-        all_words = found.unionByName(rare.where("n = 1").select("word", "n", F.lit(once).alias("p"), F.lit(1.0).alias("t")))
-        word, n, p, t = sorted_words(all_words.where(F.col("n") >= lookup_floor), "n", "p", "t")
-        far = parts.where(F.col("kind") == FAR_WORD).select(F.col("w").alias("word"), F.col("a").alias("shard")).join(all_words, "word")
-        told = stored(other.join(adds.where(F.col("n") < pair_floor).select("key", "log_add"), "key", "left").select(
-            "shard", "key", "log_add", *[F.lit(None).cast(kind).alias(c) for c, kind in (("n", "long"), ("p", "double"), ("t", "double"))]).unionByName(
-                far.select("shard", F.col("word").alias("key"), F.lit(None).cast("float").alias("log_add"), "n", "p", "t")))
-        dropped(other, parts, means, found, table)
-    back = np.log10(left / (STRENGTH + rare_n))
+        left = STRENGTH + d * all_parts.class_sum
+        told = all_parts.told(after_rare, left, lookup_floor, pair_floor)
+        dropped(counted_, all_parts.table)
+        everywhere = told.where("shard < 0").toArrow()
+    common, common_add = unpacked(everywhere, "key", "log_add")
+    word, n, p, t = unpacked(everywhere, "word", "n", "p", "t")
+    back = np.log10(left / (STRENGTH + all_parts.rare_n))
     shared = spark.sparkContext.broadcast((classes, class_n, common, common_add, word, n, p, t))
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -875,44 +1219,46 @@ def learn_and_score(docs: DataFrame, learned: Column, keep: list[str], text: str
         own, before = classes_of(classes, found, first)
         rows = docs.num_rows
         owner = np.repeat(np.arange(rows), np.diff(first))
-        key, is_word = told["key"].to_numpy().view(np.uint64), told["n"].is_valid().to_numpy()
-        n, p, t = (np.zeros(len(found)) for _ in range(3))
-        if k:
-            at, has = place_in(classes, found)
-            n[has] = class_n[at[has]]
-        mine = np.flatnonzero(is_word)
-        mine = mine[np.argsort(key[mine])]
-        for words_, values in ((lookup[0], lookup[1:]), (key[mine], [told[c].to_numpy()[mine] for c in ("n", "p", "t")])):
-            at, has = place_in(words_, found)
+        is_learned = docs["learned"].to_numpy()[owner]
+        kinds, which = kinds_of(found)
+        n, p, t, is_told = (np.zeros(len(kinds)) for _ in range(4))
+        for words_, *values in ((classes, class_n), lookup, unpacked(told, "word", "n", "p", "t")):
+            at, has = place_in(words_, kinds)
+            is_told[has] = 1
             for out, value in zip((n, p, t), values):
                 out[has] = value[at[has]]
+        n, p, t = n[which], p[which], t[which]
+        alone = np.flatnonzero((is_told[which] == 0) & is_learned)  # a learned token that a shard isn't told of
+        n[alone], p[alone], t[alone] = 1.0, once, 1.0
         base = np.log10((n + 1) / (facts["n"] + facts["v"] + 1))
         log = log_p[before, own].astype(float)
         after, under, is_known = own == k, before == k, n > 0
-        log += np.where(after, np.log10(np.where(is_known, p, unknown), where=after, out=np.zeros(len(p))), 0.0)
-        log += np.where(after & ~under, np.append(back, 0.0)[before], 0.0)
+        some = np.flatnonzero(after)
+        log[some] += np.log10(np.where(is_known[some], p[some], unknown)) + np.append(back, 0.0)[before[some]]
         context = np.arange(len(found)) - 1
         context[first[:-1]] = first[1:] - 1  # the end that stands before a text is like its own
-        weight = np.where(under, STRENGTH + d * t[context], np.append(left, 1.0)[before])
-        log += np.where(under & is_known[context], np.log10(weight / (STRENGTH + n[context])), 0.0)
+        some = np.flatnonzero(under)
+        some = some[is_known[context[some]]]
+        log[some] += np.log10((STRENGTH + d * t[context[some]]) / (STRENGTH + n[context[some]]))
         some = np.flatnonzero(after | under)
-        mine = np.flatnonzero(~is_word)
-        mine = mine[np.argsort(key[mine])]
         add, pairs = np.full(len(some), np.nan), pair_keys(contexts_of(found, first)[some], found[some])
-        at, has = place_in(common, pairs)
-        add[has] = common_add[at[has]]
-        at, has = place_in(key[mine], pairs)
-        add[has] = told["log_add"].to_numpy()[mine][at[has]]
-        once = np.isnan(add) & (has | docs["learned"].to_numpy()[owner[some]])
-        one = some[once]
-        add[once] = np.log10(1 + (1 - d) / (weight[one] * np.where(after[one], p[one], 1.0) * np.where(under[one], after_rare[own[one]], 1.0)))
+        key, log_add = unpacked(told, "key", "log_add")
+        at, is_told = place_in(key, pairs)
+        add[is_told] = log_add[at[is_told]]
+        others = np.flatnonzero(~is_told)
+        at, has = place_in(common, pairs[others])
+        add[others[has]] = common_add[at[has]]
+        one = np.isnan(add) & (is_told | is_learned[some])
+        one, some_one = np.flatnonzero(one), some[one]
+        weight = np.where(under[some_one], STRENGTH + d * t[context[some_one]], np.append(left, 1.0)[before[some_one]])
+        add[one] = np.log10(1 + (1 - d) / (weight * np.where(after[some_one], p[some_one], 1.0) * np.where(under[some_one], after_rare[own[some_one]], 1.0)))
         log[some] += np.nan_to_num(add)
         sums = [np.diff(first), np.bincount(owner, is_known, rows).astype(np.int64), np.bincount(owner, base, rows), np.bincount(owner, log, rows)]
         return pa.table([docs["kept"], *[pa.array(x) for x in sums]], names=["kept", "n_tokens", "n_known", "base_score", "score"])
 
     schema = T.StructType([dealt.schema["kept"], T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    scored = dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, schema)
+    scored = dealt.groupBy("shard").cogroup(told.where("shard >= 0").groupBy("shard")).applyInArrow(run, schema)
     return scored.select("kept.*", "n_tokens", "n_known", "base_score", "score"), facts["n"]
 
 

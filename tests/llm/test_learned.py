@@ -280,6 +280,37 @@ def test_a_parent_goes_on_from_its_seating_as_customers_come_and_go():
     assert again.counts.tolist() == want.tolist() and again.sizes.tolist() == after.sizes.tolist() and again.first.tolist() == after.first.tolist()
 
 
+def test_tables_of_a_dish_are_drawn_as_a_whole():
+    """One draw has the exact distribution, wherever the dish stood; of many dishes, the others' tables weigh on it."""
+    d, parent, rng, copies = 0.4, 0.3, np.random.default_rng(7), 20_000
+    for c in (1, 2, 6, hpylm.DRAWN):
+        found = hpylm.draw_tables(np.full(copies, c), np.zeros(copies), np.full(copies, parent), d, hpylm.table_ratios(d), rng)
+        assert np.abs(np.bincount(found, minlength=c + 1) / copies - exact_tables(c, d, 1.0, parent)[:c + 1]).max() < 0.02
+    mixed = hpylm.draw_tables(np.tile([2, 2], copies), np.tile([0.0, 50.0], copies), np.full(2 * copies, parent), d, hpylm.table_ratios(d), rng)
+    for at, others in enumerate((0, 50)):
+        odds = (1 + d * (others + 1)) * parent / (1 - d)
+        assert abs((mixed[at::2] == 2).mean() - odds / (1 + odds)) < 0.02
+
+
+def test_tokens_are_told_apart_as_words_are():
+    texts = ["", None, " ", "A b\tC", "x" * 20_000 + " y", "a\0", "a", "abcdefgh abcdefghi", "ABCDEFGHI", "é 🎉 don't", " lead trail ", "q" * 256 + " " + "q" * 257, "Q" * 257, "x"]
+    found, first = hpylm.tokens(pa.array(texts))
+    expected = [w for t in texts for w in [*[x for x in re.split("[ \t-\r]+", "".join(c.lower() if c < "\x7f" else c for c in t or "")) if x], None]]
+    assert len(found) == len(expected) == first[-1] and (found[first[1:] - 1] == hpylm.END).all()
+    assert len(set(zip(found.tolist(), expected))) == len(set(found.tolist())) == len(set(expected))
+
+
+def test_pairs_reach_their_parts_as_arrays(spark):
+    """What is shuffled are a few rows for each task and part, however many pairs there are; a shard is told of what it can't know."""
+    texts = spark.range(400).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.hash(F.col("id"), i).cast("string")), " ").alias("text"),
+                                    F.lit(True).alias("learned"), F.lit(0).alias("shard")).coalesce(1)
+    places = hpylm.pair_places(texts, np.array([hpylm.END]), 8)
+    rows = places.collect()
+    assert len(rows) == 8 + hpylm.CELL_PARTS and sum(len(r["home"]) for r in rows if r["part"] < 8) == 8 * 400 * 51
+    first, key, n, cell, shard = hpylm.told_cells(np.array([7, 5, 7, 5, 9, 7, 9], np.uint64), np.array([1, 3, 3, 2, 5, 1, 5], np.int64))
+    assert key.tolist() == [5, 7, 9] and n.tolist() == [1, 3, 2] and sorted(zip(cell.tolist(), shard.tolist())) == [(0, 1), (1, 0), (1, 1), (2, 2)]
+
+
 def test_language_model_of_odd_rows(spark, odd_docs, no_docs):
     model, rare = hpylm.learn(odd_docs)
     rows = hpylm.score(odd_docs, model, rare, odd_docs.columns).collect()
