@@ -16,7 +16,7 @@ partition; at the partition's end it is cut into sequences whose lengths are pow
 **Plan.** Texts are encoded once and stored as ids of two bytes where the vocabulary allows; one aggregate of at most a row a term and
 task counts frequencies; one range shuffle moves the ids. Sequence ids hold the partition and a number in it.
 
-Cases: a null or empty text is the end token alone; null ids come first; repeated rows are documents of their own; an empty table
+Cases: a null or empty text is the end token alone; a seed with no term that weighs anything is followed by the shard's order; null ids come first; repeated rows are documents of their own; an empty table
 gives no pieces; columns not named are ignored.
 """
 
@@ -121,12 +121,12 @@ class Index:
         self.n = n
 
     def scores(self, document: int) -> np.ndarray:
-        """Scores of all the shard's documents for the distinct terms of one."""
+        """Scores of all the shard's documents for the distinct terms of one; zeros where none of them weighs anything."""
         terms = self.terms_of[self.at[document]:self.at[document + 1]]
         a, size = self.begins[terms], self.begins[terms + 1] - self.begins[terms]
         before = np.cumsum(size) - size
         postings = np.repeat(a - before, size) + np.arange(int(size.sum()))
-        return np.bincount(self.docs[postings], self.weights[postings], self.n)
+        return np.bincount(self.docs[postings], self.weights[postings], self.n).astype(np.float64, copy=False)  # of no postings it makes integers
 
 
 #: A piece: document's place in its shard, first token, tokens, sequence, place in the sequence.

@@ -107,6 +107,17 @@ def test_nulls_repeats_empty_and_long_texts(spark, library):
     assert packed(spark, []) == []
 
 
+@pytest.mark.parametrize("texts", [[None], [""], ["one two three"], [None, "", "one two three", "one two three four", "one two one"]])
+def test_seeds_whose_terms_weigh_nothing(spark, library, texts):
+    """Texts without terms, or with terms that more than half of the documents hold, fill windows in their order."""
+    table = [(i, texts[i % len(texts)]) for i in range(900)]
+    sequences = check(packed(spark, table, window=256), wanted(library, table), 256)
+    assert sum(s[-1]["offset"] + s[-1]["length"] == 256 for s in sequences.values()) > 2
+    if len(texts) == 1:
+        ids = [r["doc_id"] for _, s in sorted(sequences.items()) for r in s]
+        assert ids == sorted(ids)
+
+
 def test_neighbours_share_a_window(spark, library):
     """Documents of three matters, dealt at random: windows hold one matter, but for the last of each."""
     rng = np.random.default_rng(2)
@@ -117,6 +128,12 @@ def test_neighbours_share_a_window(spark, library):
     assert pure >= 0.8 * len(sequences)
 
 
+def test_scores_of_no_terms_are_real_zeros():
+    index = packing.Index([np.array(d, "<u2") for d in ([1], [3, 2, 1], [1])], np.array([0, 0, 1.0, 2.0]), 2.0)
+    assert index.scores(0).dtype == index.scores(1).dtype == np.float64
+    assert index.scores(0).tolist() == [0, 0, 0] and index.scores(1)[1] > 0
+
+
 def test_scores_are_bm25():
     rng = np.random.default_rng(6)
     docs = [rng.integers(0, 40, n).astype("<u2") for n in (30, 5, 60, 1, 30)]
